@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscan.llm import bytebpe, packing, simhash, wavelet
+from leafscan.llm import bytebpe, packing, simhash, sketch, wavelet
 from leafscan.llm.common import table
 
 
@@ -38,11 +38,25 @@ def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.edited(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.fingerprint(F.col("sketch")).alias("fingerprint"),
+        sketch.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_wavelet_shards": op8_wavelet_shards,
+    "op10_scaled_sketch": op10_scaled_sketch,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,18 +1,39 @@
 """Ids of whole texts by a vocabulary of the ``tokenizers`` library, inside Spark tasks.
 
-White space never belongs to a token of this vocabulary's pre-tokenizer, so the ids of a text are those of
-its words one after the other.  A worker therefore asks the library once for each distinct word and keeps the
-answers in two generations of bounded size: what was not used while a generation filled is forgotten.
+The vocabulary's pre-tokenizer drops white space, so the ids of a text are those of its words one after the
+other.  A worker therefore asks the library once for each distinct word and keeps the answers in two generations
+of bounded size: what was not used while a generation filled is forgotten.  Words of printable ASCII are lower-cased
+and split here by the pre-tokenizer's own pattern and go straight to the library's model; all others go through
+its whole pipeline.  A vocabulary file with another pipeline is used on whole texts, without either shortcut.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import json
+import re
+from array import array
 
 from leafscan.llm.common import single_threaded
 
 #: Words that one generation of a worker's memo holds; two are kept.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 900_000
+#: Fixed value: the pre-tokenizer pattern of the vocabularies that the shortcuts hold for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _drops_space(file: dict) -> bool:
+    """Whether the pipeline is: NFC, runs of space to one, lower case; parts by the pattern alone, then bytes."""
+    normal = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])]
+    steps = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        normal == ["NFC", "Replace", "Lowercase"]
+        and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+        and steps[0]["pattern"] == {"Regex": PATTERN}
+        and (steps[0]["behavior"], steps[0]["invert"], steps[1]["add_prefix_space"]) == ("Removed", True, False)
+        and file.get("post_processor") is None
+        and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"])
+    )
 
 
 class WordEncoder:
@@ -22,28 +43,41 @@ class WordEncoder:
         single_threaded()
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        self.by_word = _drops_space(described)
+        self.added = tuple(t["content"].encode() for t in described["added_tokens"])
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.memo_words = memo_words
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _plain(self, word: bytes) -> bool:
+        return word.isascii() and word.decode().isprintable() and not any(t in word for t in self.added)
+
     def learn(self, words: set[bytes]) -> None:
-        young, old = self.young, self.old
-        missing = []
+        young, old, tokenize = self.young, self.old, self.model.tokenize
+        rest = []
         for word in words:
-            if word not in young:
-                known = old.get(word)
-                if known is None:
-                    missing.append(word)
-                else:
-                    young[word] = known
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            encoded = self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            for word, one in zip(some, encoded, strict=True):
-                young[word] = np.asarray(one.ids, dtype="<u4").tobytes()
+            if word in young:
+                continue
+            known = old.get(word)
+            if known is not None:
+                young[word] = known
+            elif self._plain(word):
+                parts = _ASCII_PARTS.findall(word.lower().decode())
+                young[word] = array("I", [token.id for part in parts for token in tokenize(part)]).tobytes()
+            else:
+                rest.append(word)
+        if rest:
+            encoded = self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+            for word, one in zip(rest, encoded, strict=True):
+                young[word] = array("I", one.ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
+        if not self.by_word:
+            return array("I", self.library.encode(text or "", add_special_tokens=False).ids).tobytes()
         words = text.encode().split() if text else []
         young = self.young
         try:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscan.llm import bytebpe, packing, simhash, sketch, wavelet
+from leafscan.llm import bytebpe, packing, simhash, sketch, urlfilter, wavelet
 from leafscan.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bytebpe.encode(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select(
@@ -53,6 +57,7 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
+    "op2_url_filter": op2_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_wavelet_shards": op8_wavelet_shards,

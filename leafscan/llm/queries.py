@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscan.llm import bytebpe, packing, simhash, sketch, urlfilter, wavelet
+from leafscan.llm import bytebpe, chat, packing, pivots, simhash, sketch, urlfilter, wavelet
 from leafscan.llm.common import table
 
 
@@ -19,6 +19,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"))
 
 
+def op3_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embedding = F.col("embedding")
+    rows = table(spark, sf_dir, "embeddings").where(pivots.usable(embedding))
+    vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), pivots.quantised(embedding).alias("v"))
+    return pivots.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bytebpe.encode(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select(
@@ -42,6 +49,10 @@ def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(chat.swapped_replies(table(spark, sf_dir, "conversations")))
+
+
 def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sketch.edited(table(spark, sf_dir, "documents"))
     return found.select(
@@ -58,10 +69,62 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
     "op2_url_filter": op2_url_filter,
+    "op3_pivot_top_k": op3_pivot_top_k,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_wavelet_shards": op8_wavelet_shards,
+    "op9_preference_chat": op9_preference_chat,
     "op10_scaled_sketch": op10_scaled_sketch,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_pivot_top_k": """
+        WITH v AS (
+            SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+    "op9_preference_chat": """
+        WITH t AS (
+            SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+            FROM conversations
+        ), last AS (
+            SELECT conv_id, turn, text FROM t WHERE role = 'assistant'
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1
+        ), known AS (
+            SELECT l.conv_id, l.turn, l.text, p.text AS reply FROM last l LEFT JOIN last p ON p.conv_id = xor(l.conv_id, 1)
+        ), sides AS (
+            SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM t
+            UNION ALL
+            SELECT t.conv_id, 'rejected', t.turn, t.role,
+                   CASE WHEN t.role = 'assistant' AND t.turn = k.turn AND t.text = k.text AND k.reply IS NOT NULL
+                        THEN k.reply ELSE t.text END
+            FROM t LEFT JOIN known k ON k.conv_id IS NOT DISTINCT FROM t.conv_id
+        ), turns AS (
+            SELECT pair_id, turn, role, text, bool_or(side = 'chosen') AS chosen, bool_or(side = 'rejected') AS rejected
+            FROM sides GROUP BY ALL
+        ), shared AS (
+            SELECT *, min(CASE WHEN chosen <> rejected THEN turn END) OVER (PARTITION BY pair_id) AS first FROM turns
+        ), parts AS (
+            SELECT *, 'prompt' AS part FROM shared WHERE first IS NULL OR turn < first
+            UNION ALL SELECT *, 'chosen' FROM shared WHERE turn >= first AND chosen
+            UNION ALL SELECT *, 'rejected' FROM shared WHERE turn >= first AND rejected
+        ), made AS (
+            SELECT pair_id, part, turn, role,
+                   '<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS rendered
+            FROM parts
+        )
+        SELECT pair_id, part, turn, role, rendered,
+               CAST(CASE WHEN role = 'assistant' AND part <> 'prompt' THEN instr(rendered, chr(10)) ELSE 0 END AS INTEGER) AS learn_from,
+               CAST(CASE WHEN role = 'assistant' AND part <> 'prompt' THEN length(rendered) - 1 ELSE 0 END AS INTEGER) AS learn_to
+        FROM made
+    """,
+}

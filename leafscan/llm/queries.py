@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscan.llm import bytebpe, chat, packing, pivots, simhash, sketch, urlfilter, wavelet
+from leafscan.llm import bytebpe, chat, langid, packing, pivots, quality, simhash, sketch, urlfilter, wavelet
 from leafscan.llm.common import table
 
 
@@ -40,6 +40,19 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights, _ = quality.fit(docs)
+    return quality.classified(docs, weights, keep=("doc_id",))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold(F.col("doc_id")) == 2
+    found = langid.identified(docs, langid.fit(docs.where(~held_out)), keep=("doc_id",))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.write_and_read(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -72,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pivot_top_k": op3_pivot_top_k,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_weak_label_quality": op6_weak_label_quality,
+    "op7_language_id": op7_language_id,
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_preference_chat": op9_preference_chat,
     "op10_scaled_sketch": op10_scaled_sketch,

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafscan.llm.common import cut
 
@@ -118,13 +119,16 @@ def meetings(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.nda
     return codes >> 32, codes & 0xFFFFFFFF
 
 
-def _grouped(radius: int, prefix: int, bits: int):
-    """The function of one group: fingerprints sent to a prefix -> (fp, root) of those that meet another."""
+def _grouped(radius: int, prefix: int, bits: int, chains: bool):
+    """The function of one group: fingerprints sent to a prefix -> (space, fp, root) of those that meet another.
+
+    With ``chains`` also each of them with the next of its local component.
+    """
     half = radius // 2
     low = [np.array(masks(bits - prefix, half - d), np.uint64) for d in range(half + 1)]
 
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, salt, salts = key
+        space, _, salt, salts = key
         rows = rows.sort_values("fp", kind="stable")
         fps, away = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["away"].to_numpy()
         target = rows["shift"].to_numpy(np.int64).view(np.uint64)
@@ -145,33 +149,43 @@ def _grouped(radius: int, prefix: int, bits: int):
         root = _local_roots(len(fps), a[near], b[near])
         moved = np.flatnonzero(root != np.arange(len(fps)))
         signed = fps.view(np.int64)
-        return pd.DataFrame({"u": signed[moved], "v": signed[root[moved]]})
+        u, v = signed[moved], signed[root[moved]]
+        if chains:
+            order = np.argsort(root, kind="stable")
+            same = root[order[1:]] == root[order[:-1]]
+            u, v = np.append(u, signed[order[1:][same]]), np.append(v, signed[order[:-1][same]])
+        return pd.DataFrame({"space": np.full(len(u), space, np.int32), "u": u, "v": v})
 
     return group
 
 
-def links(fps: DataFrame, n: int, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
-    """Links (u, v) that connect all of ``n`` distinct fingerprints (column fp) at ``radius`` or fewer bits."""
+def links(fps: DataFrame, n: int, radius: int = RADIUS, bits: int = BITS, chains: bool = False) -> DataFrame:
+    """Links (space, u, v) that connect all distinct fingerprints of a space at ``radius`` or fewer bits.
+
+    ``fps``: space (int; fingerprints of different spaces never meet), fp; about ``n`` rows in each space.
+    """
     half = radius // 2
     prefix = min(24, max(6, math.ceil(math.log2(max(n, 1) / PREFIX_FINGERPRINTS))))
     moves = [(bin(m).count("1"), m << (bits - prefix)) for m in masks(prefix, half)]
     moves = [(away, shift - (1 << 64) if shift >> 63 else shift) for away, shift in moves]
-    cost = [math.comb(bits - prefix, 0) and sum(math.comb(bits - prefix, k) for k in range(half - d + 1)) for d in range(half + 1)]
+    cost = [sum(math.comb(bits - prefix, k) for k in range(half - d + 1)) for d in range(half + 1)]
     steps = F.array(*[F.struct(F.lit(a).alias("away"), F.lit(s).cast("long").alias("shift")) for a, s in moves])
-    sent = fps.select("fp", F.explode(steps).alias("step")).select(
+    sent = fps.select("space", "fp", F.explode(steps).alias("step")).select(
+        "space",
         F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("step.shift")), bits - prefix).cast("int").alias("bucket"),
         "fp",
         F.col("step.away").alias("away"),
         F.col("step.shift").alias("shift"),
     )
     load = F.sum(F.element_at(F.array(*[F.lit(c) for c in cost]), F.col("away") + 1))
-    full = sent.groupBy("bucket").agg(F.ceil(load / GROUP_VARIANTS).cast("int").alias("salts")).where("salts > 1")
+    full = sent.groupBy("space", "bucket").agg(F.ceil(load / GROUP_VARIANTS).cast("int").alias("salts")).where("salts > 1")
     salted = (
-        sent.join(full, "bucket", "left")
+        sent.join(full, ["space", "bucket"], "left")
         .withColumn("salts", F.coalesce("salts", F.lit(1)))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     )
-    return salted.groupBy("bucket", "salt", "salts").applyInPandas(_grouped(radius, prefix, bits), "u long, v long")
+    grouped = salted.groupBy("space", "bucket", "salt", "salts")
+    return grouped.applyInPandas(_grouped(radius, prefix, bits, chains), "space int, u long, v long")
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -197,7 +211,8 @@ def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``fps`` (doc_id, fp) with component_id, the smallest doc_id that links of ``radius`` or fewer bits reach."""
     fps = cut(fps.select("doc_id", "fp"))
     each = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = stars(links(each, each.count(), radius)).withColumnRenamed("u", "fp")
+    met = links(each.select(F.lit(0).alias("space"), "fp"), each.count(), radius)
+    roots = stars(met.select("u", "v")).withColumnRenamed("u", "fp")
     named = each.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = named.join(lowest, "root").select("fp", "component_id")
@@ -208,3 +223,73 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     """doc_id, fingerprint (16 lowercase hex digits), component_id for every document."""
     found = components(fingerprints(docs, words), radius)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near-copies by shingles: fingerprints of each document, of its word pairs, and the shingles that decide.
+SPACES, FEATURE_WORDS = 6, 2
+DECIDING_WORDS, SIMILARITY = 5, 0.8
+
+
+def _several(hashes: np.ndarray, spaces: int) -> list[int]:
+    """Fingerprints of a set of hashes in several spaces, each mixing the hashes in its own way."""
+    out = []
+    for space in range(spaces):
+        mixed = hashes + np.uint64(0x9E3779B97F4A7C15 * (space + 1) % (1 << 64))
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(fingerprint(mixed ^ (mixed >> np.uint64(31))))
+    return out
+
+
+def without_near_copies(
+    docs: DataFrame, radius: int = RADIUS, spaces: int = SPACES, similarity: float = SIMILARITY, words: int = DECIDING_WORDS
+) -> DataFrame:
+    """The documents without exact and near copies: of each group the one with the smallest doc_id stays.
+
+    Candidates meet as in ``components``, by fingerprints of their word pairs in several spaces (one space misses some
+    pairs whose similarity is just enough); a candidate pair counts if the Jaccard similarity of its sets of shingles of
+    ``words`` words is at least ``similarity``, worked out exactly.  Rows without a doc_id stay, as nothing names them;
+    of rows that repeat a doc_id one stays.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_several(np.unique(shingle_hashes(text.as_py(), FEATURE_WORDS)), spaces) for text in batch.column(1)]
+            fps = np.array(found, np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, spaces, dtype=np.int32)), pa.array(fps))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["doc_id", "digest", "fps"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.as_py(), words)).view(np.int64) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    named = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # One node for each distinct text: its smallest id.
+    own = named.select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+    prints = own.mapInArrow(hashed, own.select("doc_id", "digest").schema.add("fps", T.ArrayType(T.LongType())))
+    nodes = cut(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")))
+    placed = nodes.select("node", F.posexplode("fps").alias("space", "fp"))
+    each = cut(placed.groupBy("space", "fp").agg(F.min("node").alias("first")))
+    met = links(each.select("space", "fp"), nodes.count(), radius, chains=True).distinct()
+    ends = lambda side: each.select("space", F.col("fp").alias(side), F.col("first").alias(f"node_{side}"))
+    apart = met.join(ends("u"), ["space", "u"]).join(ends("v"), ["space", "v"]).select("node_u", "node_v")
+    alike = placed.join(each, ["space", "fp"]).select(F.col("node").alias("node_u"), F.col("first").alias("node_v"))
+    both = apart.unionByName(alike).where("node_u <> node_v")
+    pairs = cut(both.select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")).distinct())
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    texts = named.join(wanted, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    kind = T.StructType([T.StructField("node", docs.schema["doc_id"].dataType), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    sets = cut(texts.mapInArrow(shingled, kind))
+    sided = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}"))
+    compared = pairs.join(sided("u"), "u").join(sided("v"), "v")
+    common = F.size(F.array_intersect("hashes_u", "hashes_v"))
+    close = common >= F.lit(similarity) * (F.size("hashes_u") + F.size("hashes_v") - common) - 1e-9
+    copies = stars(compared.where(close).select("u", "v"))
+    kept = nodes.select(F.col("node").alias("doc_id")).join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        staying = docs.join(kept, "doc_id", "left_semi")
+    else:
+        staying = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return staying.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -1,0 +1 @@
+"""Column functions: tokens, similarities, colours, hashes."""

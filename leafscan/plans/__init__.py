@@ -1,0 +1 @@
+"""Whole plans: the annotate facade, global ranking, and the registry of queries."""

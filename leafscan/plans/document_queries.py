@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leafscan.functions import similarity
 from leafscan.functions.tokens import split_words, without_markers
-from leafscan.operators import boxes, geometry, match
+from leafscan.operators import boxes, geometry, highlight, match
+from leafscan.sources import hocr
 from leafscan.sources.tables import marker_text, pages_of_texts, table, word_boxes
 
 
@@ -157,10 +158,34 @@ def draw_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.draw_ops(_typed(spark, sf_dir)).select("page_id", "query_id", "op", *rounded("dx1", "dy1", "dx2", "dy2"))
 
 
+def hocr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = hocr.usable_words(hocr.parsed_words(hocr.rendered(pages(spark, sf_dir))))
+    return words.select("page_id", "pos", "line_no", "word", "x1", "y1", "x2", "y2", "wconf")
+
+
+def hocr_marker_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = hocr.marker_text_of(hocr.parsed_words(hocr.rendered(pages(spark, sf_dir))))
+    return marked.select("page_id", F.length("marked").alias("chars"), F.md5("marked").alias("marked_md5"))
+
+
+def hocr_page_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = hocr.rendered(pages(spark, sf_dir)).select("page_id", hocr.page_dimensions(F.col("hocr")).alias("d"))
+    return sized.select("page_id", "d.width", "d.height")
+
+
+def highlight_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda a, n: F.array_join(F.slice("qs", a, n), " ")
+    html = F.concat(F.lit("<s>"), part(1, 3), F.lit("</s> "), F.lit('<span style="background-color: rgb(255, 255, 0)">'), part(4, 9), F.lit("</span> <u>"), part(13, 2), F.lit("</u>"))
+    sections = passages(spark, sf_dir).select("query_id", F.inline(highlight.parsed_sections(html)))
+    words = word_boxes(pages(spark, sf_dir))
+    return highlight.highlighted(boxes.words_in_area(boxes.match_boxes(_matches(spark, sf_dir), words), words), sections)
+
+
 _DOC_QUERIES = (
     tokenize_words, clean_markers, marker_lines, closest_match, closest_match_best, closest_match_no_early_stop, multi_match_threshold,
     match_char_offsets, match_text, top_matches_per_page, fuzzy_match_fallback, sequence_similarity, char_similarity, word_similarity,
     match_boxes, words_in_area, line_quads, quad_points, pdf_coordinates, styled_annotations, draw_operations,
+    hocr_roundtrip, hocr_marker_text, hocr_page_size, highlight_sections,
 )
 QUERIES = {q.__name__: q for q in _DOC_QUERIES}
 
@@ -293,4 +318,12 @@ ORACLE_SQL = {
         SELECT page_id, query_id, CAST(coalesce(f.start, b.start) AS INTEGER) AS start_index, CAST(coalesce(f.start + f.l, b.start + b.l) AS INTEGER) AS end_index,
                round(coalesce(f.score, b.similarity), 6) AS similarity, f.score IS NOT NULL AS fuzzy
         FROM best b LEFT JOIN fz f USING (page_id, query_id) WHERE coalesce(f.score, b.similarity) >= 0.6""",
+    "hocr_roundtrip": f"""WITH {_PAGES}, {_WORDS} SELECT page_id, p AS pos, CAST(p // 10 AS INTEGER) AS line_no, word, CAST(100 + 240 * (p % 10) AS DOUBLE) AS x1, CAST(100 + 40 * (p // 10) AS DOUBLE) AS y1,
+        CAST(100 + 240 * (p % 10) + 20 * least(length(word), 11) AS DOUBLE) AS x2, CAST(130 + 40 * (p // 10) AS DOUBLE) AS y2, 95 AS wconf FROM words""",
+    "hocr_marker_text": f"""WITH {_PAGES}, lines AS (
+            SELECT page_id, ws, list_transform(ws, lambda w, k: CASE WHEN (k - 1) % 10 = 0 THEN '[[LINE 100 ' || (100 + 40 * ((k - 1) // 10)) || ' ' ||
+                (100 + 240 * ((least(k + 9, len(ws)) - 1) % 10) + 20 * least(length(ws[least(k + 9, len(ws))]), 11)) || ' ' || (130 + 40 * ((k - 1) // 10)) || ']] ' || w ELSE w END) AS marked FROM pages_),
+            m AS (SELECT page_id, '[[PARAGRAPH]] ' || array_to_string(marked, ' ') AS t FROM lines WHERE len(ws) > 0)
+        SELECT page_id, CAST(length(t) AS INTEGER) AS chars, md5(t) AS marked_md5 FROM m""",
+    "hocr_page_size": "SELECT doc_id AS page_id, 2560 AS width, 3300 AS height FROM documents",
 }

@@ -129,12 +129,12 @@ def calibrated(labelled: DataFrame, model: DataFrame) -> float:
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every page."""
     host, path, rest = parts(F.col("url"))
-    read = pages.select("page_id", host.alias("host"), path.alias("path"), normalised(rest).alias("url"))
+    held_out = F.crc32(rest) % FOLDS == 0
+    read = pages.select("page_id", host.alias("host"), path.alias("path"), normalised(rest).alias("url"), held_out.alias("held_out"))
     read = read.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
-    taught = read.where("by_rule is not null and url <> ''").select("url", (F.col("by_rule.verdict") == "allow").alias("allowed"))
-    held_out = F.crc32("url") % FOLDS == 0
-    model = fit(taught.where(~held_out))
-    threshold = calibrated(taught.where(held_out), model)
+    taught = read.where("by_rule is not null and url <> ''").select("url", (F.col("by_rule.verdict") == "allow").alias("allowed"), "held_out")
+    model = fit(taught.where("not held_out"))
+    threshold = calibrated(taught.where("held_out"), model)
     unjudged = scored(read.where("by_rule is null"), model).withColumnRenamed("url", "of")
     verdict = F.coalesce("by_rule.verdict", F.when(F.col("score") < threshold, "block").otherwise("allow"))
     mine = (F.col("url") == F.col("of")) & F.col("by_rule").isNull()

@@ -60,10 +60,10 @@ def normalised(rest: Column) -> Column:
 
 def _grams(url: Column) -> Column:
     """All n-grams up to ORDER that end at a symbol or at the last mark of beginning."""
-    marked = F.concat(F.lit("^" * (ORDER - 1)), url, F.lit("$"))
-    ends = F.sequence(F.lit(ORDER - 1), F.length(marked))
+    marked = F.concat(F.lit("^" * ORDER), url, F.lit("$"))
+    ends = F.sequence(F.lit(ORDER), F.length(marked))
     each = lambda end: F.array(*[F.substr(marked, end - (n - 1), F.lit(n)) for n in range(1, ORDER + 1)])
-    return F.filter(F.flatten(F.transform(ends, each)), lambda gram: gram != "")
+    return F.flatten(F.transform(ends, each))
 
 
 def fit(labelled: DataFrame) -> DataFrame:

@@ -45,6 +45,9 @@ LABELLERS = (
     ("squeezed", 0.85, 0.75, 30),
     ("oddly_long", 4.5, 3.0, 8),
 )
+#: Votes (g, b, none) that each labeller is taken to have cast on bad and on good documents before any are seen: a good
+#: document is seldom called bad, a bad one has some flaws and not others.
+PRIOR_VOTES = ((6.0, 6.0, 0.0), (60.0, 1.0, 0.0))
 _SYMBOLS = b"$%&#*@^~{}[]<>|\\=+_`"
 _SHAPES = str.maketrans(string.ascii_letters + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
@@ -130,7 +133,7 @@ def accuracies(patterns: dict[str, int], rounds: int = 60) -> tuple[float, np.nd
         chances = np.empty((cast.shape[1], 2, 2))
         for j in range(cast.shape[1]):
             for side, mass in enumerate((weight * (1 - good), weight * good)):
-                cast_g, cast_b, _ = np.bincount(cast[:, j], mass, 3) + 1.0
+                cast_g, cast_b, _ = np.bincount(cast[:, j], mass, 3) + PRIOR_VOTES[side]
                 chances[j, side] = cast_g / (cast_g + cast_b), cast_b / (cast_g + cast_b)
         logs = np.concatenate([np.log(chances), np.zeros((len(chances), 2, 1))], axis=2)  # no vote says nothing
         ratio = np.log(prior / (1 - prior)) + sum(logs[j, 1, cast[:, j]] - logs[j, 0, cast[:, j]] for j in range(cast.shape[1]))

@@ -126,7 +126,8 @@ def test_bounded_bins_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 8, 4, 2)] == [(0, 0), (1, 0), (1, 7), (2, 0), (0, 6), (2, 8)]
     bins = packing.OpenBins(10, 2)
-    assert [bins.place(n) for n in (6, 7, 8, 3, 4)] == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 3)] or bins.count <= 2
+    assert [bins.place(n) for n in (6, 7, 8, 3, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6), (3, 0)]
+    assert bins.count == 2
 
 
 def test_wavelet_matrix_answers():
@@ -147,7 +148,7 @@ def test_shards_give_every_document_back(spark, tmp_path):
     texts, ids = [*odd_texts(), "again", "again"], None
     ids = [5 * k % 23 for k in range(len(texts) - 2)] + [100, 100]
     folder = str(tmp_path / "shards")
-    wavelet.write(docs(spark, texts, ids), folder, shard_tokens=500)
+    wavelet.write(docs(spark, texts, ids), folder, shard_tokens=60)
     assert spark.read.parquet(folder).count() > 3
     rows = sorted(wavelet.read_documents(spark, folder).collect(), key=lambda r: r["start"])
     start = 0

@@ -63,3 +63,26 @@ def quad_points(quads: DataFrame) -> DataFrame:
     points = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_index", eight.alias("q")))), lambda s: s["q"]))
     rect = F.array(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2"))
     return quads.groupBy("page_id", "query_id").agg(points.alias("quad_points"), rect.alias("rect"))
+
+
+def line_boxes(matches: DataFrame, words: DataFrame) -> DataFrame:
+    """Matches with the box that line markers alone give, for users of that older form.
+
+    Left and top are those of the line in which the window begins; right is the furthest of it and of the lines
+    that begin inside the window, bottom that of the last of these.  A window inside one line gets 0 for both, as no line
+    begins in it.
+    """
+    lines = words.groupBy("page_id", "line_no").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), *union_box())
+    spans = matches.select("page_id", "query_id", "start_index", "end_index").join(lines, "page_id")
+    touched = spans.where((F.col("last_pos") >= F.col("start_index")) & (F.col("first_pos") < F.col("end_index")))
+    opening = F.col("first_pos") <= F.col("start_index")
+    of = lambda name, which: F.max(F.when(which, F.col(name)))
+    inside = F.count(F.when(~opening, F.lit(1)))
+    last = F.max_by(F.col("y2"), F.when(~opening, F.col("first_pos")))
+    found = touched.groupBy("page_id", "query_id").agg(
+        of("x1", opening).alias("x1"),
+        of("y1", opening).alias("y1"),
+        F.when(inside > 0, F.max("x2")).otherwise(F.lit(0.0)).alias("x2"),
+        F.coalesce(last, F.lit(0.0)).alias("y2"),
+    )
+    return found

@@ -112,6 +112,10 @@ def match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "query_id", "x1", "y1", "x2", "y2")
 
 
+def match_line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.line_boxes(_matches(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
+
+
 def words_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = word_boxes(pages(spark, sf_dir))
     return boxes.words_in_area(boxes.match_boxes(_matches(spark, sf_dir), words), words).select("page_id", "query_id", "pos", "word")
@@ -184,7 +188,7 @@ def highlight_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOC_QUERIES = (
     tokenize_words, clean_markers, marker_lines, closest_match, closest_match_best, closest_match_no_early_stop, multi_match_threshold,
     match_char_offsets, match_text, top_matches_per_page, fuzzy_match_fallback, sequence_similarity, char_similarity, word_similarity,
-    match_boxes, words_in_area, line_quads, quad_points, pdf_coordinates, styled_annotations, draw_operations,
+    match_boxes, match_line_boxes, words_in_area, line_quads, quad_points, pdf_coordinates, styled_annotations, draw_operations,
     hocr_roundtrip, hocr_marker_text, hocr_page_size, highlight_sections,
 )
 QUERIES = {q.__name__: q for q in _DOC_QUERIES}
@@ -270,6 +274,11 @@ ORACLE_SQL = {
     "top_matches_per_page": f"""{_BASE} SELECT page_id, query_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, query_id) AS INTEGER) AS rank, round(similarity, 6) AS similarity
         FROM found QUALIFY rank <= 2""",
     "match_boxes": f"{_BASE}{_BOXED} SELECT * FROM mboxes",
+    "match_line_boxes": f"""{_BASE}{_BOXED}, lines AS (
+            SELECT page_id, pos // 10 AS l, min(pos) AS a, max(pos) AS z, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM boxed GROUP BY page_id, pos // 10),
+        t AS (SELECT f.page_id, f.query_id, l.*, l.a <= f.start_index AS opening FROM found f JOIN lines l ON l.page_id = f.page_id AND l.z >= f.start_index AND l.a < f.end_index)
+        SELECT page_id, query_id, CAST(max(x1) FILTER (opening) AS DOUBLE) AS x1, CAST(max(y1) FILTER (opening) AS DOUBLE) AS y1,
+               CAST(CASE WHEN count(*) FILTER (NOT opening) > 0 THEN max(x2) ELSE 0 END AS DOUBLE) AS x2, CAST(coalesce(max(y2) FILTER (NOT opening), 0) AS DOUBLE) AS y2 FROM t GROUP BY page_id, query_id""",
     "words_in_area": f"""{_BASE}{_BOXED} SELECT m.page_id, m.query_id, w.pos, w.word FROM mboxes m JOIN boxed w ON w.page_id = m.page_id
         AND w.x2 >= m.x1 - 50 AND w.x1 <= m.x2 + 50 AND w.y2 >= m.y1 - 50 AND w.y1 <= m.y2 + 50""",
     "line_quads": f"{_BASE}{_BOXED}{_LINES} SELECT * FROM quads",

@@ -34,6 +34,18 @@ def read_binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content")
 
 
+def output_as(content: Column, fmt: str) -> Column:
+    """Binary content as ``binary`` or ``base64``."""
+    if fmt not in ("binary", "base64"):
+        raise ValueError(f"unsupported output format: {fmt}")
+    return F.base64(content) if fmt == "base64" else content
+
+
+def head(hocr: Column, chars: int = 2000) -> Column:
+    """The beginning of a raw page, to look at."""
+    return F.substr(hocr, F.lit(1), F.lit(chars))
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

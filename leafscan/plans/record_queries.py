@@ -256,6 +256,7 @@ ORACLE_SQL |= {
         SELECT row_number() OVER (ORDER BY first, section, kind, page NULLS FIRST, line) AS line_no, section, line FROM l""",
     "export_csv": _export_sql("""'"' || replace(citation, '"', '""') || '",APA Style,"' || replace(match_text, '"', '""') || '",1,' || page_id || ',2024-01-15'"""),
     "export_txt": _export_sql("""number || '. ' || citation || chr(10) || '   Match: "' || match_text || '" (Page 1, ' || page_id || ')'"""),
+    "export_json": _export_sql("CAST(json_object('citation', citation, 'format', 'APA Style', 'match_text', match_text, 'page_number', 1, 'doc_uid', page_id, 'timestamp', '2024-01-15') AS VARCHAR)"),
     "export_bibtex": _export_sql("""'@misc{ref' || number || ',' || chr(10) || '  title={' || substr(match_text, 1, 50) || CASE WHEN length(match_text) > 50 THEN '...' ELSE '' END || '},' || chr(10)
         || '  note={' || citation || '},' || chr(10) || '  year={2024}' || chr(10) || '}'"""),
     "cache_lookup_ttl": f"{_LOOKED} SELECT id, store, key, hit FROM looked",

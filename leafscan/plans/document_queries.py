@@ -9,11 +9,11 @@ from leafscan.functions import similarity
 from leafscan.functions.tokens import split_words, without_markers
 from leafscan.operators import boxes, geometry, highlight, match
 from leafscan.sources import hocr
-from leafscan.sources.tables import marker_text, pages_of_texts, table, word_boxes
+from leafscan.sources.tables import marker_text, pages_of_texts, spread, table, word_boxes
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages_of_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pages_of_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small input has fewer partitions than there are cores; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pages_of_texts(texts: DataFrame, page_id: str, text: str) -> DataFrame:
     """page_id, ws (array of words) from any table of texts."""
     return texts.select(F.col(page_id).alias("page_id"), F.coalesce(split_words(F.col(text)), F.expr("cast(array() as array<string>)")).alias("ws"))

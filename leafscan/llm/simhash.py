@@ -128,16 +128,17 @@ def _grouped(radius: int, prefix: int, bits: int, chains: bool):
     low = [np.array(masks(bits - prefix, half - d), np.uint64) for d in range(half + 1)]
 
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        space, _, salt, salts = key
+        space, bucket, salt, salts = key
         rows = rows.sort_values("fp", kind="stable")
-        fps, away = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["away"].to_numpy()
-        target = rows["shift"].to_numpy(np.int64).view(np.uint64)
+        fps = rows["fp"].to_numpy(np.int64).view(np.uint64)
+        away = np.bitwise_count((fps >> np.uint64(bits - prefix)) ^ np.uint64(bucket))
+        moved_to = np.uint64(bucket << (bits - prefix)) | fps & np.uint64((1 << (bits - prefix)) - 1)
         values, owners = [], []
         for d in range(half + 1):
             own = np.flatnonzero(away == d)
             for at in range(0, len(own), 1024):
                 some = own[at : at + 1024]
-                made = ((fps[some] ^ target[some])[:, None] ^ low[d][None, :]).ravel()
+                made = (moved_to[some][:, None] ^ low[d][None, :]).ravel()
                 of = np.repeat(some.astype(np.int32), len(low[d]))
                 if salts > 1:
                     mine = _slot(made, 40) % np.uint64(salts) == salt
@@ -166,24 +167,20 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, bits: int = BITS, chains
     """
     half = radius // 2
     prefix = min(24, max(6, math.ceil(math.log2(max(n, 1) / PREFIX_FINGERPRINTS))))
-    moves = [(bin(m).count("1"), m << (bits - prefix)) for m in masks(prefix, half)]
-    moves = [(away, shift - (1 << 64) if shift >> 63 else shift) for away, shift in moves]
+    shifts = [m << (bits - prefix) for m in masks(prefix, half)]
+    shifts = F.array(*[F.lit(s - (1 << 64) if s >> 63 else s).cast("long") for s in shifts])
+    begins = lambda value: F.shiftrightunsigned(value, bits - prefix).cast("int")
+    sent = fps.select("space", "fp", F.explode(shifts).alias("shift"))
+    sent = sent.select("space", begins(F.col("fp").bitwiseXOR(F.col("shift"))).alias("bucket"), "fp")
     cost = [sum(math.comb(bits - prefix, k) for k in range(half - d + 1)) for d in range(half + 1)]
-    steps = F.array(*[F.struct(F.lit(a).alias("away"), F.lit(s).cast("long").alias("shift")) for a, s in moves])
-    sent = fps.select("space", "fp", F.explode(steps).alias("step")).select(
-        "space",
-        F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("step.shift")), bits - prefix).cast("int").alias("bucket"),
-        "fp",
-        F.col("step.away").alias("away"),
-        F.col("step.shift").alias("shift"),
-    )
-    load = F.sum(F.element_at(F.array(*[F.lit(c) for c in cost]), F.col("away") + 1))
-    full = sent.groupBy("space", "bucket").agg(F.ceil(load / GROUP_VARIANTS).cast("int").alias("salts")).where("salts > 1")
-    salted = (
-        sent.join(full, ["space", "bucket"], "left")
-        .withColumn("salts", F.coalesce("salts", F.lit(1)))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    )
+    away = F.bit_count(F.col("bucket").bitwiseXOR(begins(F.col("fp"))))
+    load = F.sum(F.element_at(F.array(*[F.lit(c) for c in cost]), away + 1))
+    full = cut(sent.groupBy("space", "bucket").agg(F.ceil(load / GROUP_VARIANTS).cast("int").alias("salts")).where("salts > 1"))
+    if full.isEmpty():  # the usual case needs no join, so the rows are dealt out once
+        salted = sent.select("*", F.lit(0).alias("salt"), F.lit(1).alias("salts"))
+    else:
+        known = sent.join(full, ["space", "bucket"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     grouped = salted.groupBy("space", "bucket", "salt", "salts")
     return grouped.applyInPandas(_grouped(radius, prefix, bits, chains), "space int, u long, v long")
 

@@ -119,11 +119,8 @@ def meetings(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.nda
     return codes >> 32, codes & 0xFFFFFFFF
 
 
-def _grouped(radius: int, prefix: int, bits: int, chains: bool):
-    """The function of one group: fingerprints sent to a prefix -> (space, fp, root) of those that meet another.
-
-    With ``chains`` also each of them with the next of its local component.
-    """
+def _grouped(radius: int, prefix: int, bits: int):
+    """The function of one group: fingerprints sent to a prefix -> (space, fp, root) of those that meet another."""
     half = radius // 2
     low = [np.array(masks(bits - prefix, half - d), np.uint64) for d in range(half + 1)]
 
@@ -151,16 +148,12 @@ def _grouped(radius: int, prefix: int, bits: int, chains: bool):
         moved = np.flatnonzero(root != np.arange(len(fps)))
         signed = fps.view(np.int64)
         u, v = signed[moved], signed[root[moved]]
-        if chains:
-            order = np.argsort(root, kind="stable")
-            same = root[order[1:]] == root[order[:-1]]
-            u, v = np.append(u, signed[order[1:][same]]), np.append(v, signed[order[:-1][same]])
         return pd.DataFrame({"space": np.full(len(u), space, np.int32), "u": u, "v": v})
 
     return group
 
 
-def links(fps: DataFrame, n: int, radius: int = RADIUS, bits: int = BITS, chains: bool = False) -> DataFrame:
+def links(fps: DataFrame, n: int, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
     """Links (space, u, v) that connect all distinct fingerprints of a space at ``radius`` or fewer bits.
 
     ``fps``: space (int; fingerprints of different spaces never meet), fp; about ``n`` rows in each space.
@@ -182,7 +175,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, bits: int = BITS, chains
         known = sent.join(full, ["space", "bucket"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
         salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     grouped = salted.groupBy("space", "bucket", "salt", "salts")
-    return grouped.applyInPandas(_grouped(radius, prefix, bits, chains), "space int, u long, v long")
+    return grouped.applyInPandas(_grouped(radius, prefix, bits), "space int, u long, v long")
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -222,71 +215,134 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-copies by shingles: fingerprints of each document, of its word pairs, and the shingles that decide.
-SPACES, FEATURE_WORDS = 6, 2
+#: Near-copies: sets of shingles of so many words, alike from this Jaccard similarity on.
 DECIDING_WORDS, SIMILARITY = 5, 0.8
+#: Documents and shingles, at most, from which the order of the shingles is learnt.
+ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
+#: Documents that share a shingle and are paired at once, and of a block where there are more.
+FEW, BLOCK = 64, 256
 
 
-def _several(hashes: np.ndarray, spaces: int) -> list[int]:
-    """Fingerprints of a set of hashes in several spaces, each mixing the hashes in its own way."""
-    out = []
-    for space in range(spaces):
-        mixed = hashes + np.uint64(0x9E3779B97F4A7C15 * (space + 1) % (1 << 64))
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(fingerprint(mixed ^ (mixed >> np.uint64(31))))
-    return out
+def _common_shingles(docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and counts of frequent shingles in a sample of about ``ORDER_DOCS`` of ``n`` documents.
 
+    They only set the order of shingles, so the sample decides what the search costs, not what it finds.
+    """
 
-def without_near_copies(
-    docs: DataFrame, radius: int = RADIUS, spaces: int = SPACES, similarity: float = SIMILARITY, words: int = DECIDING_WORDS
-) -> DataFrame:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.unique(shingle_hashes(text.as_py(), words)) for text in batch.column(0)]
+            found, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["hash", "n"])
+
+    some = docs.select("text") if n <= ORDER_DOCS else docs.select("text").sample(ORDER_DOCS / n, SEED)
+    each = some.mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 2")
+    rows = each.orderBy(F.desc("n"), "hash").limit(ORDER_SHINGLES).toArrow()
+    hashes, counts = rows.column("hash").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _beginning(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, one of which every set similar enough has too, and per mille of frequent ones."""
+    n = len(hashes)
+    if not n:
+        return hashes, 0
+    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+    often = np.where(known[at] == hashes, counts[at], 0) if len(known) else np.zeros(n, np.int64)
+    order = np.lexsort((hashes, often))
+    return hashes[order[: n - math.ceil(similarity * n - 1e-9) + 1]], int(1000 * (often > 0).mean())
+
+
+def _meeting(shared: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (u, v) of nodes of different ``component`` that share a shingle and may be similar enough.
+
+    ``shared``: shingle, held (rows of the shingle), node, at (place of the shingle in the node's order), n (its
+    shingles), component.  Where many nodes share a shingle, pairs of blocks of them are dealt out.
+    """
+    blocks = F.ceil(F.col("held") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    side = lambda name, mine, other: shared.select(
+        "shingle", own.alias(mine), every.alias(other), *[F.col(c).alias(f"{c}_{name}") for c in ("node", "at", "n", "component")]
+    )
+    both = side("u", "i", "j").join(side("v", "j", "i"), ["shingle", "i", "j"])
+    # u has no more shingles than v; the first shingle that both have leaves this many that they can share.
+    ordered = (F.col("n_u") < F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("node_u") < F.col("node_v")))
+    left = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))
+    enough = left >= similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v")) - 1e-6
+    found = both.where(ordered & enough & (F.col("n_u") >= similarity * F.col("n_v") - 1e-6) & (F.col("component_u") != F.col("component_v")))
+    return found.select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")).distinct()
+
+
+def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = DECIDING_WORDS) -> DataFrame:
     """The documents without exact and near copies: of each group the one with the smallest doc_id stays.
 
-    Candidates meet as in ``components``, by fingerprints of their word pairs in several spaces (one space misses some
-    pairs whose similarity is just enough); a candidate pair counts if the Jaccard similarity of its sets of shingles of
-    ``words`` words is at least ``similarity``, worked out exactly.  Rows without a doc_id stay, as nothing names them;
-    of rows that repeat a doc_id one stays.
+    Two texts are near copies if the Jaccard similarity of their sets of shingles of ``words`` words is at least
+    ``similarity``; groups are what chains of them connect.  The search is exact: sets so similar share one of their
+    first shingles in any order common to all, and every pair that does is worked out, unless a chain connects it
+    already.  The order puts rare shingles first, so that frequent ones bring few together.  Rows without a doc_id
+    stay, as nothing names them; of rows that repeat a doc_id one stays.
     """
+    named = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = named.select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+    known, counts = _common_shingles(named, named.count(), words)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_several(np.unique(shingle_hashes(text.as_py(), FEATURE_WORDS)), spaces) for text in batch.column(1)]
-            fps = np.array(found, np.uint64).reshape(-1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, spaces, dtype=np.int32)), pa.array(fps))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["doc_id", "digest", "fps"])
+            sets = [np.unique(shingle_hashes(text.as_py(), words)) for text in batch.column(1)]
+            first = [_beginning(s, known, counts, similarity) for s in sets]
+            columns = [pa.array([s.view(np.int64) for s, _ in first], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32())]
+            columns.append(pa.array([w for _, w in first], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "digest", "begins", "n", "often"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(text.as_py(), words)).view(np.int64) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    named = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # One node for each distinct text: its smallest id.
-    own = named.select("doc_id", "text", F.sha2("text", 256).alias("digest"))
-    prints = own.mapInArrow(hashed, own.select("doc_id", "digest").schema.add("fps", T.ArrayType(T.LongType())))
-    nodes = cut(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")))
-    placed = nodes.select("node", F.posexplode("fps").alias("space", "fp"))
-    each = cut(placed.groupBy("space", "fp").agg(F.min("node").alias("first")))
-    met = links(each.select("space", "fp"), nodes.count(), radius, chains=True).distinct()
-    ends = lambda side: each.select("space", F.col("fp").alias(side), F.col("first").alias(f"node_{side}"))
-    apart = met.join(ends("u"), ["space", "u"]).join(ends("v"), ["space", "v"]).select("node_u", "node_v")
-    alike = placed.join(each, ["space", "fp"]).select(F.col("node").alias("node_u"), F.col("first").alias("node_v"))
-    both = apart.unionByName(alike).where("node_u <> node_v")
-    pairs = cut(both.select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")).distinct())
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = named.join(wanted, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    kind = T.StructType([T.StructField("node", docs.schema["doc_id"].dataType), T.StructField("hashes", T.ArrayType(T.LongType()))])
-    sets = cut(texts.mapInArrow(shingled, kind))
-    sided = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}"))
-    compared = pairs.join(sided("u"), "u").join(sided("v"), "v")
-    common = F.size(F.array_intersect("hashes_u", "hashes_v"))
-    close = common >= F.lit(similarity) * (F.size("hashes_u") + F.size("hashes_v") - common) - 1e-9
-    copies = stars(compared.where(close).select("u", "v"))
-    kept = nodes.select(F.col("node").alias("doc_id")).join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        staying = docs.join(kept, "doc_id", "left_semi")
-    else:
-        staying = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # One node for each distinct text.
+    schema = own.select("doc_id", "digest").schema
+    for name, kind in (("begins", T.ArrayType(T.LongType())), ("n", T.IntegerType()), ("often", T.IntegerType())):
+        schema = schema.add(name, kind)
+    firsts = [F.first(name).alias(name) for name in ("begins", "n", "often")]
+    prints = own.mapInArrow(begun, schema).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *firsts)
+    nodes = cut(prints.withColumn("node", F.monotonically_increasing_id()))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are similar enough."""
+        wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
+        wanted = wanted.select("node", F.col("doc_id").alias("id"), F.col("digest").alias("of"))
+        texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
+        sets = cut(texts.select("node", "text").mapInArrow(shingled, "node long, hashes array<long>").dropDuplicates(["node"]))
+        sided = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}"))
+        compared = pairs.join(sided("u"), "u").join(sided("v"), "v")
+        common = F.size(F.array_intersect("hashes_u", "hashes_v"))
+        enough = common >= F.lit(similarity) * (F.size("hashes_u") + F.size("hashes_v") - common) - 1e-9
+        return cut(compared.where(enough).select("u", "v"))
+
+    begins = nodes.select("node", F.posexplode("begins").alias("at", "shingle"))
+    repeated = begins.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    shared = cut(begins.join(repeated, "shingle").join(nodes.select("node", "n", "often"), "node"))
+    few, many = shared.where(F.col("held") <= FEW), shared.where(F.col("held") > FEW)
+    # Where many meet, first each with the one most made of frequent shingles: an original rather than its edited copies.
+    top = many.groupBy("shingle").agg(F.max(F.struct("often", "node", "n")).alias("top"))
+    small, large = F.least("n", "top.n"), F.greatest("n", "top.n")
+    to_top = many.join(top, "shingle").where((F.col("node") != F.col("top.node")) & (small >= similarity * large - 1e-6))
+    to_top = to_top.select(F.greatest("node", "top.node").alias("u"), F.least("node", "top.node").alias("v"))
+    pairs = cut(_meeting(few.withColumn("component", F.col("node")), similarity).unionByName(to_top).distinct())
+    copies = stars(linked := close(pairs))
+    # Then all of them that no chain connects so far.
+    placed = many.join(copies.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("root", "node"))
+    apart = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
+    rest = cut(_meeting(placed.join(apart, "shingle", "left_semi"), similarity).join(pairs, ["u", "v"], "left_anti"))
+    if not rest.isEmpty():
+        copies = stars(linked.unionByName(close(rest)))
+
+    grouped = nodes.join(copies.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = grouped.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    repeated_ids = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    staying = docs.join(kept, "doc_id", "left_semi")
+    if not repeated_ids.isEmpty():
+        staying = staying.dropDuplicates(["doc_id"])
     return staying.select(docs.columns).unionByName(docs.where("doc_id is null"))

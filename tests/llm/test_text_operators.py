@@ -90,6 +90,40 @@ def test_near_copies_leave_one_of_each_group(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == sorted([(False, k) for k in (10, 11, 12, 13, 14, 19, 21)] + [(True, None)])
 
 
+def surviving(texts):
+    """Places of the texts that stay, by brute force: the first of each group that chains of similar pairs connect."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root = [*range(len(sets))]
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {a for a in range(len(root)) if root[a] == a}
+
+
+def test_near_copies_of_a_large_star(spark):
+    rng = random.Random(7)
+    texts = []
+    for copies in (300, 60, 5):
+        base = [str(rng.randrange(5000)) for _ in range(300)]
+        for _ in range(copies):  # similar to the original, hardly to each other
+            w = [*base]
+            for k in rng.sample(range(5, 295), rng.randrange(5, 12)):
+                w[k] = f"edit{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+        texts.append(" ".join(base))
+    rng.shuffle(texts)
+    kept = simhash.without_near_copies(docs(spark, texts))
+    assert {r["doc_id"] for r in kept.collect()} == surviving(texts)
+
+
 def test_empty_tables(spark):
     none = docs(spark, ["x"]).where("doc_id < 0")
     assert simhash.near_duplicates(none).count() == 0

@@ -124,6 +124,23 @@ def test_near_copies_of_a_large_star(spark):
     assert {r["doc_id"] for r in kept.collect()} == surviving(texts)
 
 
+def test_near_copies_by_whole_blocks(spark):
+    rng = random.Random(8)
+    edits = [
+        lambda w, some, at: w + some,
+        lambda w, some, at: some + w,
+        lambda w, some, at: w[:at] + some + w[at + len(some) :],
+        lambda w, some, at: w[:at] + w[at + len(some) :],
+        lambda w, some, at: w[:at] + w[at + len(some) :] + w[at : at + len(some)],
+    ]
+    texts = []
+    for n, share, edit in [(n, share, edit) for n in (200, 1000) for share in (0.05, 0.09, 0.15, 0.2) for edit in edits] * 3:
+        base, some = ([str(rng.randrange(5000)) for _ in range(m)] for m in (n, int(n * share)))
+        texts += [" ".join(base), " ".join(edit(base, some, rng.randrange(n - len(some))))]
+    kept = simhash.without_near_copies(docs(spark, texts))
+    assert {r["doc_id"] for r in kept.collect()} == surviving(texts)
+
+
 def test_empty_tables(spark):
     none = docs(spark, ["x"]).where("doc_id < 0")
     assert simhash.near_duplicates(none).count() == 0

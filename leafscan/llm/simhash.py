@@ -281,12 +281,13 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words:
     Two texts are near copies if the Jaccard similarity of their sets of shingles of ``words`` words is at least
     ``similarity``; groups are what chains of them connect.  The search is exact: sets so similar share one of their
     first shingles in any order common to all, and every pair that does is worked out, unless a chain connects it
-    already.  The order puts rare shingles first, so that frequent ones bring few together.  Rows without a doc_id
-    stay, as nothing names them; of rows that repeat a doc_id one stays.
+    already.  The order puts rare shingles first, so that frequent ones bring few together.  Texts count, not
+    ids: rows without a doc_id come after all others, texts that share a doc_id by their digests, and of rows that
+    repeat both one stays.
     """
-    named = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = named.select("doc_id", "text", F.sha2("text", 256).alias("digest"))
-    known, counts = _common_shingles(named, named.count(), words)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("digest"))
+    known, counts = _common_shingles(own, own.count(), words)
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,9 +341,10 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words:
         copies = stars(linked.unionByName(close(rest)))
 
     grouped = nodes.join(copies.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = grouped.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    repeated_ids = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    staying = docs.join(kept, "doc_id", "left_semi")
-    if not repeated_ids.isEmpty():
-        staying = staying.dropDuplicates(["doc_id"])
-    return staying.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
+    kept = grouped.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.sha2(text, 256).alias("digest"))
+    staying = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    if not own.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        staying = staying.dropDuplicates(["id", "digest"])
+    return staying.select("row.*")

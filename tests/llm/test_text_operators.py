@@ -141,6 +141,16 @@ def test_near_copies_by_whole_blocks(spark):
     assert {r["doc_id"] for r in kept.collect()} == surviving(texts)
 
 
+def test_near_copies_with_shared_and_missing_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = ([str(rng.randrange(900)) for _ in range(100)] for _ in range(4))
+    edited = lambda w: " ".join([*w[:50], "new", *w[51:]])
+    a, b, c, d, a2, c2 = *map(" ".join, (a, b, c, d)), edited(a), edited(c)
+    kept = simhash.without_near_copies(docs(spark, [a, b, a2, c, c, c2, d, a, d], [1, 1, 2, None, None, None, 3, None, 3]))
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(rows) == 4 and {*rows} in ({(1, a), (1, b), (3, d), (None, c)}, {(1, a), (1, b), (3, d), (None, c2)})
+
+
 def test_empty_tables(spark):
     none = docs(spark, ["x"]).where("doc_id < 0")
     assert simhash.near_duplicates(none).count() == 0

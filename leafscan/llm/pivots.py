@@ -10,8 +10,8 @@ rows, in blocks) and streams past the part's pivot table in batches, so a task h
 are merged by a window over the query, k rows from each part.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows without an id, take no part;
-shorter vectors count as padded with zeros; of rows with one id the one with the smallest vector counts; a
-query's own row is no candidate of it; fewer than k candidates: all of them; components are taken as 64-bit
+shorter vectors count as padded with zeros; rows that share an id all count, as candidates and as queries, whose
+results are ranked together, but repeats of the same id and vector count once; rows with a query's own id are no candidates of it; fewer than k candidates: all of them; components are taken as 64-bit
 integers and sums must fit them too (beyond 2^53 Python integers are used).
 """
 
@@ -150,14 +150,14 @@ def _search(pivots: np.ndarray, k: int):
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, n_pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score from ``vectors`` (vec_id, v: array of long)."""
-    own = cut(vectors.where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v")))
+    own = cut(vectors.where("vec_id is not null and v is not null").select("vec_id", "v").distinct())
     n = own.count()
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     parts = max(1, -(-n // PART_ROWS), min(-(-n // LEAST_ROWS), 2 * cores))
-    chosen = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()
+    chosen = own.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(n_pivots).collect()
     width = max((len(r["v"]) for r in chosen), default=0)
     pivots = np.array([[*r["v"], *[0] * (width - len(r["v"]))] for r in chosen], np.int64).reshape(len(chosen), width)
-    candidates = own.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("query"), "vec_id", "v")
+    candidates = own.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("query"), "vec_id", "v")
     queries = own.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("query"), "vec_id", "v")
     dealt = candidates.unionByName(queries).repartition(parts, "part").sortWithinPartitions("part", "query", "vec_id")
     best = dealt.mapInArrow(_search(pivots, k), "query_id long, vec_id long, score long")

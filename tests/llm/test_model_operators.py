@@ -30,6 +30,18 @@ def test_top_k_equals_brute_force(spark):
     assert pivots.top_k(usable.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_top_k_keeps_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [int(x) for x in rng.integers(-9, 9, 4)]) for i in [*range(40), *[7] * 6, *[9] * 6, *[0] * 2]]
+    found = pivots.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0).collect()
+    want = set()
+    for query in (0, 20):
+        scores = [(-sum(map(int.__mul__, q, v)), i) for n, q in rows if n == query for i, v in rows if i != query]
+        want |= {(query, k + 1, i, -score) for k, (score, i) in enumerate(sorted(scores)[:5])}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found} == want and len(found) == 10
+
+
+
 def test_url_rules_and_model(spark):
     urls = [None, "", "no scheme", "http://NET/a", "https://a.b.Example.NET/en/x?q", "https://badexample.net/en/x", "http://example.net/de", "http://x.example.com/de/1", "http://example.com/DE/1", "http://a.org/fr/#t", "http://a.org/frx", "ftp://q.org?x=/fr/"]
     rng = random.Random(2)

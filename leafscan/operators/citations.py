@@ -78,9 +78,11 @@ def bibliography(cited: DataFrame) -> DataFrame:
 
     ``cited``: section, page, citation.  Sections come in the order of their first page, a title and its underline
     before each; lines by page, then citation (binary order).  Rows stay lines: no section is gathered in one place.
+    Citations without a section form one of their own, whose title and underline are null.
     """
     first = cited.groupBy("section").agg(F.min("page").alias("first"))
-    lines = cited.join(first, "section").select("first", "section", F.lit(2).alias("kind"), "page", F.col("citation").alias("line"))
+    named = first.select(F.col("section").alias("title"), "first")
+    lines = cited.join(named, F.col("section").eqNullSafe(F.col("title"))).select("first", "section", F.lit(2).alias("kind"), "page", F.col("citation").alias("line"))
     titles = first.select("first", "section", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page"), F.col("section").alias("line"))
     rules = first.select("first", "section", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("page"), F.repeat(F.lit("="), F.length("section")).alias("line"))
     order = [F.col(c) for c in ("first", "section", "kind", "page", "line")]

@@ -28,6 +28,12 @@ def test_bibliography(spark):
     assert [r["line"] for r in rows] == ["b", "=", "c", "z", "a", "=", "y"]
 
 
+def test_bibliography_keeps_lines_without_a_section(spark):
+    cited = spark.createDataFrame([(None, 4, "w"), ("b", 2, "c"), (None, 3, "v")], "section string, page long, citation string")
+    rows = citations.bibliography(cited).orderBy("line_no").collect()
+    assert [(r["section"], r["line"]) for r in rows] == [("b", "b"), ("b", "="), ("b", "c"), (None, None), (None, None), (None, "v"), (None, "w")]
+
+
 def test_global_rank(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(5)
     assert globally_ranked(rows, F.col("v")).where("rank <> v + 1").count() == 0

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import importlib
 import os
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,17 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests, local runs), a temporary folder is set, once.
-    """
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where none is named the warehouse's."""
     context = spark.sparkContext
-    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-shared-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    named = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
-    return spark.conf.get("spark.checkpoint.dir", None) or named
+    return named
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -48,3 +49,41 @@ def vocabulary(name: str) -> str:
 def single_threaded() -> None:
     """Keep native libraries to the one core that Spark gave the task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Runs of texts of about so many bytes; a longer text makes a run of its own."""
+    so_far = np.concatenate([[0], pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64).cumsum()])
+    at = 0
+    while at < len(texts):
+        until = max(at + 1, int(np.searchsorted(so_far, so_far[at] + size, side="right")) - 1)
+        yield texts.slice(at, until - at)
+        at = until
+
+
+def by_text(docs: DataFrame, keep: tuple[str, ...], judge: Callable[[], Callable[[pa.Array], list[pa.Array]]], made: str) -> tuple[DataFrame, list[Column]]:
+    """Rows of ``docs`` with what a function of their texts gives, in columns of their own names, and the kept columns.
+
+    ``judge()`` is called once a task and gives a function from a run of texts (about a megabyte) to the columns
+    that ``made`` describes.  The text travels once, also where it is kept; no kept name can clash with another.
+    """
+    own = {"text": F.col("text").cast("string")}
+    kept = []
+    for k, name in enumerate(keep):
+        once = name == "text" and isinstance(docs.schema[name].dataType, T.StringType)
+        kept.append(F.col("text" if once else f"kept_{k}").alias(name))
+        if not once:
+            own[f"kept_{k}"] = F.col(f"`{name}`")
+    carried = docs.select(*[c.alias(n) for n, c in own.items()])
+    schema = T.StructType([*carried.schema.fields, *T.StructType.fromDDL(made).fields])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judged = judge()
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column(0), 1 << 20):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, *judged(texts)], names=schema.names)
+
+    return carried.mapInArrow(rows, schema), kept

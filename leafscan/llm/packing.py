@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import cut, vocabulary
-from leafscan.llm.wordbpe import encoder
+from leafscan.llm.common import cut, slices, vocabulary
+from leafscan.llm.wordbpe import SLICE_BYTES, encoder
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
@@ -42,24 +42,29 @@ def tokenised_pieces(
 ) -> DataFrame:
     """One row for each piece: doc_id, piece (from 0), start, length, ids (little-endian unsigned 32-bit)."""
     path = path or vocabulary("word_bpe_49k.json")
-    end, step = np.uint32(end_id).astype("<u4").tobytes(), 4 * limit
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = own.encode(text) + end
-                    rows += [
-                        (doc, k, k * limit, len(some) // 4, some)
-                        for k in range(-(-len(ids) // step))
-                        for some in (ids[k * step : (k + 1) * step],)
-                    ]
+            at = 0
+            for texts in slices(batch.column(1), SLICE_BYTES):
+                ids, sizes = own.encode(texts, end_id)
+                count = -(-sizes // limit)
+                of = np.repeat(np.arange(len(sizes)), count)
+                piece = np.arange(len(of)) - np.repeat(count.cumsum() - count, count)
+                length = np.minimum(limit, sizes[of] - piece * limit)
+                ends = np.concatenate([[0], 4 * length.cumsum()]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES
+                    [
+                        batch.column(0).slice(at, len(texts)).take(pa.array(of)),
+                        pa.array(piece.astype(np.int32)),
+                        pa.array(piece * limit),
+                        pa.array(length),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(ends), pa.py_buffer(ids)]),
+                    ],
+                    schema=PIECES,
                 )
+                at += len(texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         pieces, "doc_id long, piece int, start long, length long, ids binary"

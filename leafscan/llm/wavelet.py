@@ -1,9 +1,9 @@
 """Token ids on disk: one wavelet matrix per shard, in a compressed file that answers queries.
 
 A shard holds the ids of consecutive documents.  Its file keeps, from the highest bit of the ids to the lowest,
-one plane of bits; each plane orders the ids stably by the bits above it.  With the zeros of a plane and a
-directory of running counts every 512 bits, ``access`` (the id at a position), ``rank`` (how often an id occurs
-before a position) and ``select`` (where its k-th occurrence is) take one step a plane and no decompressed text.
+one plane of bits; each plane orders the ids stably by the bits above it.  With the zeros of a plane and its
+directory of running counts, which the file holds too, ``access`` (the id at a position), ``rank`` (how often an id occurs
+before a position) and ``select`` (where its k-th occurrence is) take one step a plane and unpack one chunk of each.
 
 ``write`` orders documents by id over the cluster (range partitions, ties by the text's hash), encodes each in
 its task and lets Spark's writer store one file for each shard; ``read_documents`` decodes shards from those
@@ -24,75 +24,90 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import shared_path, vocabulary
-from leafscan.llm.wordbpe import encoder
+from leafscan.llm.common import shared_path, slices, vocabulary
+from leafscan.llm.wordbpe import SLICE_BYTES, encoder
 
 END_ID = 2
 #: A shard closes with the document that brings it to this many ids.
 SHARD_TOKENS = 1 << 21
-#: Bits between two entries of a plane's directory.
-BLOCK_BITS = 512
-_HEAD = struct.Struct("<4sQQB")
-_MAGIC = b"WVM1"
+#: Bytes of a plane between two entries of its directory, and of a chunk that is compressed on its own.
+BLOCK_BYTES, CHUNK_BYTES = 128, 1 << 15
+_HEAD = struct.Struct("<4sQB")
+_MAGIC = b"WVM2"
 
 
 class WaveletMatrix:
-    """Succinct bit-planes of a sequence of unsigned integers."""
+    """Succinct bit-planes of a sequence of unsigned integers.
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros, self.width = n, planes, zeros, len(planes)
-        self.directory = [self._counts(plane) for plane in planes]
+    A plane is kept in chunks, compressed one by one; a question unpacks only the chunks that it looks into.
+    """
 
-    @staticmethod
-    def _counts(plane: np.ndarray) -> np.ndarray:
-        """Ones before every block of the plane."""
-        blocks = np.pad(plane, (0, -len(plane) % (BLOCK_BITS // 8))).view("<u8").reshape(-1, BLOCK_BITS // 64)
-        return np.concatenate([[0], np.bitwise_count(blocks).sum(axis=1, dtype=np.int64).cumsum()])
+    def __init__(self, n: int, zeros: list[int], directory: np.ndarray, packed: list[list[bytes]]):
+        self.n, self.zeros, self.width = n, zeros, len(zeros)
+        #: Ones of each plane before each of its blocks, and at last all of them.
+        self.directory = directory
+        self.packed = packed
+        self.unpacked: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
         width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         ids = ids.astype("<u2" if width <= 16 else "<u4")
-        planes, zeros = [], []
+        zeros, counts, packed = [], [], []
+        compress = zstandard.ZstdCompressor(level=1).compress
         for bit in range(width - 1, -1, -1):
-            ones = (ids >> bit & 1).view(np.uint8)[:: ids.itemsize].astype(bool)
-            planes.append(np.packbits(ones, bitorder="little"))
-            low = ids[~ones]
+            ones = (ids & ids.dtype.type(1 << bit)) != 0
+            plane = np.packbits(ones, bitorder="little")
+            blocks = np.pad(plane, (0, -len(plane) % BLOCK_BYTES)).view("<u8").reshape(-1, BLOCK_BYTES // 8)
+            counts.append(np.concatenate([[0], np.bitwise_count(blocks).sum(axis=1, dtype=np.uint32).cumsum()]))
+            packed.append([compress(plane[at : at + CHUNK_BYTES]) for at in range(0, len(plane), CHUNK_BYTES)])
+            low = ids.take(np.flatnonzero(~ones))
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[ones]])
-        return cls(len(ids), planes, zeros)
+            ids = np.concatenate([low, ids.take(np.flatnonzero(ones))])
+        return cls(len(ids), zeros, np.array(counts, "<u4"), packed)
+
+    def _chunk(self, level: int, number: int) -> np.ndarray:
+        key = level, number
+        if key not in self.unpacked:
+            self.unpacked[key] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed[level][number]), np.uint8)
+        return self.unpacked[key]
+
+    def _bytes(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Bytes of a plane at some places; zero beyond its end."""
+        out, chunk = np.zeros(at.shape, np.uint8), at // CHUNK_BYTES
+        for number in np.unique(chunk):
+            if number < len(self.packed[level]):
+                data, here = self._chunk(level, int(number)), chunk == number
+                within = at[here] - number * CHUNK_BYTES
+                out[here] = np.where(within < len(data), data[np.minimum(within, len(data) - 1)], 0)
+        return out
 
     def ids(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
         kind = np.uint16 if self.width <= 16 else np.uint32
-        out = np.zeros(self.n, kind)
+        out, unpack = np.zeros(self.n, kind), zstandard.ZstdDecompressor().decompress
         for level in range(self.width - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            plane = np.frombuffer(b"".join(map(unpack, self.packed[level])), np.uint8)
+            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             above, zeros = np.empty(self.n, kind), self.zeros[level]
-            above[~ones] = out[:zeros]
-            above[ones] = out[zeros:] | kind(1 << (self.width - 1 - level))
+            above[np.flatnonzero(~ones)] = out[:zeros]
+            above[np.flatnonzero(ones)] = out[zeros:] | kind(1 << (self.width - 1 - level))
             out = above
         return out
 
     def _ones_before(self, level: int, at: np.ndarray) -> np.ndarray:
-        block = at // BLOCK_BITS
-        count = self.directory[level][block]
-        plane = self.planes[level]
-        for step in range(BLOCK_BITS // 8):
-            byte = block * (BLOCK_BITS // 8) + step
-            held = np.clip(at - 8 * byte, 0, 8)
-            value = np.where(held > 0, plane[np.minimum(byte, len(plane) - 1)], 0) if len(plane) else np.zeros_like(at)
-            count = count + np.bitwise_count((value & ((1 << held) - 1)).astype(np.uint8))
-        return count
-
-    def _bit(self, level: int, at: np.ndarray) -> np.ndarray:
-        return self.planes[level][at >> 3] >> (at & 7) & 1
+        block = at // (8 * BLOCK_BYTES)
+        byte = block[..., None] * BLOCK_BYTES + np.arange(BLOCK_BYTES)
+        held = np.clip(at[..., None] - 8 * byte, 0, 8)
+        part = np.zeros(byte.shape, np.uint8)
+        part[held > 0] = self._bytes(level, byte[held > 0])
+        return self.directory[level][block].astype(np.int64) + np.bitwise_count(part & ((1 << held) - 1).astype(np.uint8)).sum(axis=-1, dtype=np.int64)
 
     def access(self, positions) -> np.ndarray:
         at = np.asarray(positions, np.int64)
         out = np.zeros(at.shape, np.int64)
         for level in range(self.width):
-            bit, ones = self._bit(level, at), self._ones_before(level, at)
+            bit, ones = self._bytes(level, at >> 3) >> (at & 7).astype(np.uint8) & 1, self._ones_before(level, at)
             out = out << 1 | bit
             at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
         return out
@@ -114,12 +129,11 @@ class WaveletMatrix:
 
     def _select_bit(self, level: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) bit of this kind in a plane."""
-        ones = self.directory[level]
-        counts = ones if bit else np.arange(len(ones)) * BLOCK_BITS - ones
+        ones = self.directory[level].astype(np.int64)
+        counts = ones if bit else np.arange(len(ones)) * 8 * BLOCK_BYTES - ones
         block = int(np.searchsorted(counts, k, side="right")) - 1
-        part = self.planes[level][block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8]
-        bits = np.unpackbits(part, bitorder="little")
-        return block * BLOCK_BITS + int(np.flatnonzero(bits == bit)[k - int(counts[block])])
+        bits = np.unpackbits(self._bytes(level, block * BLOCK_BYTES + np.arange(BLOCK_BYTES)), bitorder="little")
+        return block * 8 * BLOCK_BYTES + int(np.flatnonzero(bits == bit)[k - int(counts[block])])
 
     def select(self, value: int, k: int) -> int:
         """Position of the k-th occurrence (from 0) of ``value``; -1 where there are fewer."""
@@ -139,22 +153,27 @@ class WaveletMatrix:
         return [self.select(value, k) for k in range(self.rank(value))]
 
     def to_bytes(self) -> bytes:
-        body = b"".join(p.tobytes() for p in self.planes)
-        zeros = np.asarray(self.zeros, "<u8").tobytes()
-        packed = zstandard.ZstdCompressor(level=1).compress(body)
-        return _HEAD.pack(_MAGIC, self.n, len(packed), self.width) + zeros + packed
+        chunks = [c for plane in self.packed for c in plane]
+        sizes = np.array([len(c) for c in chunks], "<u4").tobytes()
+        return b"".join([_HEAD.pack(_MAGIC, self.n, self.width), np.array(self.zeros, "<u8").tobytes(), self.directory.tobytes(), sizes, *chunks])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> tuple[WaveletMatrix, int]:
-        """The matrix, and where in ``data`` it ends."""
-        magic, n, size, width = _HEAD.unpack_from(data)
+        """The matrix, and where in ``data`` it ends; no chunk is unpacked."""
+        magic, n, width = _HEAD.unpack_from(data)
         if magic != _MAGIC:
             raise ValueError("not a wavelet shard")
-        zeros = np.frombuffer(data, "<u8", width, _HEAD.size)
-        at = _HEAD.size + 8 * width
-        body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size]), np.uint8)
-        per = -(-n // 8)
-        return cls(n, [body[k * per : (k + 1) * per] for k in range(width)], zeros.astype(int).tolist()), at + size
+        plane = -(-n // 8)
+        blocks, chunks = -(-plane // BLOCK_BYTES) + 1, -(-plane // CHUNK_BYTES)
+        at = _HEAD.size
+        zeros = np.frombuffer(data, "<u8", width, at).astype(int).tolist()
+        at += 8 * width
+        directory = np.frombuffer(data, "<u4", width * blocks, at).reshape(width, blocks)
+        at += 4 * width * blocks
+        sizes = np.frombuffer(data, "<u4", width * chunks, at).astype(np.int64)
+        ends = at + 4 * width * chunks + np.concatenate([[0], sizes.cumsum()])
+        packed = [[data[ends[k] : ends[k + 1]] for k in range(level * chunks, (level + 1) * chunks)] for level in range(width)]
+        return cls(n, zeros, directory, packed), int(ends[-1])
 
 
 class Shard:
@@ -164,14 +183,9 @@ class Shard:
         self.matrix, self.doc_ids, self.known, self.lengths = matrix, doc_ids, known, lengths
 
     @classmethod
-    def of(cls, doc_ids: list[int | None], tokens: list[bytes]) -> Shard:
-        ids = np.frombuffer(b"".join(tokens), "<u4")
-        return cls(
-            WaveletMatrix.of(ids),
-            np.array([d or 0 for d in doc_ids], "<i8"),
-            np.array([d is not None for d in doc_ids], np.uint8),
-            np.array([len(t) // 4 for t in tokens], "<u8"),
-        )
+    def of(cls, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> Shard:
+        known = doc_ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+        return cls(WaveletMatrix.of(ids), doc_ids.fill_null(0).to_numpy().astype("<i8"), known, lengths.astype("<u8"))
 
     def to_bytes(self) -> bytes:
         table = self.doc_ids.tobytes() + self.known.tobytes() + self.lengths.tobytes()
@@ -194,30 +208,37 @@ def write(
     n_ids, payload (a ``Shard``).
     """
     path = path or vocabulary("word_bpe_49k.json")
-    end = np.uint32(end_id).astype("<u4").tobytes()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(path), TaskContext.get().partitionId()
-        ids: list[int | None] = []
-        tokens: list[bytes] = []
-        start = held = 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        start = 0
 
         def closed() -> pa.RecordBatch:
-            row = [[part], [start], [held], [Shard.of(ids, tokens).to_bytes()]]
+            ids, lengths = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            data = Shard.of(pa.concat_arrays([h[0] for h in held]), ids, lengths).to_bytes()
             return pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                [pa.array(v, t) for v, t in zip(([part], [start], [len(ids)], [data]), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                 names=["part", "start", "n_ids", "payload"],
             )
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids.append(doc.as_py())
-                tokens.append(own.encode(text.as_py()) + end)
-                held += len(tokens[-1]) // 4
-                if held >= shard_tokens:
-                    yield closed()
-                    start, held, ids, tokens = start + held, 0, [], []
-        if ids:
+            at = 0
+            for texts in slices(batch.column(1), SLICE_BYTES):
+                docs_of, (ids, sizes) = batch.column(0).slice(at, len(texts)), own.encode(texts, end_id)
+                at, first, ends = at + len(texts), 0, sizes.cumsum()
+                while first < len(sizes):
+                    before = ends[first] - sizes[first]
+                    room = shard_tokens - sum(len(h[1]) for h in held)
+                    last = min(len(sizes), int(np.searchsorted(ends, before + room)) + 1)
+                    held.append((docs_of.slice(first, last - first), ids[before : ends[last - 1]].copy(), sizes[first:last].copy()))
+                    if ends[last - 1] - before >= room:
+                        done = closed()
+                        yield done
+                        start += done.column(2)[0].as_py()
+                        held.clear()
+                    first = last
+        if held:
             yield closed()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -235,15 +256,16 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for part, start, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 shard = Shard.from_bytes(data.as_py())
-                ids = shard.matrix.ids().astype("<u4").tobytes()
+                ids = shard.matrix.ids().astype("<u4")
                 ends = shard.lengths.astype(np.int64).cumsum()
                 begins = ends - shard.lengths.astype(np.int64)
+                offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(ends), part.as_py(), np.int32)),
                         pa.array(shard.doc_ids, mask=shard.known == 0),
                         pa.array(begins + start.as_py()),
-                        pa.array([ids[4 * a : 4 * b] for a, b in zip(begins, ends, strict=True)], pa.binary()),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]),
                     ],
                     names=["part", "doc_id", "within", "ids"],
                 )

@@ -205,6 +205,33 @@ def test_wavelet_matrix_answers():
             assert matrix.rank(value, n // 2) == sum(p < n // 2 for p in places)
 
 
+def test_point_lookups_unpack_single_chunks():
+    ids = np.random.default_rng(4).integers(0, 49408, 1_200_000).astype("<u4")
+    data = wavelet.WaveletMatrix.of(ids).to_bytes()
+    matrix, end = wavelet.WaveletMatrix.from_bytes(data + b"more")
+    chunks = sum(map(len, matrix.packed))
+    assert end == len(data) and chunks == 16 * 5 and not matrix.unpacked
+    assert matrix.access([777_777])[0] == ids[777_777] and len(matrix.unpacked) <= 2 * 16
+    matrix.unpacked.clear()
+    assert matrix.rank(int(ids[5]), 600_000) == (ids[:600_000] == ids[5]).sum() and len(matrix.unpacked) <= 2 * 16
+    assert matrix.select(int(ids[5]), 0) == np.flatnonzero(ids == ids[5])[0]
+
+
+def test_word_memo_forgets_and_gives_the_library_s_ids():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from leafscan.llm.wordbpe import WordEncoder
+
+    path = vocabulary("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), WordEncoder(path, slots=64)
+    texts = [*odd_texts(), "<|endoftext|> X", "<|ENDOFTEXT|>hi", "don't We'LL It'S \"'tis l'été", "É ẞ ß ǅ ŉ İstanbul ﬁ ſ K Å", "Σας ΣΑΣ", "½ ²3 x² ٣ Ⅳ", "..,'s 's' a's 'S x'Ll"]
+    texts += ["\x00\x01b \x7f", "×÷ a×b ª1º µ", "éa É a\u0301 \xa0b\x85c", "a" * 3000 + " " + "é" * 3000]
+    for _ in range(2):
+        ids, sizes = own.encode(pa.array(texts), 7)
+        assert [part.tolist() for part in np.split(ids, sizes.cumsum()[:-1])] == [[*library.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+
+
 def test_shards_give_every_document_back(spark, tmp_path):
     texts, ids = [*odd_texts(), "again", "again"], None
     ids = [5 * k % 23 for k in range(len(texts) - 2)] + [100, 100]

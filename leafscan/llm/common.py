@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import os
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,10 +36,30 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
+#: Bytes of files, and of rows, that one partition of a result or a checkpoint holds, about, beyond two of each core.
+FILE_BYTES = 1 << 26
+
+
+def _merged(df: DataFrame, size: int) -> DataFrame:
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
+
+
+def cut(df: DataFrame, size: int | None = None) -> DataFrame:
+    """The same rows with their lineage cut by a reliable checkpoint in the shared folder.
+
+    With ``size`` (bytes, about) partitions are merged first, so that a small table is not kept in hundreds of files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if size is None else _merged(df, size)).checkpoint()
+
+
+def merged_like(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows made of ``docs`` in as many partitions as the size of its files asks for, two of each core at least.
+
+    Tables that are no files, whose size Spark doesn't know, keep their partitions.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return _merged(df, size) if size < 1 << 60 else df
 
 
 def vocabulary(name: str) -> str:
@@ -61,6 +82,14 @@ def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
         at = until
 
 
+def fresh_worker() -> None:
+    """Drop what tasks of another operator may have left in this Python worker, which Spark uses again."""
+    for name, clear in (("wordbpe", "release"), ("bytebpe", "release")):
+        if module := sys.modules.get(f"leafscan.llm.{name}"):
+            getattr(module, clear)()
+    pa.default_memory_pool().release_unused()
+
+
 def by_text(docs: DataFrame, keep: tuple[str, ...], judge: Callable[[], Callable[[pa.Array], list[pa.Array]]], made: str) -> tuple[DataFrame, list[Column]]:
     """Rows of ``docs`` with what a function of their texts gives, in columns of their own names, and the kept columns.
 
@@ -78,6 +107,7 @@ def by_text(docs: DataFrame, keep: tuple[str, ...], judge: Callable[[], Callable
     schema = T.StructType([*carried.schema.fields, *T.StructType.fromDDL(made).fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         judged = judge()
         for batch in batches:
             at = 0

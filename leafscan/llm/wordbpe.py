@@ -174,3 +174,8 @@ def encoder(path: str) -> WordEncoder:
         _encoders.clear()  # a worker holds one at a time
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
+
+
+def release() -> None:
+    """Give back the worker's memory; for tasks that need it for something else."""
+    _encoders.clear()

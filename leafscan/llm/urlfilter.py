@@ -8,7 +8,7 @@ weights and a score is one join and one sum.  The threshold is calibrated on lab
 
 URLs are normalised before the models see them (lower case, runs of digits to one zero, other characters to ``~``),
 so at most ``len(ALPHABET) + 2`` symbols occur and a model has fewer than 3 million rows however many pages there are;
-that bound is why it may be broadcast.  Each distinct normalised URL is scored once.
+that bound (some 60 bytes a row, so 200 MB at the very most) is why it may be broadcast.  Each distinct normalised URL is scored once.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule, has no score and is allowed;
 without labelled URLs of both kinds everything that no rule judges is allowed; repeated rows stay; other columns are
@@ -33,6 +33,8 @@ ORDER = 4
 PRIOR, MIN_CONTEXT = 4.0, 8
 #: One in so many labelled URLs is held out for calibration; scores are counted in bins of this width up to +-LIMIT.
 FOLDS, BIN, LIMIT = 4, 0.01, 4.0
+#: A URL with more than this part of the pages is joined by itself.
+HOT_SHARE = 1000
 
 
 def parts(url: Column) -> tuple[Column, Column, Column]:
@@ -102,10 +104,10 @@ def fit(labelled: DataFrame) -> DataFrame:
 
 
 def scored(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """url, score: length-normalised log-likelihood difference of each distinct non-empty normalised URL."""
-    each = urls.select("url").where(F.col("url") != "").distinct()
-    terms = each.select("url", F.explode(_grams(F.col("url"))).alias("gram")).join(F.broadcast(model), "gram")
-    return terms.groupBy("url").agg((F.sum("weight") / (F.length("url") + 1)).alias("score"))
+    """url, score, pages: length-normalised log-likelihood difference of each distinct non-empty normalised URL."""
+    each = urls.where(F.col("url") != "").groupBy("url").agg(F.count("*").alias("pages"))
+    terms = each.select("url", "pages", F.explode(_grams(F.col("url"))).alias("gram")).join(F.broadcast(model), "gram")
+    return terms.groupBy("url").agg((F.sum("weight") / (F.length("url") + 1)).alias("score"), F.first("pages").alias("pages"))
 
 
 def calibrated(labelled: DataFrame, model: DataFrame) -> float:
@@ -135,9 +137,14 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     taught = read.where("by_rule is not null and url <> ''").select("url", (F.col("by_rule.verdict") == "allow").alias("allowed"), "held_out")
     model = fit(taught.where("not held_out"))
     threshold = calibrated(taught.where("held_out"), model)
-    unjudged = scored(read.where("by_rule is null"), model).withColumnRenamed("url", "of")
+    open_, judged_ = read.where("by_rule is null"), read.where("by_rule is not null")
+    scores = cut(scored(open_, model))
+    total = scores.agg(F.sum("pages")).first()[0] or 0
+    # A URL of a thousandth of the pages or more: there are at most a thousand, so these may be broadcast.
+    often = scores.where(F.col("pages") * HOT_SHARE > total).select("url", "score")
+    seldom = scores.where(F.col("pages") * HOT_SHARE <= total).select("url", "score")
+    hot = open_.join(F.broadcast(often), "url")
+    rest = open_.join(F.broadcast(often), "url", "left_anti").join(seldom, "url", "left")
+    everyone = hot.unionByName(rest).unionByName(judged_.withColumn("score", F.lit(None).cast("double")))
     verdict = F.coalesce("by_rule.verdict", F.when(F.col("score") < threshold, "block").otherwise("allow"))
-    mine = (F.col("url") == F.col("of")) & F.col("by_rule").isNull()
-    return read.join(unjudged, mine, "left").select(
-        "page_id", "host", "path", F.col("by_rule.rule").alias("rule"), verdict.alias("verdict"), "score"
-    )
+    return everyone.select("page_id", "host", "path", F.col("by_rule.rule").alias("rule"), verdict.alias("verdict"), "score")

@@ -10,9 +10,9 @@ rows, in blocks) and streams past the part's pivot table in batches, so a task h
 are merged by a window over the query, k rows from each part.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows without an id, take no part;
-shorter vectors count as padded with zeros; rows that share an id all count, as candidates and as queries, whose
-results are ranked together, but repeats of the same id and vector count once; rows with a query's own id are no candidates of it; fewer than k candidates: all of them; components are taken as 64-bit
-integers and sums must fit them too (beyond 2^53 Python integers are used).
+shorter vectors count as padded with zeros; every row counts by itself, as a candidate and as a query, also one that
+repeats the id or the vector of another: only a query's own row is no candidate of it; fewer than k candidates: all of
+them; components are taken as 64-bit integers and sums must fit them too (beyond 2^53 Python integers are used).
 """
 
 from __future__ import annotations
@@ -71,9 +71,9 @@ def _products(rows: np.ndarray, query: np.ndarray, small: bool) -> np.ndarray:
 class Part:
     """The candidates of one part with their pivot table."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray):
         width = max(vectors.shape[1], pivots.shape[1])
-        self.ids, self.vectors, self.pivots = ids, _wider(vectors, width), _wider(pivots, width)
+        self.rows, self.ids, self.vectors, self.pivots = rows, ids, _wider(vectors, width), _wider(pivots, width)
         self.floats = self.vectors.astype(np.float64)
         self.squares = (self.floats**2).sum(axis=1)
         self.table = self._distances(self.floats)
@@ -83,16 +83,16 @@ class Part:
         squares = (floats**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * floats @ pivots.T
         return np.sqrt(np.maximum(squares, 0)).T.copy()
 
-    def best(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query id, candidate id, score) of each query's k best candidates here; ties to the smaller id."""
+    def best(self, own: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
+        """(query row, query id, candidate id, score) of each query's k best candidates here; ties to the smaller id."""
         width = max(self.vectors.shape[1], queries.shape[1])
         if width > self.vectors.shape[1]:
-            self.__init__(self.ids, _wider(self.vectors, width), self.pivots)
+            self.__init__(self.rows, self.ids, _wider(self.vectors, width), self.pivots)
         queries = _wider(queries, width)
         floats = queries.astype(np.float64)
         distances, found = self._distances(floats), []
         squares = (floats**2).sum(axis=1)
-        for row, query_id in enumerate(ids.tolist()):
+        for row, (query_row, query_id) in enumerate(zip(own.tolist(), ids.tolist(), strict=True)):
             lower = np.zeros(len(self.ids))
             for pivot, mine in zip(self.table, distances[:, row], strict=True):
                 np.maximum(lower, np.abs(pivot - mine), out=lower)
@@ -104,7 +104,7 @@ class Part:
             at, step = 0, FIRST
             while at < len(order) and (len(best) < k or upper[order[at]] >= -best[-1][0]):
                 some = order[at : at + step]
-                some = some[self.ids[some] != query_id]
+                some = some[self.rows[some] != query_row]
                 rows = self.floats if small else self.vectors
                 scores = _products(rows[some], queries[row], small)
                 if len(best) == k:
@@ -112,16 +112,16 @@ class Part:
                     some, scores = some[near], scores[near]
                 best = sorted([*best, *zip((-scores).tolist(), self.ids[some].tolist(), strict=True)])[:k]
                 at, step = at + step, 2 * step
-            found += [(query_id, vec_id, -score) for score, vec_id in best]
+            found += [(query_row, query_id, vec_id, -score) for score, vec_id in best]
         return found
 
 
 def _search(pivots: np.ndarray, k: int):
     """Over rows sorted by part, candidates before queries: the best of every query in every part."""
 
-    def results(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        columns = zip(*found, strict=True) if found else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+    def results(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, part = None, [], None
@@ -133,33 +133,35 @@ def _search(pivots: np.ndarray, k: int):
                     continue
                 if number != parts[a]:
                     number, held, part = parts[a], [], None
-                ids = batch.column("vec_id").slice(a, b - a).to_numpy()
+                own, ids = (batch.column(c).slice(a, b - a).to_numpy() for c in ("row", "vec_id"))
                 rows = _matrix(batch.column("v").slice(a, b - a), pivots.shape[1])
                 if not query[a]:
-                    held.append((ids, rows))
+                    held.append((own, ids, rows))
                     continue
                 if part is None and held:
-                    width = max(r.shape[1] for _, r in held)
-                    part, held = Part(np.concatenate([i for i, _ in held]), np.concatenate([_wider(r, width) for _, r in held]), pivots), []
+                    width = max(h[2].shape[1] for h in held)
+                    numbers, names = (np.concatenate([h[n] for h in held]) for n in (0, 1))
+                    part, held = Part(numbers, names, np.concatenate([_wider(h[2], width) for h in held]), pivots), []
                 if part is not None:
                     for at in range(0, len(ids), BATCH):
-                        yield results(part.best(ids[at : at + BATCH], rows[at : at + BATCH], k))
+                        yield results(part.best(own[at : at + BATCH], ids[at : at + BATCH], rows[at : at + BATCH], k))
 
     return search
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, n_pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score from ``vectors`` (vec_id, v: array of long)."""
-    own = cut(vectors.where("vec_id is not null and v is not null").select("vec_id", "v").distinct())
+    own = cut(vectors.where("vec_id is not null and v is not null").select("vec_id", "v"))
+    own = own.withColumn("row", F.monotonically_increasing_id())  # the checkpoint keeps its partitions and their order
     n = own.count()
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     parts = max(1, -(-n // PART_ROWS), min(-(-n // LEAST_ROWS), 2 * cores))
-    chosen = own.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(n_pivots).collect()
+    chosen = own.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "row").limit(n_pivots).collect()
     width = max((len(r["v"]) for r in chosen), default=0)
     pivots = np.array([[*r["v"], *[0] * (width - len(r["v"]))] for r in chosen], np.int64).reshape(len(chosen), width)
-    candidates = own.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("query"), "vec_id", "v")
-    queries = own.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("query"), "vec_id", "v")
-    dealt = candidates.unionByName(queries).repartition(parts, "part").sortWithinPartitions("part", "query", "vec_id")
-    best = dealt.mapInArrow(_search(pivots, k), "query_id long, vec_id long, score long")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    candidates = own.select(F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("query"), "row", "vec_id", "v")
+    queries = own.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("query"), "row", "vec_id", "v")
+    dealt = candidates.unionByName(queries).repartition(parts, "part").sortWithinPartitions("part", "query", "row")
+    best = dealt.mapInArrow(_search(pivots, k), "query_row long, query_id long, vec_id long, score long")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -38,6 +38,8 @@ KEPT_STEPS = 500_000
 SLICE_IDS = 16_384
 #: The white space of Unicode, which the pattern's \\s stands for.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Fixed value: the pattern whose pieces never cross the chunks below, and which leaves runs of letters whole.
+CHUNKED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -180,8 +182,8 @@ class Utf8Stream:
     #: How many bytes follow a lead byte, by its upper five bits.
     FOLLOW = [0] * 24 + [1] * 4 + [2] * 2 + [3, 0]
 
-    def __init__(self) -> None:
-        self.held = b""
+    def __init__(self, errors: str = "replace") -> None:
+        self.held, self.errors = b"", errors
 
     def feed(self, data: bytes, last: bool = False) -> str:
         data = self.held + data
@@ -193,7 +195,7 @@ class Utf8Stream:
                     whole -= back if self.FOLLOW[byte >> 3] >= back else 0
                     break
         self.held = data[whole:]
-        return data[:whole].decode("utf-8", errors="replace")
+        return data[:whole].decode("utf-8", errors=self.errors)
 
 
 class ByteBPE:
@@ -203,11 +205,15 @@ class ByteBPE:
         import regex
 
         self.transducer = Transducer(load_ranks(path))
-        self.pieces = regex.compile(pattern).findall
+        self.finditer = regex.compile(pattern).finditer
+        self.chunked = pattern == CHUNKED_PATTERN
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.bytes_of = [self.transducer.token.get(k, b"") for k in range(max(self.transducer.token, default=-1) + 1)]
 
+    def _pieces(self, text: str) -> list[int]:
+        return [i for piece in self.finditer(text) for i in self.transducer.encode(piece[0].encode())]
+
     def _chunk(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
@@ -215,13 +221,15 @@ class ByteBPE:
             if word.isalpha():  # the pattern leaves runs of letters whole
                 found = self.transducer.encode(chunk.encode())
             else:
-                found = [i for piece in self.pieces(chunk) for i in self.transducer.encode(piece.encode())]
+                found = self._pieces(chunk)
             ids = array("i", found).tobytes()
         if len(chunk) <= MEMO_CHARS:
             self.young[chunk] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
+        if not self.chunked:
+            return np.array(self._pieces(text or ""), "<i4")
         chunks = _CHUNK.findall(text) if text else []
         young = self.young
         try:
@@ -237,9 +245,9 @@ class ByteBPE:
         for at in range(0, len(ids), SLICE_IDS):
             yield b"".join([self.bytes_of[i] for i in ids[at : at + SLICE_IDS].tolist()])
 
-    def decode(self, ids: np.ndarray) -> Iterator[str]:
-        """The text of ids, in slices that never cut a character."""
-        stream = Utf8Stream()
+    def decode(self, ids: np.ndarray, errors: str = "replace") -> Iterator[str]:
+        """The text of ids, in slices that never cut a character; with ``errors="strict"`` its bytes are the ids' bytes."""
+        stream = Utf8Stream(errors)
         for data in self.decode_bytes(ids):
             yield stream.feed(data)
         yield stream.feed(b"", last=True)
@@ -255,6 +263,11 @@ def codec(path: str, pattern: str) -> ByteBPE:
     return _codecs[path, pattern]
 
 
+def release() -> None:
+    """Give back the worker's memory; for tasks that need it for something else."""
+    _codecs.clear()
+
+
 def _files(path: str | None, pattern: str | None) -> tuple[str, str]:
     if pattern is None:
         import public_tokenizers
@@ -271,7 +284,10 @@ def _lists(arrays: Iterable[np.ndarray]) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
-    """doc_id, ids (array of int) of every whole text; with ``decoded`` also text, decoded from those ids."""
+    """doc_id, ids (array of int) of every whole text; with ``decoded`` also text, decoded from those ids.
+
+    The ids of a text must decode to valid UTF-8; if they ever don't, the task fails and no digest hides it.
+    """
     files = _files(path, pattern)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +298,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 ids = [own.encode(text.as_py()) for text in part.column(1)]
                 columns = {"doc_id": part.column(0), "ids": _lists(ids)}
                 if decoded:
-                    columns["text"] = pa.array(["".join(own.decode(i)) for i in ids], pa.string())
+                    columns["text"] = pa.array(["".join(own.decode(i, "strict")) for i in ids], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -3,7 +3,7 @@
 Heuristic labellers vote good, bad or nothing on every document.  How often each combination of votes occurs, a table of
 bounded size however large the corpus, is all that expectation-maximisation needs to estimate the labellers' accuracies and
 the posterior of every combination.  The posteriors label a bounded sample of documents (``TRAIN_DOCS``, about,
-drawn by a hash of the id), which trains a linear scorer over hashed features of word shapes; the scorer judges all
+drawn by a hash of id and text; rows that repeat both count once in it), which trains a linear scorer over hashed features of word shapes; the scorer judges all
 documents.
 
 Defined cases: null and empty texts score 0 and are rejected; without documents to learn from every other document
@@ -17,20 +17,22 @@ import re
 import string
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafscan.llm.common import by_text, fresh_worker, slices
+
 #: Documents that train the scorer, about: the bound of the sample.
 TRAIN_DOCS = 12_000
 DIMENSIONS_BITS = 14
 THRESHOLD = 0.5
-#: Word shapes that a worker remembers.
-MEMO_SHAPES = 400_000
+#: Word shapes that a task remembers, and the longest word that it does.
+MEMO_SHAPES, MEMO_CHARS = 100_000, 40
 
 #: Each labeller: the measure it looks at; bad beyond the first limit, good within the second, else no vote; the
 #: least number of words it needs.
@@ -72,10 +74,11 @@ class Shapes(dict):
                 shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
             facts = (len(word) > 1 and word.isupper()) | (_MARKS.search(word) is not None) << 1 | word.endswith("!") << 2
             facts |= (word[-1] in ".?!:" and not word.endswith("!!")) << 3 | (word == "|") << 4
-            found = _RUN.sub(r"\1", shape)[:12], facts
-        if len(self) >= MEMO_SHAPES:
-            self.clear()
-        self[word] = found
+            found = _RUN.sub(r"\1", shape), facts
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_SHAPES:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -175,12 +178,14 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, dict
     rows = docs.where("text is not null and trim(text) <> ''").select("doc_id", "text")
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         shapes, seen = Shapes(), Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text.split():
-                    measures, n, _ = measured(text, shapes)
-                    seen[votes(measures, n)] += 1
+            for texts in slices(batch.column(0), 1 << 20):
+                for text in texts.to_pylist():
+                    if text.split():
+                        measures, n, _ = measured(text, shapes)
+                        seen[votes(measures, n)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["votes", "n"])
 
     # At most 3 ** len(LABELLERS) rows.
@@ -188,32 +193,43 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, dict
     patterns = {r["votes"]: r["n"] for r in found}
     _, _, posterior = accuracies(patterns)
 
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hashed features of the sample, a few hundred numbers a document at most, and its posterior."""
+        shapes = Shapes()
+        for batch in batches:
+            made, targets = [], []
+            for text in batch.column(0).to_pylist():
+                if text.split():
+                    measures, n, features = measured(text, shapes)
+                    made.append(hashed(features))
+                    targets.append(posterior[votes(measures, n)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at.tobytes() for at, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary()), pa.array(targets, pa.float64())],
+                names=["dims", "weights", "target"],
+            )
+
     def learned(group: pd.DataFrame) -> pd.DataFrame:
-        shapes, made, targets = Shapes(), [], []
-        for text in group.sort_values(["doc_id", "text"])["text"]:
-            if text.split():
-                measures, n, features = measured(text, shapes)
-                made.append(hashed(features))
-                targets.append(posterior[votes(measures, n)])
-        return pd.DataFrame({"weights": [trained(made, np.array(targets)).astype("<f8").tobytes()]})
+        group = group.sort_values(["dims", "weights", "target"])
+        made = [(np.frombuffer(d, np.int64), np.frombuffer(v, float)) for d, v in zip(group["dims"], group["weights"], strict=True)]
+        return pd.DataFrame({"weights": [trained(made, group["target"].to_numpy(float)).astype("<f8").tobytes()]})
 
     total = sum(patterns.values())
     share = min(1.0, train_docs / total) if total else 1.0
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
-    weights = sample.groupBy(F.lit(0).alias("all")).applyInPandas(learned, "weights binary").collect()
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
+    features = sample.distinct().select("text").mapInArrow(featured, "dims binary, weights binary, target double")
+    weights = features.groupBy(F.lit(0).alias("all")).applyInPandas(learned, "weights binary").collect()
     return np.frombuffer(weights[0]["weights"], "<f8") if weights else np.zeros((1 << DIMENSIONS_BITS) + 1), posterior
 
 
-def classified(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
-    """The kept columns, votes, score (chance of being good), accepted for every document."""
+def _judged(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...], threshold: float) -> tuple[DataFrame, list[Column]]:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge() -> Callable[[pa.Array], list[pa.Array]]:
         own, shapes = shared.value, Shapes()
-        for batch in batches:
+
+        def scored(texts: pa.Array) -> list[pa.Array]:
             cast, scores = [], []
-            for text in batch.column(0):
-                text = text.as_py()
+            for text in texts.to_pylist():
                 if not text or not text.split():
                     cast.append("-" * len(LABELLERS))
                     scores.append(0.0)
@@ -222,13 +238,20 @@ def classified(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = (),
                 at, values = hashed(features)
                 cast.append(votes(measures, n))
                 scores.append(float(1 / (1 + np.exp(-np.clip(values @ own[at] + own[-1], -30, 30)))))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(cast, pa.string()), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores])],
-                names=[*batch.schema.names[1:], "votes", "score", "accepted"],
-            )
+            return [pa.array(cast, pa.string()), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())]
+
+        return scored
+
+    return by_text(docs, keep, judge, "votes string, score double, accepted boolean")
+
+
+def classified(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
+    """The kept columns, votes, score (chance of being good), accepted for every document."""
+    rows, kept = _judged(docs, weights, keep, threshold)
+    return rows.select(*kept, "votes", "score", "accepted")
+
 
-    names = [F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)]
-    out = docs.select(F.col("text").cast("string").alias("text"), *names).mapInArrow(
-        scored, docs.select(*names).schema.add("votes", "string").add("score", "double").add("accepted", "boolean")
-    )
-    return out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "votes", "score", "accepted")
+def without_rejected(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are accepted, with all their columns, whatever these are called."""
+    rows, kept = _judged(docs, weights, tuple(docs.columns), threshold)
+    return rows.where("accepted").select(kept)

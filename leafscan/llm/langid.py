@@ -7,7 +7,7 @@ language of the nearest one by cosine.  A text far from all centroids (below a s
 texts reach) is rejected.
 
 Document frequencies come from all labelled texts; only the clustering takes a sample (``SAMPLE`` texts of each
-language, about, drawn by a hash of the id).
+language, about, drawn by a hash of id and text; rows that repeat both count once in it).
 
 Defined cases: a null text and one without a letter are ``und``, rejected, with score 0; without labelled texts so
 is every text; repeated rows give repeated results; other columns are left out; texts are read whole.
@@ -16,7 +16,7 @@ is every text; repeated rows give repeated results; other columns are left out;
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafscan.llm.common import by_text, fresh_worker, slices
+
 DIMENSIONS_BITS = 13
 DIMENSIONS = 1 << DIMENSIONS_BITS
 CLUSTERS = 4
@@ -105,10 +107,11 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         total, n = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                found = counts(text.as_py())
+            for text in (text for some in slices(batch.column(0), 1 << 20) for text in some.to_pylist()):
+                found = counts(text)
                 if found is not None:
                     total += found > 0
                     n += 1
@@ -133,44 +136,50 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.astype("<f4").tobytes() for c in centres], "least": least})
 
     sizes = F.broadcast(rows.groupBy("lang").agg((sample / F.count("*")).alias("share")))  # a row for each language
-    drawn = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    found = drawn.select("doc_id", "text", "lang").groupBy("lang").applyInPandas(clustered, "lang string, centroid binary, least double").collect()
+    drawn = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    found = drawn.select("doc_id", "text", "lang").distinct().groupBy("lang").applyInPandas(clustered, "lang string, centroid binary, least double").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["centroid"]))
     centroids = np.array([np.frombuffer(r["centroid"], "<f4") for r in found], np.float32).reshape(len(found), DIMENSIONS)
     return Model(idf, [r["lang"] for r in found], centroids, np.array([r["least"] for r in found]))
 
 
-def identified(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The kept columns, lang_pred, score (cosine, 0 to 1), rejected for every document."""
+def _judged(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge() -> Callable[[pa.Array], list[pa.Array]]:
         own = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows, sizes = vectors(part.column(0).to_pylist(), own.idf)
+
+        def predict(texts: pa.Array) -> list[pa.Array]:
+            langs, scores, rejected = [], [], []
+            for at in range(0, len(texts), 256):
+                rows, sizes = vectors(texts.slice(at, 256).to_pylist(), own.idf)
                 known = (sizes > 0) & (len(own.langs) > 0)
                 cosines = rows @ own.centroids.T if own.langs else np.zeros((len(rows), 1), np.float32)
                 nearest = cosines.argmax(axis=1)
                 score = np.clip(cosines.max(axis=1).astype(float), 0, 1) * known
                 least = own.least[nearest] * REJECT_SHARE * np.minimum(1, sizes / FULL_GRAMS) if own.langs else np.ones(len(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns[1:],
-                        pa.array([own.langs[k] if ok else UNKNOWN for k, ok in zip(nearest, known, strict=True)], pa.string()),
-                        pa.array(score),
-                        pa.array(~known | (score < least)),
-                    ],
-                    names=[*part.schema.names[1:], "lang_pred", "score", "rejected"],
-                )
-
-    kept = docs.select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
-    schema = docs.select(*[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)]).schema
-    out = kept.mapInArrow(predict, schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
-    return out.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score", "rejected")
+                langs += [own.langs[k] if ok else UNKNOWN for k, ok in zip(nearest, known, strict=True)]
+                scores.append(score)
+                rejected.append(~known | (score < least))
+            return [pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(rejected))]
+
+        return predict
+
+    return by_text(docs, keep, judge, "lang_pred string, score double, rejected boolean")
+
+
+def identified(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The kept columns, lang_pred, score (cosine, 0 to 1), rejected for every document."""
+    rows, kept = _judged(docs, model, keep)
+    return rows.select(*kept, "lang_pred", "score", "rejected")
+
+
+def without_rejected(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that are not rejected, with all their columns, whatever these are called."""
+    rows, kept = _judged(docs, model, tuple(docs.columns))
+    return rows.where(~F.col("rejected")).select(kept)
 
 
 def fold(doc_id: Column) -> Column:
-    """The fold of a document, 0 to 3; fold 2 is held out from learning."""
-    return F.crc32(doc_id.cast("string")) % 4
+    """The fold of a document, 0 to 3; fold 2 is held out from learning.  A null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4

@@ -4,14 +4,15 @@ Each pair has a chosen and a rejected conversation.  The turns that both begin w
 turns after them are rendered as two completions, masked so that only replies are learned: of every rendered
 turn, ``learn_from`` and ``learn_to`` are the characters that count (both 0: none).
 
-Results stay one row per rendered turn, so a conversation of any length never has to fit one row or one task:
-turns of both sides meet by grouping on (pair, turn, role, text), the first turn that only one side has ends the
-prompt (a minimum for each pair), and nothing else needs a pair's rows together.  ``assembled`` joins the rows of pairs into
-strings, for conversations of ordinary length.
+Turns of both sides meet by grouping on (pair, turn, role, text) with how often each side has them, the first turn that
+they have differently ends the prompt (a minimum for each pair), and nothing else needs a pair's rows together.
+``assembled`` then joins the turns of a pair into its prompt and two completions, one row a pair.  A pair of more than
+``PIECE_TURNS`` turns gets one row for each block of turns, so no conversation has to fit one row or one task.
 
 Defined cases: a null role is ``unknown``, a null text empty, a null turn comes before all others; rows that repeat a turn
-of one side are one turn, several texts of one turn follow in the order of role and text; marks inside texts are broken
-up, so no text can forge a turn; a pair whose sides are equal is all prompt; other columns are left out.
+of one side are rendered as often as they occur; several texts of one turn follow in the order of role and text; marks
+inside texts are broken up, so no text can forge a turn; a pair whose sides are equal is all prompt; other columns are
+left out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the chat template.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 REPLY = "assistant"
+#: Turns, and equal rows of a turn, that one row of a pair holds.
+PIECE_TURNS = 256
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
@@ -60,29 +63,41 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def formatted(pairs: DataFrame) -> DataFrame:
-    """pair_id, part (prompt, chosen or rejected), turn, role, rendered, learn_from, learn_to.
+    """pair_id, part (prompt, chosen or rejected), piece, again, turn, role, rendered, learn_from, learn_to.
 
-    ``pairs``: pair_id, side (chosen or rejected), turn, role, text.
+    One row for each turn of a part, equal rows included.  ``pairs``: pair_id, side (chosen or rejected), turn, role,
+    text.
     """
-    on = lambda side: F.max(F.col("side") == side)
+    on = lambda side: F.count(F.when(F.col("side") == side, F.lit(1)))
     turns = pairs.groupBy("pair_id", "turn", "role", "text").agg(on("chosen").alias("chosen"), on("rejected").alias("rejected"))
     differs = turns.where(F.col("chosen") != F.col("rejected")).groupBy(F.col("pair_id").alias("of")).agg(F.min("turn").alias("first"))
     known = turns.join(differs, F.col("pair_id").eqNullSafe(F.col("of")), "left")
     shared = F.col("first").isNull() | (F.col("turn") < F.col("first"))
-    names = F.when(shared, F.array(F.lit("prompt"))).otherwise(
-        F.array_compact(F.array(F.when(F.col("chosen"), F.lit("chosen")), F.when(F.col("rejected"), F.lit("rejected"))))
-    )
-    rows = known.select("pair_id", F.explode(names).alias("part"), "turn", "role", rendered(F.col("role"), F.col("text")).alias("rendered"))
+    part = lambda name, copies: F.struct(F.lit(name).alias("part"), F.col(copies).alias("copies"))
+    parts = F.when(shared, F.array(part("prompt", "chosen"))).otherwise(F.array(part("chosen", "chosen"), part("rejected", "rejected")))
+    rows = known.select("pair_id", F.inline(parts), "turn", "role", rendered(F.col("role"), F.col("text")).alias("rendered")).where("copies > 0")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
     learned = (F.col("role") == REPLY) & (F.col("part") != "prompt")
+    block = lambda number: F.floor(number / PIECE_TURNS).cast("long")
     return rows.select(
-        "*",
+        "pair_id",
+        "part",
+        block(F.greatest("turn", F.lit(0))).alias("piece"),
+        block(F.col("copy")).alias("again"),
+        "turn",
+        "role",
+        "rendered",
         F.when(learned, F.instr("rendered", "\n")).otherwise(F.lit(0)).cast("int").alias("learn_from"),
         F.when(learned, F.length("rendered") - 1).otherwise(F.lit(0)).cast("int").alias("learn_to"),
     )
 
 
 def assembled(segments: DataFrame) -> DataFrame:
-    """pair_id, prompt, chosen, rejected, and the spans (from, to) of each completion that are learned."""
+    """pair_id, piece, again, prompt, chosen, rejected, and the spans (from, to) of each completion that are learned.
+
+    One row for each pair; of a pair with more turns, or more equal rows, than ``PIECE_TURNS`` one for each block of
+    them, in the order of piece, then again.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "rendered", "learn_from", "learn_to")))
     step = lambda done, s: F.struct(
         F.concat(done["text"], s["rendered"]).alias("text"),
@@ -92,9 +107,9 @@ def assembled(segments: DataFrame) -> DataFrame:
         ).otherwise(done["spans"]).alias("spans"),
     )
     empty = F.struct(F.lit("").alias("text"), F.expr("cast(array() as array<struct<from:int,to:int>>)").alias("spans"))
-    joined = segments.groupBy("pair_id", "part").agg(F.aggregate(ordered, empty, step).alias("whole"))
+    joined = segments.groupBy("pair_id", "piece", "again", "part").agg(F.aggregate(ordered, empty, step).alias("whole"))
     of = lambda part: F.max(F.when(F.col("part") == part, F.col("whole")))
-    parts = joined.groupBy("pair_id").agg(*[of(p).alias(p) for p in ("prompt", "chosen", "rejected")])
+    parts = joined.groupBy("pair_id", "piece", "again").agg(*[of(p).alias(p) for p in ("prompt", "chosen", "rejected")])
     text = lambda p: F.coalesce(f"{p}.text", F.lit("")).alias(p)
     spans = lambda p: F.coalesce(f"{p}.spans", F.expr("cast(array() as array<struct<from:int,to:int>>)")).alias(f"{p}_spans")
-    return parts.select("pair_id", text("prompt"), text("chosen"), text("rejected"), spans("chosen"), spans("rejected"))
+    return parts.select("pair_id", "piece", "again", text("prompt"), text("chosen"), text("rejected"), spans("chosen"), spans("rejected"))

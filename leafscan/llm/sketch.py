@@ -1,33 +1,36 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, by Spark expressions alone.
 
-A sketch keeps every distinct shingle hash below a fixed fraction of all hashes, and at least the ``FLOOR`` smallest
-ones, so that short documents are kept whole.  With it goes a bound: every hash of the document up to the bound is in
-the sketch.  Two sketches are compared below the smaller bound, where both are complete; so containment is
-estimated without bias between very unequal documents, and sketches of parts merge into the sketch of the whole
-(union, then the same rule).
-
-The edited texts need each document's next one by id.  Documents are dealt into ranges of ids (quantiles of the id
-column, then equal steps inside), each range is one window partition, and the first document of every range is also
-sent, as a guest, to the range before it: one shuffle of the texts, none of them in one task.
-
-Defined cases: a null text counts as empty; a text without words has an empty sketch; one of fewer words than a
-shingle is one shingle; two empty sketches are alike (1.0), an empty and another are not (0.0); documents of
-one id follow each other by their texts' hash; null ids come last; other columns are left out.
+A sketch keeps every distinct shingle hash below a fixed fraction of all hashes, whatever the document's length, and
+the smallest hash of all.  Two sketches are samples by the same rule, so likeness and containment are estimated without bias
+between very unequal documents, and sketches of parts merge into exactly the sketch of the whole (union and minimum).
+Of a short document no hash may lie below the threshold.  Its sketch is then empty; where both are, the smallest hashes
+decide (they agree with a chance of just the likeness, and always for equal texts).
+
+The edited texts need each document's next one by id.  The ids alone are sorted over the cluster, every so many
+documents give a bound, and a row finds its range among the bounds by bisection.  A range is one window partition, and the
+highest document of each is also sent, as a guest, to the range above: one shuffle of the texts, none of them in one
+task.  A bound takes 16 bytes; there are ``MOST_RANGES`` at most.
+
+Defined cases: a null text counts as empty; a text without words has an empty sketch without a smallest hash; one of
+fewer words than a shingle is one shingle; two texts without words are alike (1.0), one without and another are not
+(0.0); documents of one id follow each other by their texts' hash, highest first; null ids come last; other columns are left
+out.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
-#: One in so many hashes is kept, and at least so many of the smallest.
-SCALE, FLOOR = 32, 128
-#: Ranges of ids: quantiles, equal steps in each at most, and documents of a range, about.
-QUANTILES, STEPS, RANGE_DOCS = 512, 16, 2_000
-_LOWEST, _HIGHEST = -(1 << 63), (1 << 63) - 1
+#: One in so many hashes is kept.
+SCALE = 4
+#: Documents of a range, more where there would be more ranges than that, and ids of a partition when they are sorted.
+RANGE_DOCS, MOST_RANGES, SORTED_IDS = 5_000, 250_000, 1_000_000
+_LOWEST = -(1 << 63)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -46,124 +49,86 @@ def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
     )
 
 
-def kept(hashes: Column, scale: int = SCALE, floor: int = FLOOR) -> Column:
-    """The sketch of hashes: struct(hashes: sorted array of long, bound: long)."""
-    threshold = _LOWEST + (1 << 64) // scale
+def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
+    """A text's sketch: struct(hashes: sorted array of long, least: long)."""
+    threshold = F.lit(min(_LOWEST + (1 << 64) // scale, (1 << 63) - 1))
     return let(
-        F.sort_array(F.array_distinct(hashes)),
-        lambda s: let(
-            F.greatest(F.lit(floor), F.size(F.filter(s, lambda h: h < threshold))),
-            lambda n: F.struct(
-                F.slice(s, F.lit(1), n).alias("hashes"),
-                F.when(F.size(s) <= n, F.lit(_HIGHEST))
-                .when(n > floor, F.lit(threshold - 1))
-                .otherwise(F.element_at(s, n))
-                .cast("long")
-                .alias("bound"),
-            ),
-        ),
+        shingle_hashes(text, words),
+        lambda hs: F.struct(F.sort_array(F.array_distinct(F.filter(hs, lambda h: h < threshold))).alias("hashes"), F.array_min(hs).alias("least")),
     )
 
 
-def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE, floor: int = FLOOR) -> Column:
-    """A text's sketch."""
-    return kept(shingle_hashes(text, words), scale, floor)
-
-
-def merged(a: Column, b: Column, scale: int = SCALE, floor: int = FLOOR) -> Column:
+def merged(a: Column, b: Column) -> Column:
     """The sketch of two documents' shingles together, from their sketches."""
-    bound = F.least(a["bound"], b["bound"])
-    both = F.filter(F.array_union(a["hashes"], b["hashes"]), lambda h: h <= bound)
-    return let(kept(both, scale, floor), lambda m: F.struct(m["hashes"].alias("hashes"), F.least(m["bound"], bound).alias("bound")))
-
-
-def _common(a: Column, b: Column, ratio: Callable[[Column, Column, Column], Column]) -> Column:
-    """``ratio`` of the sizes of both sketches and of their common part, below the smaller bound."""
-    bound = F.least(a["bound"], b["bound"])
-    below = lambda s: F.filter(s["hashes"], lambda h: h <= bound)
-    pair = F.struct(below(a).alias("a"), below(b).alias("b"))
-    return let(
-        let(pair, lambda p: F.struct(F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b"), F.size(F.array_intersect(p["a"], p["b"])).alias("c"))),
-        lambda n: ratio(n["a"], n["b"], n["c"]),
-    )
+    return F.struct(F.sort_array(F.array_union(a["hashes"], b["hashes"])).alias("hashes"), F.least(a["least"], b["least"]).alias("least"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common shingles in all shingles of two sketched documents."""
-    return _common(a, b, lambda x, y, c: F.when(x + y == 0, F.lit(1.0)).otherwise(c / (x + y - c)))
+    common = let(F.size(F.array_intersect(a["hashes"], b["hashes"])), lambda c: c / (F.size(a["hashes"]) + F.size(b["hashes"]) - c))
+    return F.when(F.size(a["hashes"]) + F.size(b["hashes"]) == 0, a["least"].eqNullSafe(b["least"]).cast("double")).otherwise(common)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first document's shingles that the second has too (an empty one is contained)."""
-    return _common(a, b, lambda x, y, c: F.when(x == 0, F.lit(1.0)).otherwise(c / x))
+    """Estimated share of the first document's shingles that the second has too.
 
-
-def fingerprint(sketched: Column) -> Column:
-    """A sketch as a string: its hashes, 16 hex digits each."""
-    return F.lower(F.array_join(F.transform(sketched["hashes"], lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    A document without words is contained in every other (1.0).  One with an empty sketch is in a document of the same
+    smallest hash (1.0); otherwise nothing is known (null).
+    """
+    common = F.size(F.array_intersect(a["hashes"], b["hashes"])) / F.size(a["hashes"])
+    return F.when(F.size(a["hashes"]) > 0, common).when(a["least"].isNull() | (a["least"] == b["least"]), F.lit(1.0))
 
 
-def _ranges(docs: DataFrame) -> Callable[[Column], Column]:
-    """A monotone function from ids to range numbers, of bounded size, from the ids' quantiles."""
-    n, low, high, cuts = docs.agg(
-        F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [k / QUANTILES for k in range(1, QUANTILES)], 10 * QUANTILES)
-    ).first()
-    if not n:
-        return lambda _: F.lit(-1)
-    wanted = -(-n // RANGE_DOCS)
-    held = min(QUANTILES, wanted)
-    cuts = sorted({cuts[k * QUANTILES // held - 1] for k in range(1, held)})
-    steps = min(STEPS, max(1, -(-wanted // QUANTILES)))
-    edges = [low, *cuts, high + 1]
-    lows, widths = F.array(*map(F.lit, edges[:-1])), F.array(*[F.lit(max(1, b - a)) for a, b in zip(edges, edges[1:], strict=False)])
+def fingerprint(sketched: Column) -> Column:
+    """A sketch as a string: its hashes, 16 hex digits each; of an empty one the smallest hash, if there is one."""
+    shown = F.when(F.size(sketched["hashes"]) > 0, sketched["hashes"]).otherwise(F.array_compact(F.array(sketched["least"])))
+    return F.lower(F.array_join(F.transform(shown, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
-    def number(doc_id: Column) -> Column:
-        coarse = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= doc_id)) if cuts else F.lit(0)
-        step = F.least(F.floor((doc_id - F.element_at(lows, coarse + 1)) * float(steps) / F.element_at(widths, coarse + 1)), F.lit(steps - 1))
-        return F.coalesce(coarse * steps + step, F.lit(-1))
 
-    return number
+def _bounds(keys: DataFrame, range_docs: int, sorted_ids: int) -> list[tuple[int | None, int]]:
+    """The highest (doc_id, tie) of every range, ascending; each is that of a row."""
+    highest = keys.agg(F.max(F.struct("doc_id", "tie")).alias("h"), F.count("*").alias("n")).first()
+    if not highest["n"]:
+        return []
+    range_docs = max(range_docs, highest["n"] // MOST_RANGES)
+    spread = keys.repartitionByRange(-(-highest["n"] // sorted_ids), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    some = spread.withColumn("place", place).where(F.col("place") % range_docs == range_docs - 1).select("doc_id", "tie").collect()
+    found = {(r["doc_id"], r["tie"]) for r in [*some, highest["h"]]}
+    return sorted(found, key=lambda b: (b[0] is not None, b[0] or 0, b[1]))
 
 
-def with_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
+def with_next(docs: DataFrame, carried: dict[str, Column], range_docs: int = RANGE_DOCS, sorted_ids: int = SORTED_IDS) -> DataFrame:
     """doc_id, text and the carried columns of every document, and next_<name> of each from the next one.
 
     Next by descending id; after the last comes the first.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    number = _ranges(own)
-    placed = own.select("doc_id", "text", number(F.col("doc_id")).alias("range"), F.xxhash64("text").alias("tie"))
-    order = F.struct("doc_id", (-F.col("tie")).alias("tie"))
-    # At most QUANTILES * STEPS rows, whatever the data.
-    firsts = placed.groupBy("range").agg(F.max(order).alias("first")).sort(F.desc("range")).collect()
-    if not firsts:
-        firsts = [{"range": None, "first": {"doc_id": None, "tie": None}}]
-    ids = [r["first"]["doc_id"] for r in firsts if r["first"]["doc_id"] is not None]
-    goes_to = [
-        F.struct(F.lit(r["first"]["doc_id"]).cast("long").alias("guest"), (-F.lit(r["first"]["tie"]).cast("long")).alias("guest_tie"), F.lit(firsts[k - 1]["range"]).cast("long").alias("target"))
-        for k, r in enumerate(firsts)
-    ]
-    targets = F.broadcast(docs.sparkSession.range(1).select(F.inline(F.array(*goes_to))))
-    guests = (
-        placed.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull())
-        .join(targets, F.col("doc_id").eqNullSafe(F.col("guest")) & (F.col("tie") == F.col("guest_tie")))
-        .select("doc_id", "text", F.col("target").alias("range"), "tie", F.lit(True).alias("guest"))
-        .dropDuplicates(["range"])
-    )
-    everyone = placed.select("doc_id", "text", F.col("range").cast("long").alias("range"), "tie", F.lit(False).alias("guest")).unionByName(guests)
-    everyone = everyone.select("*", *[c.alias(n) for n, c in carried.items()])
-    then = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "tie", "text")
+    own = own.withColumn("tie", F.xxhash64("text"))
+    bounds = _bounds(own.select("doc_id", "tie"), range_docs, sorted_ids)
+    listed = F.from_json(F.lit(json.dumps([{"doc_id": i, "tie": t} for i, t in bounds])), "array<struct<doc_id:bigint,tie:bigint>>")
+    key = F.struct("doc_id", "tie")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length(), -1, -1)])
+    # How many bounds are lower, by bisection.
+    number = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(listed, low + step - 1) < key, low + step).otherwise(low))
+    placed = own.withColumn("range", number)
+    above = F.pmod(F.col("range") + 1, F.lit(max(len(bounds), 1)))
+    at = lambda where, guest: F.struct(where.alias("at"), F.lit(guest).alias("guest"))
+    twice = F.when(F.get(listed, F.col("range")) == key, F.array(at(F.col("range"), False), at(above, True))).otherwise(F.array(at(F.col("range"), False)))
+    placed = placed.select("doc_id", "text", "tie", twice.alias("places"), *[c.alias(n) for n, c in carried.items()])
+    everyone = placed.select("doc_id", "text", "tie", *carried, F.inline("places")).repartitionById(max(len(bounds), 1), "at")
+    then = Window.partitionBy("at").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("tie"), "text")
     names = ["text", *carried]
     ahead = everyone.select("*", *[F.lead(n).over(then).alias(f"next_{n}") for n in names])
     return ahead.where(~F.col("guest")).select("doc_id", *names, *[f"next_{n}" for n in names])
 
 
-def edited(docs: DataFrame) -> DataFrame:
+def edited(docs: DataFrame, range_docs: int = RANGE_DOCS, sorted_ids: int = SORTED_IDS) -> DataFrame:
     """Every document with its sketch, its edited text's, and the next document's sketch.
 
     The edited text has the last third of the code points replaced by the first as many (or all) of the next.
     """
-    found = with_next(docs, {"sketch": sketch(F.col("text"))})
+    found = with_next(docs, {"sketch": sketch(F.col("text"))}, range_docs, sorted_ids)
     third = F.floor(F.length("text") / 3).cast("int")
     changed = F.concat(F.substr("text", F.lit(1), F.length("text") - third), F.substr("next_text", F.lit(1), third))
     found = found.select("doc_id", "text", "sketch", "next_sketch", changed.alias("edited"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import cut, slices, vocabulary
+from leafscan.llm.common import cut, merged_like, slices, vocabulary
 from leafscan.llm.wordbpe import SLICE_BYTES, encoder
 
 SEQUENCE_TOKENS = 4096
@@ -136,7 +136,7 @@ def best_fit(
     """
     total = pieces.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // task_tokens))
-    first = cut(_packed(pieces, tasks, capacity, open_bins))
+    first = cut(_packed(pieces, tasks, capacity, open_bins))  # as many files as tasks
     bins = first.groupBy("bin").agg(F.sum("length").alias("length")).where(F.col("length") < capacity)
     again = _packed(bins.withColumnRenamed("bin", "key"), max(1, tasks // 16), capacity, open_bins)
     moved = again.select(F.col("key").alias("bin"), (-1 - F.col("bin")).alias("into"), F.col("offset").alias("base"))
@@ -154,7 +154,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = SEQ
     The digests are kept in the shared folder, so the texts are tokenised once.
     """
     pieces = tokenised_pieces(docs, path, limit=capacity)
-    digests = cut(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    digests = cut(merged_like(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), docs))
     keyed = digests.select(F.struct("doc_id", "piece", "start", "ids_crc32").alias("key"), "length")
     return best_fit(keyed, capacity).select(
         "key.doc_id", "key.piece", "key.start", "length", "key.ids_crc32", "sequence_id", "offset"

@@ -26,17 +26,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafscan.llm.common import cut
+from leafscan.llm.common import cut, fresh_worker, merged_like, slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
 BITS = 64
+#: Characters of texts whose shingles are made at once, about.
+SLICE_BYTES = 1 << 20
 #: Fingerprints for which a prefix is made, about, and variants that a group may hold before it is split.
 PREFIX_FINGERPRINTS = 1500
 GROUP_VARIANTS = 6_000_000
@@ -168,7 +171,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, bits: int = BITS) -> Dat
     cost = [sum(math.comb(bits - prefix, k) for k in range(half - d + 1)) for d in range(half + 1)]
     away = F.bit_count(F.col("bucket").bitwiseXOR(begins(F.col("fp"))))
     load = F.sum(F.element_at(F.array(*[F.lit(c) for c in cost]), away + 1))
-    full = cut(sent.groupBy("space", "bucket").agg(F.ceil(load / GROUP_VARIANTS).cast("int").alias("salts")).where("salts > 1"))
+    full = cut(sent.groupBy("space", "bucket").agg(F.ceil(load / GROUP_VARIANTS).cast("int").alias("salts")).where("salts > 1"), 0)
     if full.isEmpty():  # the usual case needs no join, so the rows are dealt out once
         salted = sent.select("*", F.lit(0).alias("salt"), F.lit(1).alias("salts"))
     else:
@@ -178,40 +181,45 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, bits: int = BITS) -> Dat
     return grouped.applyInPandas(_grouped(radius, prefix, bits), "space int, u long, v long")
 
 
-def stars(edges: DataFrame) -> DataFrame:
-    """Connected components of (u, v): every node but the smallest of its component as (u, root)."""
-    state = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")).first()
-    before = mark(state)
-    while before["n"]:
+def stars(edges: DataFrame, rows: int) -> DataFrame:
+    """Connected components of (u, v): every node but the smallest of its component as (u, root).
+
+    ``edges`` has ``rows`` rows at most; no round makes more of them.  Rounds end when every node points to one root
+    and no root points anywhere.
+    """
+    state = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), 32 * rows)
+    while not state.isEmpty():
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = cut(moved.unionByName(least.withColumnRenamed("m", "v")).distinct())
-        after = mark(state)
-        if after == before:
+        state = cut(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), 32 * rows)
+        twice = state.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        inner = state.select(F.col("v").alias("u")).distinct().join(state.select("u"), "u", "left_semi")
+        if twice.unionByName(inner).isEmpty():
             break
-        before = after
     return state.withColumnRenamed("v", "root")
 
 
 def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``fps`` (doc_id, fp) with component_id, the smallest doc_id that links of ``radius`` or fewer bits reach."""
     fps = cut(fps.select("doc_id", "fp"))
-    each = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    met = links(each.select(F.lit(0).alias("space"), "fp"), each.count(), radius)
-    roots = stars(met.select("u", "v")).withColumnRenamed("u", "fp")
-    named = each.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = named.join(lowest, "root").select("fp", "component_id")
+    n = fps.count()
+    each = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), 32 * n)
+    met = cut(links(each.select(F.lit(0).alias("space"), "fp"), n, radius).select("u", "v"), 32 * n)
+    roots = stars(met, met.count()).withColumnRenamed("u", "fp")
+    # Only fingerprints that have a neighbour are brought together: with their root, which comes to itself.
+    members = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    lowest = cut(members.join(each, "fp").groupBy("root").agg(F.min("first").alias("lowest")), 32 * n)
+    named = members.join(_sized(lowest, lowest.count()), "root").select("fp", "lowest")
+    of_fp = each.join(named, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id for every document."""
-    found = components(fingerprints(docs, words), radius)
+    found = components(merged_like(fingerprints(docs, words), docs), radius)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -221,6 +229,52 @@ DECIDING_WORDS, SIMILARITY = 5, 0.8
 ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Documents that share a shingle and are paired at once, and of a block where there are more.
 FEW, BLOCK = 64, 256
+#: Documents whose shingles one task sorts, about.
+SORTED_NODES = 5_000
+#: A side of a join is broadcast up to so many rows of an id and a digest; beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of some texts: which one, and a hash of each of its distinct shingles; sorted.
+
+    Words and their lower case are those of ``shingle_hashes``; a shingle's hash mixes the 64-bit hashes of its words.
+    """
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    there = pc.not_equal(found.flatten(), "")
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+    of = of[there.to_numpy(zero_copy_only=False)]
+    if not len(of):
+        return of, np.empty(0, np.uint64)
+    coded = found.flatten().filter(there).dictionary_encode()
+    value = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)[coded.indices.to_numpy()]
+    held = np.bincount(of, minlength=len(texts))
+    ends = held.cumsum()
+    left = ends[of] - np.arange(len(of))  # words of the text from here on
+    begins = (left >= words) | (left == held[of])  # a text of fewer words is one shingle
+    mixed, at = np.zeros(int(begins.sum()), np.uint64), np.flatnonzero(begins)
+    left = left[at]
+    for k in range(words):
+        inside = np.minimum(at + k, len(value) - 1)
+        mixed = np.where(left > k, (mixed ^ value[inside]) * np.uint64(0x9E3779B97F4A7C15), mixed)
+        mixed ^= mixed >> np.uint64(29)
+    of = of[at]
+    order = np.lexsort((mixed, of))
+    of, mixed = of[order], mixed[order]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (mixed[1:] != mixed[:-1])])
+    return of[new], mixed[new]
+
+
+def set_fingerprints(of: np.ndarray, hashes: np.ndarray, texts: int) -> np.ndarray:
+    """``fingerprint`` of each text's distinct shingles."""
+    out = np.zeros(texts, np.uint64)
+    if len(of):
+        begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+        sizes = np.diff(np.append(begins, len(of)))
+        out[of[begins]] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
 
 def _common_shingles(docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,10 +284,11 @@ def _common_shingles(docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, n
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(text.as_py(), words)) for text in batch.column(0)]
-            found, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["hash", "n"])
+            for texts in slices(batch.column(0), SLICE_BYTES):
+                found, counts = np.unique(shingle_sets(texts, words)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["hash", "n"])
 
     some = docs.select("text") if n <= ORDER_DOCS else docs.select("text").sample(ORDER_DOCS / n, SEED)
     each = some.mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 2")
@@ -243,15 +298,19 @@ def _common_shingles(docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, n
     return hashes[order], counts[order]
 
 
-def _beginning(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
-    """The rarest shingles of a set, one of which every set similar enough has too, and per mille of frequent ones."""
-    n = len(hashes)
-    if not n:
-        return hashes, 0
+def _beginnings(of: np.ndarray, hashes: np.ndarray, texts: int, known: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest shingles of each text's set, one of which every set similar enough has too, one text after the other.
+
+    Also how many each text has, and per mille of frequent shingles in its set.
+    """
+    held = np.bincount(of, minlength=texts)
     at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-    often = np.where(known[at] == hashes, counts[at], 0) if len(known) else np.zeros(n, np.int64)
-    order = np.lexsort((hashes, often))
-    return hashes[order[: n - math.ceil(similarity * n - 1e-9) + 1]], int(1000 * (often > 0).mean())
+    often = np.where(known[at] == hashes, counts[at], 0) if len(known) else np.zeros(len(of), np.int64)
+    order = np.lexsort((hashes, often, of))
+    place = np.arange(len(of)) - (held.cumsum() - held)[of]
+    most = np.where(held > 0, held - np.ceil(similarity * held - 1e-9).astype(np.int64) + 1, 0)
+    share = 1000 * np.bincount(of, often > 0, texts) / np.maximum(held, 1)
+    return hashes[order[place < most[of]]], most, share.astype(np.int32)
 
 
 def _meeting(shared: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -275,76 +334,109 @@ def _meeting(shared: DataFrame, similarity: float, block: int = BLOCK) -> DataFr
     return found.select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")).distinct()
 
 
-def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = DECIDING_WORDS) -> DataFrame:
+def _by_fingerprint(nodes: DataFrame, n: int, radius: int) -> DataFrame:
+    """Pairs (u, v) of ``n`` nodes of one fingerprint, and of neighbours at ``radius`` or fewer bits by ball hashing."""
+    each = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")), 32 * n)
+    same = nodes.join(each, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    met = links(each.select(F.lit(0).alias("space"), "fp"), n, radius).select("u", "v").distinct()
+    named = lambda c: each.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    near = met.join(named("u"), "u").join(named("v"), "v").select(F.greatest("first_u", "first_v").alias("u"), F.least("first_u", "first_v").alias("v"))
+    return same.unionByName(near)
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = DECIDING_WORDS, radius: int = RADIUS) -> DataFrame:
     """The documents without exact and near copies: of each group the one with the smallest doc_id stays.
 
     Two texts are near copies if the Jaccard similarity of their sets of shingles of ``words`` words is at least
-    ``similarity``; groups are what chains of them connect.  The search is exact: sets so similar share one of their
-    first shingles in any order common to all, and every pair that does is worked out, unless a chain connects it
-    already.  The order puts rare shingles first, so that frequent ones bring few together.  Texts count, not
-    ids: rows without a doc_id come after all others, texts that share a doc_id by their digests, and of rows that
-    repeat both one stays.
+    ``similarity``; groups are what chains of them connect.  Ball hashing of the sets' fingerprints gives the first
+    candidates.  It can't give all (sets of that similarity often differ in more bits), so an exact search adds the
+    others: sets so similar share one of their first shingles in any order common to all, and every pair that does is
+    worked out, unless a chain connects it already.  The order puts rare shingles first, so that frequent ones bring
+    few together.  Texts count, not ids: rows without a doc_id come after all others, texts that share a doc_id by
+    their digests, and of rows that repeat both one stays.  Columns of any name are carried.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("digest"))
-    known, counts = _common_shingles(own, own.count(), words)
+    digest = F.unhex(F.substr(F.sha2(text, 256), F.lit(1), F.lit(32)))
+    own = docs.select("doc_id", text.alias("text"), digest.alias("digest"))
+    repeated = not own.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
+    known, counts = _common_shingles(own, n := own.count(), words)
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text.as_py(), words)) for text in batch.column(1)]
-            first = [_beginning(s, known, counts, similarity) for s in sets]
-            columns = [pa.array([s.view(np.int64) for s, _ in first], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32())]
-            columns.append(pa.array([w for _, w in first], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "digest", "begins", "n", "often"])
+            at = 0
+            for texts in slices(batch.column(1), SLICE_BYTES):
+                of, hashes = shingle_sets(texts, words)
+                first, most, often = _beginnings(of, hashes, len(texts), known, counts, similarity)
+                begins = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], most.cumsum()]).astype(np.int32)), pa.array(first.view(np.int64)))
+                columns = [pa.array(set_fingerprints(of, hashes, len(texts)).view(np.int64)), pa.array(np.bincount(of, minlength=len(texts)).astype(np.int32)), pa.array(often), begins]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), *columns], names=["doc_id", "digest", "fp", "n", "often", "begins"])
+                at += len(texts)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text.as_py(), words)).view(np.int64) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+            at = 0
+            for texts in slices(batch.column(1), SLICE_BYTES):
+                of, hashes = shingle_sets(texts, words)
+                ends = np.bincount(of, minlength=len(texts)).cumsum()
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), sets], names=["node", "hashes"])
+                at += len(texts)
 
     # One node for each distinct text.
     schema = own.select("doc_id", "digest").schema
-    for name, kind in (("begins", T.ArrayType(T.LongType())), ("n", T.IntegerType()), ("often", T.IntegerType())):
+    for name, kind in (("fp", T.LongType()), ("n", T.IntegerType()), ("often", T.IntegerType()), ("begins", T.ArrayType(T.LongType()))):
         schema = schema.add(name, kind)
-    firsts = [F.first(name).alias(name) for name in ("begins", "n", "often")]
+    firsts = [F.first(name).alias(name) for name in ("fp", "n", "often", "begins")]
     prints = own.mapInArrow(begun, schema).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *firsts)
-    nodes = cut(prints.withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(prints.withColumn("node", F.monotonically_increasing_id()), 2048 * n)
 
     def close(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are similar enough."""
-        wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
-        wanted = wanted.select("node", F.col("doc_id").alias("id"), F.col("digest").alias("of"))
-        texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
-        sets = cut(texts.select("node", "text").mapInArrow(shingled, "node long, hashes array<long>").dropDuplicates(["node"]))
+        asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), 16 * n)
+        wanted = nodes.select("node", F.col("doc_id").alias("id"), F.col("digest").alias("of")).join(_sized(asked, rows := asked.count()), "node", "left_semi")
+        texts = own.join(_sized(wanted, rows), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
+        sets = texts.select("node", "text").mapInArrow(shingled, "node long, hashes array<long>")
+        sets = cut(sets.dropDuplicates(["node"]) if repeated else sets, 8192 * rows)
         sided = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}"))
         compared = pairs.join(sided("u"), "u").join(sided("v"), "v")
         common = F.size(F.array_intersect("hashes_u", "hashes_v"))
         enough = common >= F.lit(similarity) * (F.size("hashes_u") + F.size("hashes_v") - common) - 1e-9
-        return cut(compared.where(enough).select("u", "v"))
+        return cut(compared.where(enough).select("u", "v"), 32 * n)
 
-    begins = nodes.select("node", F.posexplode("begins").alias("at", "shingle"))
-    repeated = begins.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
-    shared = cut(begins.join(repeated, "shingle").join(nodes.select("node", "n", "often"), "node"))
+    # A dozen bytes a shingle in the shuffle, a hundred shingles a document, about; small parts, as each is sorted whole.
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-n // SORTED_NODES))
+    begins = nodes.select("node", "n", "often", F.posexplode("begins").alias("at", "shingle")).repartition(parts, "shingle")
+    held = F.count("*").over(Window.partitionBy("shingle"))
+    shared = cut(begins.withColumn("held", held).where("held > 1"), 512 * n)
     few, many = shared.where(F.col("held") <= FEW), shared.where(F.col("held") > FEW)
     # Where many meet, first each with the one most made of frequent shingles: an original rather than its edited copies.
     top = many.groupBy("shingle").agg(F.max(F.struct("often", "node", "n")).alias("top"))
     small, large = F.least("n", "top.n"), F.greatest("n", "top.n")
     to_top = many.join(top, "shingle").where((F.col("node") != F.col("top.node")) & (small >= similarity * large - 1e-6))
     to_top = to_top.select(F.greatest("node", "top.node").alias("u"), F.least("node", "top.node").alias("v"))
-    pairs = cut(_meeting(few.withColumn("component", F.col("node")), similarity).unionByName(to_top).distinct())
-    copies = stars(linked := close(pairs))
+    pairs = _meeting(few.withColumn("component", F.col("node")), similarity).unionByName(to_top).unionByName(_by_fingerprint(nodes, n, radius))
+    pairs = cut(pairs.distinct(), 32 * n)
+    linked = close(pairs)
+    copies = stars(linked, linked.count())
     # Then all of them that no chain connects so far.
     placed = many.join(copies.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("root", "node"))
     apart = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
-    rest = cut(_meeting(placed.join(apart, "shingle", "left_semi"), similarity).join(pairs, ["u", "v"], "left_anti"))
+    rest = cut(_meeting(placed.join(apart, "shingle", "left_semi"), similarity).join(pairs, ["u", "v"], "left_anti"), 32 * n)
     if not rest.isEmpty():
-        copies = stars(linked.unionByName(close(rest)))
+        linked = linked.unionByName(close(rest))
+        copies = stars(linked, linked.count())
 
-    grouped = nodes.join(copies.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = nodes.select("node", "doc_id", "digest").join(copies.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
-    kept = grouped.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.sha2(text, 256).alias("digest"))
-    staying = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
-    if not own.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+    kept = cut(grouped.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest")), 64 * n)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), digest.alias("digest"))
+    staying = rows.join(_sized(kept, kept.count()), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    if repeated:
         staying = staying.dropDuplicates(["id", "digest"])
-    return staying.select("row.*")
+    return merged_like(staying.select("row.*"), docs)

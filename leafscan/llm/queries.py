@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscan.llm import bytebpe, chat, langid, packing, pivots, quality, simhash, sketch, urlfilter, wavelet
-from leafscan.llm.common import table
+from leafscan.llm.common import merged_like, table
 
 
 def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,8 @@ def op3_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bytebpe.encode(table(spark, sf_dir, "documents"), decoded=True)
+    docs = table(spark, sf_dir, "documents")
+    coded = merged_like(bytebpe.encode(docs, decoded=True), docs)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -43,13 +44,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights, _ = quality.fit(docs)
-    return quality.classified(docs, weights, keep=("doc_id",))
+    return merged_like(quality.classified(docs, weights, keep=("doc_id",)), docs)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.fold(F.col("doc_id")) == 2
-    found = langid.identified(docs, langid.fit(docs.where(~held_out)), keep=("doc_id",))
+    found = merged_like(langid.identified(docs, langid.fit(docs.where(~held_out)), keep=("doc_id",)), docs)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
@@ -63,7 +64,9 @@ def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.formatted(chat.swapped_replies(table(spark, sf_dir, "conversations")))
+    pairs = chat.assembled(chat.formatted(chat.swapped_replies(table(spark, sf_dir, "conversations"))))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["from"].cast("string"), s["to"].cast("string"))), " ")
+    return pairs.select("pair_id", "piece", "again", "prompt", "chosen", "rejected", *[shown(F.col(c)).alias(c) for c in ("chosen_spans", "rejected_spans")])
 
 
 def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,15 +98,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_pivot_top_k": """
         WITH v AS (
-            SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            SELECT row_number() OVER () AS row, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+            SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.row <> q.row
         ), r AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+            SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
@@ -124,22 +127,28 @@ ORACLE_SQL: dict[str, str] = {
                         THEN k.reply ELSE t.text END
             FROM t LEFT JOIN known k ON k.conv_id IS NOT DISTINCT FROM t.conv_id
         ), turns AS (
-            SELECT pair_id, turn, role, text, bool_or(side = 'chosen') AS chosen, bool_or(side = 'rejected') AS rejected
+            SELECT pair_id, turn, role, text, count(*) FILTER (side = 'chosen') AS chosen, count(*) FILTER (side = 'rejected') AS rejected
             FROM sides GROUP BY ALL
         ), shared AS (
             SELECT *, min(CASE WHEN chosen <> rejected THEN turn END) OVER (PARTITION BY pair_id) AS first FROM turns
         ), parts AS (
-            SELECT *, 'prompt' AS part FROM shared WHERE first IS NULL OR turn < first
-            UNION ALL SELECT *, 'chosen' FROM shared WHERE turn >= first AND chosen
-            UNION ALL SELECT *, 'rejected' FROM shared WHERE turn >= first AND rejected
+            SELECT *, 'prompt' AS part, chosen AS copies FROM shared WHERE first IS NULL OR turn < first
+            UNION ALL SELECT *, 'chosen', chosen FROM shared WHERE turn >= first
+            UNION ALL SELECT *, 'rejected', rejected FROM shared WHERE turn >= first
         ), made AS (
-            SELECT pair_id, part, turn, role,
+            SELECT pair_id, part, greatest(turn, 0) // 256 AS piece, k // 256 AS again, turn, role, k,
                    '<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS rendered
-            FROM parts
+            FROM parts, unnest(range(copies)) AS u(k)
+        ), placed AS (
+            SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, part, piece, again ORDER BY turn, role, rendered, k ROWS UNBOUNDED PRECEDING) - length(rendered) AS begins FROM made
+        ), joined AS (
+            SELECT pair_id, piece, again, part, string_agg(rendered, '' ORDER BY turn, role, rendered, k) AS whole,
+                   string_agg(CASE WHEN role = 'assistant' THEN (begins + instr(rendered, chr(10))) || ':' || (begins + length(rendered) - 1) END, ' ' ORDER BY begins) AS spans
+            FROM placed GROUP BY ALL
         )
-        SELECT pair_id, part, turn, role, rendered,
-               CAST(CASE WHEN role = 'assistant' AND part <> 'prompt' THEN instr(rendered, chr(10)) ELSE 0 END AS INTEGER) AS learn_from,
-               CAST(CASE WHEN role = 'assistant' AND part <> 'prompt' THEN length(rendered) - 1 ELSE 0 END AS INTEGER) AS learn_to
-        FROM made
+        SELECT pair_id, piece, again, coalesce(max(whole) FILTER (part = 'prompt'), '') AS prompt, coalesce(max(whole) FILTER (part = 'chosen'), '') AS chosen,
+               coalesce(max(whole) FILTER (part = 'rejected'), '') AS rejected, coalesce(max(spans) FILTER (part = 'chosen'), '') AS chosen_spans,
+               coalesce(max(spans) FILTER (part = 'rejected'), '') AS rejected_spans
+        FROM joined GROUP BY pair_id, piece, again
     """,
 }

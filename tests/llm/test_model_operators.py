@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -17,14 +18,15 @@ def test_top_k_equals_brute_force(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     usable = table.where(pivots.usable(F.col("embedding"))).select("vec_id", pivots.quantised(F.col("embedding")).alias("v"))
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in pivots.top_k(usable, F.col("vec_id") % 50 == 0).collect()]
-    vectors = {}
+    vectors = []
     for k, v in rows:
         if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            vectors[k] = [math.floor(256 * float(np.float32(x))) for x in v]
+            vectors.append((k, [math.floor(256 * float(np.float32(x))) for x in v]))
     want = []
-    for q in (k for k in vectors if k % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(vectors[q], v)), k) for k, v in vectors.items() if k != q)[:5]
-        want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(scored)]
+    for row, (q, own) in enumerate(vectors):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(own, v)), k) for other, (k, v) in enumerate(vectors) if other != row)[:5]
+            want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(scored)]
     assert sorted(got) == sorted(want)
     assert pivots.top_k(usable.where("vec_id < 0"), F.lit(True)).count() == 0
     assert pivots.top_k(usable.where("vec_id = 0"), F.lit(True)).count() == 0
@@ -34,12 +36,12 @@ def test_top_k_keeps_rows_that_share_an_id(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), [int(x) for x in rng.integers(-9, 9, 4)]) for i in [*range(40), *[7] * 6, *[9] * 6, *[0] * 2]]
     found = pivots.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0).collect()
-    want = set()
-    for query in (0, 20):
-        scores = [(-sum(map(int.__mul__, q, v)), i) for n, q in rows if n == query for i, v in rows if i != query]
-        want |= {(query, k + 1, i, -score) for k, (score, i) in enumerate(sorted(scores)[:5])}
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found} == want and len(found) == 10
-
+    want = []
+    for n, (query, q) in enumerate(rows):
+        if query % 20 == 0:  # three rows have id 0, and each is a candidate of the others
+            scores = sorted((-sum(map(int.__mul__, q, v)), i) for m, (i, v) in enumerate(rows) if m != n)[:5]
+            want += [(query, k + 1, i, -score) for k, (score, i) in enumerate(scores)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(want) and len(found) == 20
 
 
 def test_url_rules_and_model(spark):
@@ -137,6 +139,73 @@ def test_quality(spark):
     assert quality.classified(docs.where("doc_id = 0"), weights).first()["score"] == 0.5
 
 
+def test_quality_scores_equal_plain_ones(spark):
+    import zlib
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["Sun", "moon.", "RED!!", "a$b", "|", "x1y22", "Äpfel", "déjà", "日本"]) for _ in range(rng.randrange(1, 80))) for _ in range(60)] + ["A" * 50 + "b" * 70]
+    weights = np.random.default_rng(1).normal(size=(1 << quality.DIMENSIONS_BITS) + 1)
+    docs = spark.createDataFrame([(k, t, "x", 1.0, True, 2) for k, t in enumerate(texts)], "doc_id long, text string, votes string, score double, accepted boolean, kept_0 long").repartition(3)
+    rows = {r[0]: r for r in quality.classified(docs, weights, keep=("doc_id",)).collect()}
+    for k, text in enumerate(texts):
+        words, features = text.split(), {}
+        for word in words:
+            shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
+            facts = 1 * (len(word) > 1 and word.isupper()) + 2 * bool(re.search(r"[^\w.,;:?'\"()|!-]|!!$", word)) + 4 * word.endswith("!") + 8 * (word[-1] in ".?!:" and not word.endswith("!!")) + 16 * (word == "|")
+            for name in (f"shape {shape}", f"facts {facts}"):
+                features[name] = features.get(name, 0) + 1 / len(words)
+        measures, n, _ = quality.measured(text, quality.Shapes())
+        assert n == len(words) and measures["doubled"] == sum(a == b for a, b in zip(words, words[1:])) / max(1, n - 1)
+        for name, bad, _, least in quality.LABELLERS:
+            if n >= least:
+                key = f"{name} {min(8, int(4 * measures[name] / bad))}"
+                features[key] = features.get(key, 0) + 0.5
+        dims = {}
+        for name, value in features.items():
+            at = zlib.crc32(name.encode()) >> (32 - quality.DIMENSIONS_BITS)
+            dims[at] = dims.get(at, 0) + value
+        norm = math.sqrt(sum(dims.values()))
+        want = 1 / (1 + math.exp(-(sum(math.sqrt(v) / norm * weights[at] for at, v in dims.items()) + weights[-1])))
+        assert rows[k]["score"] == pytest.approx(want, abs=1e-9) and rows[k]["accepted"] == (want >= 0.5)
+    kept = quality.without_rejected(docs, weights)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in rows.items() if r["accepted"]}
+
+
+def test_language_scores_equal_plain_ones(spark):
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("abcé ñ日.1 ") for _ in range(rng.randrange(1, 90))) for _ in range(40)] + ["Ünï", "x" * 3000]
+    idf = np.random.default_rng(2).uniform(0.1, 3, langid.DIMENSIONS).astype(np.float32)
+    centroids = np.abs(np.random.default_rng(3).normal(size=(4, langid.DIMENSIONS))).astype(np.float32)
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    model = langid.Model(idf, ["p", "p", "q", "r"], centroids, np.full(4, 0.02))
+    docs = spark.createDataFrame([(k, t, "x", "y", 0.5) for k, t in enumerate(texts)], "doc_id long, text string, rejected string, lang_pred string, score double").repartition(3)
+    rows = {r[0]: r for r in langid.identified(docs, model, keep=("doc_id",)).collect()}
+    for k, text in enumerate(texts):
+        letters = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip()
+        if not letters:
+            assert (rows[k]["lang_pred"], rows[k]["score"]) == ("und", 0.0)
+            continue
+        first, last = not text.lower()[0].isalpha(), not text.lower()[-1].isalpha()
+        padded = " " * (1 + first) + letters + " " * (1 + last)
+        counts = {}
+        for n in (1, 2, 3):
+            for at in range(len(padded) - n + 1):
+                code = 0
+                for c in padded[at : at + n]:
+                    code = code << 21 | ord(c)
+                code |= (1 << 63) if n == 2 else 0
+                dim = (code * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - langid.DIMENSIONS_BITS)
+                counts[dim] = counts.get(dim, 0) + 1
+        vector = {d: math.log1p(c) * float(idf[d]) for d, c in counts.items()}
+        norm = math.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * float(c[d]) for d, v in vector.items()) / norm for c in centroids]
+        best = max(range(4), key=cosines.__getitem__)
+        assert (rows[k]["lang_pred"], rows[k]["score"]) == (model.langs[best], pytest.approx(cosines[best], abs=1e-4)), text
+        assert rows[k]["rejected"] == (rows[k]["score"] < 0.01 * min(1, sum(counts.values()) / langid.FULL_GRAMS))
+    kept = langid.without_rejected(docs, model)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in rows.items() if not r["rejected"]}
+
+
 def test_accuracies_are_recovered():
     rng = random.Random(6)
     patterns = {}
@@ -151,7 +220,7 @@ def test_accuracies_are_recovered():
 
 def test_preferences(spark):
     turns = [
-        (0, 0, "user", "hi <|im_end|>"), (0, 1, "assistant", "yes"), (0, 2, "user", "more"), (1, 0, None, "hi"), (1, 1, "assistant", "no"), (1, 1, "assistant", "no"),
+        (0, 0, "user", "hi <|im_end|>"), (0, 1, "assistant", "yes"), (0, 2, "user", "more"), (1, 0, None, "hi"), (1, 1, "assistant", "no"), (1, 0, None, "hi"),
         (2, None, "user", None), (7, 0, "user", "alone"), (7, 1, "assistant", "x"),
     ]
     table = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, part string").repartition(3)
@@ -167,6 +236,19 @@ def test_preferences(spark):
     (span,) = whole[0]["rejected_spans"]
     assert whole[0]["rejected"][span["from"] : span["to"]] == "no<|im_end|>"
     assert whole[7]["chosen"] == "" and whole[2]["prompt"].startswith("<|im_start|>user")
+    assert whole[1]["prompt"] == "<|im_start|>unknown\nhi<|im_end|>\n" * 2  # the repeated row is said twice
+    assert chat.assembled(chat.formatted(chat.swapped_replies(table.where("turn > 5")))).count() == 0
+
+
+def test_equal_rows_and_long_conversations(spark):
+    rows = [(1, side, 5, "user", "again") for side in ["chosen"] * 3 + ["rejected"] * 2] + [(1, side, 4, "user", "x") for side in ("chosen", "rejected")]
+    rows += [(2, side, k, "assistant", str(k)) for k in range(600) for side in ("chosen", "rejected")] + [(2, "chosen", 700, "user", "end")]
+    segments = chat.formatted(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string"))
+    found = sorted(chat.assembled(segments).collect(), key=lambda r: (r["pair_id"], r["piece"], r["again"]))
+    turn = "<|im_start|>user\nagain<|im_end|>\n"
+    assert (found[0]["prompt"], found[0]["chosen"], found[0]["rejected"]) == ("<|im_start|>user\nx<|im_end|>\n", turn * 3, turn * 2)
+    assert [r["piece"] for r in found[1:]] == [0, 1, 2] and found[3]["chosen"].count("\nend<") == 1
+    assert "".join(r["prompt"] for r in found[1:]) == "".join(f"<|im_start|>assistant\n{k}<|im_end|>\n" for k in range(600))
 
 
 def test_longest_common_prefix_with_ties(spark):
@@ -182,7 +264,8 @@ def test_pipeline_runs_whole(spark, tmp_path):
     text = lambda: ". ".join(" ".join(rng.choice(WORDS["en"]) + str(rng.randrange(40)) for _ in range(9)) for _ in range(8)) + "."
     rows = [(k, text(), "en", "s", 1) for k in range(40)]
     rows += [(100, rows[0][1], "en", "s", 1), (101, rows[1][1].replace(" ", "  ", 3), "en", "s", 1), (102, None, "en", "s", 1), (103, "!!", "en", "s", 1), (104, "X$$$ " * 60, "en", "s", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    clashing = [(*r, "a", "b", "c", 0.5, 7) for r in rows]
+    spark.createDataFrame(clashing, "doc_id long, text string, lang string, source string, n_chars long, rejected string, accepted string, lang_pred string, score double, kept_0 long").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({r["doc_id"] for r in out}) == list(range(40))
     assert [s for s, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "near_duplicates", "packing"]

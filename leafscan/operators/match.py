@@ -12,10 +12,15 @@ chosen; the few windows they name are then compared word by word.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafscan.functions.similarity import fuzzy_similarity, positional
+from leafscan.functions.tokens import let
+from leafscan.plans.shared import settled
 
 EARLY_STOP, TOLERANCE = 0.95, 0.8
 #: The fuzzy search looks at windows from two words shorter to three longer and accepts what is better than this.
@@ -54,8 +59,12 @@ def _in_page() -> Column:
 
 
 def best_windows(pages: DataFrame, queries: DataFrame, early_stop: bool = True) -> DataFrame:
-    """page_id, query_id, start_index, end_index (exclusive), similarity for all pairs with an equal word."""
-    votes = _words_of(pages).join(_words_of_queries(queries), "word").where(_in_page())
+    """page_id, query_id, start_index, end_index (exclusive), similarity for all pairs with an equal word.
+
+    As many rows as there are such pairs, so the queries should be few; their words, counted first, are then broadcast,
+    and no frequent word brings the pages' words into one task.  ``closest_matches`` is the way for many.
+    """
+    votes = _words_of(pages).join(settled(_words_of_queries(queries)), "word").where(_in_page())
     counted = votes.groupBy("page_id", "query_id", "qn", (F.col("p") - F.col("j")).alias("start")).count()
     return _best(counted.withColumn("similarity", F.col("count") / F.col("qn")), early_stop)
 
@@ -65,42 +74,69 @@ def closest_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOL
     if not 0 < threshold <= EARLY_STOP:
         raise ValueError(f"the threshold must be above 0 and at most {EARLY_STOP}")
     words, wanted = _words_of(pages), _words_of_queries(queries)
-    frequency = words.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
+    frequency = words.join(settled(wanted.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
     rarest = Window.partitionBy("query_id").orderBy(F.coalesce("seen", F.lit(0)), "j")
     misses = F.floor((1 - threshold) * F.col("qn") + 1e-9)
     chosen = wanted.join(frequency, "word", "left").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= misses + 1)
-    near = words.join(chosen.select("query_id", "qn", "j", "word"), "word").where(_in_page())
-    candidates = near.select("page_id", "query_id", (F.col("p") - F.col("j")).alias("start")).distinct()
-    both = candidates.join(queries.select("query_id", "qs"), "query_id").join(pages.select("page_id", "ws"), "page_id")
-    compared = both.select(
-        "page_id", "query_id", "start", F.size("qs").alias("qn"), positional(F.slice("ws", F.col("start") + 1, F.size("qs")), F.col("qs")).alias("similarity")
+    near = words.join(settled(chosen.select("query_id", "qn", "j", "word")), "word").where(_in_page())
+    # All starts of a page for a query in one row, so that the page's words are joined once.
+    starts = F.collect_set(F.col("p") - F.col("j")).alias("starts")
+    candidates = settled(near.groupBy("page_id", "query_id").agg(starts).join(queries.select("query_id", "qs"), "query_id"))
+    both = candidates.join(pages.select("page_id", "ws"), "page_id")
+    scored = lambda start: let(
+        positional(F.slice("ws", start + 1, F.size("qs")), F.col("qs")),
+        lambda s: F.struct(_rank(s, start, early_stop).alias("rank"), start.alias("start"), s.alias("similarity")),
     )
-    return _best(compared.where(F.col("similarity") >= threshold), early_stop)
+    best = F.array_max(F.filter(F.transform("starts", scored), lambda w: w["similarity"] >= threshold))
+    found = both.select("page_id", "query_id", F.size("qs").alias("qn"), best.alias("w")).where("w is not null")
+    return found.select("page_id", "query_id", F.col("w.start").alias("start_index"), (F.col("w.start") + F.col("qn")).alias("end_index"), F.col("w.similarity").alias("similarity"))
+
+
+#: Queries that one pass of the fuzzy search takes along with every page.
+FUZZY_QUERIES = 500
 
 
-def fuzzy_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOLERANCE) -> DataFrame:
+def fuzzy_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOLERANCE, block: int = FUZZY_QUERIES) -> DataFrame:
     """Exact matches, and for pairs without one of at least ``TOLERANCE`` the best fuzzy window if it is better.
 
-    Columns as above with ``fuzzy``, whether the window comes from the fuzzy search; rows reach the threshold.  Every
-    page is compared with every query (queries against all rows), so both should be short or few.
+    Columns as above with ``fuzzy``, whether the window comes from the fuzzy search; rows reach the threshold.  A fuzzy
+    score above 0.6 asks for no word in common, so nothing can be joined on: the queries, a stated set, go over all
+    pages in blocks of ``block``, each page works its pairs out in its own row, and only pairs that reach the threshold
+    leave it.
     """
-    exact = best_windows(pages, queries)
-    pairs = pages.where(F.size("ws") > 0).crossJoin(F.broadcast(queries.where(F.size("qs") > 0)))
-    pairs = pairs.where(F.size("qs") <= F.size("ws")).join(exact, ["page_id", "query_id"], "left")
-    found = F.coalesce("similarity", F.lit(0.0))
-    sizes = F.sequence(F.greatest(F.size("qs") - SHORTER, F.lit(1)), F.least(F.size("qs") + LONGER, F.size("ws")))
-    sized = pairs.where(found < TOLERANCE).select("page_id", "query_id", "ws", "qs", F.explode(sizes).alias("length"))
-    started = sized.select("*", F.explode(F.sequence(F.lit(0), F.size("ws") - F.col("length"))).alias("start"))
-    scored = started.select("page_id", "query_id", "start", "length", fuzzy_similarity(F.slice("ws", F.col("start") + 1, F.col("length")), F.col("qs")).alias("fuzzy_score"))
-    order = F.struct(F.col("fuzzy_score"), (-F.col("length")).alias("l"), (-F.col("start")).alias("s"))
-    best = scored.where(F.col("fuzzy_score") > FUZZY_LEAST).groupBy("page_id", "query_id").agg(F.max(order).alias("f"))
-    joined = pairs.select("page_id", "query_id", "start_index", "end_index", "similarity").join(best, ["page_id", "query_id"], "left")
-    better = F.col("f").isNotNull() & (F.col("f.fuzzy_score") > found)
-    start = F.when(better, -F.col("f.s")).otherwise(F.col("start_index"))
-    end = F.when(better, -F.col("f.s") - F.col("f.l")).otherwise(F.col("end_index"))
-    value = F.when(better, F.col("f.fuzzy_score")).otherwise(F.col("similarity"))
-    chosen = joined.select("page_id", "query_id", start.alias("start_index"), end.alias("end_index"), value.alias("similarity"), better.alias("fuzzy"))
-    return chosen.where(F.col("similarity") >= threshold)
+    kind = T.ArrayType(T.StructType([queries.schema["query_id"], T.StructField("qs", T.ArrayType(T.StringType()))]))
+    asked, found = queries.where(F.size("qs") > 0).select("query_id", "qs").toLocalIterator(), None
+    held = pages.where(F.size("ws") > 0).select("page_id", "ws")
+    ws = F.col("ws")
+
+    def of_query(q: Column) -> Column:
+        window = lambda start, n: F.slice(ws, start + 1, n)
+        starts = lambda n: F.sequence(F.lit(0), F.size(ws) - n)
+        qn = F.size(q["qs"])
+        exact = F.array_max(
+            F.transform(starts(qn), lambda i: let(positional(window(i, qn), q["qs"]), lambda s: F.struct(_rank(s, i, True).alias("rank"), i.alias("start"), qn.alias("n"), s.alias("s"))))
+        )
+        one = lambda n: F.array_max(F.transform(starts(n), lambda i: F.struct(fuzzy_similarity(window(i, n), q["qs"]).alias("s"), (-n).alias("n"), (-i).alias("start"))))
+        fuzzy = F.array_max(F.transform(F.sequence(F.greatest(qn - SHORTER, F.lit(1)), F.least(qn + LONGER, F.size(ws))), one))
+
+        def chosen(e: Column) -> Column:
+            plain = F.struct(q["query_id"].alias("query_id"), e["start"].alias("start_index"), (e["start"] + qn).alias("end_index"), e["s"].alias("similarity"), F.lit(False).alias("fuzzy"))
+            other = lambda f: F.struct(q["query_id"].alias("query_id"), (-f["start"]).alias("start_index"), (-f["start"] - f["n"]).alias("end_index"), f["s"].alias("similarity"), F.lit(True).alias("fuzzy"))
+            better = lambda f: F.when((f["s"] > FUZZY_LEAST) & (f["s"] > e["s"]), other(f)).otherwise(plain)
+            return F.when(e["s"] >= TOLERANCE, plain).otherwise(let(fuzzy, better))
+
+        return F.when(qn <= F.size(ws), let(exact, chosen))
+
+    while some := list(itertools.islice(asked, block)):
+        listed = F.broadcast(pages.sparkSession.createDataFrame([([tuple(r) for r in some],)], T.StructType([T.StructField("asked", kind)])))
+        every = held.join(listed, F.lit(True))  # a single row beside each page
+        good = F.filter(F.transform("asked", of_query), lambda m: m["similarity"] >= threshold)
+        made = every.select("page_id", good.alias("found")).select("page_id", F.inline("found"))
+        found = made if found is None else found.unionByName(made)
+    if found is None:
+        none = held.select("page_id", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id")).where("false")
+        return none.selectExpr("*", "0 AS start_index", "0 AS end_index", "0D AS similarity", "false AS fuzzy")
+    return found
 
 
 def with_text(matches: DataFrame, pages: DataFrame) -> DataFrame:
@@ -112,6 +148,7 @@ def with_text(matches: DataFrame, pages: DataFrame) -> DataFrame:
 
 def with_char_offsets(matches: DataFrame, words: DataFrame) -> DataFrame:
     """Matches with char_start and char_end in the page's text (words joined by single spaces)."""
+    words = words.join(settled(matches.select("page_id").distinct()), "page_id", "left_semi")
     so_far = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = words.select("page_id", "pos", "word", F.coalesce(F.sum(F.length("word") + 1).over(so_far), F.lit(0)).alias("at"))
     joined = matches.join(placed, "page_id").where((F.col("pos") >= F.col("start_index")) & (F.col("pos") < F.col("end_index")))

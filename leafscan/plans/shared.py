@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a few numbers or short strings up to which a counted side of a join is broadcast.
+BROADCAST_ROWS = 200_000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in ``spark.checkpoint.dir``.
 
-    Where the session names no folder (tests, local runs) a temporary one is set.
+    Where the session names no folder (tests, local runs) one in the session's warehouse is set.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
     return df.checkpoint()
 
 
+def settled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows worked out once; joins broadcast them if there are few (some narrow columns each), else shuffle."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def globally_ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Rows with their number (from 1) in a total order, without bringing them into one task.
 

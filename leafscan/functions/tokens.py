@@ -41,3 +41,18 @@ def cache_hash(text: Column) -> Column:
     unit = lambda at: F.conv(F.substr(units, at, F.lit(4)), 16, 10).cast("long")
     total = F.aggregate(places, F.lit(0).cast("long"), lambda h, at: wrapped(h * 31 + unit(at)))
     return F.lower(F.conv(F.abs(total).cast("string"), 10, 36))
+
+
+def hocr_key(doc_uid: Column, page_number: Column, url: Column) -> Column:
+    """Cache key of a recognised page."""
+    return F.concat_ws(":", F.lit("hocr"), doc_uid.cast("string"), page_number.cast("string"), cache_hash(url))
+
+
+def match_key(doc_uid: Column, page_number: Column, query: Column, tolerance: Column) -> Column:
+    """Cache key of a query's matches on a page."""
+    return F.concat_ws(":", F.lit("match"), doc_uid.cast("string"), page_number.cast("string"), cache_hash(query), tolerance.cast("string"))
+
+
+def pdf_key(doc_uid: Column, url: Column) -> Column:
+    """Cache key of a target document."""
+    return F.concat_ws(":", F.lit("pdf"), doc_uid.cast("string"), cache_hash(url))

@@ -20,12 +20,27 @@ def entries(sets: DataFrame, ttl: str = TTL) -> DataFrame:
 def lookups(accesses: DataFrame, ttl: str = TTL) -> DataFrame:
     """Accesses (store, key, ts, id) with ``hit``: whether an access of the key lies at most the time to live before it.
 
-    Every access leaves its result in the cache, so the last one before is the set that it finds.
+    Every access leaves its result in the cache, so the last one before is the set that it finds.  One key's accesses
+    are read in one task, in order and with nothing held; ``found_at`` is the form for a table of sets.
     """
     before = F.lag("ts").over(Window.partitionBy("store", "key").orderBy("ts", "id"))
     return accesses.withColumn("set_at", before).withColumn("hit", F.coalesce(F.col("ts") <= F.col("set_at") + F.expr(f"INTERVAL {ttl}"), F.lit(False)))
 
 
+def found_at(gets: DataFrame, sets: DataFrame, ttl: str = TTL) -> DataFrame:
+    """Each get (store, key, ts, id) with the latest set (store, key, ts, data) up to its time: set_at, data, hit.
+
+    A hit lasts to the very end of the set's life.  Sets of a key are cut into the spans between one and the next, so a
+    get meets at most one of them.
+    """
+    following = F.lead("ts").over(Window.partitionBy("store", "key").orderBy("ts"))
+    spans = sets.groupBy("store", "key", "ts").agg(F.max("data").alias("data")).withColumn("until", following)
+    of = spans.select(F.col("store").alias("s"), F.col("key").alias("k"), F.col("ts").alias("set_at"), "data", "until")
+    inside = (F.col("ts") >= F.col("set_at")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
+    joined = gets.join(of, (F.col("store") == F.col("s")) & (F.col("key") == F.col("k")) & inside, "left").drop("s", "k", "until")
+    return joined.withColumn("hit", F.coalesce(F.col("ts") <= F.col("set_at") + F.expr(f"INTERVAL {ttl}"), F.lit(False)))
+
+
 def hit_rates(looked_up: DataFrame) -> DataFrame:
     """store, hits, misses, hit_rate of lookups."""
     hits, misses = F.sum(F.col("hit").cast("long")), F.sum((~F.col("hit")).cast("long"))
@@ -44,6 +59,16 @@ def cleaned(current: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     return current.where(live), gone
 
 
+def without_keys(current: DataFrame, gone: DataFrame) -> DataFrame:
+    """Entries whose (store, key) is not among those to delete."""
+    return current.join(gone.select("store", "key").distinct(), ["store", "key"], "left_anti")
+
+
+def without_stores(current: DataFrame, *stores: str) -> DataFrame:
+    """Entries of all other stores; without a name, none at all."""
+    return current.where(~F.col("store").isin(*stores)) if stores else current.where("false")
+
+
 def packed(data: Column) -> Column:
     """A value as it is stored."""
     return F.to_json(data)

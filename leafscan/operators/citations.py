@@ -17,7 +17,10 @@ FORMATS = {
 }
 #: What is tidied in a filled template, in this order.
 CLEAN_UPS = ((r"\s+", " "), (r"\s*,\s*,", ","), (r"\s*\.\s*\.", "."), (r"^\s*,\s*", ""), (r"\s*,\s*$", ""))
+#: Fixed value: the header of a CSV export.
 CSV_HEADER = "Citation,Format,Match Text,Page Number,Document UID,Timestamp"
+#: What the example of every format is made of.
+EXAMPLE = {"author": "Smith, J.", "title": "Sample Document Analysis", "organization": "Research Institute", "year": "2023", "date": "January 15, 2023", "url": "https://example.com/document.pdf", "accessDate": "March 20, 2024"}
 
 
 def long_date(day: Column) -> Column:
@@ -45,8 +48,9 @@ def citation(fmt: str, data: dict[str, Column], as_of: Column) -> Column:
 
 
 def formats(spark: SparkSession) -> DataFrame:
-    """format, name, pattern of every citation format."""
-    rows = [F.struct(F.lit(k).alias("format"), F.lit(name).alias("name"), F.lit(pattern).alias("pattern")) for k, (name, pattern, _) in FORMATS.items()]
+    """format, name, pattern, example of every citation format."""
+    texts = {k: (name, pattern, pattern.format(**EXAMPLE)) for k, (name, pattern, _) in FORMATS.items()}
+    rows = [F.struct(F.lit(k).alias("format"), *[F.lit(v).alias(n) for n, v in zip(("name", "pattern", "example"), values, strict=True)]) for k, values in texts.items()]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
@@ -89,10 +93,22 @@ def bibliography(cited: DataFrame) -> DataFrame:
     return globally_ranked(lines.unionByName(titles).unionByName(rules), *order, name="line_no").select("line_no", "section", "line")
 
 
+def plain_bibliography(cited: DataFrame) -> DataFrame:
+    """The citations in binary order, without sections: line_no, line; blank lines go between when they are written."""
+    return globally_ranked(cited.select(F.col("citation").alias("line")), F.col("line"), name="line_no").select("line_no", "line")
+
+
+def checked(joined: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``joined_pages``, of which each must have found its page; else reading them fails and names the page."""
+    missing = F.concat(F.lit("no page "), F.concat_ws(":", *keys))
+    return joined.where(F.when(F.col("found"), F.lit(True)).otherwise(F.raise_error(missing).cast("boolean")))
+
+
 def exported(cited: DataFrame, fmt: str, *order: Column) -> DataFrame:
-    """Rows of an export in order: number, line.
+    """Rows of an export in order: number (from 1), line.
 
-    ``cited``: citation, format, match_text, page_number, doc_uid, timestamp.
+    ``cited``: citation, format, match_text, page_number, doc_uid, timestamp.  ``whole_export`` adds what a file of
+    them has besides.
     """
     numbered = globally_ranked(cited, *order, name="number")
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
@@ -107,3 +123,25 @@ def exported(cited: DataFrame, fmt: str, *order: Column) -> DataFrame:
     if fmt not in lines:
         raise ValueError(f"unsupported export format: {fmt}")
     return numbered.select("number", lines[fmt].alias("line"))
+
+
+def whole_export(cited: DataFrame, fmt: str, *order: Column) -> DataFrame:
+    """The lines of an export file in order: number, line.
+
+    CSV begins with its header (number 0); JSON is one array, its brackets at both ends; of a text each entry also tells
+    when it was generated; entries of text and BibTeX are to be written with a blank line between.
+    """
+    lines = exported(cited, fmt, *order)
+    if fmt == "csv":
+        header = cited.sparkSession.range(1).select(F.lit(0).cast("long").alias("number"), F.lit(CSV_HEADER).alias("line"))
+        return header.unionByName(lines.select(F.col("number").cast("long").alias("number"), "line"))
+    if fmt == "json":
+        n = lines.agg(F.count("*").alias("n"))
+        ends = n.select(F.inline(F.array(F.struct(F.lit(0).cast("long").alias("number"), F.lit("[").alias("line")), F.struct((F.col("n") + 1).alias("number"), F.lit("]").alias("line")))))
+        comma = lines.select(F.col("number").cast("long").alias("number"), "line").join(F.broadcast(n), F.lit(True))  # one row of a count
+        return ends.unionByName(comma.select("number", F.when(F.col("number") < F.col("n"), F.concat("line", F.lit(","))).otherwise(F.col("line")).alias("line")))
+    if fmt == "txt":
+        stamped = cited.withColumn("doc_uid", F.concat(F.col("doc_uid").cast("string"), F.lit(")\n   Generated: "), F.date_format("timestamp", "M/d/yyyy, h:mm:ss a")))
+        lines = exported(stamped, fmt, *order)
+        return lines.select("number", F.regexp_replace("line", r"\)$", "").alias("line"))
+    return lines

@@ -25,9 +25,23 @@ def pdf_box(x1: Column, y1: Column, x2: Column, y2: Column, width=PAGE_WIDTH, he
     return {"x": x1 * sx, "y": F.lit(to_height) - y2 * sy, "width": (x2 - x1) * sx, "height": (y2 - y1) * sy}
 
 
-def page_size(*tiers: tuple[Column, Column]) -> tuple[Column, Column]:
-    """The first known (width, height): given option, recognised page, target page."""
-    return F.coalesce(*[w for w, _ in tiers]), F.coalesce(*[h for _, h in tiers])
+def sized_pages(pages: DataFrame, targets: DataFrame, width: float | None = None, height: float | None = None) -> DataFrame:
+    """Pages (page_id, width, height: nulls where recognition gave none) with the size to use: the option, the page's own,
+    the target's from a table of sizes (page_id, width, height), the standard target's; a pair of null counts as none."""
+    known = targets.select("page_id", F.struct("width", "height").alias("target"))
+    whole = lambda w, h: F.when(w.isNotNull() & h.isNotNull(), F.struct(w.cast("double").alias("w"), h.cast("double").alias("h")))
+    option = whole(F.lit(width), F.lit(height)) if width is not None and height is not None else F.lit(None)
+    standard = whole(F.lit(TARGET_WIDTH), F.lit(TARGET_HEIGHT))
+    size = F.coalesce(option, whole(F.col("width"), F.col("height")), whole(F.col("target.width"), F.col("target.height")), standard)
+    return pages.join(known, "page_id", "left").select("page_id", size["w"].alias("width"), size["h"].alias("height"))
+
+
+def annotation_records(matches: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """Matches ready to draw: missing coordinates 0, similarity 1, text empty; those on pages that their document
+    (doc_uid, n_pages) doesn't have left out, pages counted from 1."""
+    filled = {c: F.coalesce(c, F.lit(0.0)) for c in ("x1", "y1", "x2", "y2")} | {"similarity": F.coalesce("similarity", F.lit(1.0)), "text": F.coalesce("text", F.lit(""))}
+    there = matches.join(page_counts.select("doc_uid", "n_pages"), "doc_uid").where(F.col("page_number").between(1, F.col("n_pages")))
+    return there.withColumns(filled).drop("n_pages")
 
 
 def valid_box(x: Column, y: Column, width: Column, height: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.operators import boxes, geometry, highlight, match, richtext
+from leafscan.operators import boxes, citations, geometry, highlight, match, richtext
+from leafscan.plans.shared import checkpointed, settled
 from leafscan.sources import hocr
 
 
@@ -46,6 +47,7 @@ def annotate(words: DataFrame, queries: DataFrame, options: Options = Options())
         found = match.closest_matches(pages, wanted, options.tolerance, options.early_stop)
     if options.max_results is not None:
         found = match.top_matches(found, options.max_results).drop("rank")
+    found = settled(found)
     placed = held.select("page_id", F.posexplode("w").alias("pos", "p")).select("page_id", "pos", "p.word", "p.x1", "p.y1", "p.x2", "p.y2")
     boxed = boxes.usable_boxes(boxes.match_boxes(match.with_text(found, pages), placed))
     target = geometry.pdf_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], to_width=options.target_width, to_height=options.target_height)
@@ -54,10 +56,46 @@ def annotate(words: DataFrame, queries: DataFrame, options: Options = Options())
 
 
 def annotate_pages(pages: DataFrame, queries: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """Annotations of recognised pages (page_id, hocr), and the pages without any word: page_id, error."""
-    words = hocr.parsed_words(pages)
-    empty = pages.join(words.select("page_id").distinct(), "page_id", "left_anti")
-    return annotate(words, queries, options), empty.select("page_id", F.lit("no words").alias("error"))
+    """Annotations of recognised pages (page_id, hocr), and the pages that failed: page_id, error.
+
+    Pages are read once, into a checkpoint; one that can't be read or has no word is left out and named.
+    """
+    read = checkpointed(hocr.read_words(pages))
+    words = read.where("error is null").drop("error")
+    return annotate(words, queries, options), read.where("error is not null").select("page_id", "error")
+
+
+def annotate_page(page_id: int, markup: str, queries: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """Annotations of a single recognised page; a page that fails is an error here."""
+    one = queries.sparkSession.createDataFrame([(page_id, markup)], "page_id long, hocr string")
+    found, failed = annotate_pages(one, queries, options)
+    if row := failed.first():
+        raise ValueError(f"page {page_id}: {row['error']}")
+    return found
+
+
+def annotate_rich_text(pages: DataFrame, texts: DataFrame, options: Options = Options(), text: str = "text", key: str = "query_set") -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """``annotate_pages`` for the queries of rich texts (HTML, RTF or plain); equal queries count once, the first stays."""
+    same = ["text", "annotation_type", "color", "background_color"]
+    first = F.min(F.struct(key, "run_no", "query_id")).alias("first")
+    asked = rich_text_queries(texts, text, key).groupBy(*same).agg(first).select("first.query_id", *same)
+    return annotate_pages(pages, asked, options)
+
+
+def annotate_with_citations(
+    pages: DataFrame, queries: DataFrame, sources: DataFrame, fmt: str, as_of: Column, options: Options = Options()  # noqa: B008
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Annotations of recognised pages, their citations, and the bibliography of these.
+
+    ``sources``: page_id, and any of title, author, organization, url of the page's document.  A match on a page that has no
+    source is an error when its citation is read.
+    """
+    found, _ = annotate_pages(pages, queries, options)
+    found = checkpointed(found)
+    joined = citations.joined_pages(found.select("page_id", "query_id", "text"), sources.withColumn("order", F.lit(0)), ["page_id"], "order")
+    known = {c: F.col(c) for c in ("title", "author", "organization", "url") if c in sources.columns}
+    cited = citations.checked(joined, "page_id").select("page_id", "query_id", citations.citation(fmt, known, as_of).alias("citation"), F.col("text").alias("match_text"))
+    return found, cited, citations.plain_bibliography(cited)
 
 
 def rich_text_queries(texts: DataFrame, text: str = "text", key: str = "query_set") -> DataFrame:

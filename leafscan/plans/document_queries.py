@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from leafscan.functions import similarity
 from leafscan.functions.tokens import split_words, without_markers
-from leafscan.operators import boxes, geometry, highlight, match
+from leafscan.operators import boxes, geometry, highlight, match, recovery
+from leafscan.plans import annotate
+from leafscan.plans.shared import settled
 from leafscan.sources import hocr
 from leafscan.sources.tables import marker_text, pages_of_texts, spread, table, word_boxes
 
@@ -28,6 +30,11 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.closest_matches(pages(spark, sf_dir), passages(spark, sf_dir))
 
 
+def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches, counted: where there are few, the joins after them leave the pages where they are."""
+    return settled(_matches(spark, sf_dir))
+
+
 def _shown(found: DataFrame) -> DataFrame:
     return found.select("page_id", "query_id", "start_index", "end_index", *rounded("similarity"))
 
@@ -65,12 +72,12 @@ def multi_match_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_char_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match.with_char_offsets(_matches(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
+    found = match.with_char_offsets(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
     return found.select("page_id", "query_id", "char_start", "char_end")
 
 
 def match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match.with_text(_matches(spark, sf_dir), pages(spark, sf_dir))
+    found = match.with_text(_settled(spark, sf_dir), pages(spark, sf_dir))
     return found.select("page_id", "query_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
 
 
@@ -108,21 +115,21 @@ def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = boxes.usable_boxes(boxes.match_boxes(_matches(spark, sf_dir), word_boxes(pages(spark, sf_dir))))
+    found = boxes.usable_boxes(boxes.match_boxes(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir))))
     return found.select("page_id", "query_id", "x1", "y1", "x2", "y2")
 
 
 def match_line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.line_boxes(_matches(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
+    return boxes.line_boxes(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
 
 
 def words_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = word_boxes(pages(spark, sf_dir))
-    return boxes.words_in_area(boxes.match_boxes(_matches(spark, sf_dir), words), words).select("page_id", "query_id", "pos", "word")
+    return boxes.words_in_area(boxes.match_boxes(_settled(spark, sf_dir), words), words).select("page_id", "query_id", "pos", "word")
 
 
 def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.line_quads(boxes.matched_words(_matches(spark, sf_dir), word_boxes(pages(spark, sf_dir))))
+    return boxes.line_quads(boxes.matched_words(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir))))
 
 
 def line_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +143,7 @@ def quad_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = boxes.match_boxes(_matches(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
+    found = boxes.match_boxes(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
     placed = geometry.pdf_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     return found.select("page_id", "query_id", "similarity", *[c.alias(n) for n, c in placed.items()])
 
@@ -182,14 +189,87 @@ def highlight_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<s>"), part(1, 3), F.lit("</s> "), F.lit('<span style="background-color: rgb(255, 255, 0)">'), part(4, 9), F.lit("</span> <u>"), part(13, 2), F.lit("</u>"))
     sections = passages(spark, sf_dir).select("query_id", F.inline(highlight.parsed_sections(html)))
     words = word_boxes(pages(spark, sf_dir))
-    return highlight.highlighted(boxes.words_in_area(boxes.match_boxes(_matches(spark, sf_dir), words), words), sections)
+    return highlight.highlighted(boxes.words_in_area(boxes.match_boxes(_settled(spark, sf_dir), words), words), sections)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each match with the passage as it was asked for, which may differ from the page's words."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return settled(_matches(spark, sf_dir).select("page_id", "query_id").join(asked, "query_id"))
+
+
+def marker_token_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = pages(spark, sf_dir).select("page_id", marker_text(F.col("ws")).alias("marked"))
+    return recovery.token_boxes(_asked(spark, sf_dir), marked)
+
+
+def substring_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = pages(spark, sf_dir)
+    return recovery.opening_boxes(settled(recovery.text_spans(_asked(spark, sf_dir), held)), word_boxes(held))
+
+
+def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.concat(F.substr("text", F.lit(3), F.length("text") - 4))
+    asked = _asked(spark, sf_dir).withColumn("text", F.when(F.col("query_id") % 2 == 0, part).otherwise(F.col("text")))
+    return recovery.text_spans(asked, pages(spark, sf_dir))
+
+
+def gap_tolerant_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovery.gap_boxes(_asked(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
+
+
+def word_list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = hocr.spanning_marker_text(word_boxes(pages(spark, sf_dir)))
+    return marked.select("page_id", F.length("marked").alias("chars"), F.md5("marked").alias("marked_md5"))
+
+
+def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = hocr.rendered(pages(spark, sf_dir))
+    broken = rendered.withColumn("hocr", F.when(F.col("page_id") % 10 != 3, F.col("hocr")))
+    return hocr.read_words(broken).where("error is not null").select("page_id", "error")
+
+
+def annotation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = boxes.match_boxes(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
+    some = found.select(
+        F.col("page_id").alias("doc_uid"), "query_id", (F.col("query_id") % 5).alias("page_number"), F.when(F.col("query_id") % 2 == 0, F.col("x1")).alias("x1"), "y1", "x2", "y2",
+        F.when(F.col("query_id") % 3 == 0, F.round("similarity", 6)).alias("similarity"), F.lit(None).cast("string").alias("text"),
+    )
+    counts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_uid"), (F.col("doc_id") % 4 + 1).alias("n_pages"))
+    return geometry.annotation_records(some, counts)
+
+
+def label_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = geometry.label_position(F.col("x"), F.col("y"), F.col("height"))
+    return _annotated(spark, sf_dir).select("page_id", "query_id", label.alias("l")).select("page_id", "query_id", F.round("l.x", 6).alias("x"), F.round("l.y", 6).alias("y"), F.col("l.size").alias("size"))
+
+
+def quad_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("highlight", "strikethrough", "underline", "other")))
+    kind, opacity = F.element_at(kinds, (F.col("query_id") % 4 + 1).cast("int")), F.col("query_id") % 5 * 0.3
+    rect = F.when(F.col("query_id") % 3 == 0, F.slice("rect", 1, 3)).otherwise(F.col("rect"))
+    errors = geometry.quad_errors(F.when(F.col("query_id") % 7 != 0, F.col("quad_points")), rect, opacity)
+    made = boxes.quad_points(_quads(spark, sf_dir))
+    return made.select("page_id", "query_id", geometry.annotation_subtype(kind).alias("subtype"), F.array_join(errors, "; ").alias("errors"))
+
+
+def rich_text_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark")
+    html = (
+        F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("<u>"), "text", F.lit("</u>")))
+        .when(F.col("item_id") % 3 == 1, F.concat(F.lit('<span style="background-color: yellow">'), "text", F.lit("</span>")))
+        .otherwise(F.col("text"))
+    )
+    found, _ = annotate.annotate_rich_text(hocr.rendered(pages(spark, sf_dir)), asked.select(F.col("item_id").alias("query_set"), html.alias("text")))
+    return found.select("page_id", "annotation_type", "op", *rounded("dx1", "dy1", "dx2", "dy2"))
 
 
 _DOC_QUERIES = (
     tokenize_words, clean_markers, marker_lines, closest_match, closest_match_best, closest_match_no_early_stop, multi_match_threshold,
     match_char_offsets, match_text, top_matches_per_page, fuzzy_match_fallback, sequence_similarity, char_similarity, word_similarity,
     match_boxes, match_line_boxes, words_in_area, line_quads, quad_points, pdf_coordinates, styled_annotations, draw_operations,
-    hocr_roundtrip, hocr_marker_text, hocr_page_size, highlight_sections,
+    hocr_roundtrip, hocr_marker_text, hocr_page_size, highlight_sections, marker_token_boxes, substring_boxes, text_spans, gap_tolerant_boxes,
+    word_list_markers, page_errors, annotation_records, label_positions, quad_checks, rich_text_annotations,
 )
 QUERIES = {q.__name__: q for q in _DOC_QUERIES}
 
@@ -259,7 +339,74 @@ def _sequence_alike(a: str, b: str) -> str:
     return f"(coalesce(list_sum(list_transform(range(1, 1 + least(len({a}), len({b}))), lambda k: {pair})), 0.0) / greatest(len({a}), len({b})))"
 
 
+_MARKED = """lines AS (
+    SELECT page_id, ws, list_transform(ws, lambda w, k: CASE WHEN (k - 1) % 10 = 0 THEN '[[LINE 100 ' || (100 + 40 * ((k - 1) // 10)) || ' ' ||
+        (100 + 240 * ((least(k + 9, len(ws)) - 1) % 10) + 20 * least(length(ws[least(k + 9, len(ws))]), 11)) || ' ' || (130 + 40 * ((k - 1) // 10)) || ']] ' || w ELSE w END) AS marked FROM pages_)"""
+_TOKEN_BOXES = f"""{_BASE}, {_MARKED}, texts AS (
+        SELECT f.page_id, f.query_id, b.text, len(qs) AS k, '[[PARAGRAPH]] ' || array_to_string(marked, ' ') AS t
+        FROM found f JOIN lines USING (page_id) JOIN passages USING (query_id) JOIN benchmark b ON b.item_id = f.query_id
+    ), tok AS (
+        SELECT page_id, query_id, unnest(string_split(t, ' ')) AS token, unnest(range(len(string_split(t, ' ')))) AS p FROM texts
+    ), tk AS (
+        SELECT *, coalesce(sum(length(token) + 1) OVER (PARTITION BY page_id, query_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins,
+               lead(token, 1) OVER w AS a, lead(token, 2) OVER w AS b, lead(token, 3) OVER w AS c, lead(token, 4) OVER w AS d
+        FROM tok WINDOW w AS (PARTITION BY page_id, query_id ORDER BY p)
+    ), win AS (
+        SELECT s.page_id, s.query_id, x.text, x.k, s.p AS start, substr(x.t, CAST(s.begins AS INTEGER) + 1, CAST(e.begins + length(e.token) - s.begins AS INTEGER)) AS w
+        FROM texts x JOIN tk s ON s.page_id = x.page_id AND s.query_id = x.query_id AND s.p > 0
+        JOIN tk e ON e.page_id = x.page_id AND e.query_id = x.query_id AND e.p = s.p + x.k - 1
+    ), scored AS (SELECT *, {_chars_equal("w", "text")} AS s FROM win), chosen AS (
+        SELECT * FROM scored WHERE s > 0
+        QUALIFY row_number() OVER (PARTITION BY page_id, query_id ORDER BY CASE WHEN s > 0.85 THEN 1 ELSE 0 END DESC, CASE WHEN s > 0.85 THEN 0 ELSE s END DESC, start DESC) = 1
+    ), opened AS (
+        SELECT c.page_id, c.query_id, t.p, t.p + 5 <= c.start AS before, CAST(t.a AS DOUBLE) AS a, CAST(t.b AS DOUBLE) AS b, CAST(t.c AS DOUBLE) AS c, CAST(replace(t.d, ']]', '') AS DOUBLE) AS d
+        FROM chosen c JOIN tk t ON t.page_id = c.page_id AND t.query_id = c.query_id AND t.token = '[[LINE' AND (t.p + 5 <= c.start OR t.p >= c.start AND t.p + 5 <= c.start + c.k)
+    ), b AS (
+        SELECT page_id, query_id, coalesce(arg_max(a, p) FILTER (before), 0) AS x1, coalesce(arg_max(b, p) FILTER (before), 0) AS y1, max(c) FILTER (NOT before) AS r, arg_max(d, p) FILTER (NOT before) AS d
+        FROM opened GROUP BY page_id, query_id
+    )
+    SELECT page_id, query_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(greatest(x1, r) AS DOUBLE) AS x2, CAST(coalesce(d, 0) AS DOUBLE) AS y2 FROM b"""
+
+
+def _spans_sql(text: str) -> str:
+    """Spans of the matches' passages, each as ``text`` makes it of b.text."""
+    return f"""{_BASE}, asked AS (
+        SELECT f.page_id, f.query_id, trim({text}) AS text, {_TOKENS.format(text=text)} AS qs, array_to_string(ws, ' ') AS page
+        FROM found f JOIN pages_ USING (page_id) JOIN benchmark b ON b.item_id = f.query_id
+    ), placed AS (SELECT *, instr(page, text) AS pos FROM asked), exact AS (
+        SELECT page_id, query_id, length(substr(page, 1, pos - 1)) - length(replace(substr(page, 1, pos - 1), ' ', '')) AS s,
+               length(substr(page, 1, pos + length(text) - 1)) - length(replace(substr(page, 1, pos + length(text) - 1), ' ', '')) + 1 AS e FROM placed WHERE pos > 0
+    ), own AS (SELECT page_id, query_id, len(qs) AS qn, unnest(qs) AS word, CAST(unnest(range(len(qs))) AS INTEGER) AS j FROM placed WHERE pos = 0
+    ), win AS (
+        SELECT o.page_id, query_id, qn, p - j AS s, count(*) / qn AS sim FROM own o JOIN words w ON w.page_id = o.page_id AND w.word = o.word AND p - j >= 0 AND p - j + qn <= n GROUP BY o.page_id, query_id, qn, p - j
+    ), near AS (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY page_id, query_id ORDER BY sim DESC, s) = 1), spans AS (
+        SELECT page_id, query_id, CAST(s AS INTEGER) AS start_index, CAST(e AS INTEGER) AS end_index, true AS exact FROM exact
+        UNION ALL SELECT page_id, query_id, CAST(s AS INTEGER), CAST(s + qn AS INTEGER), false FROM near WHERE sim > 0.7
+    )"""
+
+
 ORACLE_SQL = {
+    "marker_token_boxes": _TOKEN_BOXES,
+    "text_spans": f"{_spans_sql('CASE WHEN f.query_id % 2 = 0 THEN substr(b.text, 3, length(b.text) - 4) ELSE b.text END')} SELECT * FROM spans",
+    "substring_boxes": f"""{_spans_sql('b.text')}{_BOXED}, ln AS (
+            SELECT page_id, pos // 10 AS l, min(pos) AS a, max(pos) AS z, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM boxed GROUP BY page_id, pos // 10),
+        t AS (SELECT f.page_id, f.query_id, l.*, l.a <= f.start_index AS opening FROM spans f JOIN ln l ON l.page_id = f.page_id AND l.z >= f.start_index AND l.a < f.end_index)
+        SELECT page_id, query_id, CAST(max(x1) FILTER (opening) AS DOUBLE) AS x1, CAST(max(y1) FILTER (opening) AS DOUBLE) AS y1,
+               CAST(greatest(max(x1) FILTER (opening), max(x2) FILTER (NOT opening)) AS DOUBLE) AS x2, CAST(coalesce(max(y2) FILTER (NOT opening), max(y1) FILTER (opening)) AS DOUBLE) AS y2 FROM t GROUP BY page_id, query_id""",
+    "word_list_markers": f"""WITH {_PAGES}, m AS (SELECT page_id, '[[PARAGRAPH]] [[LINE 100 100 ' || (100 + 240 * ((len(ws) - 1) % 10) + 20 * least(length(ws[len(ws)]), 11)) || ' ' || (130 + 40 * ((len(ws) - 1) // 10)) || ']] '
+            || array_to_string(ws, ' ') || ' ' AS t FROM pages_ WHERE len(ws) > 0) SELECT page_id, CAST(length(t) AS INTEGER) AS chars, md5(t) AS marked_md5 FROM m""",
+    "page_errors": f"WITH {_PAGES} SELECT page_id, 'no words' AS error FROM pages_ WHERE page_id % 10 = 3 OR len(ws) = 0",
+    "annotation_records": f"""{_BASE}{_BOXED}, m AS (SELECT b.*, f.similarity FROM mboxes b JOIN found f USING (page_id, query_id))
+        SELECT page_id AS doc_uid, query_id, query_id % 5 AS page_number, CASE WHEN query_id % 2 = 0 THEN x1 ELSE 0.0::DOUBLE END AS x1, y1, x2, y2,
+               CASE WHEN query_id % 3 = 0 THEN round(similarity, 6) ELSE 1.0::DOUBLE END AS similarity, '' AS text FROM m WHERE query_id % 5 BETWEEN 1 AND page_id % 4 + 1""",
+    "label_positions": f"{_BASE}{_BOXED}{_PDF} SELECT page_id, query_id, round(x, 6) AS x, round(y + height + 5, 6) AS y, 12 AS size FROM placed",
+    "quad_checks": f"""{_BASE} SELECT page_id, query_id, ['Highlight', 'StrikeOut', 'Underline', 'Highlight'][query_id % 4 + 1] AS subtype,
+        concat_ws('; ', CASE WHEN query_id % 3 = 0 THEN 'rect needs 4 numbers' END, CASE WHEN query_id % 7 = 0 THEN 'quad points come in eights' END,
+                  CASE WHEN query_id % 5 = 4 THEN 'opacity must be within 0 and 1' END) AS errors FROM found""",
+    "rich_text_annotations": f"""{_BASE}{_BOXED}{_PDF}, kinds AS (SELECT *, ['underline', 'highlight', 'rectangle'][query_id % 3 + 1] AS annotation_type FROM placed JOIN (
+            SELECT min(item_id) AS query_id FROM benchmark GROUP BY text, item_id % 3) USING (query_id))
+        SELECT page_id, annotation_type, CASE annotation_type WHEN 'highlight' THEN 'fill' WHEN 'rectangle' THEN 'square' ELSE 'line' END AS op, round(x, 6) AS dx1, round(y, 6) AS dy1,
+               round(x + width, 6) AS dx2, round(CASE annotation_type WHEN 'underline' THEN y ELSE y + height END, 6) AS dy2 FROM kinds""",
     "tokenize_words": f"WITH {_PAGES}, {_WORDS} SELECT page_id, p AS pos, word FROM words",
     "closest_match": f"{_BASE} {_SHOW} FROM found",
     "closest_match_best": f"{_BASE} {_SHOW} FROM best",

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscan.functions.colors import NAMED, channels
-from leafscan.functions.tokens import cache_hash
-from leafscan.operators import cache, citations, jobs, richtext
+from leafscan.functions.tokens import cache_hash, hocr_key, match_key, pdf_key
+from leafscan.operators import cache, citations, geometry, jobs, richtext
 from leafscan.plans.shared import globally_ranked
 from leafscan.sources.tables import table
 
@@ -49,6 +49,20 @@ def bibliography_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.bibliography(cited)
 
 
+def bibliography_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.plain_bibliography(_cited(spark, sf_dir, "ieee"))
+
+
+def _whole_export(fmt: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cited = _cited(spark, sf_dir, "apa").select(
+            "citation", F.lit("APA Style").alias("format"), "match_text", F.lit(1).alias("page_number"), F.col("page_id").alias("doc_uid"), F.lit(AS_OF).cast("date").alias("timestamp")
+        )
+        return citations.whole_export(cited, fmt, F.col("citation"), F.col("doc_uid").cast("string"))
+
+    return query
+
+
 def _export(fmt: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         cited = _cited(spark, sf_dir, "apa").select(
@@ -86,6 +100,41 @@ def cache_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone
 
 
+def cache_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = cache.entries(_accesses(spark, sf_dir))
+    gone = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.lit("click").alias("store"), F.col("c_custkey").alias("key"))
+    left = cache.without_stores(cache.without_keys(current, gone), "purchase")
+    return left.select("store", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("set_us"))
+
+
+def cache_gets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _accesses(spark, sf_dir)
+    gets, sets = events.where("id % 3 = 0").select("store", "key", "ts", "id"), events.where("id % 3 <> 0")
+    return cache.found_at(gets, sets, "6 hours").select("id", "hit", F.unix_micros(F.col("set_at").cast("timestamp")).alias("set_us"))
+
+
+def match_and_pdf_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uid, page = F.col("page_id") % 7, F.col("page_id") % 5
+    return table(spark, sf_dir, "pages").select(
+        "page_id", hocr_key(uid, page, F.col("url")).alias("hocr_key"), match_key(uid, page, F.col("url"), F.lit("0.8")).alias("match_key"), pdf_key(uid, F.col("url")).alias("pdf_key")
+    )
+
+
+def page_size_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    own = pages.select("page_id", F.when(F.col("page_id") % 3 == 0, F.length("url") * 10.0).alias("width"), F.when(F.col("page_id") % 2 == 0, F.length("url") * 13.0).alias("height"))
+    targets = pages.where("page_id % 5 < 3").select("page_id", (F.col("page_id") % 7 + 595.0).alias("width"), F.when(F.col("page_id") % 4 != 0, F.lit(842.0)).alias("height"))
+    return geometry.sized_pages(own, targets)
+
+
+def custom_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    border = F.when(key % 3 == 0, F.lit("no colour")).otherwise(F.concat(F.lit("#"), F.substr(F.md5("p_name"), F.lit(1), F.lit(6))))
+    style = geometry.custom_style(border, F.when(key % 2 == 0, F.lit("yellow")), F.lit(0.4), F.col("p_size").cast("double"))
+    made = table(spark, sf_dir, "part").select("p_partkey", style.alias("s"))
+    return made.select("p_partkey", *[F.round(f"s.{part}.{c}", 6).alias(f"{part}_{c}") for part in ("border", "fill") for c in "rgb"], F.col("s.opacity").alias("opacity"), F.col("s.border_width").alias("border_width"))
+
+
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("hocr:"), cache_hash(F.col("url"))).alias("cache_key"))
 
@@ -193,10 +242,12 @@ _RECORD_QUERIES = (
     citation_join, citation_metadata, bibliography_by_document, cache_lookup_ttl, cache_hit_rates, cache_entries, cache_store_info, cache_cleanup, cache_keys,
     job_queue_order, job_estimates, job_batches, job_stats, job_queue_status, job_recommendations, worker_stats, parse_colors,
     annotation_type_from_formatting, merge_segments, dedup_queries, html_queries, rtf_queries, html_segments,
+    bibliography_plain, cache_delete, cache_gets, match_and_pdf_keys, page_size_fallback, custom_styles,
 )
 QUERIES = {q.__name__: q for q in _RECORD_QUERIES}
 QUERIES |= {f"citations_{fmt}": _citation_query(fmt) for fmt in citations.FORMATS}
 QUERIES |= {f"export_{fmt}": _export(fmt) for fmt in ("csv", "txt", "json", "bibtex")}
+QUERIES |= {f"whole_export_{fmt}": _whole_export(fmt) for fmt in ("csv", "txt", "json")}
 
 _HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '')"
 _ORG = f"""CASE WHEN {_HOST} IS NULL THEN 'Unknown Source' WHEN len(string_split({_HOST}, '.')) >= 2
@@ -237,6 +288,17 @@ _NAMES = "[" + ", ".join(f"'{n}'" for n in NAMED) + "]"
 _RGB = ", ".join(f"('{n}', {r}::DOUBLE, {g}::DOUBLE, {b}::DOUBLE)" for n, (r, g, b) in NAMED.items())
 
 
+def _hash_sql(text: str) -> str:
+    """The cache's hash of an ASCII text, in base 36."""
+    units = f"list_transform(range(1, length({text}) + 1), lambda k: CAST(unicode(substr({text}, CAST(k AS INTEGER), 1)) AS BIGINT))"
+    number = f"abs(list_reduce({units}, lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0::BIGINT))"
+    digits = f"list_transform([6, 5, 4, 3, 2, 1, 0], lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(({number} // CAST(36 ** p AS BIGINT)) % 36 + 1 AS INTEGER), 1))"
+    return f"coalesce(nullif(ltrim(array_to_string({digits}, ''), '0'), ''), '0')"
+
+
+_EXPORTED = "WITH {cited}, numbered AS (SELECT *, row_number() OVER (ORDER BY citation, CAST(page_id AS VARCHAR)) AS number, count(*) OVER () AS n FROM cited)"
+
+
 def _export_sql(line: str) -> str:
     return f"""WITH {_cited_sql("apa")}, numbered AS (SELECT *, row_number() OVER (ORDER BY citation, page_id) AS number FROM cited)
         SELECT number, {line} AS line FROM numbered"""
@@ -251,7 +313,7 @@ ORACLE_SQL |= {
     "citation_metadata": f"SELECT page_id, {_HOST} AS host, {_ORG} AS organization FROM pages",
     "bibliography_by_document": f"""WITH {_cited_sql("mla")}, c AS (SELECT {_HOST} AS section, page_id AS page, citation FROM cited),
         f AS (SELECT section, min(page) AS first FROM c GROUP BY section),
-        l AS (SELECT first, section, 2 AS kind, page, citation AS line FROM c JOIN f USING (section)
+        l AS (SELECT first, c.section, 2 AS kind, page, citation AS line FROM c JOIN f ON f.section IS NOT DISTINCT FROM c.section
               UNION ALL SELECT first, section, 0, NULL, section FROM f UNION ALL SELECT first, section, 1, NULL, repeat('=', length(section)) FROM f)
         SELECT row_number() OVER (ORDER BY first, section, kind, page NULLS FIRST, line) AS line_no, section, line FROM l""",
     "export_csv": _export_sql("""'"' || replace(citation, '"', '""') || '",APA Style,"' || replace(match_text, '"', '""') || '",1,' || page_id || ',2024-01-15'"""),
@@ -259,6 +321,30 @@ ORACLE_SQL |= {
     "export_json": _export_sql("CAST(json_object('citation', citation, 'format', 'APA Style', 'match_text', match_text, 'page_number', 1, 'doc_uid', page_id, 'timestamp', '2024-01-15') AS VARCHAR)"),
     "export_bibtex": _export_sql("""'@misc{ref' || number || ',' || chr(10) || '  title={' || substr(match_text, 1, 50) || CASE WHEN length(match_text) > 50 THEN '...' ELSE '' END || '},' || chr(10)
         || '  note={' || citation || '},' || chr(10) || '  year={2024}' || chr(10) || '}'"""),
+    "whole_export_csv": f"""{_EXPORTED.format(cited=_cited_sql("apa"))} SELECT 0::BIGINT AS number, 'Citation,Format,Match Text,Page Number,Document UID,Timestamp' AS line
+        UNION ALL SELECT number, '"' || replace(citation, '"', '""') || '",APA Style,"' || replace(match_text, '"', '""') || '",1,' || page_id || ',2024-01-15' FROM numbered""",
+    "whole_export_txt": f"""{_EXPORTED.format(cited=_cited_sql("apa"))} SELECT number, number || '. ' || citation || chr(10) || '   Match: "' || match_text || '" (Page 1, ' || page_id || ')' || chr(10)
+        || '   Generated: 1/15/2024, 12:00:00 AM' AS line FROM numbered""",
+    "whole_export_json": f"""{_EXPORTED.format(cited=_cited_sql("apa"))} SELECT 0::BIGINT AS number, '[' AS line UNION ALL SELECT count(*) + 1, ']' FROM cited
+        UNION ALL SELECT number, CAST(json_object('citation', citation, 'format', 'APA Style', 'match_text', match_text, 'page_number', 1, 'doc_uid', page_id, 'timestamp', '2024-01-15') AS VARCHAR)
+            || CASE WHEN number < n THEN ',' ELSE '' END FROM numbered""",
+    "bibliography_plain": f"WITH {_cited_sql('ieee')} SELECT row_number() OVER (ORDER BY citation) AS line_no, citation AS line FROM cited",
+    "cache_delete": f"""{_CURRENT} SELECT store, key, epoch_us(ts) AS set_us FROM current
+        WHERE store <> 'purchase' AND NOT (store = 'click' AND key IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0))""",
+    "cache_gets": f"""WITH {_ACCESSES}, found AS (SELECT g.id, g.ts, max(s.ts) AS set_at FROM acc g LEFT JOIN acc s ON s.id % 3 <> 0 AND s.store = g.store AND s.key = g.key AND s.ts <= g.ts
+            WHERE g.id % 3 = 0 GROUP BY g.id, g.ts)
+        SELECT id, coalesce(ts <= set_at + INTERVAL 6 HOURS, false) AS hit, epoch_us(set_at) AS set_us FROM found""",
+    "match_and_pdf_keys": f"""WITH h AS (SELECT page_id, {_hash_sql('url')} AS h FROM pages)
+        SELECT page_id, 'hocr:' || page_id % 7 || ':' || page_id % 5 || ':' || h AS hocr_key, 'match:' || page_id % 7 || ':' || page_id % 5 || ':' || h || ':0.8' AS match_key, 'pdf:' || page_id % 7 || ':' || h AS pdf_key FROM h""",
+    "page_size_fallback": """SELECT page_id,
+        CASE WHEN page_id % 6 = 0 THEN CAST(length(url) * 10 AS DOUBLE) WHEN page_id % 5 < 3 AND page_id % 4 <> 0 THEN CAST(page_id % 7 + 595 AS DOUBLE) ELSE 612.0::DOUBLE END AS width,
+        CASE WHEN page_id % 6 = 0 THEN CAST(length(url) * 13 AS DOUBLE) WHEN page_id % 5 < 3 AND page_id % 4 <> 0 THEN 842.0::DOUBLE ELSE 792.0::DOUBLE END AS height FROM pages""",
+    "custom_styles": """WITH c AS (SELECT *, CASE WHEN p_partkey % 3 <> 0 THEN md5(p_name) END AS h FROM part),
+        b AS (SELECT *, CAST(('0x' || substr(h, 1, 2)) AS INTEGER) / 255 AS r, CAST(('0x' || substr(h, 3, 2)) AS INTEGER) / 255 AS g, CAST(('0x' || substr(h, 5, 2)) AS INTEGER) / 255 AS b FROM c)
+        SELECT p_partkey, round(r, 6) AS border_r, round(g, 6) AS border_g, round(b, 6) AS border_b,
+               CASE WHEN h IS NULL THEN NULL WHEN p_partkey % 2 = 0 THEN 1.0::DOUBLE ELSE round(r, 6) END AS fill_r, CASE WHEN h IS NULL THEN NULL WHEN p_partkey % 2 = 0 THEN 1.0::DOUBLE ELSE round(g, 6) END AS fill_g,
+               CASE WHEN h IS NULL THEN NULL WHEN p_partkey % 2 = 0 THEN 0.0::DOUBLE ELSE round(b, 6) END AS fill_b,
+               CASE WHEN h IS NOT NULL THEN 0.4::DOUBLE END AS opacity, CASE WHEN h IS NOT NULL THEN CAST(p_size AS DOUBLE) END AS border_width FROM b""",
     "cache_lookup_ttl": f"{_LOOKED} SELECT id, store, key, hit FROM looked",
     "cache_hit_rates": f"""{_LOOKED} SELECT store, CAST(count(*) FILTER (hit) AS BIGINT) AS hits, CAST(count(*) FILTER (NOT hit) AS BIGINT) AS misses,
         round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM looked GROUP BY store""",

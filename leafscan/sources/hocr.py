@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from leafscan.functions.tokens import box_of_title
 from leafscan.sources.tables import LINE_WORDS, laid_out
 
+ERRORS = "page_id long, error string"
 WORDS = "page_id long, pos int, par_no int, line_no int, line_class string, word string, x1 double, y1 double, x2 double, y2 double, wconf int, lx1 double, ly1 double, lx2 double, ly2 double"
 _BBOX = re.compile(r"bbox\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)")
 _CONF = re.compile(r"x_wconf\s+(\d+)")
@@ -25,7 +26,7 @@ _LINES = ("ocr_line", "ocr_textfloat", "ocr_header", "ocr_caption")
 
 
 def read_pages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, hocr: one row for each file."""
+    """path, hocr: one row for each file; a path that isn't there is an error."""
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("hocr"))
 
 
@@ -97,20 +98,33 @@ def page_words(hocr: str | None) -> list[dict]:
     return [w | {"text": w["text"].strip()} for w in reader.words if w["text"].strip()]
 
 
-def parsed_words(pages: DataFrame) -> DataFrame:
-    """``WORDS`` of pages (page_id, hocr)."""
+def _rows(page_id: int, hocr: str | None) -> list[tuple]:
+    box = lambda w, name: w[name] or (None,) * 4
+    found = enumerate(page_words(hocr))
+    return [(page_id, k, w["par"], w["line"], w["class"], w["text"], *box(w, "box"), w["wconf"], *box(w, "line_box")) for k, w in found]
+
+
+def read_words(pages: DataFrame) -> DataFrame:
+    """``WORDS`` of pages (page_id, hocr) and their ``error``: a page that can't be read or has no word is one row of it."""
+    names = [c.split()[0] for c in WORDS.split(", ")] + ["error"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for page_id, hocr in zip(batch["page_id"], batch["hocr"], strict=True):
-                found = page_words(hocr)
-                box = lambda w, name: w[name] or (None,) * 4
-                made = [(page_id, k, w["par"], w["line"], w["class"], w["text"], *box(w, "box"), w["wconf"], *box(w, "line_box")) for k, w in enumerate(found)]
-                if made:
-                    out = pd.DataFrame(made, columns=[c.split()[0] for c in WORDS.split(", ")])
-                    yield out.astype({"wconf": "Int32", "pos": "int32", "par_no": "int32", "line_no": "int32"})
+                try:
+                    made, error = _rows(page_id, hocr), "no words"
+                except Exception as failure:  # noqa: BLE001 - whatever is wrong with a page, the others go on
+                    made, error = [], f"{type(failure).__name__}: {failure}"
+                whole = [(*row, None) for row in made] or [(page_id, *[None] * (len(names) - 2), error)]
+                out = pd.DataFrame(whole, columns=names)
+                yield out.astype({"wconf": "Int32", "pos": "Int32", "par_no": "Int32", "line_no": "Int32"})
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("hocr").cast("string").alias("hocr")).mapInPandas(rows, f"{WORDS}, error string")
+
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "hocr").mapInPandas(rows, WORDS)
+def parsed_words(pages: DataFrame) -> DataFrame:
+    """``WORDS`` of pages (page_id, hocr); pages that can't be read have none."""
+    return read_words(pages).where("error is null").drop("error")
 
 
 def usable_words(words: DataFrame) -> DataFrame:
@@ -125,6 +139,21 @@ def page_dimensions(hocr: Column) -> Column:
     return F.when(box["x1"].isNotNull(), F.struct((box["x2"] - box["x1"]).alias("width"), (box["y2"] - box["y1"]).alias("height")))
 
 
+def spanning_marker_text(words: DataFrame) -> DataFrame:
+    """page_id, marked: marker text from a bare list of words: one line from the first word's corner to the last one's."""
+    whole = lambda c: c.cast("long").cast("string")
+    listed = F.array_sort(F.collect_list(F.struct("pos", "word", "x1", "y1", "x2", "y2")))
+    held = words.groupBy("page_id").agg(listed.alias("w"))
+    first, last = F.get("w", F.lit(0)), F.element_at("w", -1)
+    marker = F.concat(F.lit("[[PARAGRAPH]] [[LINE "), F.concat_ws(" ", whole(first["x1"]), whole(first["y1"]), whole(last["x2"]), whole(last["y2"])), F.lit("]] "))
+    return held.select("page_id", F.concat(marker, F.array_join(F.transform("w", lambda w: w["word"]), " "), F.lit(" ")).alias("marked"))
+
+
+def write_marker_text(marked: DataFrame, path: str) -> None:
+    """Marker text (page_id, marked) as text files, one folder a page."""
+    marked.select("page_id", "marked").write.partitionBy("page_id").text(path)
+
+
 def marker_text_of(words: DataFrame) -> DataFrame:
     """page_id, marked: marker text from parsed words of lines; paragraphs and lines each open with their marker."""
     lines = words.where(F.col("line_class") == "ocr_line")

@@ -6,10 +6,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from leafscan.plans import registry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = "closest_match match_boxes quad_points styled_annotations hocr_roundtrip hocr_marker_text bibliography_by_document citations_mla export_bibtex cache_lookup_ttl cache_keys job_queue_order parse_colors merge_segments html_segments".split()
+ALL = sorted(registry.ORACLE_SQL)
 
 
 def shown(value):
@@ -27,7 +28,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the given tables")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", ALL)
 def test_query_equals_sql(spark, duck, name):
     found, wanted = entry.queries()[name](spark, DIR), duck.sql(entry.oracle_sql()[name])
     columns = sorted(found.columns)

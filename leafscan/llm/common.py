@@ -36,6 +36,12 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, through Spark's own file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Bytes of files, and of rows, that one partition of a result or a checkpoint holds, about, beyond two of each core.
 FILE_BYTES = 1 << 26
 

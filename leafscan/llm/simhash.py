@@ -228,7 +228,7 @@ DECIDING_WORDS, SIMILARITY = 5, 0.8
 #: Documents and shingles, at most, from which the order of the shingles is learnt.
 ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Documents that share a shingle and are paired at once, and of a block where there are more.
-FEW, BLOCK = 64, 256
+FEW, BLOCK = 64, 4096
 #: Documents whose shingles one task sorts, about.
 SORTED_NODES = 5_000
 #: A side of a join is broadcast up to so many rows of an id and a digest; beyond, both sides are shuffled.
@@ -402,7 +402,9 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words:
         wanted = nodes.select("node", F.col("doc_id").alias("id"), F.col("digest").alias("of")).join(_sized(asked, rows := asked.count()), "node", "left_semi")
         texts = own.join(_sized(wanted, rows), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
         sets = texts.select("node", "text").mapInArrow(shingled, "node long, hashes array<long>")
-        sets = cut(sets.dropDuplicates(["node"]) if repeated else sets, 8192 * rows)
+        sets = sets.dropDuplicates(["node"]) if repeated else sets
+        if rows > BROADCAST_ROWS:  # else the texts are where they were, and hashing some twice is less than keeping the sets
+            sets = cut(sets, 8192 * rows)
         sided = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}"))
         compared = pairs.join(sided("u"), "u").join(sided("v"), "v")
         common = F.size(F.array_intersect("hashes_u", "hashes_v"))
@@ -411,9 +413,12 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words:
 
     # A dozen bytes a shingle in the shuffle, a hundred shingles a document, about; small parts, as each is sorted whole.
     parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-n // SORTED_NODES))
-    begins = nodes.select("node", "n", "often", F.posexplode("begins").alias("at", "shingle")).repartition(parts, "shingle")
+    begins = nodes.select("node", "n", "often", F.posexplode("begins").alias("at", "shingle"))
+    packed = F.shiftleft(F.col("often").cast("long"), 52).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 26)).bitwiseOR(F.col("at").cast("long"))  # 26 bits each
     held = F.count("*").over(Window.partitionBy("shingle"))
-    shared = cut(begins.withColumn("held", held).where("held > 1"), 512 * n)
+    shared = begins.select("shingle", "node", packed.alias("packed")).repartition(parts, "shingle").withColumn("held", held).where("held > 1")
+    part = lambda shift, bits: F.shiftrightunsigned("packed", shift).bitwiseAND((1 << bits) - 1).cast("int")
+    shared = cut(shared.select("shingle", "node", "held", part(0, 26).alias("at"), part(26, 26).alias("n"), part(52, 11).alias("often")), 512 * n)
     few, many = shared.where(F.col("held") <= FEW), shared.where(F.col("held") > FEW)
     # Where many meet, first each with the one most made of frequent shingles: an original rather than its edited copies.
     top = many.groupBy("shingle").agg(F.max(F.struct("often", "node", "n")).alias("top"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import importlib
 import os
 import sys
@@ -93,7 +96,10 @@ def fresh_worker() -> None:
     for name, clear in (("wordbpe", "release"), ("bytebpe", "release")):
         if module := sys.modules.get(f"leafscan.llm.{name}"):
             getattr(module, clear)()
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library can, freed memory goes back to the system
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def by_text(docs: DataFrame, keep: tuple[str, ...], judge: Callable[[], Callable[[pa.Array], list[pa.Array]]], made: str) -> tuple[DataFrame, list[Column]]:

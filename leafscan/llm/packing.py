@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import cut, merged_like, slices, vocabulary
+from leafscan.llm.common import cut, fresh_worker, merged_like, slices, vocabulary
 from leafscan.llm.wordbpe import SLICE_BYTES, encoder
 
 SEQUENCE_TOKENS = 4096
@@ -113,6 +113,7 @@ def _packed(pieces: DataFrame, tasks: int, capacity: int, open_bins: int) -> Dat
     """Columns key, length -> key, length, bin, offset; ``bin`` is unique among tasks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         bins, first = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
             placed = [bins.place(n) for n in batch.column("length").to_pylist()]

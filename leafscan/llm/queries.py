@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscan.llm import bytebpe, chat, langid, packing, pivots, quality, simhash, sketch, urlfilter, wavelet
+from leafscan.llm import bytebpe, chat, divergence, langid, mixing, packing, pivots, quality, simhash, sketch, spelling, urlfilter, wavelet
 from leafscan.llm.common import merged_like, table
 
 
@@ -82,6 +82,18 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mixed(table(spark, sf_dir, "documents")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
     "op2_url_filter": op2_url_filter,
@@ -93,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_preference_chat": op9_preference_chat,
     "op10_scaled_sketch": op10_scaled_sketch,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_source_mix": op12_source_mix,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -151,4 +166,101 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(max(spans) FILTER (part = 'rejected'), '') AS rejected_spans
         FROM joined GROUP BY pair_id, piece, again
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), t AS (
+            SELECT doc, lang, source, unnest(terms) AS term FROM d
+        ), kept AS (
+            SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 30
+        ), groups AS (
+            SELECT DISTINCT lang, source FROM d
+        ), grid AS (
+            SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n
+            FROM groups g JOIN kept k USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL) c USING (lang, source, term)
+        ), sums AS (
+            SELECT *, sum(n) OVER (PARTITION BY lang, source) AS words, count(*) OVER (PARTITION BY lang, source) AS kept, sum(lang_n) OVER (PARTITION BY lang, source) AS lang_words FROM grid
+        ), priced AS (
+            SELECT lang, source, term, n, CAST(1 + 1000000000 * (n + 5)::HUGEINT // (words + 5 * kept) AS BIGINT) AS p,
+                   CAST(1 + 1000000000 * (lang_n + 5)::HUGEINT // (lang_words + 5 * kept) AS BIGINT) AS q
+            FROM sums
+        ), apart AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+        ), terms AS (
+            SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM priced WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+            FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+        )
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
+    "op12_source_mix": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+        ), s AS (
+            SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS most
+            FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)
+        ), filled AS (  -- as the level rises, sources reach their most in the order of most / weight
+            SELECT *, sum(source_size) OVER () - coalesce(sum(most) OVER filling, 0) AS num, sum(weight) OVER () - coalesce(sum(weight) OVER filling, 0) AS den
+            FROM s WINDOW filling AS (ORDER BY most / weight, weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), level AS (
+            SELECT num, den FROM filled WHERE most * den >= weight * num ORDER BY most / weight, weight, source NULLS LAST LIMIT 1
+        ), goals AS (
+            SELECT source, source_size, most * den < weight * num AS above,
+                   CASE WHEN most * den < weight * num THEN CAST(most AS DOUBLE) ELSE CAST(weight * num AS DOUBLE) / den END AS target,
+                   CASE WHEN most * den < weight * num THEN most ELSE weight * num // den END AS budget
+            FROM (SELECT s.*, level.num, level.den FROM s, level)
+        ), streams AS (
+            SELECT d.*, g.source_size, g.target, g.budget, epoch * g.source_size + sum(size) OVER (
+                       PARTITION BY d.source, epoch ORDER BY md5(epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size, row ROWS UNBOUNDED PRECEDING) AS ends
+            FROM d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source, range(3) AS e(epoch)
+        )
+        SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(ends, budget) - (ends - size))) AS BIGINT) AS taken
+        FROM streams GROUP BY row, doc_id, size, source_size, target
+    """,
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, run, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+            GROUP BY ALL
+        ), hexed AS (
+            SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs WHERE length(run) >= 5
+        ), bits AS (
+            SELECT run, n, list_transform(range(0, 4 * length(h)), lambda k: (CAST('0x' || substr(h, CAST(2 * (k // 8) + 1 AS BIGINT), 2) AS BIGINT) // CAST(power(2, k % 8) AS BIGINT)) % 2) AS bits
+            FROM hexed
+        ), digests AS (
+            SELECT run, n, xor(4294967295, list_reduce(bits, lambda c, bit: xor(c // 2, 3988292384 * ((c + bit) % 2)), CAST(4294967295 AS BIGINT))) AS digest FROM bits
+        ), damaged AS (
+            SELECT CASE WHEN digest % 97 = 0 THEN substr(run, 1, CAST(digest % length(run) AS BIGINT)) || substr(run, CAST(digest % length(run) + 2 AS BIGINT)) ELSE run END AS word, n AS times FROM digests
+        ), words AS (
+            SELECT word, CAST(sum(times) AS BIGINT) AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+        ), lacking AS (
+            SELECT DISTINCT word, n, substr(word, 1, CAST(k AS BIGINT)) || substr(word, CAST(k + 2 AS BIGINT)) AS rest, k FROM words, unnest(range(0, length(word))) AS u(k)
+        ), near AS (
+            SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM lacking a JOIN lacking b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+            UNION
+            SELECT a.word, a.n, b.word, b.n FROM lacking a JOIN words b ON a.rest = b.word
+            UNION
+            SELECT b.word, b.n, a.word, a.n FROM lacking a JOIN words b ON a.rest = b.word
+        ), best AS (
+            SELECT word, n, count(*) OVER (PARTITION BY word) AS n_near, other, other_n FROM near
+            QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1
+        ), told AS (
+            SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n
+            FROM words w LEFT JOIN best b ON w.word = b.word
+        ), chain AS (
+            SELECT word, word AS root, 0 AS steps FROM told
+            UNION ALL
+            SELECT c.word, t.form, c.steps + 1 FROM chain c JOIN told t ON t.word = c.root WHERE t.form IS NOT NULL
+        )
+        SELECT word, form, root, n, n_near, form_n FROM told JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) USING (word)
+    """,
 }

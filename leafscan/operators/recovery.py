@@ -1,7 +1,8 @@
 """Boxes of texts that are no exact window of their page: by marker tokens, by substring, with gaps.
 
-All of them take pairs of a page and a text (page_id, query_id, text), usually matches with their passage, and work
-each pair out beside its page; ``boxes.match_boxes`` is the box to use where a window of words is known.
+``token_boxes`` and ``text_spans`` take pairs of a page and a text (page_id, query_id, text), usually matches with their
+passage, and work each pair out beside its page; ``gap_boxes`` takes stretches of any pages.  ``boxes.match_boxes`` is the box
+to use where a window of words is known.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from leafscan.functions.similarity import positional
 from leafscan.functions.tokens import split_words
+from leafscan.operators.chain import clean
 
 #: A window of tokens that is this similar ends the search; a window of words must be so similar; so must single words.
 TOKEN_STOP, WORDS_LEAST, WORD_LEAST = 0.85, 0.7, 0.7
@@ -144,34 +146,38 @@ def run_with_gaps(words: list[str], wanted: list[str]) -> list[int]:
     return list(place)
 
 
-def gap_boxes(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """page_id, query_id, n_words, box of texts on pages of recognised words, with gaps and misread words allowed.
+#: Words before and after a stretch that are searched with it, as a share of the text's words.
+AROUND = 0.3
 
-    The union of the boxes of the words that ``run_with_gaps`` finds.  Finding is sequential, so a page's words (of pages
-    that occur in ``pairs``) come to its pairs as one row.
+
+def gap_boxes(stretches: DataFrame, queries: DataFrame, words: DataFrame) -> DataFrame:
+    """page_id, query_id, n_words, chained, box of texts on pages of recognised words, with gaps and misread words allowed.
+
+    ``stretches`` (page_id, query_id, n_found, n_wanted, start_index, end_index; ``chain.stretches``) say where a text
+    stands.  In the words of a stretch and some around it ``run_with_gaps`` looks for the text, and the box is the union of
+    the boxes of what it finds.  Where it finds less than the chain has (words dropped or added early in the text break its
+    run), the whole stretch is the text's place and ``chained`` is true.  A task holds stretches, never pages.
     """
-    clean = F.regexp_replace(F.lower("word"), "[^a-z0-9_]", "")
-    own = words.join(pairs.select("page_id").distinct(), "page_id", "left_semi").withColumn("clean", clean).where("clean <> ''")
+    around = F.ceil(F.col("n_wanted") * AROUND)
+    spans = stretches.select("page_id", "query_id", "n_found", "start_index", "end_index", (F.col("start_index") - around).alias("low"), (F.col("end_index") + around).alias("high"))
+    own = words.withColumn("clean", clean(F.col("word"))).where("clean <> ''").select("page_id", "pos", "clean", "x1", "y1", "x2", "y2")
+    near = spans.join(own, "page_id").where("pos >= low AND pos < high")
     listed = F.array_sort(F.collect_list(F.struct("pos", "clean", "x1", "y1", "x2", "y2")))
-    rows = pairs.select("page_id", "query_id", "text").join(own.groupBy("page_id").agg(listed.alias("own")), "page_id")
+    rows = near.groupBy("page_id", "query_id", "n_found", "start_index", "end_index").agg(listed.alias("own")).join(queries.select("query_id", "text"), "query_id")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            kept = []
-            for k, row in enumerate(batch.select(["text", "own"]).to_pylist()):
+            values = []
+            for row in batch.select(["text", "own", "n_found", "start_index", "end_index"]).to_pylist():
                 wanted = re.sub(r"[^a-z0-9_\s]", " ", (row["text"] or "").lower()).split()
-                run = run_with_gaps([w["clean"] for w in row["own"]], wanted) if wanted else []
-                if run:
-                    kept.append(k)
-                    boxes = [row["own"][at] for at in run]
-                    values = (len(run), min(b["x1"] for b in boxes), min(b["y1"] for b in boxes), max(b["x2"] for b in boxes), max(b["y2"] for b in boxes))
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-            columns = [pa.array(c, t) for c, t in zip(out, (pa.int32(), *[pa.float64()] * 4), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept, pa.int64())) for c in ("page_id", "query_id")), *columns], names=["page_id", "query_id", "n_words", "x1", "y1", "x2", "y2"])
-
-    schema = rows.select("page_id", "query_id").schema.add("n_words", "integer")
+                run = run_with_gaps([w["clean"] for w in row["own"]], wanted)
+                chained = len(run) < row["n_found"]
+                boxes = [w for w in row["own"] if row["start_index"] <= w["pos"] < row["end_index"]] if chained else [row["own"][at] for at in run]
+                values.append((len(boxes), chained, min(b["x1"] for b in boxes), min(b["y1"] for b in boxes), max(b["x2"] for b in boxes), max(b["y2"] for b in boxes)))
+            columns = [pa.array([v[k] for v in values], t) for k, t in enumerate((pa.int32(), pa.bool_(), *[pa.float64()] * 4))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("query_id"), *columns], names=schema.names)
+
+    schema = rows.select("page_id", "query_id").schema.add("n_words", "integer").add("chained", "boolean")
     for name in ("x1", "y1", "x2", "y2"):
         schema = schema.add(name, "double")
     return rows.mapInArrow(found, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafscan.functions import similarity
 from leafscan.functions.tokens import split_words, without_markers
-from leafscan.operators import boxes, geometry, highlight, match, recovery
+from leafscan.operators import boxes, chain, geometry, highlight, match, recovery
 from leafscan.plans import annotate
 from leafscan.plans.shared import settled
 from leafscan.sources import hocr
@@ -214,8 +214,17 @@ def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.text_spans(asked, pages(spark, sf_dir))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def chained_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages on all pages, whatever words are missing or added."""
+    return chain.stretches(pages(spark, sf_dir), _texts(spark, sf_dir))
+
+
 def gap_tolerant_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recovery.gap_boxes(_asked(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
+    return recovery.gap_boxes(settled(chained_stretches(spark, sf_dir)), _texts(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
 
 
 def word_list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +277,7 @@ _DOC_QUERIES = (
     tokenize_words, clean_markers, marker_lines, closest_match, closest_match_best, closest_match_no_early_stop, multi_match_threshold,
     match_char_offsets, match_text, top_matches_per_page, fuzzy_match_fallback, sequence_similarity, char_similarity, word_similarity,
     match_boxes, match_line_boxes, words_in_area, line_quads, quad_points, pdf_coordinates, styled_annotations, draw_operations,
-    hocr_roundtrip, hocr_marker_text, hocr_page_size, highlight_sections, marker_token_boxes, substring_boxes, text_spans, gap_tolerant_boxes,
+    hocr_roundtrip, hocr_marker_text, hocr_page_size, highlight_sections, marker_token_boxes, substring_boxes, text_spans, chained_stretches, gap_tolerant_boxes,
     word_list_markers, page_errors, annotation_records, label_positions, quad_checks, rich_text_annotations,
 )
 QUERIES = {q.__name__: q for q in _DOC_QUERIES}

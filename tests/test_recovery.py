@@ -1,9 +1,13 @@
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from leafscan.operators import recovery
+from leafscan.operators import chain, match, recovery
 
-#: Words with their boxes, a text, and the box that belongs to it.
+#: Words of a sample page with their boxes, a text, and the box that belongs to it.
 CASES = [
     ([("Document", 50, 100, 150, 130), ("Title", 160, 100, 250, 130), ("Header", 260, 100, 350, 130)], "Document Title", (50, 100, 250, 130)),
     ([("important", 300, 400, 420, 450), ("information", 430, 400, 550, 450), ("located", 560, 400, 640, 450), ("here", 650, 400, 700, 450)], "important information", (300, 400, 550, 450)),
@@ -20,11 +24,81 @@ def tables(spark, cases=CASES):
 
 def test_boxes_with_gaps(spark):
     words, pairs = tables(spark)
-    rows = {r["page_id"]: (r["x1"], r["y1"], r["x2"], r["y2"]) for r in recovery.gap_boxes(pairs, words).collect()}
-    # The text's own hyphen separates words, the page's does not, so there the joined window decides.
-    assert [rows[p] for p in range(3)] == [tuple(map(float, box)) for _, _, box in CASES[:3]] and rows[3][0] == 100.0
-    none = pairs.withColumn("text", F.when(F.col("page_id") == 0, "Document Title").when(F.col("page_id") == 1, "zzz qqq xxx").when(F.col("page_id") == 2, "?!"))
-    assert [r["page_id"] for r in recovery.gap_boxes(none, words).collect()] == [0]
+    pages = words.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]).alias("ws"))
+
+    def boxes(asked):
+        found = recovery.gap_boxes(chain.stretches(pages, asked), asked, words).collect()
+        return {r["query_id"]: (r["page_id"], (r["x1"], r["y1"], r["x2"], r["y2"])) for r in found}
+
+    asked = spark.createDataFrame([(p, text) for p, (_, text, _) in enumerate(CASES)], "query_id long, text string")
+    # The text's own hyphen separates words, the page's does not: two of three words are too few for a chain.
+    assert boxes(asked) == {p: (p, tuple(map(float, CASES[p][2]))) for p in range(3)}
+    assert boxes(spark.createDataFrame([(0, "zzz qqq xxx"), (1, "?!"), (2, None), (3, "important informatoin located here")], "query_id long, text string")) == {3: (1, (300.0, 400.0, 700.0, 450.0))}
+
+
+def brute_chain(words, wanted, need, width):
+    """Longest common subsequences of all stretches, the best by length, end and begin."""
+    best = None
+    for first in range(len(words)):
+        row = [0] * (len(wanted) + 1)
+        for last in range(first, min(len(words), first + width)):
+            new = [0]
+            for j, w in enumerate(wanted):
+                new.append(row[j] + 1 if w == words[last] else max(new[j], row[j + 1]))
+            row = new
+            if row[-1] >= need and (best is None or (row[-1], -last, first) > best):
+                best = (row[-1], -last, first)
+    return best and (best[0], best[2], -best[1])
+
+
+def test_chains_equal_all_stretches():
+    rng = random.Random(4)
+    for _ in range(300):
+        words, wanted = ([rng.choice("abcdef") for _ in range(rng.randrange(0, 30))] for _ in range(2))
+        need, width = rng.randrange(1, 6), rng.randrange(1, 20)
+        assert chain.longest_chain(words, wanted, need, width) == brute_chain(words, wanted, need, width)
+
+
+def planted(rng, text, vocabulary):
+    """A text with words dropped, added and misread, a fifth of it at most."""
+    out = list(text)
+    for _ in range(rng.randrange(1, max(2, len(text) // 5))):
+        k = rng.randrange(len(out))
+        kind = rng.randrange(3)
+        out[k : k + (kind != 1)] = [[], [rng.choice(vocabulary)], ["misread"]][kind]
+    return out
+
+
+def test_stretches_equal_all_pages_and_texts(spark):
+    """Every pair of a page and a text by brute force; and planted texts that no exact window holds are found."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(60)] + ["The", "the.", "--", "Ünï"]
+    texts = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 12, 25, 40]))] for _ in range(14)]
+    pages, plants = [], set()
+    for p in range(40):
+        page = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 90))]
+        if p % 2:
+            q = rng.randrange(14)
+            at = rng.randrange(len(page) + 1)
+            page[at:at] = planted(rng, texts[q], vocabulary)
+            if len(texts[q]) >= 12:
+                plants.add((p, q))
+        pages.append(page)
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, ws array<string>").repartition(3)
+    asked = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)] + [(99, None), (98, "")], "query_id long, text string")
+    got = {(r["page_id"], r["query_id"]): (r["n_found"], r["start_index"], r["end_index"]) for r in chain.stretches(table, asked).collect()}
+    cleaned = lambda w: re.sub("[^a-z0-9_]", "", w.lower())
+    want = {}
+    for p, page in enumerate(pages):
+        held = [(k, cleaned(w)) for k, w in enumerate(page) if cleaned(w)]
+        for q, text in enumerate(texts):
+            qs = re.sub(r"[^a-z0-9_\s]", " ", " ".join(text).lower()).split()
+            need = math.ceil(len(qs) * 0.7 - 1e-9)
+            if qs and (best := brute_chain([w for _, w in held], qs, need, len(qs) + len(qs) // 2)):
+                want[p, q] = (best[0], held[best[1]][0], held[best[2]][0] + 1)
+    assert got == want
+    exact = {(r["page_id"], r["query_id"]) for r in match.closest_matches(table, asked.select("query_id", F.split("text", " ").alias("qs")), 0.7).collect()}
+    assert len(plants & set(got)) >= 0.99 * len(plants) and len(plants - exact) > 3  # measured recall
 
 
 @pytest.mark.parametrize(

@@ -40,21 +40,41 @@ def words_in_area(boxes: DataFrame, words: DataFrame, padding: float = PADDING)
     return areas.join(words, "page_id").where(across & down).select("page_id", "query_id", "pos", "word", "x1", "y1", "x2", "y2")
 
 
+def clustered_lines(words: Column, tolerance: float = LINE_TOLERANCE) -> Column:
+    """Lines of words (array of structs with cy, in the order they come): array of struct(s, n, at).
+
+    A word joins the first line whose mean centre is within the tolerance of its own, else it begins one; ``at`` are its
+    words' places in the array, ``s`` / ``n`` its mean centre.
+    """
+    none = F.expr("cast(array() as array<struct<s:double,n:int,at:array<int>>>)")
+    made = lambda s, n, at: F.struct(s.cast("double").alias("s"), n.cast("int").alias("n"), at.cast("array<int>").alias("at"))
+
+    def joined(lines: Column, k: Column) -> Column:
+        cy = F.get(words, k)["cy"]
+        fits = F.array_position(F.transform(lines, lambda g: F.abs(cy - g["s"] / g["n"]) <= tolerance), True)
+        grown = F.transform(lines, lambda g, i: F.when(i + 1 == fits, made(g["s"] + cy, g["n"] + 1, F.concat(g["at"], F.array(k)))).otherwise(g))
+        return F.when(fits > 0, grown).otherwise(F.concat(lines, F.array(made(cy, F.lit(1), F.array(k)))))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), none, joined)
+
+
 def line_quads(words: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """One quad for each line of a match: page_id, query_id, line_index, box, n_words, text.
 
-    A line begins where the centre is further below the word before than the tolerance; this is the clustering by mean
-    centres wherever the lines are tight and further apart than the tolerance.
+    Lines are those of ``clustered_lines``, words taken in page order; they are numbered by their mean centre, and a line's
+    words stand from left to right.
     """
-    centre = (F.col("y1") + F.col("y2")) / 2
-    reading = Window.partitionBy("page_id", "query_id").orderBy("cy", "x1", "pos")
-    placed = words.withColumn("cy", centre)
-    begins = (F.col("cy") - F.lag("cy").over(reading) > tolerance).cast("int")
-    lines = placed.withColumn("begins", F.coalesce(begins, F.lit(0))).withColumn("line_index", F.sum("begins").over(reading))
-    ordered = F.array_sort(F.collect_list(F.struct("x1", "pos", "word")))
-    text = F.array_join(F.transform(ordered, lambda w: w["word"]), " ")
-    grouped = lines.groupBy("page_id", "query_id", F.col("line_index").cast("int").alias("line_index"))
-    return grouped.agg(*union_box(), F.count("*").alias("n_words"), text.alias("text"))
+    placed = words.select("page_id", "query_id", F.struct("pos", ((F.col("y1") + F.col("y2")) / 2).alias("cy"), "x1", "y1", "x2", "y2", "word").alias("w"))
+    held = placed.groupBy("page_id", "query_id").agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    lines = held.select("page_id", "query_id", "ws", clustered_lines(F.col("ws"), tolerance).alias("lines"))
+    ordered = F.array_sort(F.transform("lines", lambda g, i: F.struct((g["s"] / g["n"]).alias("mean"), i.alias("i"), g["at"].alias("at"))))
+    each = lines.select("page_id", "query_id", "ws", F.posexplode(ordered).alias("line_index", "line"))
+    own = each.withColumn("own", F.transform("line.at", lambda k: F.get("ws", k)))
+    side = lambda pick, name: pick(F.transform("own", lambda w: w[name])).alias(name)
+    spoken = F.array_sort(F.transform("own", lambda w: F.struct(w["x1"].alias("x1"), w["pos"].alias("pos"), w["word"].alias("word"))))
+    text = F.array_join(F.transform(spoken, lambda w: w["word"]), " ")
+    sides = [side(F.array_min, "x1"), side(F.array_min, "y1"), side(F.array_max, "x2"), side(F.array_max, "y2")]
+    return own.select("page_id", "query_id", "line_index", *sides, F.size("own").cast("long").alias("n_words"), text.alias("text"))
 
 
 def quad_points(quads: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ overlapping bands of diagonals.  Only for a band with enough different seeds the
 the longest chain of all words, seeds or not, is worked out there.  No page meets a text without these seeds, and no page
 leaves its row as a whole.
 
-Words count as they are compared: lower case, without anything but ASCII letters, digits and ``_``.
+Words count as they are compared: lower case, without anything but letters, digits and ``_``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafscan.functions.tokens import split_words
 from leafscan.plans.shared import checkpointed
 
 #: Least share of a text's words in the chain; words between them, as a share of the text's; and seeds that must be there.
@@ -29,12 +30,12 @@ FOUND, ADDED, SEEDS = 0.7, 0.5, 4
 
 def clean(word: Column) -> Column:
     """A word as it is compared."""
-    return F.regexp_replace(F.lower(word), "[^a-z0-9_]", "")
+    return F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}_]", "")
 
 
 def clean_words(text: Column) -> Column:
-    """The compared words of a text; what is cleaned away separates words."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]", " "), r"\s+"), lambda w: w != "")
+    """The words of a text as they are compared, none empty."""
+    return F.filter(F.transform(split_words(text), clean), lambda w: w != "")
 
 
 def longest_chain(words: list[str], wanted: list[str], need: int, width: int) -> tuple[int, int, int] | None:

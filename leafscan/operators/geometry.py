@@ -25,13 +25,18 @@ def pdf_box(x1: Column, y1: Column, x2: Column, y2: Column, width=PAGE_WIDTH, he
     return {"x": x1 * sx, "y": F.lit(to_height) - y2 * sy, "width": (x2 - x1) * sx, "height": (y2 - y1) * sy}
 
 
-def sized_pages(pages: DataFrame, targets: DataFrame, width: float | None = None, height: float | None = None) -> DataFrame:
+def sizes_of(pages: DataFrame, width: float, height: float) -> DataFrame:
+    """page_id, width, height: one size for all pages."""
+    return pages.select("page_id").distinct().select("page_id", F.lit(width).alias("width"), F.lit(height).alias("height"))
+
+
+def sized_pages(pages: DataFrame, targets: DataFrame, width: float | None = None, height: float | None = None, standard_width: float = TARGET_WIDTH, standard_height: float = TARGET_HEIGHT) -> DataFrame:
     """Pages (page_id, width, height: nulls where recognition gave none) with the size to use: the option, the page's own,
     the target's from a table of sizes (page_id, width, height), the standard target's; a pair of null counts as none."""
     known = targets.select("page_id", F.struct("width", "height").alias("target"))
     whole = lambda w, h: F.when(w.isNotNull() & h.isNotNull(), F.struct(w.cast("double").alias("w"), h.cast("double").alias("h")))
     option = whole(F.lit(width), F.lit(height)) if width is not None and height is not None else F.lit(None)
-    standard = whole(F.lit(TARGET_WIDTH), F.lit(TARGET_HEIGHT))
+    standard = whole(F.lit(standard_width), F.lit(standard_height))
     size = F.coalesce(option, whole(F.col("width"), F.col("height")), whole(F.col("target.width"), F.col("target.height")), standard)
     return pages.join(known, "page_id", "left").select("page_id", size["w"].alias("width"), size["h"].alias("height"))
 

@@ -155,6 +155,27 @@ def with_char_offsets(matches: DataFrame, words: DataFrame) -> DataFrame:
     return joined.groupBy(*matches.columns).agg(F.min("at").alias("char_start"), F.max(F.col("at") + F.length("word")).alias("char_end"))
 
 
+#: Pieces of marker text: white space, a marker, or a word, which ends where either begins.
+PIECES = r"\s+|\[\[.*?\]\]|(?:(?!\[\[.*?\]\])\S)+"
+
+
+def with_marker_offsets(matches: DataFrame, marked: DataFrame) -> DataFrame:
+    """Matches with marker_start and marker_end in the page's marker text (page_id, marked).
+
+    Two counts run along the text's pieces, words so far and characters so far; a match names words by the first, the
+    second is where they stand.  Every word has a place of its own, so repeated words can't be mistaken.
+    """
+    marked = marked.join(settled(matches.select("page_id").distinct()), "page_id", "left_semi")
+    pieces = marked.select("page_id", F.posexplode(F.regexp_extract_all("marked", F.lit(PIECES), F.lit(0))).alias("k", "piece"))
+    before = Window.partitionBy("page_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    is_word = ~(F.col("piece").rlike(r"^\s") | F.col("piece").rlike(r"^\[\[.*\]\]$"))
+    counted = pieces.select(
+        "page_id", is_word.alias("is_word"), F.length("piece").alias("size"), F.coalesce(F.sum(is_word.cast("int")).over(before), F.lit(0)).alias("pos"), F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("at")
+    )
+    joined = matches.join(counted.where("is_word").drop("is_word"), "page_id").where((F.col("pos") >= F.col("start_index")) & (F.col("pos") < F.col("end_index")))
+    return joined.groupBy(*matches.columns).agg(F.min("at").alias("marker_start"), F.max(F.col("at") + F.col("size")).alias("marker_end"))
+
+
 def top_matches(matches: DataFrame, most: int) -> DataFrame:
     """At most so many matches of each page, the most similar first, ties to the smaller query."""
     order = Window.partitionBy("page_id").orderBy(F.desc("similarity"), "query_id")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from leafscan.functions.similarity import positional
 from leafscan.functions.tokens import split_words
-from leafscan.operators.chain import clean
+from leafscan.operators import chain
 
 #: A window of tokens that is this similar ends the search; a window of words must be so similar; so must single words.
 TOKEN_STOP, WORDS_LEAST, WORD_LEAST = 0.85, 0.7, 0.7
@@ -160,7 +160,8 @@ def gap_boxes(stretches: DataFrame, queries: DataFrame, words: DataFrame) -> Dat
     """
     around = F.ceil(F.col("n_wanted") * AROUND)
     spans = stretches.select("page_id", "query_id", "n_found", "start_index", "end_index", (F.col("start_index") - around).alias("low"), (F.col("end_index") + around).alias("high"))
-    own = words.withColumn("clean", clean(F.col("word"))).where("clean <> ''").select("page_id", "pos", "clean", "x1", "y1", "x2", "y2")
+    ascii_only = F.regexp_replace(F.lower("word"), "[^a-z0-9_]", "")
+    own = words.where(chain.clean(F.col("word")) != "").select("page_id", "pos", ascii_only.alias("clean"), "x1", "y1", "x2", "y2")
     near = spans.join(own, "page_id").where("pos >= low AND pos < high")
     listed = F.array_sort(F.collect_list(F.struct("pos", "clean", "x1", "y1", "x2", "y2")))
     rows = near.groupBy("page_id", "query_id", "n_found", "start_index", "end_index").agg(listed.alias("own")).join(queries.select("query_id", "text"), "query_id")
@@ -170,9 +171,10 @@ def gap_boxes(stretches: DataFrame, queries: DataFrame, words: DataFrame) -> Dat
             values = []
             for row in batch.select(["text", "own", "n_found", "start_index", "end_index"]).to_pylist():
                 wanted = re.sub(r"[^a-z0-9_\s]", " ", (row["text"] or "").lower()).split()
-                run = run_with_gaps([w["clean"] for w in row["own"]], wanted)
+                searched = [w for w in row["own"] if w["clean"]]
+                run = run_with_gaps([w["clean"] for w in searched], wanted) if wanted else []
                 chained = len(run) < row["n_found"]
-                boxes = [w for w in row["own"] if row["start_index"] <= w["pos"] < row["end_index"]] if chained else [row["own"][at] for at in run]
+                boxes = [w for w in row["own"] if row["start_index"] <= w["pos"] < row["end_index"]] if chained else [searched[at] for at in run]
                 values.append((len(boxes), chained, min(b["x1"] for b in boxes), min(b["y1"] for b in boxes), max(b["x2"] for b in boxes), max(b["y2"] for b in boxes)))
             columns = [pa.array([v[k] for v in values], t) for k, t in enumerate((pa.int32(), pa.bool_(), *[pa.float64()] * 4))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("query_id"), *columns], names=schema.names)

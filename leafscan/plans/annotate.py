@@ -14,13 +14,19 @@ from leafscan.sources import hocr
 
 @dataclass(frozen=True)
 class Options:
-    """How to search and what to return; ``max_results`` limits matches of a page (none: all)."""
+    """How to search and what to return; ``max_results`` limits matches of a page (none: all).
+
+    ``page_width`` and ``page_height`` are the recognised pages' size, before any that a page or table tells; the target
+    size holds for pages that no table of targets has.
+    """
 
     tolerance: float = match.TOLERANCE
     fuzzy: bool = False
     all_lines: bool = False
     max_results: int | None = None
     early_stop: bool = True
+    page_width: float | None = None
+    page_height: float | None = None
     target_width: float = geometry.TARGET_WIDTH
     target_height: float = geometry.TARGET_HEIGHT
 
@@ -32,11 +38,29 @@ def _searchable(words: DataFrame, options: Options) -> DataFrame:
     return own.groupBy("page_id").agg(places.alias("w"))
 
 
-def annotate(words: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
+def _scaled(boxed: DataFrame, options: Options, sizes: DataFrame | None, targets: DataFrame | None) -> DataFrame:
+    """Boxes with their place on the target page: x, y, width, height.
+
+    A page's size is the option, its own, or its target's; without a table of sizes, and without an option, the fixed
+    standard size.
+    """
+    standard = geometry.sizes_of(boxed, geometry.PAGE_WIDTH, geometry.PAGE_HEIGHT)
+    known = geometry.sizes_of(boxed, options.target_width, options.target_height) if targets is None else targets
+    sized = geometry.sized_pages(standard if sizes is None else sizes, known, options.page_width, options.page_height, options.target_width, options.target_height)
+    both = boxed.join(sized.select("page_id", F.col("width").alias("from_width"), F.col("height").alias("from_height")), "page_id")
+    both = both.join(known.select("page_id", F.struct("width", "height").alias("to")), "page_id", "left")
+    whole = F.col("to.width").isNotNull() & F.col("to.height").isNotNull()
+    to = [F.when(whole, F.col(f"to.{c}")).otherwise(F.lit(v)).cast("double") for c, v in (("width", options.target_width), ("height", options.target_height))]
+    placed = geometry.pdf_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], width=F.col("from_width"), height=F.col("from_height"), to_width=to[0], to_height=to[1])
+    return both.select(*boxed.columns, *[c.alias(n) for n, c in placed.items()])
+
+
+def annotate(words: DataFrame, queries: DataFrame, options: Options = Options(), sizes: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Annotations of all pages: match, box on the page, box on the target page, style.
 
     ``words``: page_id, pos, line_class, word, box (``hocr.parsed_words``); ``queries``: query_id, text,
-    annotation_type, color, background_color.
+    annotation_type, color, background_color; ``sizes`` and ``targets``: page_id, width, height of recognised and of target
+    pages.
     """
     held = _searchable(words, options)
     pages = held.select("page_id", F.transform("w", lambda w: w["word"]).alias("ws"))
@@ -50,19 +74,20 @@ def annotate(words: DataFrame, queries: DataFrame, options: Options = Options())
     found = settled(found)
     placed = held.select("page_id", F.posexplode("w").alias("pos", "p")).select("page_id", "pos", "p.word", "p.x1", "p.y1", "p.x2", "p.y2")
     boxed = boxes.usable_boxes(boxes.match_boxes(match.with_text(found, pages), placed))
-    target = geometry.pdf_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], to_width=options.target_width, to_height=options.target_height)
-    joined = boxed.select("*", *[c.alias(n) for n, c in target.items()]).join(queries.drop("text"), "query_id")
+    joined = _scaled(boxed, options, sizes, targets).join(queries.drop("text"), "query_id")
     return geometry.draw_ops(geometry.styled(joined))
 
 
-def annotate_pages(pages: DataFrame, queries: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+def annotate_pages(pages: DataFrame, queries: DataFrame, options: Options = Options(), targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """Annotations of recognised pages (page_id, hocr), and the pages that failed: page_id, error.
 
-    Pages are read once, into a checkpoint; one that can't be read or has no word is left out and named.
+    Pages are read once, into a checkpoint; one that can't be read or has no word is left out and named.  Boxes are
+    scaled from the size that a page tells of itself.
     """
     read = checkpointed(hocr.read_words(pages))
     words = read.where("error is null").drop("error")
-    return annotate(words, queries, options), read.where("error is not null").select("page_id", "error")
+    own = pages.select("page_id", hocr.page_dimensions(F.col("hocr")).alias("d")).select("page_id", "d.width", "d.height")
+    return annotate(words, queries, options, own, targets), read.where("error is not null").select("page_id", "error")
 
 
 def annotate_page(page_id: int, markup: str, queries: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008

@@ -76,6 +76,11 @@ def match_char_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "query_id", "char_start", "char_end")
 
 
+def match_marker_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = pages(spark, sf_dir).select("page_id", marker_text(F.col("ws")).alias("marked"))
+    return match.with_marker_offsets(_settled(spark, sf_dir), marked).select("page_id", "query_id", "marker_start", "marker_end")
+
+
 def match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match.with_text(_settled(spark, sf_dir), pages(spark, sf_dir))
     return found.select("page_id", "query_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
@@ -179,11 +184,48 @@ def hocr_marker_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("page_id", F.length("marked").alias("chars"), F.md5("marked").alias("marked_md5"))
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as hOCR, of four widths and three heights; one in seven tells no size."""
+    told = F.col("page_id") % 7 != 0
+    return hocr.rendered(pages(spark, sf_dir), F.when(told, 2000 + F.col("page_id") % 4 * 500), F.when(told, 3000 + F.col("page_id") % 3 * 700))
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target pages of two sizes; one in five has none."""
+    sizes = F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))).otherwise(F.struct(F.lit(595.0).alias("width"), F.lit(842.0).alias("height")))
+    return table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").alias("page_id"), sizes.alias("s")).select("page_id", "s.width", "s.height")
+
+
 def hocr_page_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = hocr.rendered(pages(spark, sf_dir)).select("page_id", hocr.page_dimensions(F.col("hocr")).alias("d"))
+    sized = _sized(spark, sf_dir).select("page_id", hocr.page_dimensions(F.col("hocr")).alias("d"))
     return sized.select("page_id", "d.width", "d.height")
 
 
+def _plain_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("query_id") % 2 == 0, "highlight").otherwise("rectangle")
+    return _texts(spark, sf_dir).select("query_id", "text", kind.alias("annotation_type"), F.lit(None).cast("string").alias("color"), F.lit(None).cast("string").alias("background_color"))
+
+
+def sized_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = annotate.annotate_pages(_sized(spark, sf_dir), _plain_queries(spark, sf_dir), targets=_targets(spark, sf_dir))
+    return found.select("page_id", "query_id", "op", *rounded("x", "y", "width", "height"))
+
+
+def annotation_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.col("doc_id").cast("string")
+    sources = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("page_id"), F.concat(F.lit("Page "), held).alias("title"), F.lit("A Clerk").alias("author"), F.lit("The Archive").alias("organization"), F.concat(F.lit("http://a.b/"), held).alias("url")
+    )
+    _, cited, _ = annotate.annotate_with_citations(hocr.rendered(pages(spark, sf_dir)), _plain_queries(spark, sf_dir), sources, "mla", F.lit("2024-01-15").cast("date"))
+    return cited.select("page_id", "query_id", "citation", F.md5("match_text").alias("text_md5"))
+
+
+def highlight_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = hocr.parsed_words(hocr.rendered(pages(spark, sf_dir)))
+    html = F.concat(F.lit("<u>"), F.substring_index("text", " ", 4), F.lit("</u>"))
+    return annotate.annotate_with_highlights(words, _texts(spark, sf_dir).withColumn("html", html))
+
+
 def highlight_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda a, n: F.array_join(F.slice("qs", a, n), " ")
     html = F.concat(F.lit("<s>"), part(1, 3), F.lit("</s> "), F.lit('<span style="background-color: rgb(255, 255, 0)">'), part(4, 9), F.lit("</span> <u>"), part(13, 2), F.lit("</u>"))
@@ -275,10 +317,11 @@ def rich_text_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DOC_QUERIES = (
     tokenize_words, clean_markers, marker_lines, closest_match, closest_match_best, closest_match_no_early_stop, multi_match_threshold,
-    match_char_offsets, match_text, top_matches_per_page, fuzzy_match_fallback, sequence_similarity, char_similarity, word_similarity,
+    match_char_offsets, match_marker_offsets, match_text, top_matches_per_page, fuzzy_match_fallback, sequence_similarity, char_similarity, word_similarity,
     match_boxes, match_line_boxes, words_in_area, line_quads, quad_points, pdf_coordinates, styled_annotations, draw_operations,
     hocr_roundtrip, hocr_marker_text, hocr_page_size, highlight_sections, marker_token_boxes, substring_boxes, text_spans, chained_stretches, gap_tolerant_boxes,
     word_list_markers, page_errors, annotation_records, label_positions, quad_checks, rich_text_annotations,
+    sized_annotations, annotation_citations, highlight_annotations,
 )
 QUERIES = {q.__name__: q for q in _DOC_QUERIES}
 
@@ -490,5 +533,19 @@ ORACLE_SQL = {
                 (100 + 240 * ((least(k + 9, len(ws)) - 1) % 10) + 20 * least(length(ws[least(k + 9, len(ws))]), 11)) || ' ' || (130 + 40 * ((k - 1) // 10)) || ']] ' || w ELSE w END) AS marked FROM pages_),
             m AS (SELECT page_id, '[[PARAGRAPH]] ' || array_to_string(marked, ' ') AS t FROM lines WHERE len(ws) > 0)
         SELECT page_id, CAST(length(t) AS INTEGER) AS chars, md5(t) AS marked_md5 FROM m""",
-    "hocr_page_size": "SELECT doc_id AS page_id, 2560 AS width, 3300 AS height FROM documents",
+    "hocr_page_size": """SELECT doc_id AS page_id, CAST(CASE WHEN doc_id % 7 <> 0 THEN 2000 + doc_id % 4 * 500 END AS INTEGER) AS width,
+        CAST(CASE WHEN doc_id % 7 <> 0 THEN 3000 + doc_id % 3 * 700 END AS INTEGER) AS height FROM documents""",
+    "match_marker_offsets": f"""{_BASE}, {_MARKED}, elements AS (SELECT page_id, unnest(ws) AS word, unnest(marked) AS piece, unnest(range(len(ws))) AS p FROM lines),
+        placed AS (SELECT *, 14 + coalesce(sum(length(piece) + 1) OVER (PARTITION BY page_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM elements)
+        SELECT f.page_id, f.query_id, CAST(min(place + length(piece) - length(word)) AS BIGINT) AS marker_start, CAST(max(place + length(piece)) AS BIGINT) AS marker_end
+        FROM found f JOIN placed w ON w.page_id = f.page_id AND w.p >= f.start_index AND w.p < f.end_index GROUP BY ALL""",
+    "sized_annotations": f"""{_BASE}{_BOXED}, sizes AS (
+            SELECT *, CASE WHEN page_id % 5 = 0 THEN 612 WHEN page_id % 2 = 0 THEN 612 ELSE 595 END AS tw, CASE WHEN page_id % 5 = 0 THEN 792 WHEN page_id % 2 = 0 THEN 792 ELSE 842 END AS th FROM mboxes
+        ), scales AS (
+            SELECT *, tw::DOUBLE / CASE WHEN page_id % 7 = 0 THEN tw ELSE 2000 + page_id % 4 * 500 END AS sx, th::DOUBLE / CASE WHEN page_id % 7 = 0 THEN th ELSE 3000 + page_id % 3 * 700 END AS sy FROM sizes
+        )
+        SELECT page_id, query_id, CASE WHEN query_id % 2 = 0 THEN 'fill' ELSE 'square' END AS op, round(x1 * sx, 6) AS x, round(th - y2 * sy, 6) AS y, round((x2 - x1) * sx, 6) AS width, round((y2 - y1) * sy, 6) AS height
+        FROM scales""",
+    "annotation_citations": f"""{_BASE} SELECT page_id, query_id, 'A Clerk. "Page ' || page_id || '." The Archive, January 15, 2024, http://a.b/' || page_id || '. Accessed January 15, 2024.' AS citation,
+        md5(array_to_string(ws[start_index + 1:end_index], ' ')) AS text_md5 FROM found JOIN pages_ USING (page_id)""",
 }

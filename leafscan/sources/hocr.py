@@ -167,8 +167,8 @@ def marker_text_of(words: DataFrame) -> DataFrame:
     return by_par.groupBy("page_id").agg(pars.alias("marked"))
 
 
-def rendered(pages: DataFrame) -> DataFrame:
-    """page_id, hocr: laid-out pages (page_id, ws) as hOCR."""
+def rendered(pages: DataFrame, width: Column | int = 2560, height: Column | int = 3300) -> DataFrame:
+    """page_id, hocr: laid-out pages (page_id, ws) as hOCR; a page whose width or height is null has no box of its own."""
     safe = lambda w: F.replace(F.replace(F.replace(w, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
     def bbox(box: dict[str, Column]) -> Column:
@@ -186,5 +186,7 @@ def rendered(pages: DataFrame) -> DataFrame:
         return one
 
     body = F.array_join(F.transform("ws", word(F.col("ws"))), "")
-    page = F.concat(F.lit("<html><body><div class='ocr_page' title='bbox 0 0 2560 3300'><p class='ocr_par'>"), body, F.when(F.size("ws") > 0, "</span>").otherwise(""), F.lit("</p></div></body></html>"))
+    size = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("int").cast("string")
+    own = F.coalesce(F.concat(F.lit(" title='bbox 0 0 "), size(width), F.lit(" "), size(height), F.lit("'")), F.lit(""))
+    page = F.concat(F.lit("<html><body><div class='ocr_page'"), own, F.lit("><p class='ocr_par'>"), body, F.when(F.size("ws") > 0, "</span>").otherwise(""), F.lit("</p></div></body></html>"))
     return pages.select("page_id", page.alias("hocr"))

@@ -21,6 +21,26 @@ def test_a_page_that_fails_is_named_and_the_others_go_on(spark, monkeypatch):
         annotate.annotate_page(9, "<p></p>", queries)
 
 
+def test_boxes_are_scaled_from_the_pages_own_size(spark):
+    def page(size):
+        return f"<div class='ocr_page'{size}><p class='ocr_par'><span class='ocr_line' title='bbox 0 0 1000 500'><span class='ocrx_word' title='bbox 0 0 1000 500'>whole</span></span></p></div>"
+
+    pages = spark.createDataFrame([(1, page(" title='image \"x\"; bbox 0 0 1000 1000'")), (2, page(" title='bbox 0 0 2000 500'")), (3, page("")), (4, page(" title='bbox 0 0 1000 1000'"))], "page_id long, hocr string")
+    queries = spark.createDataFrame([(1, "whole", "highlight", None, None)], QUERIES)
+    targets = spark.createDataFrame([(3, 500.0, 1000.0), (4, 500.0, 1000.0), (2, None, 5.0)], "page_id long, width double, height double")
+
+    def boxes(options=annotate.Options(), targets=None):
+        found, _ = annotate.annotate_pages(pages, queries, options, targets)
+        return {r["page_id"]: (r["x"], r["y"], r["width"], r["height"]) for r in found.collect()}
+
+    assert boxes() == {1: (0, 396, 612, 396), 2: (0, 0, 306, 792), 3: (0, 292, 1000, 500), 4: (0, 396, 612, 396)}
+    assert boxes(targets=targets) == {1: (0, 396, 612, 396), 2: (0, 0, 306, 792), 3: (0, 500, 1000, 500), 4: (0, 500, 500, 500)}
+    assert boxes(annotate.Options(page_width=2000.0, page_height=1000.0))[1] == (0, 396, 306, 396)
+    # Words alone tell no size: the fixed one.
+    words = hocr.parsed_words(pages.where("page_id = 1"))
+    assert round(annotate.annotate(words, queries).first()["width"], 3) == 239.062
+
+
 def test_rich_text_queries_are_annotated_once(spark):
     pages = spark.createDataFrame([(5, PAGE)], "page_id long, hocr string")
     texts = [(1, "<u>second line</u> and <strong>more</strong>"), (2, "<u>second line</u>"), (3, "Hello W&rld"), (4, "{\\rtf1\\ansi \\strike second line\\par }")]

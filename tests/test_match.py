@@ -69,3 +69,44 @@ def test_offsets_and_limit(spark):
     assert spans == {0: (2, 8), 1: (0, 1)}
     assert match.top_matches(found, 1).count() == 1
     assert {r["text"] for r in match.with_text(found, p).collect()} == {"bb ccc", "a"}
+
+
+def lines_by_hand(words, tolerance):
+    """Each word to the first line whose mean centre is near enough, in the order given; lines by mean, words by left edge."""
+    lines = []
+    for word in words:
+        cy = (word[3] + word[5]) / 2
+        for line in lines:
+            if abs(cy - sum((w[3] + w[5]) / 2 for w in line) / len(line)) <= tolerance:
+                line.append(word)
+                break
+        else:
+            lines.append([word])
+    order = sorted(range(len(lines)), key=lambda k: (sum((w[3] + w[5]) / 2 for w in lines[k]) / len(lines[k]), k))
+    shown = [sorted(lines[k], key=lambda w: (w[2], w[0])) for k in order]
+    return [(n, min(w[2] for w in ln), min(w[3] for w in ln), max(w[4] for w in ln), max(w[5] for w in ln), len(ln), " ".join(w[1] for w in ln)) for n, ln in enumerate(shown)]
+
+
+def test_lines_drift_with_their_means(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    cases = [[(k, f"w{k}", 10.0 * k, 8.0 * k, 10.0 * k + 5, 8.0 * k + 4) for k in range(5)]]  # five words 8 pixels apart: 3 lines
+    cases += [[(k, f"w{k}", float(rng.randrange(50)), y := float(rng.randrange(60)), 60.0, y + rng.randrange(1, 12)) for k in range(rng.randrange(1, 25))] for _ in range(12)]
+    for q, words in enumerate(cases):
+        rows += [(1, q, *w) for w in words]
+        want[q] = lines_by_hand(words, 10.0)
+    table = spark.createDataFrame(rows, "page_id long, query_id long, pos int, word string, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    got = {}
+    for r in boxes.line_quads(table).orderBy("query_id", "line_index").collect():
+        got.setdefault(r["query_id"], []).append((r["line_index"], r["x1"], r["y1"], r["x2"], r["y2"], r["n_words"], r["text"]))
+    assert got == want and len(got[0]) == 3
+
+
+def test_marker_offsets(spark):
+    text = "[[PARAGRAPH]] [[LINE 1 2 3 4]] a bb a[[LINE 1 6 3 8]]bb  a [[odd [[LINE 1 9 3 9]] bb a"
+    # An opening without its end is a marker up to the next end, so the words are a bb a bb a bb a.
+    marked = spark.createDataFrame([(0, text)], "page_id long, marked string")
+    spans = [(0, q, s, e) for q, (s, e) in enumerate([(0, 1), (1, 3), (2, 5), (3, 4), (0, 7)])]
+    found = match.with_marker_offsets(spark.createDataFrame(spans, "page_id long, query_id long, start_index int, end_index int"), marked)
+    got = {r["query_id"]: text[r["marker_start"] : r["marker_end"]] for r in found.collect()}
+    assert got == {0: "a", 1: "bb a", 2: "a[[LINE 1 6 3 8]]bb  a", 3: "bb", 4: "a bb a[[LINE 1 6 3 8]]bb  a [[odd [[LINE 1 9 3 9]] bb a"}

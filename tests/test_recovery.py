@@ -31,8 +31,7 @@ def test_boxes_with_gaps(spark):
         return {r["query_id"]: (r["page_id"], (r["x1"], r["y1"], r["x2"], r["y2"])) for r in found}
 
     asked = spark.createDataFrame([(p, text) for p, (_, text, _) in enumerate(CASES)], "query_id long, text string")
-    # The text's own hyphen separates words, the page's does not: two of three words are too few for a chain.
-    assert boxes(asked) == {p: (p, tuple(map(float, CASES[p][2]))) for p in range(3)}
+    assert boxes(asked) == {p: (p, tuple(map(float, CASES[p][2]))) for p in range(4)}
     assert boxes(spark.createDataFrame([(0, "zzz qqq xxx"), (1, "?!"), (2, None), (3, "important informatoin located here")], "query_id long, text string")) == {3: (1, (300.0, 400.0, 700.0, 450.0))}
 
 
@@ -87,12 +86,12 @@ def test_stretches_equal_all_pages_and_texts(spark):
     table = spark.createDataFrame(list(enumerate(pages)), "page_id long, ws array<string>").repartition(3)
     asked = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)] + [(99, None), (98, "")], "query_id long, text string")
     got = {(r["page_id"], r["query_id"]): (r["n_found"], r["start_index"], r["end_index"]) for r in chain.stretches(table, asked).collect()}
-    cleaned = lambda w: re.sub("[^a-z0-9_]", "", w.lower())
+    cleaned = lambda w: re.sub(r"\W", "", w.lower())
     want = {}
     for p, page in enumerate(pages):
         held = [(k, cleaned(w)) for k, w in enumerate(page) if cleaned(w)]
         for q, text in enumerate(texts):
-            qs = re.sub(r"[^a-z0-9_\s]", " ", " ".join(text).lower()).split()
+            qs = [w for w in map(cleaned, text) if w]
             need = math.ceil(len(qs) * 0.7 - 1e-9)
             if qs and (best := brute_chain([w for _, w in held], qs, need, len(qs) + len(qs) // 2)):
                 want[p, q] = (best[0], held[best[1]][0], held[best[2]][0] + 1)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.operators import boxes, citations, geometry, highlight, match, richtext
+from leafscan.operators import boxes, citations, fuzzy, geometry, highlight, match, richtext
 from leafscan.plans.shared import checkpointed, settled
 from leafscan.sources import hocr
 
@@ -66,7 +66,7 @@ def annotate(words: DataFrame, queries: DataFrame, options: Options = Options(),
     pages = held.select("page_id", F.transform("w", lambda w: w["word"]).alias("ws"))
     wanted = queries.select("query_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("qs"))
     if options.fuzzy:
-        found = match.fuzzy_matches(pages, wanted, options.tolerance).drop("fuzzy")
+        found = fuzzy.fuzzy_matches(pages, wanted, options.tolerance).drop("fuzzy")
     else:
         found = match.closest_matches(pages, wanted, options.tolerance, options.early_stop)
     if options.max_results is not None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafscan.functions import similarity
 from leafscan.functions.tokens import split_words, without_markers
-from leafscan.operators import boxes, chain, geometry, highlight, match, recovery
+from leafscan.operators import boxes, chain, fuzzy, geometry, highlight, match, recovery
 from leafscan.plans import annotate
 from leafscan.plans.shared import settled
 from leafscan.sources import hocr
@@ -94,10 +94,15 @@ def fuzzy_match_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = pages_of_texts(table(spark, sf_dir, "part"), "p_partkey", "p_name")
     types = pages_of_texts(table(spark, sf_dir, "part").select(F.lower("p_type").alias("t")).distinct(), "t", "t")
     wanted = types.select(F.col("page_id").alias("query_id"), F.col("ws").alias("qs"))
-    found = match.fuzzy_matches(names, wanted, threshold=0.6)
+    found = fuzzy.fuzzy_matches(names, wanted, threshold=0.6)
     return found.select("page_id", "query_id", "start_index", "end_index", *rounded("similarity"), "fuzzy")
 
 
+def fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages on all pages, misread words and all."""
+    return fuzzy.fuzzy_matches(pages(spark, sf_dir), passages(spark, sf_dir)).select("page_id", "query_id", "start_index", "end_index", *rounded("similarity"), "fuzzy")
+
+
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     other = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
@@ -317,7 +322,7 @@ def rich_text_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DOC_QUERIES = (
     tokenize_words, clean_markers, marker_lines, closest_match, closest_match_best, closest_match_no_early_stop, multi_match_threshold,
-    match_char_offsets, match_marker_offsets, match_text, top_matches_per_page, fuzzy_match_fallback, sequence_similarity, char_similarity, word_similarity,
+    match_char_offsets, match_marker_offsets, match_text, top_matches_per_page, fuzzy_match_fallback, fuzzy_passages, sequence_similarity, char_similarity, word_similarity,
     match_boxes, match_line_boxes, words_in_area, line_quads, quad_points, pdf_coordinates, styled_annotations, draw_operations,
     hocr_roundtrip, hocr_marker_text, hocr_page_size, highlight_sections, marker_token_boxes, substring_boxes, text_spans, chained_stretches, gap_tolerant_boxes,
     word_list_markers, page_errors, annotation_records, label_positions, quad_checks, rich_text_annotations,

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,28 +98,40 @@ def page_words(hocr: str | None) -> list[dict]:
     return [w | {"text": w["text"].strip()} for w in reader.words if w["text"].strip()]
 
 
-def _rows(page_id: int, hocr: str | None) -> list[tuple]:
-    box = lambda w, name: w[name] or (None,) * 4
-    found = enumerate(page_words(hocr))
-    return [(page_id, k, w["par"], w["line"], w["class"], w["text"], *box(w, "box"), w["wconf"], *box(w, "line_box")) for k, w in found]
+#: Words of a batch of parsed pages, about.
+BATCH_WORDS = 16_384
+
+
+def _parsed(page_id: int, hocr: str | None) -> list[tuple]:
+    """A page's words as rows of ``WORDS`` with a null error, or its one row with an error."""
+    try:
+        found = page_words(hocr)
+        error = "no words"
+    except Exception as failure:  # noqa: BLE001 - whatever is wrong with a page, the others go on
+        found, error = [], f"{type(failure).__name__}: {failure}"
+    none = (None,) * 4
+    rows = [(page_id, k, w["par"], w["line"], w["class"], w["text"], *(w["box"] or none), w["wconf"], *(w["line_box"] or none), None) for k, w in enumerate(found)]
+    return rows or [(page_id, *[None] * 14, error)]
 
 
 def read_words(pages: DataFrame) -> DataFrame:
     """``WORDS`` of pages (page_id, hocr) and their ``error``: a page that can't be read or has no word is one row of it."""
-    names = [c.split()[0] for c in WORDS.split(", ")] + ["error"]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, f"{WORDS}, error string".split(", "))])
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple] = []
+        batch_of = lambda some: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
         for batch in batches:
-            for page_id, hocr in zip(batch["page_id"], batch["hocr"], strict=True):
-                try:
-                    made, error = _rows(page_id, hocr), "no words"
-                except Exception as failure:  # noqa: BLE001 - whatever is wrong with a page, the others go on
-                    made, error = [], f"{type(failure).__name__}: {failure}"
-                whole = [(*row, None) for row in made] or [(page_id, *[None] * (len(names) - 2), error)]
-                out = pd.DataFrame(whole, columns=names)
-                yield out.astype({"wconf": "Int32", "pos": "Int32", "par_no": "Int32", "line_no": "Int32"})
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("hocr").cast("string").alias("hocr")).mapInPandas(rows, f"{WORDS}, error string")
+            for row in range(len(batch)):
+                made += _parsed(batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
+                if len(made) >= BATCH_WORDS:
+                    yield batch_of(made)
+                    made = []
+        if made:
+            yield batch_of(made)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("hocr").cast("string").alias("hocr")).mapInArrow(rows, f"{WORDS}, error string")
 
 
 def parsed_words(pages: DataFrame) -> DataFrame:

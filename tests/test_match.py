@@ -1,6 +1,7 @@
+import math
 import random
 
-from leafscan.operators import boxes, match
+from leafscan.operators import boxes, fuzzy, match
 
 
 def brute(ws, qs, early_stop=True):
@@ -42,10 +43,55 @@ def test_windows_equal_a_scan(spark):
 def test_fuzzy_finds_what_exact_misses(spark):
     p, q = tables(spark, ["voltag regulatr circit provides stable power".split()], ["voltage regulator circuit".split()])
     assert match.closest_matches(p, q).count() == 0
-    row = match.fuzzy_matches(p, q).first()
+    row = fuzzy.fuzzy_matches(p, q).first()
     assert (row["start_index"], row["end_index"], round(row["similarity"], 3), row["fuzzy"]) == (0, 3, 0.848, True)
 
 
+def word_alike(a, b):
+    if a == b:
+        return 1.0
+    return 0.8 if a in b or b in a else sum(c in b for c in a) / max(len(a), len(b))
+
+
+def fuzzy_by_hand(ws, qs, threshold):
+    """All windows of all sizes, one by one."""
+    if not 0 < len(qs) <= len(ws):
+        return None
+    equal = [sum(a == b for a, b in zip(ws[i:], qs)) / len(qs) for i in range(len(ws) - len(qs) + 1)]
+    at = next((i for i, s in enumerate(equal) if s >= 0.95), equal.index(max(equal)))
+    best, exact = None, equal[at]
+    if exact < 0.8:
+        for n in range(max(1, len(qs) - 2), min(len(ws), len(qs) + 3) + 1):
+            for i in range(len(ws) - n + 1):
+                w = ws[i : i + n]
+                total = 0.0
+                for a, b in zip(w, qs):
+                    total += word_alike(a, b)
+                x, y = "".join(w), "".join(qs)
+                s = max(math.floor(total / max(n, len(qs)) * 1000) / 1000, math.floor(sum(map(str.__eq__, x, y)) / max(len(x), len(y)) * 1000) / 1000)
+                if s > (best[2] if best else 0.6):
+                    best = (i, i + n, s)
+    if best and best[2] > exact:
+        return (*best, True) if best[2] >= threshold else None
+    return (at, at + len(qs), exact, False) if exact >= threshold else None
+
+
+def test_bounds_lose_no_fuzzy_window(spark):
+    rng = random.Random(12)
+    letters = "abcdeé"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    misread = lambda w: w if rng.random() < 0.5 else w[: rng.randrange(len(w))] + rng.choice(letters) + w[rng.randrange(len(w)) :]
+    pages = [[rng.choice(vocabulary) for _ in range(rng.randrange(0, 40))] for _ in range(25)]
+    queries = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 5, 5, 8, 30]))] for _ in range(22)]
+    for page in pages[::2]:
+        page[3:3] = map(misread, rng.choice(queries))
+    p, q = tables(spark, pages, queries)
+    for threshold, block in ((0.6, 500), (0.8, 4), (0.9, 500), (0.3, 7)):
+        got = {(r["page_id"], r["query_id"]): (r["start_index"], r["end_index"], r["similarity"], r["fuzzy"]) for r in fuzzy.fuzzy_matches(p, q, threshold, block).collect()}
+        assert got == {(a, b): w for a, ws in enumerate(pages) for b, qs in enumerate(queries) if (w := fuzzy_by_hand(ws, qs, threshold))}
+    assert fuzzy.fuzzy_matches(p, q.where("query_id < 0")).count() == 0
+
+
 def test_boxes_and_quads(spark):
     words = spark.createDataFrame(
         [(1, 0, "Document", 50.0, 100.0, 150.0, 130.0), (1, 1, "Title", 160.0, 100.0, 250.0, 130.0), (1, 2, "Header", 60.0, 150.0, 350.0, 180.0)],

@@ -19,7 +19,9 @@ FORMATS = {
 CLEAN_UPS = ((r"\s+", " "), (r"\s*,\s*,", ","), (r"\s*\.\s*\.", "."), (r"^\s*,\s*", ""), (r"\s*,\s*$", ""))
 #: Fixed value: the header of a CSV export.
 CSV_HEADER = "Citation,Format,Match Text,Page Number,Document UID,Timestamp"
-#: What the example of every format is made of.
+#: Order of citations in a bibliography.
+COLLATION = "UNICODE"
+#: What the example of every format is made of.
 EXAMPLE = {"author": "Smith, J.", "title": "Sample Document Analysis", "organization": "Research Institute", "year": "2023", "date": "January 15, 2023", "url": "https://example.com/document.pdf", "accessDate": "March 20, 2024"}
 
 
@@ -77,11 +79,16 @@ def joined_pages(matches: DataFrame, pages: DataFrame, keys: list[str], order: s
     return matches.join(last, keys, "left").select(*matches.columns, F.col("page").isNotNull().alias("found"), *[F.col(f"page.{c}").alias(c) for c in rest])
 
 
-def bibliography(cited: DataFrame) -> DataFrame:
+def in_order(text: Column, collation: str | None) -> list[Column]:
+    """What to sort texts by: a collation's order, texts that it holds for equal in binary order; none: binary order."""
+    return [F.collate(text, collation), text] if collation else [text]
+
+
+def bibliography(cited: DataFrame, collation: str | None = COLLATION) -> DataFrame:
     """The lines of a bibliography in order: line_no, section, line.
 
     ``cited``: section, page, citation.  Sections come in the order of their first page, a title and its underline
-    before each; lines by page, then citation (binary order).  Rows stay lines: no section is gathered in one place.
+    before each; lines by page, then citation.  Rows stay lines: no section is gathered in one place.
     Citations without a section form one of their own, whose title and underline are null.
     """
     first = cited.groupBy("section").agg(F.min("page").alias("first"))
@@ -89,13 +96,23 @@ def bibliography(cited: DataFrame) -> DataFrame:
     lines = cited.join(named, F.col("section").eqNullSafe(F.col("title"))).select("first", "section", F.lit(2).alias("kind"), "page", F.col("citation").alias("line"))
     titles = first.select("first", "section", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page"), F.col("section").alias("line"))
     rules = first.select("first", "section", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("page"), F.repeat(F.lit("="), F.length("section")).alias("line"))
-    order = [F.col(c) for c in ("first", "section", "kind", "page", "line")]
+    order = [*[F.col(c) for c in ("first", "section", "kind", "page")], *in_order(F.col("line"), collation)]
     return globally_ranked(lines.unionByName(titles).unionByName(rules), *order, name="line_no").select("line_no", "section", "line")
 
 
-def plain_bibliography(cited: DataFrame) -> DataFrame:
-    """The citations in binary order, without sections: line_no, line; blank lines go between when they are written."""
-    return globally_ranked(cited.select(F.col("citation").alias("line")), F.col("line"), name="line_no").select("line_no", "line")
+def plain_bibliography(cited: DataFrame, collation: str | None = COLLATION) -> DataFrame:
+    """The citations in order, without sections: line_no, line; blank lines go between when they are written."""
+    return globally_ranked(cited.select(F.col("citation").alias("line")), *in_order(F.col("line"), collation), name="line_no").select("line_no", "line")
+
+
+def write_lines(lines: DataFrame, path: str, number: str = "number", line: str = "line", parts: int | None = None) -> None:
+    """Lines as text files whose order by name is that of their numbers: joined, they are the whole export.
+
+    Numbers are dealt out by ranges and sorted within; header and brackets of ``whole_export`` are lines like others, so the
+    first and the last file have them.  Spark's own commit makes a rerun replace the files as a whole.
+    """
+    ranged = lines.repartitionByRange(parts, number) if parts else lines.repartitionByRange(number)
+    ranged.sortWithinPartitions(number).select(F.col(line).alias("value")).write.mode("overwrite").text(path)
 
 
 def checked(joined: DataFrame, *keys: str) -> DataFrame:

@@ -46,11 +46,11 @@ def citation_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bibliography_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = _cited(spark, sf_dir, "mla").select(citations.host_of(F.col("url")).alias("section"), F.col("page_id").alias("page"), "citation")
-    return citations.bibliography(cited)
+    return citations.bibliography(cited, collation=None)
 
 
 def bibliography_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.plain_bibliography(_cited(spark, sf_dir, "ieee"))
+    return citations.plain_bibliography(_cited(spark, sf_dir, "ieee"), collation=None)
 
 
 def _whole_export(fmt: str):

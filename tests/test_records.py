@@ -1,4 +1,6 @@
 import datetime
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,76 @@ def test_global_rank(spark):
     assert globally_ranked(rows.limit(0), F.col("v")).count() == 0
 
 
+def test_collated_order(spark):
+    words = ["zebra", "Éclair", "eclair", "Zoo", "apple", "éclair", "Apple", "Ångström", "b"]
+    cited = spark.createDataFrame([("s", 1, w) for w in words], "section string, page long, citation string").repartition(3)
+    shown = lambda rows: [r["line"] for r in rows.orderBy("line_no").collect()]
+    assert shown(citations.plain_bibliography(cited)) == ["Ångström", "apple", "Apple", "b", "eclair", "éclair", "Éclair", "zebra", "Zoo"] or shown(citations.plain_bibliography(cited)) == [
+        "apple", "Apple", "Ångström", "b", "eclair", "éclair", "Éclair", "zebra", "Zoo"
+    ]
+    assert shown(citations.plain_bibliography(cited, collation=None)) == sorted(words)
+    assert shown(citations.bibliography(cited))[2:] == shown(citations.plain_bibliography(cited))
+
+
+def test_joined_files_are_the_export(spark, tmp_path):
+    rows = [(f"c{k:03d}", "mla", 'a "b"', k, "d", datetime.datetime(2024, 1, 1)) for k in range(200)]
+    cited = spark.createDataFrame(rows, "citation string, format string, match_text string, page_number long, doc_uid string, timestamp timestamp").repartition(5)
+    for fmt in ("json", "csv"):
+        lines = citations.whole_export(cited, fmt, F.col("citation"))
+        for _ in range(2):  # a rerun replaces
+            citations.write_lines(lines, str(tmp_path / fmt), parts=4)
+        files = sorted((tmp_path / fmt).glob("part-*"))
+        whole = "".join(f.read_text() for f in files)
+        assert len(files) == 4 and whole.splitlines() == [r["line"] for r in lines.orderBy("number").collect()]
+    assert len(json.loads((lambda d: "".join(f.read_text() for f in sorted(d.glob("part-*"))))(tmp_path / "json"))) == 200
+
+
+def test_gets_of_one_key_are_spread_and_find_their_sets(spark):
+    rng = random.Random(2)
+    at = datetime.datetime(2024, 1, 1)
+    hour = lambda: at + datetime.timedelta(hours=rng.randrange(60))
+    key = lambda: rng.choice([("s", 1)] * 6 + [("s", 2), ("t", 1), ("t", 9), ("u", None)])
+    sets = [(*key(), hour(), f"d{k}") for k in range(60)]
+    gets = [(*key(), hour(), k, f"x{k}") for k in range(300)] + [("s", 1, None, 900, "no time")]
+    schema = "store string, key long, ts timestamp"
+    found = cache.found_at(spark.createDataFrame(gets, f"{schema}, id long, data2 string").repartition(4), spark.createDataFrame(sets, f"{schema}, data string"), "6 hours")
+    want = {}
+    for s, k, t, i, _ in gets:
+        before = [(x[2], x[3]) for x in sets if k is not None and t is not None and x[:2] == (s, k) and x[2] <= t]
+        last = max(before, default=(None, None))
+        want[i] = (*last, bool(last[0] and t <= last[0] + datetime.timedelta(hours=6)))
+    assert {r["id"]: (r["set_at"], r["data"], r["hit"]) for r in found.collect()} == want
+    none = spark.createDataFrame([], f"{schema}, data string")
+    assert cache.found_at(spark.createDataFrame(gets, f"{schema}, id long, data2 string"), none).where("hit OR set_at IS NOT NULL").count() == 0
+    assert cache.found_at(spark.createDataFrame([], f"{schema}, id long, data2 string"), none).count() == 0
+
+
+def test_store_puts_deletes_and_reads_back(spark, tmp_path):
+    day = lambda n: datetime.datetime(2024, 1, n)
+    store = cache.Store(spark, str(tmp_path / "store"), "long", buckets=4)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "store string, key long, ts timestamp, data string, size long")
+    keys = lambda *rows: spark.createDataFrame(list(rows), "store string, key long")
+    held = lambda: {(r["store"], r["key"]): r["data"] for r in store.read().collect()}
+    assert held() == {}
+    first = batch(*[("a", k, day(1), f"v{k}", 1) for k in range(20)])
+    store.put(first)
+    store.put(batch(("a", 3, day(2), "new", 1), ("b", 3, day(2), "b3", 1)))
+    assert held() == {**{("a", k): f"v{k}" for k in range(20)}, ("a", 3): "new", ("b", 3): "b3"}
+    store.delete(keys(("a", 4), ("a", 5), ("z", 1)), F.lit(day(3)))
+    want = {k: v for k, v in held().items()}
+    assert ("a", 4) not in want and len(want) == 19
+    store.put(first)  # a batch that runs again changes nothing
+    assert held() == want
+    store.put(batch(("a", 4, day(4), "again", 1)))
+    assert held() == want | {("a", 4): "again"}
+    store.clear(F.lit(day(5)), "a")
+    assert held() == {("b", 3): "b3"}
+    store.swept(F.lit(day(3)), "24 hours")
+    assert held() == {("b", 3): "b3"} and store._all().where("gone AND ts < TIMESTAMP '2024-01-02'").count() == 0
+    store.clear(F.lit(day(6)))
+    assert held() == {}
+
+
 def test_cache_holds_to_the_very_end(spark):
     at = datetime.datetime(2024, 1, 1)
     sets = spark.createDataFrame([("s", 1, at, 1, "a", 5), ("s", 1, at + datetime.timedelta(hours=24), 2, "b", 6), ("s", 2, at, 3, "c", 7)], "store string, key long, ts timestamp, id long, data string, size long")

@@ -71,6 +71,11 @@ def merged_like(df: DataFrame, docs: DataFrame) -> DataFrame:
     return _merged(df, size) if size < 1 << 60 else df
 
 
+def drawn(share: Column, *parts: Column) -> Column:
+    """Whether a row is in a sample of about this share (0 to 1) of all rows, by a 64-bit digest of its parts."""
+    return F.xxhash64(*parts).cast("double") / 2.0**64 + 0.5 < share
+
+
 def vocabulary(name: str) -> str:
     """Path of a vocabulary file of the installed public tokenizers, the default of the path parameters."""
     return importlib.import_module("public_tokenizers").path(name)

@@ -21,10 +21,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import by_text, fresh_worker, slices
+from leafscan.llm.common import by_text, drawn, fresh_worker, slices
 
 DIMENSIONS_BITS = 13
 DIMENSIONS = 1 << DIMENSIONS_BITS
@@ -136,8 +136,9 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) ->
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.astype("<f4").tobytes() for c in centres], "least": least})
 
     sizes = F.broadcast(rows.groupBy("lang").agg((sample / F.count("*")).alias("share")))  # a row for each language
-    drawn = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    found = drawn.select("doc_id", "text", "lang").distinct().groupBy("lang").applyInPandas(clustered, "lang string, centroid binary, least double").collect()
+    some = rows.join(sizes, "lang").where(drawn(F.col("share"), F.col("doc_id"), F.col("text"), F.lit("sample"))).select("doc_id", "text", "lang").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text", F.lit("sample")), "doc_id", "text"))
+    found = some.withColumn("r", first).where(F.col("r") <= 2 * sample).drop("r").groupBy("lang").applyInPandas(clustered, "lang string, centroid binary, least double").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["centroid"]))
     centroids = np.array([np.frombuffer(r["centroid"], "<f4") for r in found], np.float32).reshape(len(found), DIMENSIONS)
     return Model(idf, [r["lang"] for r in found], centroids, np.array([r["least"] for r in found]))

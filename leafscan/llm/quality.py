@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import by_text, fresh_worker, slices
+from leafscan.llm.common import by_text, drawn, fresh_worker, slices
 
 #: Documents that train the scorer, about: the bound of the sample.
 TRAIN_DOCS = 12_000
@@ -215,9 +215,11 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, dict
 
     total = sum(patterns.values())
     share = min(1.0, train_docs / total) if total else 1.0
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = rows if share == 1 else rows.where(drawn(F.lit(share), F.col("doc_id"), F.col("text"), F.lit("train")))
     features = sample.distinct().select("text").mapInArrow(featured, "dims binary, weights binary, target double")
     weights = features.groupBy(F.lit(0).alias("all")).applyInPandas(learned, "weights binary").collect()
+    if total and not weights:
+        raise ValueError(f"no document of {total} is in the sample of {train_docs} to learn from")
     return np.frombuffer(weights[0]["weights"], "<f8") if weights else np.zeros((1 << DIMENSIONS_BITS) + 1), posterior
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafscan.llm import chat, langid, pivots, quality, urlfilter
+from leafscan.llm.common import drawn
 
 
 def test_top_k_equals_brute_force(spark):
@@ -269,3 +270,16 @@ def test_pipeline_runs_whole(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({r["doc_id"] for r in out}) == list(range(40))
     assert [s for s, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "near_duplicates", "packing"]
+
+
+def test_samples_hold_their_share_and_bound_at_any_size(spark):
+    rows = spark.range(200_000).withColumn("h", F.xxhash64("id", F.lit("train")))
+    for share in (1.0, 0.25, 1e-4, 3e-6):
+        got = rows.where(drawn(F.lit(share), F.col("id"), F.lit("train"))).count()
+        assert abs(got - share * 200_000) <= 5 * (share * 200_000) ** 0.5 + 1
+    least = rows.agg(F.min("h")).first()[0] / 2**64 + 0.5  # a share between nothing and the least digest is not nothing
+    assert rows.where(drawn(F.lit(least * 1.001), F.col("id"), F.lit("train"))).count() == 1
+    texts = spark.createDataFrame([(k, f"some plain words of a text number {k} " * 5, "en") for k in range(300)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="no document of 300"):
+        quality.fit(texts, train_docs=1e-9)
+    assert len(langid.fit(texts, clusters=2, sample=5).langs) <= 2

@@ -62,6 +62,18 @@ def cut(df: DataFrame, size: int | None = None) -> DataFrame:
     return (df if size is None else _merged(df, size)).checkpoint()
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, about.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, where the session doesn't say otherwise: long texts fill batches of 10,000 rows
+    with tens of megabytes, which the JVM and the worker hold several times over."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def merged_like(df: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows made of ``docs`` in as many partitions as the size of its files asks for, two of each core at least.
 

@@ -35,6 +35,8 @@ WEIGHTS = (1, 2, 3)
 #: A document is taken so many times at most.
 EPOCHS = 3
 BLOCK_WORDS = 1024
+#: Shares into which a source's documents are dealt where they meet its targets.
+SALTS = 64
 #: Rows of a chunk of a running sum, about.
 CHUNK_ROWS = 1 << 14
 
@@ -97,10 +99,12 @@ def spans(units: DataFrame, known: DataFrame, rows: int, block: int = BLOCK_WORD
     Columns key, block, doc_id, source, size, text_hash, copy, source_size, target, begins (word of the document), words, at
     (word of the block).
     """
-    stats = known.select(_key(F.col("source")).alias("key"), "source_size", "target", "budget")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    stats = known.select(_key(F.col("source")).alias("key"), "source_size", "target", "budget", salts)
     chunks = max(1, rows // CHUNK_ROWS)
     epochs = F.greatest(F.lit(1), F.ceil(F.col("budget") / F.greatest(F.col("source_size"), F.lit(1))))
-    told = units.withColumn("key", _key(F.col("source"))).join(stats, "key")
+    dealt = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")
+    told = units.withColumns({"key": _key(F.col("source")), "salt": dealt}).join(stats, ["key", "salt"]).drop("salt")
     told = told.select("*", F.explode(F.sequence(F.lit(0).cast("long"), epochs.cast("long") - 1)).alias("epoch"))
     told = told.withColumn("order", F.md5(F.concat(F.col("epoch").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     told = told.withColumn("chunk", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * chunks / (1 << 32)))

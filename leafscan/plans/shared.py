@@ -4,27 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a few numbers or short strings up to which a counted side of a join is broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes, about, up to which a measured side of a join is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in ``spark.checkpoint.dir``.
 
-    Where the session names no folder (tests, local runs) one in the session's warehouse is set.
+    Where a local session names no folder, as in tests, one in its warehouse is set; a cluster must name one.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
     return df.checkpoint()
 
 
-def settled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows worked out once; joins broadcast them if there are few (some narrow columns each), else shuffle."""
+def _bytes_of(column: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        size = F.octet_length(column) + 16
+    elif isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        one = F.transform(column, lambda x: _bytes_of(x, inner)) if isinstance(inner, T.StringType | T.BinaryType | T.ArrayType | T.StructType) else None
+        size = F.size(column) * 8 if one is None else F.aggregate(one, F.lit(0).cast("long"), lambda n, x: n + x)
+        size = size + 16
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes_of(column[f.name], f.dataType) for f in kind), F.lit(8))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(8).cast("long"))
+
+
+def settled(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows worked out once and measured; joins broadcast them if they are small, else shuffle."""
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    each = sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in kept.schema), F.lit(16))
+    return F.broadcast(kept) if (kept.agg(F.sum(each)).first()[0] or 0) <= most else kept
 
 
 def globally_ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:

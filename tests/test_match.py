@@ -1,7 +1,10 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from leafscan.operators import boxes, fuzzy, match
+from leafscan.plans.shared import settled
 
 
 def brute(ws, qs, early_stop=True):
@@ -156,3 +159,11 @@ def test_marker_offsets(spark):
     found = match.with_marker_offsets(spark.createDataFrame(spans, "page_id long, query_id long, start_index int, end_index int"), marked)
     got = {r["query_id"]: text[r["marker_start"] : r["marker_end"]] for r in found.collect()}
     assert got == {0: "a", 1: "bb a", 2: "a[[LINE 1 6 3 8]]bb  a", 3: "bb", 4: "a bb a[[LINE 1 6 3 8]]bb  a [[odd [[LINE 1 9 3 9]] bb a"}
+
+
+def test_joined_sides_are_broadcast_by_their_bytes(spark):
+    few = spark.createDataFrame([(1, ["x" * 40_000] * 3, None), (2, None, "y")], "k long, ws array<string>, s string")
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(settled(few)) and hinted(settled(few, 125_000)) and not hinted(settled(few, 115_000)) and hinted(settled(few.limit(0), 0))
+    deep = few.select(F.array(F.struct("k", "ws")).alias("a"), F.lit(None).cast("array<int>").alias("i"))
+    assert not hinted(settled(deep, 100_000)) and settled(deep).count() == 2

@@ -66,7 +66,7 @@ def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = chat.assembled(chat.formatted(chat.swapped_replies(table(spark, sf_dir, "conversations"))))
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["from"].cast("string"), s["to"].cast("string"))), " ")
-    return pairs.select("pair_id", "piece", "again", "prompt", "chosen", "rejected", *[shown(F.col(c)).alias(c) for c in ("chosen_spans", "rejected_spans")])
+    return pairs.select("pair_id", "prompt", "chosen", "rejected", *[shown(F.col(c)).alias(c) for c in ("chosen_spans", "rejected_spans")])
 
 
 def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,26 +145,28 @@ ORACLE_SQL: dict[str, str] = {
             SELECT pair_id, turn, role, text, count(*) FILTER (side = 'chosen') AS chosen, count(*) FILTER (side = 'rejected') AS rejected
             FROM sides GROUP BY ALL
         ), shared AS (
-            SELECT *, min(CASE WHEN chosen <> rejected THEN turn END) OVER (PARTITION BY pair_id) AS first FROM turns
+            SELECT *, CASE WHEN pair_id IS NULL THEN row_number() OVER (ORDER BY turn, role, text) END AS alone,
+                   min(CASE WHEN chosen <> rejected THEN turn END) OVER (PARTITION BY pair_id) AS first
+            FROM turns
         ), parts AS (
             SELECT *, 'prompt' AS part, chosen AS copies FROM shared WHERE first IS NULL OR turn < first
             UNION ALL SELECT *, 'chosen', chosen FROM shared WHERE turn >= first
             UNION ALL SELECT *, 'rejected', rejected FROM shared WHERE turn >= first
         ), made AS (
-            SELECT pair_id, part, greatest(turn, 0) // 256 AS piece, k // 256 AS again, turn, role, k,
+            SELECT pair_id, alone, part, turn, role, k,
                    '<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS rendered
             FROM parts, unnest(range(copies)) AS u(k)
         ), placed AS (
-            SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, part, piece, again ORDER BY turn, role, rendered, k ROWS UNBOUNDED PRECEDING) - length(rendered) AS begins FROM made
+            SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, alone, part ORDER BY turn, role, rendered, k ROWS UNBOUNDED PRECEDING) - length(rendered) AS begins FROM made
         ), joined AS (
-            SELECT pair_id, piece, again, part, string_agg(rendered, '' ORDER BY turn, role, rendered, k) AS whole,
+            SELECT pair_id, alone, part, string_agg(rendered, '' ORDER BY turn, role, rendered, k) AS whole,
                    string_agg(CASE WHEN role = 'assistant' THEN (begins + instr(rendered, chr(10))) || ':' || (begins + length(rendered) - 1) END, ' ' ORDER BY begins) AS spans
             FROM placed GROUP BY ALL
         )
-        SELECT pair_id, piece, again, coalesce(max(whole) FILTER (part = 'prompt'), '') AS prompt, coalesce(max(whole) FILTER (part = 'chosen'), '') AS chosen,
+        SELECT pair_id, coalesce(max(whole) FILTER (part = 'prompt'), '') AS prompt, coalesce(max(whole) FILTER (part = 'chosen'), '') AS chosen,
                coalesce(max(whole) FILTER (part = 'rejected'), '') AS rejected, coalesce(max(spans) FILTER (part = 'chosen'), '') AS chosen_spans,
                coalesce(max(spans) FILTER (part = 'rejected'), '') AS rejected_spans
-        FROM joined GROUP BY pair_id, piece, again
+        FROM joined GROUP BY pair_id, alone
     """,
     "op11_source_divergence": r"""
         WITH d AS (

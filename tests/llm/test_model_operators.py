@@ -243,13 +243,44 @@ def test_preferences(spark):
 
 def test_equal_rows_and_long_conversations(spark):
     rows = [(1, side, 5, "user", "again") for side in ["chosen"] * 3 + ["rejected"] * 2] + [(1, side, 4, "user", "x") for side in ("chosen", "rejected")]
-    rows += [(2, side, k, "assistant", str(k)) for k in range(600) for side in ("chosen", "rejected")] + [(2, "chosen", 700, "user", "end")]
+    rows += [(2, side, k, "assistant", str(k)) for k in range(300) for side in ("chosen", "rejected")] + [(2, "chosen", 300, "user", "end")]
+    rows += [(2, side, 301 + k, "assistant", f"{side} {k}") for k in range(40) for side in ("chosen", "rejected")]
+    rows += [(3, side, k, "user", f"turn {k}") for k in (0, 1000) for side in ("chosen", "rejected")] + [(3, "rejected", 2000, "assistant", "late")]
     segments = chat.formatted(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string"))
-    found = sorted(chat.assembled(segments).collect(), key=lambda r: (r["pair_id"], r["piece"], r["again"]))
+    first, second, third = sorted(chat.assembled(segments).collect(), key=lambda r: r["pair_id"])
     turn = "<|im_start|>user\nagain<|im_end|>\n"
-    assert (found[0]["prompt"], found[0]["chosen"], found[0]["rejected"]) == ("<|im_start|>user\nx<|im_end|>\n", turn * 3, turn * 2)
-    assert [r["piece"] for r in found[1:]] == [0, 1, 2] and found[3]["chosen"].count("\nend<") == 1
-    assert "".join(r["prompt"] for r in found[1:]) == "".join(f"<|im_start|>assistant\n{k}<|im_end|>\n" for k in range(600))
+    assert (first["prompt"], first["chosen"], first["rejected"]) == ("<|im_start|>user\nx<|im_end|>\n", turn * 3, turn * 2)
+    assert second["prompt"] == "".join(f"<|im_start|>assistant\n{k}<|im_end|>\n" for k in range(300))
+    learned = [second["rejected"][s["from"] : s["to"]] for s in second["rejected_spans"]]
+    assert learned == [f"rejected {k}<|im_end|>" for k in range(40)] and len(second["chosen_spans"]) == 40
+    assert third["prompt"] == "<|im_start|>user\nturn 0<|im_end|>\n<|im_start|>user\nturn 1000<|im_end|>\n" and third["chosen"] == ""
+    wholes = {r["pair_id"]: r for r in (first, second, third)}
+    pieces = sorted(chat.assembled(segments, piece_chars=500).collect(), key=lambda r: (r["pair_id"], r["piece"]))
+    assert len(pieces) > 10
+    for pair_id, whole in wholes.items():
+        own = [r for r in pieces if r["pair_id"] == pair_id]
+        for part in ("prompt", "chosen", "rejected"):
+            assert "".join(r[part] for r in own) == whole[part]
+        for spans in ("chosen_spans", "rejected_spans"):
+            assert [s for r in own for s in r[spans]] == whole[spans]
+
+
+def test_rows_without_an_id_are_pairs_of_their_own(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "b"), (None, 1, "assistant", "b"), (None, 0, "user", "a"), (4, 0, "user", "a")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    said = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    found = chat.assembled(chat.formatted(chat.swapped_replies(table))).collect()
+    assert sorted((r["pair_id"] is None, r["prompt"]) for r in found) == sorted(
+        [(True, said("user", "a") * 2), (True, said("user", "b")), (True, said("assistant", "b")), (False, said("user", "a"))]
+    )
+    assert {(r["chosen"], r["rejected"]) for r in found} == {("", "")}
+
+
+def test_copies_are_unfolded_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(chat, "COPIES", 3)
+    rows = [(1, side, 0, "user", "x") for side in ["chosen"] * 7 + ["rejected"] * 6]
+    segments = chat.formatted(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string"))
+    assert sorted((r["part"], r["copy"]) for r in segments.collect()) == [("chosen", k) for k in range(7)] + [("rejected", k) for k in range(6)]
 
 
 def test_longest_common_prefix_with_ties(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafscan.functions import similarity
 from leafscan.functions.tokens import split_words, without_markers
-from leafscan.operators import boxes, chain, fuzzy, geometry, highlight, match, recovery
+from leafscan.operators import boxes, chain, charwindows, fuzzy, geometry, highlight, match, recovery
 from leafscan.plans import annotate
 from leafscan.plans.shared import settled
 from leafscan.sources import hocr
@@ -133,6 +133,14 @@ def match_line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.line_boxes(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
 
 
+def match_character_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of all matches, searched for character by character in the marker text of their pages."""
+    asked = _texts(spark, sf_dir).join(_settled(spark, sf_dir).select("page_id", "query_id"), "query_id")
+    marked = pages(spark, sf_dir).select("page_id", marker_text(F.col("ws")).alias("marked"))
+    found = charwindows.character_boxes(charwindows.character_windows(asked, marked))
+    return found.select("page_id", "query_id", "start", "end", *rounded("similarity"), "x1", "y1", "x2", "y2")
+
+
 def words_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = word_boxes(pages(spark, sf_dir))
     return boxes.words_in_area(boxes.match_boxes(_settled(spark, sf_dir), words), words).select("page_id", "query_id", "pos", "word")
@@ -323,7 +331,7 @@ def rich_text_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOC_QUERIES = (
     tokenize_words, clean_markers, marker_lines, closest_match, closest_match_best, closest_match_no_early_stop, multi_match_threshold,
     match_char_offsets, match_marker_offsets, match_text, top_matches_per_page, fuzzy_match_fallback, fuzzy_passages, sequence_similarity, char_similarity, word_similarity,
-    match_boxes, match_line_boxes, words_in_area, line_quads, quad_points, pdf_coordinates, styled_annotations, draw_operations,
+    match_boxes, match_line_boxes, match_character_boxes, words_in_area, line_quads, quad_points, pdf_coordinates, styled_annotations, draw_operations,
     hocr_roundtrip, hocr_marker_text, hocr_page_size, highlight_sections, marker_token_boxes, substring_boxes, text_spans, chained_stretches, gap_tolerant_boxes,
     word_list_markers, page_errors, annotation_records, label_positions, quad_checks, rich_text_annotations,
     sized_annotations, annotation_citations, highlight_annotations,
@@ -483,6 +491,44 @@ ORACLE_SQL = {
         t AS (SELECT f.page_id, f.query_id, l.*, l.a <= f.start_index AS opening FROM found f JOIN lines l ON l.page_id = f.page_id AND l.z >= f.start_index AND l.a < f.end_index)
         SELECT page_id, query_id, CAST(max(x1) FILTER (opening) AS DOUBLE) AS x1, CAST(max(y1) FILTER (opening) AS DOUBLE) AS y1,
                CAST(CASE WHEN count(*) FILTER (NOT opening) > 0 THEN max(x2) ELSE 0 END AS DOUBLE) AS x2, CAST(coalesce(max(y2) FILTER (NOT opening), 0) AS DOUBLE) AS y2 FROM t GROUP BY page_id, query_id""",
+    "match_character_boxes": f"""{_BASE}, {_MARKED}, pieces AS (
+            SELECT page_id, unnest(marked) AS piece, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM lines WHERE page_id IN (SELECT page_id FROM found)
+        ), placed AS (
+            SELECT *, CAST(14 + coalesce(sum(length(piece) + 1) OVER (PARTITION BY page_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM pieces
+        ), markers AS (
+            SELECT DISTINCT page_id, 0::BIGINT AS a, 14::BIGINT AS b, '' AS piece FROM placed
+            UNION ALL SELECT page_id, place, place + length(piece) - length(word), piece FROM placed WHERE p % 10 = 0
+        ), texts AS (
+            SELECT page_id, '[[PARAGRAPH]] ' || array_to_string(marked, ' ') AS t FROM lines WHERE page_id IN (SELECT page_id FROM found)
+        ), places AS (
+            SELECT page_id, unnest(range(length(t) + 1)) AS at FROM texts
+        ), counts AS (
+            SELECT s.page_id, s.at, s.at - coalesce(sum(least(s.at, m.b) - m.a), 0) AS n, max(m.a) FILTER (s.at < m.b) AS a, max(m.b) FILTER (s.at < m.b) AS b
+            FROM places s LEFT JOIN markers m ON m.page_id = s.page_id AND m.a < s.at GROUP BY s.page_id, s.at
+        ), asked AS (
+            SELECT f.page_id, f.query_id, b.text, length(b.text) AS m, t FROM found f JOIN benchmark b ON b.item_id = f.query_id JOIN texts USING (page_id)
+        ), ends AS (
+            SELECT q.page_id, q.query_id, q.m, c.at AS e, c.n + coalesce(c.at - c.a, 0) - q.m AS n, CASE WHEN c.at - q.m > c.a THEN c.at - q.m END AS own
+            FROM asked q JOIN counts c ON c.page_id = q.page_id AND c.at > q.m
+        ), windows AS (
+            SELECT x.page_id, x.query_id, x.e, coalesce(x.own, max(c.at)) AS s
+            FROM ends x LEFT JOIN counts c ON c.page_id = x.page_id AND c.n - coalesce(c.b - c.at, 0) = x.n AND c.at <= x.e - x.m GROUP BY x.page_id, x.query_id, x.e, x.own
+        ), compared AS (
+            SELECT w.*, string_split(regexp_replace(t[s + 1:e], '\\[\\[.*?\\]\\] ', '', 'g'), '') AS c, string_split(text, '') AS x
+            FROM windows w JOIN asked USING (page_id, query_id) WHERE s IS NOT NULL
+        ), scored AS (
+            SELECT page_id, query_id, s, e, len(list_filter(range(1, len(x) + 1), lambda k: c[k] = x[k])) / len(x) AS similarity FROM compared
+        ), chosen AS (
+            SELECT * FROM scored WHERE similarity > 0
+            QUALIFY row_number() OVER (PARTITION BY page_id, query_id ORDER BY CASE WHEN similarity > 0.85 THEN 1 ELSE 0 END DESC, CASE WHEN similarity > 0.85 THEN 0 ELSE similarity END DESC, e DESC) = 1
+        ), boxed_lines AS (
+            SELECT page_id, a, b - 1 AS z, list_transform(regexp_extract_all(piece[1:b - a], '[0-9]+'), lambda v: CAST(v AS DOUBLE)) AS side FROM markers WHERE piece <> ''
+        )
+        SELECT c.page_id, c.query_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", round(similarity, 6) AS similarity,
+               coalesce(max_by(side[1], a) FILTER (z <= s), 0) AS x1, coalesce(max_by(side[2], a) FILTER (z <= s), 0) AS y1,
+               CASE WHEN count(*) FILTER (a >= s AND z <= e) > 0 THEN greatest(max(side[3]) FILTER (a >= s AND z <= e), coalesce(max_by(side[3], a) FILTER (z <= s), 0)) ELSE 0 END AS x2,
+               coalesce(max_by(side[4], a) FILTER (a >= s AND z <= e), 0) AS y2
+        FROM chosen c LEFT JOIN boxed_lines l USING (page_id) GROUP BY c.page_id, c.query_id, s, e, similarity""",
     "words_in_area": f"""{_BASE}{_BOXED} SELECT m.page_id, m.query_id, w.pos, w.word FROM mboxes m JOIN boxed w ON w.page_id = m.page_id
         AND w.x2 >= m.x1 - 50 AND w.x1 <= m.x2 + 50 AND w.y2 >= m.y1 - 50 AND w.y1 <= m.y2 + 50""",
     "line_quads": f"{_BASE}{_BOXED}{_LINES} SELECT * FROM quads",

@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where none is named the warehouse's."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session that names none takes its warehouse's."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     named = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)

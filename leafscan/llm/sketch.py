@@ -86,15 +86,21 @@ def fingerprint(sketched: Column) -> Column:
 
 
 def _bounds(keys: DataFrame, range_docs: int, sorted_ids: int) -> list[tuple[int | None, int]]:
-    """The highest (doc_id, tie) of every range, ascending; each is that of a row."""
+    """The highest (doc_id, tie) of every range, ascending; each is that of a row.
+
+    A range has ``range_docs`` rows at most, or fewer where that would leave cores idle, and ends where a sorted partition ends.
+    """
     highest = keys.agg(F.max(F.struct("doc_id", "tie")).alias("h"), F.count("*").alias("n")).first()
     if not highest["n"]:
         return []
-    range_docs = max(range_docs, highest["n"] // MOST_RANGES)
+    at_once = 2 * keys.sparkSession.sparkContext.defaultParallelism
+    range_docs = max(min(range_docs, -(-highest["n"] // at_once)), highest["n"] // MOST_RANGES, 1)
     spread = keys.repartitionByRange(-(-highest["n"] // sorted_ids), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    some = spread.withColumn("place", place).where(F.col("place") % range_docs == range_docs - 1).select("doc_id", "tie").collect()
-    found = {(r["doc_id"], r["tie"]) for r in [*some, highest["h"]]}
+    number = F.monotonically_increasing_id()
+    block = F.floor(number.bitwiseAND((1 << 33) - 1) / range_docs)
+    blocks = spread.select("doc_id", "tie", F.shiftright(number, 33).alias("part"), block.alias("block")).groupBy("part", "block")
+    some = blocks.agg(F.max(F.struct("doc_id", "tie")).alias("h")).select("h.*").collect()
+    found = {(r["doc_id"], r["tie"]) for r in some}
     return sorted(found, key=lambda b: (b[0] is not None, b[0] or 0, b[1]))
 
 

@@ -101,6 +101,55 @@ def annotation_subtype(kind: Column) -> Column:
     return F.when(kind == "strikethrough", "StrikeOut").when(kind == "underline", "Underline").otherwise("Highlight")
 
 
+#: What a markup annotation's contents begin with, and its opacity where none (or 0) is asked for.
+MARKUP_LABELS = {"highlight": "Highlight: ", "strikethrough": "Strike-through: ", "underline": "Underline: "}
+MARKUP_OPACITY = {"strikethrough": 0.8, "underline": 0.8}
+OTHER_LABEL, OTHER_OPACITY, PRINT_FLAG = "Annotation: ", 0.5, 4
+
+
+def markup_annotations(found: DataFrame) -> DataFrame:
+    """Text-markup records of found texts, ready to be written, with what is wrong with each (an empty array: nothing).
+
+    ``found``: rect, quad_points (arrays of doubles), r, g, b (0 to 255), annotation_type, opacity, text, and any other
+    columns, which stay.  Added: subtype, contents, flags; rect, quad_points, opacity and color (0 to 1) are rounded to
+    six places.  An opacity that is null or 0 is the type's own.
+    """
+    kind = F.col("annotation_type")
+    of_kind = lambda values, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), kind), F.lit(other))
+    six = lambda numbers: F.transform(numbers, lambda v: F.round(v, 6))
+    channel = [F.col(c).cast("double") for c in "rgb"]
+    shown = F.coalesce(F.nullif(F.col("opacity").cast("double"), F.lit(0.0)), of_kind(MARKUP_OPACITY, OTHER_OPACITY))
+    odd_color = [F.coalesce(~(c.between(0, 255)) | F.isnan(c), F.lit(True)) for c in channel]
+    odd_rect = F.exists(F.coalesce("rect", F.array(F.lit(0.0))), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    more = F.array_compact(
+        F.array(
+            F.when(odd_rect, "rect must be finite"),
+            F.when(odd_color[0] | odd_color[1] | odd_color[2], "colours must be within 0 and 255"),
+        )
+    )
+    made = {
+        "errors": F.concat(quad_errors(F.col("quad_points"), F.col("rect"), shown), more),
+        "subtype": annotation_subtype(kind),
+        "contents": F.concat(of_kind(MARKUP_LABELS, OTHER_LABEL), F.coalesce("text", F.lit(""))),
+        "flags": F.lit(PRINT_FLAG),
+        "color": six(F.array(*[c / 255 for c in channel])),
+        "rect": six(F.col("rect")),
+        "quad_points": six(F.col("quad_points")),
+        "opacity": F.round(shown, 6),
+    }
+    return found.withColumns(made)
+
+
+def unscaled_rect(x1: Column, y1: Column, x2: Column, y2: Column, page_height: Column) -> Column:
+    """Rectangle of a page box on a target page of the same size, whose y runs upwards: left, bottom, right, top."""
+    return F.array(x1, page_height - y2, x2, page_height - y1)
+
+
+def unscaled_quad(x1: Column, y1: Column, x2: Column, y2: Column, page_height: Column) -> Column:
+    """The same box as quad points: upper left, upper right, lower left, lower right."""
+    return F.array(x1, page_height - y1, x2, page_height - y1, x1, page_height - y2, x2, page_height - y2)
+
+
 def quad_errors(quad: Column, rect: Column, opacity: Column) -> Column:
     """What is wrong with an annotation's numbers; an empty array if nothing."""
     return F.array_compact(

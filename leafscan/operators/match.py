@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from leafscan.functions.similarity import positional
 from leafscan.functions.tokens import let
-from leafscan.plans.shared import settled
+from leafscan.plans.shared import checkpointed, settled
 
 EARLY_STOP, TOLERANCE = 0.95, 0.8
 
@@ -64,19 +64,27 @@ def best_windows(pages: DataFrame, queries: DataFrame, early_stop: bool = True)
     return _best(counted.withColumn("similarity", F.col("count") / F.col("qn")), early_stop)
 
 
-def closest_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOLERANCE, early_stop: bool = True) -> DataFrame:
-    """The same, of windows that reach a threshold (at most ``EARLY_STOP``), by their rarest query words."""
+def closest_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOLERANCE, early_stop: bool = True, votes: int = 1) -> DataFrame:
+    """The same, of windows that reach a threshold (at most ``EARLY_STOP``), by their rarest query words.
+
+    With more ``votes`` that many more of the rarest words are joined and a window must hold as many of them, so
+    fewer windows are compared where the threshold is low; the rows are the same.
+    """
     if not 0 < threshold <= EARLY_STOP:
         raise ValueError(f"the threshold must be above 0 and at most {EARLY_STOP}")
     words, wanted = _words_of(pages), _words_of_queries(queries)
     frequency = words.join(settled(wanted.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
     rarest = Window.partitionBy("query_id").orderBy(F.coalesce("seen", F.lit(0)), "j")
     misses = F.floor((1 - threshold) * F.col("qn") + 1e-9)
-    chosen = wanted.join(frequency, "word", "left").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= misses + 1)
+    least = F.least(F.lit(votes), F.col("qn") - misses)
+    chosen = wanted.join(frequency, "word", "left").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= misses + least)
     near = words.join(settled(chosen.select("query_id", "qn", "j", "word")), "word").where(_in_page())
     # All starts of a page for a query in one row, so that the page's words are joined once.
-    starts = F.collect_set(F.col("p") - F.col("j")).alias("starts")
-    candidates = settled(near.groupBy("page_id", "query_id").agg(starts).join(queries.select("query_id", "qs"), "query_id"))
+    named = near.select("page_id", "query_id", (F.col("p") - F.col("j")).alias("start"), least.alias("least"))
+    if votes > 1:
+        named = named.repartition("page_id", "query_id").groupBy("page_id", "query_id", "start", "least").count().where("count >= least")
+    starts = F.collect_set("start").alias("starts")
+    candidates = settled(named.groupBy("page_id", "query_id").agg(starts).join(queries.select("query_id", "qs"), "query_id"))
     both = candidates.join(pages.select("page_id", "ws"), "page_id")
     scored = lambda start: let(
         positional(F.slice("ws", start + 1, F.size("qs")), F.col("qs")),
@@ -87,6 +95,30 @@ def closest_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOL
     return found.select("page_id", "query_id", F.col("w.start").alias("start_index"), (F.col("w.start") + F.col("qn")).alias("end_index"), F.col("w.similarity").alias("similarity"))
 
 
+def closest_pages(pages: DataFrame, queries: DataFrame, most: int = 3, least: float = 0.4, early_stop: bool = True, votes: int = 4) -> DataFrame:
+    """The ``most`` pages that are closest to each query: query_id, rank (from 1), page_id, start_index, end_index, similarity.
+
+    Ties go to the smaller page; pages below ``least`` don't count, so a query may have fewer.  A query that has enough pages at
+    ``TOLERANCE`` is done, as no page below can come before them; only the others are searched for again, at ``least``.
+    """
+    if not 0 < least <= TOLERANCE:
+        raise ValueError(f"the least similarity must be above 0 and at most {TOLERANCE}")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "page_id")
+
+    def closest(asked: DataFrame, threshold: float) -> DataFrame:
+        found = closest_matches(pages, asked, threshold, early_stop, votes).withColumn("rank", F.row_number().over(order))
+        return found.where(F.col("rank") <= most).select("query_id", "rank", "page_id", "start_index", "end_index", "similarity")
+
+    near = checkpointed(closest(queries, TOLERANCE))
+    done = settled(near.where(F.col("rank") == most).select("query_id"))
+    return near.join(done, "query_id", "left_semi").unionByName(closest(queries.join(done, "query_id", "left_anti"), least))
+
+
+def on_matched_pages(pages: DataFrame, matches: DataFrame) -> DataFrame:
+    """The pages that have a match: only their texts need be taken apart into words."""
+    return pages.join(matches.select("page_id"), "page_id", "left_semi")
+
+
 def with_text(matches: DataFrame, pages: DataFrame) -> DataFrame:
     """Matches with the text of their window."""
     joined = matches.join(pages.select("page_id", "ws"), "page_id")

@@ -38,6 +38,11 @@ def _searchable(words: DataFrame, options: Options) -> DataFrame:
     return own.groupBy("page_id").agg(places.alias("w"))
 
 
+def _placed(held: DataFrame) -> DataFrame:
+    """Searchable words, a row each."""
+    return held.select("page_id", F.posexplode("w").alias("pos", "p")).select("page_id", "pos", "p.word", "p.x1", "p.y1", "p.x2", "p.y2")
+
+
 def _scaled(boxed: DataFrame, options: Options, sizes: DataFrame | None, targets: DataFrame | None) -> DataFrame:
     """Boxes with their place on the target page: x, y, width, height.
 
@@ -72,7 +77,7 @@ def annotate(words: DataFrame, queries: DataFrame, options: Options = Options(),
     if options.max_results is not None:
         found = match.top_matches(found, options.max_results).drop("rank")
     found = settled(found)
-    placed = held.select("page_id", F.posexplode("w").alias("pos", "p")).select("page_id", "pos", "p.word", "p.x1", "p.y1", "p.x2", "p.y2")
+    placed = _placed(match.on_matched_pages(held, found))
     boxed = boxes.usable_boxes(boxes.match_boxes(match.with_text(found, pages), placed))
     joined = _scaled(boxed, options, sizes, targets).join(queries.drop("text"), "query_id")
     return geometry.draw_ops(geometry.styled(joined))
@@ -140,7 +145,8 @@ def annotate_with_highlights(words: DataFrame, queries: DataFrame, options: Opti
     held = _searchable(words, options)
     pages = held.select("page_id", F.transform("w", lambda w: w["word"]).alias("ws"))
     wanted = queries.select("query_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("qs"))
-    placed = held.select("page_id", F.posexplode("w").alias("pos", "p")).select("page_id", "pos", "p.word", "p.x1", "p.y1", "p.x2", "p.y2")
-    found = boxes.match_boxes(match.closest_matches(pages, wanted, options.tolerance, options.early_stop), placed)
+    matched = settled(match.closest_matches(pages, wanted, options.tolerance, options.early_stop))
+    placed = _placed(match.on_matched_pages(held, matched))
+    found = boxes.match_boxes(matched, placed)
     sections = queries.select("query_id", F.inline(highlight.parsed_sections(F.col("html"))))
     return highlight.highlighted(boxes.words_in_area(found, placed), sections)

@@ -35,6 +35,11 @@ def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(_matches(spark, sf_dir))
 
 
+def _words(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """Words of the pages that something was found on."""
+    return word_boxes(match.on_matched_pages(pages(spark, sf_dir), found))
+
+
 def _shown(found: DataFrame) -> DataFrame:
     return found.select("page_id", "query_id", "start_index", "end_index", *rounded("similarity"))
 
@@ -66,14 +71,20 @@ def closest_match_no_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(match.best_windows(pages(spark, sf_dir), passages(spark, sf_dir), early_stop=False))
 
 
+def closest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three pages closest to each passage."""
+    found = match.closest_pages(pages(spark, sf_dir), passages(spark, sf_dir))
+    return found.select("query_id", "rank", "page_id", "start_index", "end_index", *rounded("similarity"))
+
+
 def multi_match_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match.closest_matches(pages(spark, sf_dir), passages(spark, sf_dir), threshold=0.7)
     return found.groupBy("query_id").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"), F.round(F.max("similarity"), 6).alias("best"))
 
 
 def match_char_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match.with_char_offsets(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
-    return found.select("page_id", "query_id", "char_start", "char_end")
+    found = _settled(spark, sf_dir)
+    return match.with_char_offsets(found, _words(spark, sf_dir, found)).select("page_id", "query_id", "char_start", "char_end")
 
 
 def match_marker_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,13 +135,18 @@ def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _name_pairs(spark, sf_dir).select("p_partkey", F.round(value, 6).alias("similarity"), similarity.words_match(F.col("p_name"), F.col("other")).alias("matches"))
 
 
+def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _settled(spark, sf_dir)
+    return boxes.match_boxes(found, _words(spark, sf_dir, found))
+
+
 def match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = boxes.usable_boxes(boxes.match_boxes(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir))))
-    return found.select("page_id", "query_id", "x1", "y1", "x2", "y2")
+    return boxes.usable_boxes(_boxed(spark, sf_dir)).select("page_id", "query_id", "x1", "y1", "x2", "y2")
 
 
 def match_line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.line_boxes(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
+    found = _settled(spark, sf_dir)
+    return boxes.line_boxes(found, _words(spark, sf_dir, found))
 
 
 def match_character_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,12 +158,14 @@ def match_character_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = word_boxes(pages(spark, sf_dir))
-    return boxes.words_in_area(boxes.match_boxes(_settled(spark, sf_dir), words), words).select("page_id", "query_id", "pos", "word")
+    found = _settled(spark, sf_dir)
+    words = _words(spark, sf_dir, found)
+    return boxes.words_in_area(boxes.match_boxes(found, words), words).select("page_id", "query_id", "pos", "word")
 
 
 def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.line_quads(boxes.matched_words(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir))))
+    found = _settled(spark, sf_dir)
+    return boxes.line_quads(boxes.matched_words(found, _words(spark, sf_dir, found)))
 
 
 def line_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +179,7 @@ def quad_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = boxes.match_boxes(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
+    found = _boxed(spark, sf_dir)
     placed = geometry.pdf_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     return found.select("page_id", "query_id", "similarity", *[c.alias(n) for n, c in placed.items()])
 
@@ -243,8 +261,9 @@ def highlight_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda a, n: F.array_join(F.slice("qs", a, n), " ")
     html = F.concat(F.lit("<s>"), part(1, 3), F.lit("</s> "), F.lit('<span style="background-color: rgb(255, 255, 0)">'), part(4, 9), F.lit("</span> <u>"), part(13, 2), F.lit("</u>"))
     sections = passages(spark, sf_dir).select("query_id", F.inline(highlight.parsed_sections(html)))
-    words = word_boxes(pages(spark, sf_dir))
-    return highlight.highlighted(boxes.words_in_area(boxes.match_boxes(_settled(spark, sf_dir), words), words), sections)
+    found = _settled(spark, sf_dir)
+    words = _words(spark, sf_dir, found)
+    return highlight.highlighted(boxes.words_in_area(boxes.match_boxes(found, words), words), sections)
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,8 +278,8 @@ def marker_token_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = pages(spark, sf_dir)
-    return recovery.opening_boxes(settled(recovery.text_spans(_asked(spark, sf_dir), held)), word_boxes(held))
+    spans = settled(recovery.text_spans(_asked(spark, sf_dir), pages(spark, sf_dir)))
+    return recovery.opening_boxes(spans, _words(spark, sf_dir, spans))
 
 
 def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +298,8 @@ def chained_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_tolerant_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recovery.gap_boxes(settled(chained_stretches(spark, sf_dir)), _texts(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
+    found = settled(chained_stretches(spark, sf_dir))
+    return recovery.gap_boxes(found, _texts(spark, sf_dir), _words(spark, sf_dir, found))
 
 
 def word_list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +314,7 @@ def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = boxes.match_boxes(_settled(spark, sf_dir), word_boxes(pages(spark, sf_dir)))
+    found = _boxed(spark, sf_dir)
     some = found.select(
         F.col("page_id").alias("doc_uid"), "query_id", (F.col("query_id") % 5).alias("page_number"), F.when(F.col("query_id") % 2 == 0, F.col("x1")).alias("x1"), "y1", "x2", "y2",
         F.when(F.col("query_id") % 3 == 0, F.round("similarity", 6)).alias("similarity"), F.lit(None).cast("string").alias("text"),
@@ -317,6 +337,28 @@ def quad_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "query_id", geometry.annotation_subtype(kind).alias("subtype"), F.array_join(errors, "; ").alias("errors"))
 
 
+def markup_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text markup of all matches, of four types, with colours and opacities of which some are wrong."""
+    kinds = F.array(*map(F.lit, ("highlight", "strikethrough", "underline", "other")))
+    asked = boxes.quad_points(_quads(spark, sf_dir)).join(_texts(spark, sf_dir), "query_id")
+    kind = F.element_at(kinds, (F.col("query_id") % 4 + 1).cast("int")).alias("annotation_type")
+    color = [(F.col("query_id") * k % 300).alias(c) for k, c in ((7, "r"), (13, "g"), (1, "b"))]
+    thirds = lambda c: F.transform(c, lambda v: v / 3).alias(c)
+    made = geometry.markup_annotations(asked.select("page_id", "query_id", "text", kind, *color, thirds("rect"), thirds("quad_points"), (F.col("query_id") % 5 * 0.3).alias("opacity")))
+    millionths = lambda c: F.array_join(F.transform(c, lambda v: F.round(v * 1_000_000).cast("long").cast("string")), " ").alias(c)
+    shown = [millionths(c) for c in ("rect", "quad_points", "color")]
+    return made.select("page_id", "query_id", "subtype", F.md5("contents").alias("contents_md5"), "flags", *shown, *rounded("opacity"), F.array_join("errors", "; ").alias("errors"))
+
+
+def unscaled_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles and quad points of all matches on target pages of the recognised pages' own size."""
+    box = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    height = F.lit(3000.0) + F.col("page_id") % 3 * 700
+    numbers = lambda c: F.array_join(F.transform(c, lambda v: v.cast("long").cast("string")), " ")
+    found = boxes.usable_boxes(_boxed(spark, sf_dir))
+    return found.select("page_id", "query_id", numbers(geometry.unscaled_rect(*box, height)).alias("rect"), numbers(geometry.unscaled_quad(*box, height)).alias("quad_points"))
+
+
 def rich_text_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark")
     html = (
@@ -329,11 +371,11 @@ def rich_text_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DOC_QUERIES = (
-    tokenize_words, clean_markers, marker_lines, closest_match, closest_match_best, closest_match_no_early_stop, multi_match_threshold,
+    tokenize_words, clean_markers, marker_lines, closest_match, closest_match_best, closest_match_no_early_stop, closest_pages, multi_match_threshold,
     match_char_offsets, match_marker_offsets, match_text, top_matches_per_page, fuzzy_match_fallback, fuzzy_passages, sequence_similarity, char_similarity, word_similarity,
     match_boxes, match_line_boxes, match_character_boxes, words_in_area, line_quads, quad_points, pdf_coordinates, styled_annotations, draw_operations,
     hocr_roundtrip, hocr_marker_text, hocr_page_size, highlight_sections, marker_token_boxes, substring_boxes, text_spans, chained_stretches, gap_tolerant_boxes,
-    word_list_markers, page_errors, annotation_records, label_positions, quad_checks, rich_text_annotations,
+    word_list_markers, page_errors, annotation_records, label_positions, quad_checks, markup_annotations, unscaled_annotations, rich_text_annotations,
     sized_annotations, annotation_citations, highlight_annotations,
 )
 QUERIES = {q.__name__: q for q in _DOC_QUERIES}
@@ -474,6 +516,24 @@ ORACLE_SQL = {
                round(x + width, 6) AS dx2, round(CASE annotation_type WHEN 'underline' THEN y ELSE y + height END, 6) AS dy2 FROM kinds""",
     "tokenize_words": f"WITH {_PAGES}, {_WORDS} SELECT page_id, p AS pos, word FROM words",
     "closest_match": f"{_BASE} {_SHOW} FROM found",
+    "markup_annotations": f"""{_BASE}{_BOXED}{_LINES}, q AS (
+            SELECT page_id, query_id, array_to_string(flatten(list(list_transform([x1, y2, x2, y2, x1, y1, x2, y1], lambda v: CAST(round(round(v / 3, 6) * 1000000) AS BIGINT)) ORDER BY line_index)), ' ') AS quad_points,
+                   array_to_string(list_transform([min(x1), min(y1), max(x2), max(y2)], lambda v: CAST(round(round(v / 3, 6) * 1000000) AS BIGINT)), ' ') AS rect
+            FROM quads GROUP BY page_id, query_id
+        ), k AS (SELECT q.*, b.text, ['highlight', 'strikethrough', 'underline', 'other'][query_id % 4 + 1] AS kind, [query_id * 7 % 300, query_id * 13 % 300, query_id % 300] AS rgb,
+                        CAST(query_id % 5 AS DOUBLE) * 0.3::DOUBLE AS o FROM q JOIN benchmark b ON b.item_id = q.query_id)
+        SELECT page_id, query_id, CASE kind WHEN 'strikethrough' THEN 'StrikeOut' WHEN 'underline' THEN 'Underline' ELSE 'Highlight' END AS subtype,
+               md5(CASE kind WHEN 'highlight' THEN 'Highlight: ' WHEN 'strikethrough' THEN 'Strike-through: ' WHEN 'underline' THEN 'Underline: ' ELSE 'Annotation: ' END || text) AS contents_md5, 4 AS flags,
+               rect, quad_points, array_to_string(list_transform(rgb, lambda v: CAST(round(round(v / 255, 6) * 1000000) AS BIGINT)), ' ') AS color,
+               round(CASE WHEN o > 0 THEN o WHEN kind IN ('strikethrough', 'underline') THEN 0.8 ELSE 0.5 END, 6)::DOUBLE AS opacity,
+               concat_ws('; ', CASE WHEN o > 1 THEN 'opacity must be within 0 and 1' END, CASE WHEN list_max(rgb) > 255 THEN 'colours must be within 0 and 255' END) AS errors
+        FROM k""",
+    "unscaled_annotations": f"""{_BASE}{_BOXED}, h AS (SELECT *, 3000 + page_id % 3 * 700 AS h FROM mboxes)
+        SELECT page_id, query_id, concat_ws(' ', CAST(x1 AS BIGINT), CAST(h - y2 AS BIGINT), CAST(x2 AS BIGINT), CAST(h - y1 AS BIGINT)) AS rect,
+               concat_ws(' ', CAST(x1 AS BIGINT), CAST(h - y1 AS BIGINT), CAST(x2 AS BIGINT), CAST(h - y1 AS BIGINT), CAST(x1 AS BIGINT), CAST(h - y2 AS BIGINT), CAST(x2 AS BIGINT), CAST(h - y2 AS BIGINT)) AS quad_points
+        FROM h""",
+    "closest_pages": f"""{_BASE} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, page_id) AS INTEGER) AS rank, page_id, start_index, end_index, round(similarity, 6) AS similarity
+        FROM best WHERE similarity >= 0.4 QUALIFY rank <= 3""",
     "closest_match_best": f"{_BASE} {_SHOW} FROM best",
     "closest_match_no_early_stop": f"WITH {_PAGES}, {_WORDS}, {_PASSAGES}, {_VOTES}, {_best_sql('similarity DESC, start')} {_SHOW} FROM best",
     "multi_match_threshold": f"{_BASE} SELECT query_id, count(*) AS n_pages, min(page_id) AS first_page, round(max(similarity), 6) AS best FROM best WHERE similarity >= 0.7 GROUP BY query_id",

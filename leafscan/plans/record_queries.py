@@ -233,6 +233,16 @@ def rtf_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("page_id", "text", "bold", "strikethrough", "underline", "font_size")
 
 
+def rtf_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatting of RTF texts of varying size, with flags in any mixture, some without a size."""
+    host = F.regexp_extract("url", "://([^/]*)", 1)
+    flag = lambda word, k: F.when(F.col("page_id") % k == 1, F.lit(f"\\{word} ")).otherwise(F.lit(""))
+    size = F.when(F.col("page_id") % 7 != 0, F.concat(F.lit("\\fs"), (F.col("page_id") % 23 + 10).cast("string"), F.lit(" "))).otherwise(F.lit(""))
+    text = F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}} "), flag("b", 2), flag("i", 3), flag("ul", 5), flag("strike", 4), size, host, F.lit(" {at} "), F.col("page_id").cast("string"), F.lit("\\par }"))
+    parsed = table(spark, sf_dir, "pages").select("page_id", F.inline(richtext.parsed_rtf(text)))
+    return parsed.select("page_id", "text", "bold", "italic", "underline", "strikethrough", "font_size")
+
+
 def html_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = html_queries(spark, sf_dir).select("page_id", richtext.parsed_html(F.concat(F.lit("see "), "query", F.lit(" now"))).alias("segments"))
     return made.select("page_id", F.inline("segments")).select("page_id", "ord", "text", "bold", "italic", "color", "background_color", "font_size")
@@ -241,7 +251,7 @@ def html_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RECORD_QUERIES = (
     citation_join, citation_metadata, bibliography_by_document, cache_lookup_ttl, cache_hit_rates, cache_entries, cache_store_info, cache_cleanup, cache_keys,
     job_queue_order, job_estimates, job_batches, job_stats, job_queue_status, job_recommendations, worker_stats, parse_colors,
-    annotation_type_from_formatting, merge_segments, dedup_queries, html_queries, rtf_queries, html_segments,
+    annotation_type_from_formatting, merge_segments, dedup_queries, html_queries, rtf_queries, rtf_segments, html_segments,
     bibliography_plain, cache_delete, cache_gets, match_and_pdf_keys, page_size_fallback, custom_styles,
 )
 QUERIES = {q.__name__: q for q in _RECORD_QUERIES}
@@ -384,6 +394,8 @@ ORACLE_SQL |= {
         b AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<em>' || q || '</em>' ELSE q END AS q FROM a)
         SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<strong>' || q || '</strong>' ELSE q END AS query FROM b""",
     "rtf_queries": """SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS text, page_id % 2 = 0 AS bold, page_id % 3 = 0 AS strikethrough, false AS underline, 12.0::DOUBLE AS font_size FROM pages""",
+    "rtf_segments": """SELECT page_id, regexp_extract(url, '://([^/]*)', 1) || ' at ' || page_id AS text, page_id % 2 = 1 AS bold, page_id % 3 = 1 AS italic, page_id % 5 = 1 AS underline,
+        page_id % 4 = 1 AS strikethrough, CASE WHEN page_id % 7 <> 0 THEN (page_id % 23 + 10) / 2 END AS font_size FROM pages""",
     "html_segments": """WITH s AS (SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS t, page_id % 2 = 0 AS bold, page_id % 3 = 0 AS italic, CASE WHEN page_id % 5 = 0 THEN 'red' END AS color,
             CASE WHEN page_id % 7 = 0 THEN 'yellow' END AS background_color, CASE WHEN page_id % 4 = 0 THEN CAST(page_id % 9 + 8 AS DOUBLE) END AS font_size FROM pages),
         p AS (SELECT *, bold OR italic OR color IS NOT NULL OR background_color IS NOT NULL OR font_size IS NOT NULL AS marked FROM s)

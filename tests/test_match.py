@@ -1,9 +1,10 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from leafscan.operators import boxes, fuzzy, match
+from leafscan.operators import boxes, fuzzy, geometry, match
 from leafscan.plans.shared import settled
 
 
@@ -167,3 +168,52 @@ def test_joined_sides_are_broadcast_by_their_bytes(spark):
     assert hinted(settled(few)) and hinted(settled(few, 125_000)) and not hinted(settled(few, 115_000)) and hinted(settled(few.limit(0), 0))
     deep = few.select(F.array(F.struct("k", "ws")).alias("a"), F.lit(None).cast("array<int>").alias("i"))
     assert not hinted(settled(deep, 100_000)) and settled(deep).count() == 2
+
+
+def test_closest_pages_equal_all_pairs(spark):
+    rng = random.Random(8)
+    pages = [[rng.choice("abcdefgh") for _ in range(rng.randrange(0, 40))] for _ in range(30)]
+    queries = [[rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 5, 9, 20]))] for _ in range(20)]
+    for k, page in enumerate(pages[:12]):  # queries with enough pages at the tolerance, and with too few
+        page[k:k] = queries[k // 5 * 4]
+    p, q = tables(spark, pages, queries)
+    for votes, stop, most in ((1, True, 3), (4, True, 3), (3, False, 1)):
+        expected = {}
+        for b, qs in enumerate(queries):
+            near = sorted((-w[1], a, w[0]) for a, ws in enumerate(pages) if (w := brute(ws, qs, stop)) and w[1] >= 0.4)
+            expected |= {(b, k): (a, at, at + len(qs), -s) for k, (s, a, at) in enumerate(near[:most], 1)}
+        rows = match.closest_pages(p, q, most, early_stop=stop, votes=votes).collect()
+        assert {(r["query_id"], r["rank"]): (r["page_id"], r["start_index"], r["end_index"], r["similarity"]) for r in rows} == expected
+        assert len(rows) == len(expected)
+    assert match.closest_pages(p, q.where("query_id < 0")).count() == 0
+    with pytest.raises(ValueError):
+        match.closest_pages(p, q, least=0.9)
+
+
+def test_markup_annotations(spark):
+    nan, inf = float("nan"), float("inf")
+    good = ([1.00000049, 2.0, 3.0, 4.0], [1.0] * 8, 255, 128, 0, "highlight", None, "a b")
+    rows = [
+        (0, *good),
+        (1, *good[:5], "underline", 0.0, None),
+        (2, *good[:5], "strikethrough", 0.25, "x"),
+        (3, *good[:5], "note", 1.5, "x"),
+        (4, [1.0, 2.0], [], 256, -1, 0, "highlight", 0.5, "x"),
+        (5, [1.0, nan, 3.0, 4.0], [inf] * 8, None, 0, 0, None, 0.5, "x"),
+        (6, None, None, 0, 0, 0, "highlight", 0.5, "x"),
+    ]
+    given = spark.createDataFrame(rows, "k int, rect array<double>, quad_points array<double>, r int, g int, b int, annotation_type string, opacity double, text string")
+    got = {r["k"]: r for r in geometry.markup_annotations(given).collect()}
+    assert (got[0]["rect"][0], got[0]["color"], got[0]["opacity"], got[0]["contents"], got[0]["flags"], got[0]["errors"]) == (1.0, [1.0, 0.501961, 0.0], 0.5, "Highlight: a b", 4, [])
+    assert (got[1]["subtype"], got[1]["opacity"], got[1]["contents"]) == ("Underline", 0.8, "Underline: ")
+    assert (got[2]["subtype"], got[2]["opacity"]) == ("StrikeOut", 0.25)
+    assert (got[3]["subtype"], got[3]["contents"], got[3]["errors"]) == ("Highlight", "Annotation: x", ["opacity must be within 0 and 1"])
+    assert got[4]["errors"] == ["rect needs 4 numbers", "quad points come in eights", "colours must be within 0 and 255"]
+    assert got[5]["errors"] == ["quad points must be finite", "rect must be finite", "colours must be within 0 and 255"]
+    assert got[6]["errors"] == ["rect needs 4 numbers", "quad points come in eights"]
+
+
+def test_unscaled_boxes(spark):
+    box = [F.lit(float(v)) for v in (10, 20, 30, 50)]
+    row = spark.range(1).select(geometry.unscaled_rect(*box, F.lit(100.0)).alias("r"), geometry.unscaled_quad(*box, F.lit(100.0)).alias("q")).first()
+    assert (row["r"], row["q"]) == ([10, 50, 30, 80], [10, 80, 30, 80, 10, 50, 30, 50])

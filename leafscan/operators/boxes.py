@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafscan.plans.shared import taken_apart
+
 #: Pixels around a box in which words still belong to it, and of height in which words share a line.
 PADDING, LINE_TOLERANCE = 50.0, 10.0
 
@@ -68,7 +70,7 @@ def line_quads(words: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame
     held = placed.groupBy("page_id", "query_id").agg(F.array_sort(F.collect_list("w")).alias("ws"))
     lines = held.select("page_id", "query_id", "ws", clustered_lines(F.col("ws"), tolerance).alias("lines"))
     ordered = F.array_sort(F.transform("lines", lambda g, i: F.struct((g["s"] / g["n"]).alias("mean"), i.alias("i"), g["at"].alias("at"))))
-    each = lines.select("page_id", "query_id", "ws", F.posexplode(ordered).alias("line_index", "line"))
+    each = taken_apart(lines, ordered, "line_index", "line", "page_id", "query_id", "ws")
     own = each.withColumn("own", F.transform("line.at", lambda k: F.get("ws", k)))
     side = lambda pick, name: pick(F.transform("own", lambda w: w[name])).alias(name)
     spoken = F.array_sort(F.transform("own", lambda w: F.struct(w["x1"].alias("x1"), w["pos"].alias("pos"), w["word"].alias("word"))))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscan.functions.tokens import split_words
-from leafscan.plans.shared import checkpointed
+from leafscan.plans.shared import checkpointed, taken_apart
 
 #: Least share of a text's words in the chain; words between them, as a share of the text's; and seeds that must be there.
 FOUND, ADDED, SEEDS = 0.7, 0.5, 4
@@ -78,7 +78,7 @@ def stretches(pages: DataFrame, queries: DataFrame, found: float = FOUND, added:
     qn = F.size("qs")
     asked = asked.withColumns({"need": F.ceil(qn * found - 1e-9).cast("int"), "width": (qn + F.floor(qn * added)).cast("int")})
     wanted = asked.select("query_id", qn.alias("qn"), "need", "width", F.posexplode("qs").alias("j", "word"))
-    words = held.select("page_id", F.posexplode("held").alias("p", "h")).select("page_id", "p", F.col("h.word").alias("word"))
+    words = taken_apart(held, "held", "p", "h", "page_id").select("page_id", "p", F.col("h.word").alias("word"))
     own = checkpointed(words.join(wanted.select("word").distinct(), "word", "left_semi"))
     seen = own.groupBy("word").agg(F.count("*").alias("seen"))
     misses = F.col("qn") - F.col("need")

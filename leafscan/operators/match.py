@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from leafscan.functions.similarity import positional
 from leafscan.functions.tokens import let
-from leafscan.plans.shared import checkpointed, settled
+from leafscan.plans.shared import checkpointed, settled, taken_apart
 
 EARLY_STOP, TOLERANCE = 0.95, 0.8
 
@@ -42,7 +42,7 @@ def _best(windows: DataFrame, early_stop: bool) -> DataFrame:
 
 
 def _words_of(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.size("ws").alias("n"), F.posexplode("ws").alias("p", "word"))
+    return taken_apart(pages, "ws", "p", "word", "page_id", F.size("ws").alias("n"))
 
 
 def _words_of_queries(queries: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def with_marker_offsets(matches: DataFrame, marked: DataFrame) -> DataFrame:
     second is where they stand.  Every word has a place of its own, so repeated words can't be mistaken.
     """
     marked = marked.join(settled(matches.select("page_id").distinct()), "page_id", "left_semi")
-    pieces = marked.select("page_id", F.posexplode(F.regexp_extract_all("marked", F.lit(PIECES), F.lit(0))).alias("k", "piece"))
+    pieces = taken_apart(marked, F.regexp_extract_all("marked", F.lit(PIECES), F.lit(0)), "k", "piece", "page_id")
     before = Window.partitionBy("page_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     is_word = ~(F.col("piece").rlike(r"^\s") | F.col("piece").rlike(r"^\[\[.*\]\]$"))
     counted = pieces.select(

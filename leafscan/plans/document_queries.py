@@ -9,7 +9,7 @@ from leafscan.functions import similarity
 from leafscan.functions.tokens import split_words, without_markers
 from leafscan.operators import boxes, chain, charwindows, fuzzy, geometry, highlight, match, recovery
 from leafscan.plans import annotate
-from leafscan.plans.shared import settled
+from leafscan.plans.shared import settled, taken_apart
 from leafscan.sources import hocr
 from leafscan.sources.tables import marker_text, pages_of_texts, spread, table, word_boxes
 
@@ -45,7 +45,7 @@ def _shown(found: DataFrame) -> DataFrame:
 
 
 def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", F.posexplode("ws").alias("pos", "word"))
+    return taken_apart(pages(spark, sf_dir), "ws", "pos", "word", "page_id")
 
 
 def clean_markers(spark: SparkSession, sf_dir: str) -> DataFrame:

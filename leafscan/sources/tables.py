@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscan.functions.tokens import let, line_marker, split_words
+from leafscan.plans.shared import taken_apart
 
 #: Layout of plain texts: words of a line, and the grid they are set on.
 LINE_WORDS = 10
@@ -38,7 +39,7 @@ def laid_out(word: Column, pos: Column) -> dict[str, Column]:
 
 def word_boxes(pages: DataFrame) -> DataFrame:
     """page_id, pos, word, line_no, x1, y1, x2, y2: the words of laid-out pages."""
-    words = pages.select("page_id", F.posexplode("ws").alias("pos", "word"))
+    words = taken_apart(pages, "ws", "pos", "word", "page_id")
     boxes = [side.alias(name) for name, side in laid_out(F.col("word"), F.col("pos")).items()]
     return words.select("page_id", "pos", "word", F.floor(F.col("pos") / LINE_WORDS).cast("int").alias("line_no"), *boxes)
 

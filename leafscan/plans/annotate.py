@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,15 +60,8 @@ def _scaled(boxed: DataFrame, options: Options, sizes: DataFrame | None, targets
     return both.select(*boxed.columns, *[c.alias(n) for n, c in placed.items()])
 
 
-def annotate(words: DataFrame, queries: DataFrame, options: Options = Options(), sizes: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:  # noqa: B008
-    """Annotations of all pages: match, box on the page, box on the target page, style.
-
-    ``words``: page_id, pos, line_class, word, box (``hocr.parsed_words``); ``queries``: query_id, text,
-    annotation_type, color, background_color; ``sizes`` and ``targets``: page_id, width, height of recognised and of target
-    pages.
-    """
-    held = _searchable(words, options)
-    pages = held.select("page_id", F.transform("w", lambda w: w["word"]).alias("ws"))
+def _matches(pages: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
+    """Matches of the queries' texts on pages (page_id, ws), as the options ask for them."""
     wanted = queries.select("query_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("qs"))
     if options.fuzzy:
         found = fuzzy.fuzzy_matches(pages, wanted, options.tolerance).drop("fuzzy")
@@ -76,23 +69,53 @@ def annotate(words: DataFrame, queries: DataFrame, options: Options = Options(),
         found = match.closest_matches(pages, wanted, options.tolerance, options.early_stop)
     if options.max_results is not None:
         found = match.top_matches(found, options.max_results).drop("rank")
-    found = settled(found)
-    placed = _placed(match.on_matched_pages(held, found))
+    return settled(found)
+
+
+def _drawn(found: DataFrame, pages: DataFrame, placed: DataFrame, queries: DataFrame, options: Options, sizes: DataFrame | None, targets: DataFrame | None) -> DataFrame:
     boxed = boxes.usable_boxes(boxes.match_boxes(match.with_text(found, pages), placed))
     joined = _scaled(boxed, options, sizes, targets).join(queries.drop("text"), "query_id")
     return geometry.draw_ops(geometry.styled(joined))
 
 
+def annotate(words: DataFrame, queries: DataFrame, options: Options = Options(), sizes: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """Annotations of all pages: match, box on the page, box on the target page, style.
+
+    ``words``: page_id, pos, line_class, word, box (``hocr.parsed_words``); ``queries``: query_id, text,
+    annotation_type, color, background_color; ``sizes`` and ``targets``: page_id, width, height of recognised and of target
+    pages.  Words have to be gathered by their pages here; where these are at hand, ``annotate_pages`` costs less.
+    """
+    held = _searchable(words, options)
+    pages = held.select("page_id", F.transform("w", lambda w: w["word"]).alias("ws"))
+    found = _matches(pages, queries, options)
+    return _drawn(found, pages, _placed(match.on_matched_pages(held, found)), queries, options, sizes, targets)
+
+
+def _read(pages: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """Words to search of recognised pages (page_id, ws), and the pages that failed (page_id, error).
+
+    All pages are parsed once, into a checkpoint of their bare texts; their boxes are read again where something is found.
+    """
+    read = checkpointed(hocr.read_texts(pages, options.all_lines))
+    return read.where("text is not null").select("page_id", F.split("text", hocr.BETWEEN).alias("ws")), read.where("error is not null").select("page_id", "error")
+
+
+def _boxes_of(pages: DataFrame, options: Options) -> DataFrame:
+    """Searchable words with their boxes, a row each, of recognised pages."""
+    return _placed(_searchable(hocr.parsed_words(pages), options))
+
+
 def annotate_pages(pages: DataFrame, queries: DataFrame, options: Options = Options(), targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """Annotations of recognised pages (page_id, hocr), and the pages that failed: page_id, error.
 
-    Pages are read once, into a checkpoint; one that can't be read or has no word is left out and named.  Boxes are
-    scaled from the size that a page tells of itself.
+    A page that can't be read or has no word is left out and named.  Boxes are scaled from the size that a page tells of
+    itself.
     """
-    read = checkpointed(hocr.read_words(pages))
-    words = read.where("error is null").drop("error")
-    own = pages.select("page_id", hocr.page_dimensions(F.col("hocr")).alias("d")).select("page_id", "d.width", "d.height")
-    return annotate(words, queries, options, own, targets), read.where("error is not null").select("page_id", "error")
+    searched, failed = _read(pages, options)
+    found = _matches(searched, queries, options)
+    matched = match.on_matched_pages(pages, found)
+    own = matched.select("page_id", hocr.page_dimensions(F.col("hocr")).alias("d")).select("page_id", "d.width", "d.height")
+    return _drawn(found, searched, _boxes_of(matched, options), queries, options, own, targets), failed
 
 
 def annotate_page(page_id: int, markup: str, queries: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
@@ -140,13 +163,26 @@ def rich_text_queries(texts: DataFrame, text: str = "text", key: str = "query_se
     return found.withColumn("query_id", F.xxhash64(key, "run_no"))
 
 
+def _closest(pages: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
+    return _matches(pages, queries, replace(options, fuzzy=False, max_results=None))
+
+
+def _sections(matched: DataFrame, placed: DataFrame, queries: DataFrame) -> DataFrame:
+    found = boxes.match_boxes(matched, placed)
+    sections = queries.select("query_id", F.inline(highlight.parsed_sections(F.col("html"))))
+    return highlight.highlighted(boxes.words_in_area(found, placed), sections)
+
+
 def annotate_with_highlights(words: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
     """Sections of formatted queries (query_id, text, html) found around their matches."""
     held = _searchable(words, options)
     pages = held.select("page_id", F.transform("w", lambda w: w["word"]).alias("ws"))
-    wanted = queries.select("query_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("qs"))
-    matched = settled(match.closest_matches(pages, wanted, options.tolerance, options.early_stop))
-    placed = _placed(match.on_matched_pages(held, matched))
-    found = boxes.match_boxes(matched, placed)
-    sections = queries.select("query_id", F.inline(highlight.parsed_sections(F.col("html"))))
-    return highlight.highlighted(boxes.words_in_area(found, placed), sections)
+    matched = _closest(pages, queries, options)
+    return _sections(matched, _placed(match.on_matched_pages(held, matched)), queries)
+
+
+def highlight_pages(pages: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """``annotate_with_highlights`` for recognised pages (page_id, hocr)."""
+    searched, _ = _read(pages, options)
+    matched = _closest(searched, queries, options)
+    return _sections(matched, _boxes_of(match.on_matched_pages(pages, matched), options), queries)

@@ -1,15 +1,18 @@
 """Recognised pages (hOCR): reading, parsing into positioned words, rendering.
 
 Pages are parsed by the standard library's HTML parser in Arrow batches, one page at a time; everything after that
-is relational.  Classes are matched as whole tokens.  A word keeps the class of its line, so that searching can leave out
-floating text.
+is relational.  Plain word elements, nearly all of a page, are taken by one pattern, and the parser sees only what
+stands between them; a page where that could differ is parsed whole.  Classes are matched as whole tokens.  A word keeps
+the class of its line, so that searching can leave out floating text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,48 +93,150 @@ class _Reader(HTMLParser):
         del self.stack[at:]
 
 
-def page_words(hocr: str | None) -> list[dict]:
-    """The words of one page in document order, trimmed, blank ones left out."""
+def _element(name: str, more: str = "") -> str:
+    return rf"<span class=(?P<q>['\"]){name}(?P=q) title=(?P=q)bbox (\d+) (\d+) (\d+) (\d+){more}(?P=q)>"
+
+
+#: What stands before a plain word element; its box, confidence and text.  The end of a line and the beginning of the next.
+_PLAIN = re.compile(rf"([^<]*(?:<(?!span class=['\"]ocrx_word['\"])[^<]*)*){_element('ocrx_word', r'(?:; x_wconf (\d+))?')}([^<>]*)</span>")
+_NEXT_LINE = re.compile(rf"\s*</span>\s*{_element('ocr_line')}\s*")
+
+#: A page's words, a list each of paragraph, line, class, text, four sides, confidence, and four sides of the line.
+Columns = tuple[list, ...]
+
+
+def _parsed_whole(hocr: str) -> Columns:
     reader = _Reader()
-    reader.feed(hocr or "")
+    reader.feed(hocr)
+    reader.close()
+    none = (None,) * 4
+    rows = [(w["par"], w["line"], w["class"], text, *(w["box"] or none), w["wconf"], *(w["line_box"] or none)) for w in reader.words if (text := w["text"].strip())]
+    return tuple(map(list, zip(*rows, strict=True))) if rows else ([],) * 13
+
+
+def _parsed_plain(hocr: str) -> Columns | None:
+    """The same by the pattern of plain words; None where the page has others, or a word's place isn't certain."""
+    last = hocr.find("</span>", hocr.rfind("ocrx_word")) + len("</span>")
+    found = _PLAIN.findall(hocr, 0, last) if "ocrx_word" in hocr else []
+    if not found or len(found) != hocr.count("ocrx_word"):
+        return None
+    between, _, x1, y1, x2, y2, conf, texts = zip(*found, strict=True)
+    reader, lines, begun = _Reader(), [], []
+    for k, gap in enumerate((*between, hocr[last:])):
+        if gap == " " or k and gap.isspace():
+            continue
+        if (line := _NEXT_LINE.fullmatch(gap)) and reader.stack[-1:] == [("span", "line")]:
+            reader.line, reader.line_class, reader.line_box = reader.line + 1, "ocr_line", tuple(map(float, line.groups()[1:]))
+        elif gap:
+            reader.feed(gap)
+            if k < len(texts) and (reader.rawdata or reader.cdata_elem) or reader.word or reader.words:
+                return None
+        begun.append(k)
+        lines.append((reader.par, reader.line, reader.line_class, reader.line_box or (None,) * 4))
     reader.close()
-    return [w | {"text": w["text"].strip()} for w in reader.words if w["text"].strip()]
+    if not begun or begun[0]:  # a page that begins with a word
+        begun, lines = [0, *begun], [(-1, -1, "", (None,) * 4), *lines]
+    counts = [min(b, len(texts)) - min(a, len(texts)) for a, b in zip(begun, [*begun[1:], len(texts)], strict=True)]
+    repeated = lambda value: list(chain.from_iterable([value(line)] * n for line, n in zip(lines, counts, strict=True)))
+    words = [t.strip() for t in (map(unescape, texts) if any("&" in t for t in texts) else texts)]
+    sides = [repeated(lambda line, k=k: line[3][k]) for k in range(4)]
+    columns = [*(repeated(lambda line, k=k: line[k]) for k in range(3)), words, *(list(map(float, c)) for c in (x1, y1, x2, y2)), [int(c) if c else None for c in conf], *sides]
+    if not all(words):
+        kept = [k for k, w in enumerate(words) if w]
+        columns = [[c[k] for k in kept] for c in columns]
+    return tuple(columns)
+
+
+def page_columns(hocr: str | None) -> Columns:
+    """The words of one page in document order, trimmed, blank ones left out."""
+    found = _parsed_plain(hocr or "")
+    return _parsed_whole(hocr or "") if found is None else found
+
+
+def page_words(hocr: str | None) -> list[dict]:
+    """The words of one page, a dictionary each."""
+    box = lambda sides: None if sides[0] is None else sides
+    return [{"text": w[3], "box": box(w[4:8]), "wconf": w[8], "par": w[0], "line": w[1], "class": w[2], "line_box": box(w[9:])} for w in zip(*page_columns(hocr), strict=True)]
 
 
 #: Words of a batch of parsed pages, about.
 BATCH_WORDS = 16_384
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 
 
-def _parsed(page_id: int, hocr: str | None) -> list[tuple]:
-    """A page's words as rows of ``WORDS`` with a null error, or its one row with an error."""
+def _read(hocr: str | None) -> tuple[Columns, str | None]:
+    """A page's words, and its error if it can't be read or has none."""
     try:
-        found = page_words(hocr)
-        error = "no words"
+        found = page_columns(hocr)
     except Exception as failure:  # noqa: BLE001 - whatever is wrong with a page, the others go on
-        found, error = [], f"{type(failure).__name__}: {failure}"
-    none = (None,) * 4
-    rows = [(page_id, k, w["par"], w["line"], w["class"], w["text"], *(w["box"] or none), w["wconf"], *(w["line_box"] or none), None) for k, w in enumerate(found)]
-    return rows or [(page_id, *[None] * 14, error)]
+        return ([],) * 13, f"{type(failure).__name__}: {failure}"
+    return found, None if found[0] else "no words"
 
 
-def read_words(pages: DataFrame) -> DataFrame:
-    """``WORDS`` of pages (page_id, hocr) and their ``error``: a page that can't be read or has no word is one row of it."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, f"{WORDS}, error string".split(", "))])
+def _each_page(pages: DataFrame, made: Callable[[int, Columns, str | None], tuple | None], columns: str) -> DataFrame:
+    """The columns that ``made`` gives for each page (page_id, hocr), a list each of its rows, or None for none."""
+    schema = pa.schema([(name, _KINDS[kind]) for name, kind in map(str.split, columns.split(", "))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[tuple] = []
-        batch_of = lambda some: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+        held: list[list] = [[] for _ in schema]
         for batch in batches:
             for row in range(len(batch)):
-                made += _parsed(batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
-                if len(made) >= BATCH_WORDS:
-                    yield batch_of(made)
-                    made = []
-        if made:
-            yield batch_of(made)
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("hocr").cast("string").alias("hocr")).mapInArrow(rows, f"{WORDS}, error string")
+                page = batch.column(0)[row].as_py()
+                for column, values in zip(held, made(page, *_read(batch.column(1)[row].as_py())) or (), strict=False):
+                    column += values
+                if len(held[0]) >= BATCH_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema, strict=True)], schema=schema)
+                    held = [[] for _ in schema]
+        if held[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema, strict=True)], schema=schema)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("hocr").cast("string").alias("hocr")).mapInArrow(rows, columns)
+
+
+def read_words(pages: DataFrame) -> DataFrame:
+    """``WORDS`` of pages (page_id, hocr) and their ``error``: a page that can't be read or has no word is one row of it."""
+
+    def made(page: int, words: Columns, error: str | None) -> tuple:
+        n = len(words[0])
+        return ([page], *[[None]] * 14, [error]) if error else ([page] * n, range(n), *words, [None] * n)
+
+    return _each_page(pages, made, f"{WORDS}, error string")
+
+
+def read_errors(pages: DataFrame) -> DataFrame:
+    """``ERRORS`` of pages (page_id, hocr) that can't be read or have no word."""
+    return _each_page(pages, lambda page, words, error: ([page], [error]) if error else None, ERRORS)
+
+
+#: Between the words of a page's text; HTML has no such character, so a word that holds it has U+FFFD instead.
+BETWEEN = "\0"
+
+
+def read_texts(pages: DataFrame, all_lines: bool = False) -> DataFrame:
+    """page_id, text, error: the words to search of each page, joined by ``BETWEEN``; null where there are none.
+
+    Only words of plain lines are searched unless all are.  It is a page's shortest form: about as long as its bare text.
+    """
+
+    def made(page: int, words: Columns, error: str | None) -> tuple:
+        own = words[3] if all_lines else [w for w, kind in zip(words[3], words[2], strict=True) if kind == "ocr_line"]
+        return [page], [BETWEEN.join(w.replace(BETWEEN, "\ufffd") for w in own) if own else None], [error]
+
+    return _each_page(pages, made, "page_id long, text string, error string")
+
+
+def marker_texts(pages: DataFrame) -> DataFrame:
+    """page_id, marked: what ``marker_text_of`` gives for the words of pages (page_id, hocr), worked out page by page."""
+
+    def made(page: int, words: Columns, error: str | None) -> tuple | None:
+        pars: dict[int, list[str]] = {}
+        for (par, _), line in groupby(zip(*words, strict=True), key=lambda w: (w[0], w[1])):
+            if own := [w for w in line if w[2] == "ocr_line"]:
+                box = " ".join(str(int(side)) for side in own[0][9:] if side is not None)
+                pars.setdefault(par, []).append(" ".join([f"[[LINE {box}]]", *(w[3] for w in own)]))
+        return ([page], [" ".join("[[PARAGRAPH]] " + " ".join(lines) for lines in pars.values())]) if pars else None
+
+    return _each_page(pages, made, "page_id long, marked string")
 
 
 def parsed_words(pages: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def _matches(pages: DataFrame, queries: DataFrame, options: Options) -> DataFram
 
 
 def _drawn(found: DataFrame, pages: DataFrame, placed: DataFrame, queries: DataFrame, options: Options, sizes: DataFrame | None, targets: DataFrame | None) -> DataFrame:
-    boxed = boxes.usable_boxes(boxes.match_boxes(match.with_text(found, pages), placed))
+    boxed = checkpointed(boxes.usable_boxes(boxes.match_boxes(match.with_text(found, pages), placed)))  # read several times below
     joined = _scaled(boxed, options, sizes, targets).join(queries.drop("text"), "query_id")
     return geometry.draw_ops(geometry.styled(joined))
 
@@ -91,13 +91,14 @@ def annotate(words: DataFrame, queries: DataFrame, options: Options = Options(),
     return _drawn(found, pages, _placed(match.on_matched_pages(held, found)), queries, options, sizes, targets)
 
 
-def _read(pages: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
-    """Words to search of recognised pages (page_id, ws), and the pages that failed (page_id, error).
+def _read(pages: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words to search of recognised pages (page_id, ws), their sizes, and the pages that failed (page_id, error).
 
     All pages are parsed once, into a checkpoint of their bare texts; their boxes are read again where something is found.
     """
     read = checkpointed(hocr.read_texts(pages, options.all_lines))
-    return read.where("text is not null").select("page_id", F.split("text", hocr.BETWEEN).alias("ws")), read.where("error is not null").select("page_id", "error")
+    searched = read.where("text is not null").select("page_id", F.split("text", hocr.BETWEEN).alias("ws"))
+    return searched, read.select("page_id", "width", "height"), read.where("error is not null").select("page_id", "error")
 
 
 def _boxes_of(pages: DataFrame, options: Options) -> DataFrame:
@@ -111,11 +112,10 @@ def annotate_pages(pages: DataFrame, queries: DataFrame, options: Options = Opti
     A page that can't be read or has no word is left out and named.  Boxes are scaled from the size that a page tells of
     itself.
     """
-    searched, failed = _read(pages, options)
+    searched, sizes, failed = _read(pages, options)
     found = _matches(searched, queries, options)
-    matched = match.on_matched_pages(pages, found)
-    own = matched.select("page_id", hocr.page_dimensions(F.col("hocr")).alias("d")).select("page_id", "d.width", "d.height")
-    return _drawn(found, searched, _boxes_of(matched, options), queries, options, own, targets), failed
+    placed = _boxes_of(match.on_matched_pages(pages, found), options)
+    return _drawn(found, searched, placed, queries, options, match.on_matched_pages(sizes, found), targets), failed
 
 
 def annotate_page(page_id: int, markup: str, queries: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
@@ -183,6 +183,6 @@ def annotate_with_highlights(words: DataFrame, queries: DataFrame, options: Opti
 
 def highlight_pages(pages: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
     """``annotate_with_highlights`` for recognised pages (page_id, hocr)."""
-    searched, _ = _read(pages, options)
+    searched, _, _ = _read(pages, options)
     matched = _closest(searched, queries, options)
     return _sections(matched, _boxes_of(match.on_matched_pages(pages, matched), options), queries)

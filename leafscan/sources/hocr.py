@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from html import unescape
+from html import escape, unescape
 from html.parser import HTMLParser
 from itertools import chain, groupby
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscan.functions.tokens import box_of_title
-from leafscan.sources.tables import LINE_WORDS, laid_out
+from leafscan.sources.tables import LINE_WORDS, LONGEST, placed
 
 ERRORS = "page_id long, error string"
 WORDS = "page_id long, pos int, par_no int, line_no int, line_class string, word string, x1 double, y1 double, x2 double, y2 double, wconf int, lx1 double, ly1 double, lx2 double, ly2 double"
@@ -161,6 +161,8 @@ def page_words(hocr: str | None) -> list[dict]:
 
 #: Words of a batch of parsed pages, about.
 BATCH_WORDS = 16_384
+#: Characters of a batch of rendered pages, about.
+BATCH_CHARS = 1 << 20
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 
 
@@ -173,7 +175,7 @@ def _read(hocr: str | None) -> tuple[Columns, str | None]:
     return found, None if found[0] else "no words"
 
 
-def _each_page(pages: DataFrame, made: Callable[[int, Columns, str | None], tuple | None], columns: str) -> DataFrame:
+def _each_page(pages: DataFrame, made: Callable[[int, str | None, Columns, str | None], tuple | None], columns: str) -> DataFrame:
     """The columns that ``made`` gives for each page (page_id, hocr), a list each of its rows, or None for none."""
     schema = pa.schema([(name, _KINDS[kind]) for name, kind in map(str.split, columns.split(", "))])
 
@@ -181,8 +183,8 @@ def _each_page(pages: DataFrame, made: Callable[[int, Columns, str | None], tupl
         held: list[list] = [[] for _ in schema]
         for batch in batches:
             for row in range(len(batch)):
-                page = batch.column(0)[row].as_py()
-                for column, values in zip(held, made(page, *_read(batch.column(1)[row].as_py())) or (), strict=False):
+                page, hocr = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                for column, values in zip(held, made(page, hocr, *_read(hocr)) or (), strict=False):
                     column += values
                 if len(held[0]) >= BATCH_WORDS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema, strict=True)], schema=schema)
@@ -196,7 +198,7 @@ def _each_page(pages: DataFrame, made: Callable[[int, Columns, str | None], tupl
 def read_words(pages: DataFrame) -> DataFrame:
     """``WORDS`` of pages (page_id, hocr) and their ``error``: a page that can't be read or has no word is one row of it."""
 
-    def made(page: int, words: Columns, error: str | None) -> tuple:
+    def made(page: int, hocr: str | None, words: Columns, error: str | None) -> tuple:
         n = len(words[0])
         return ([page], *[[None]] * 14, [error]) if error else ([page] * n, range(n), *words, [None] * n)
 
@@ -205,30 +207,45 @@ def read_words(pages: DataFrame) -> DataFrame:
 
 def read_errors(pages: DataFrame) -> DataFrame:
     """``ERRORS`` of pages (page_id, hocr) that can't be read or have no word."""
-    return _each_page(pages, lambda page, words, error: ([page], [error]) if error else None, ERRORS)
+    return _each_page(pages, lambda page, _, words, error: ([page], [error]) if error else None, ERRORS)
 
 
 #: Between the words of a page's text; HTML has no such character, so a word that holds it has U+FFFD instead.
 BETWEEN = "\0"
 
 
+_PAGE = re.compile(r"class=['\"]ocr_page['\"][^>]*?title=(?:'[^']*'|\"[^\"]*\")")
+_PAGE_BOX = re.compile(_BBOX.pattern, re.ASCII)
+
+
+def _dimensions(hocr: str | None) -> tuple[float | None, float | None]:
+    """Width and height as ``page_dimensions`` gives them."""
+    title = _PAGE.search(hocr or "")
+    if not title or not (box := _PAGE_BOX.search(title[0])):
+        return None, None
+    x1, y1, x2, y2 = map(float, box.groups())
+    return x2 - x1, y2 - y1
+
+
 def read_texts(pages: DataFrame, all_lines: bool = False) -> DataFrame:
-    """page_id, text, error: the words to search of each page, joined by ``BETWEEN``; null where there are none.
+    """page_id, text, width, height, error: the words to search of each page, joined by ``BETWEEN`` (null where there are
+    none), and the page's own size.
 
     Only words of plain lines are searched unless all are.  It is a page's shortest form: about as long as its bare text.
     """
 
-    def made(page: int, words: Columns, error: str | None) -> tuple:
+    def made(page: int, hocr: str | None, words: Columns, error: str | None) -> tuple:
         own = words[3] if all_lines else [w for w, kind in zip(words[3], words[2], strict=True) if kind == "ocr_line"]
-        return [page], [BETWEEN.join(w.replace(BETWEEN, "\ufffd") for w in own) if own else None], [error]
+        width, height = _dimensions(hocr)
+        return [page], [BETWEEN.join(w.replace(BETWEEN, "\ufffd") for w in own) if own else None], [width], [height], [error]
 
-    return _each_page(pages, made, "page_id long, text string, error string")
+    return _each_page(pages, made, "page_id long, text string, width double, height double, error string")
 
 
 def marker_texts(pages: DataFrame) -> DataFrame:
     """page_id, marked: what ``marker_text_of`` gives for the words of pages (page_id, hocr), worked out page by page."""
 
-    def made(page: int, words: Columns, error: str | None) -> tuple | None:
+    def made(page: int, hocr: str | None, words: Columns, error: str | None) -> tuple | None:
         pars: dict[int, list[str]] = {}
         for (par, _), line in groupby(zip(*words, strict=True), key=lambda w: (w[0], w[1])):
             if own := [w for w in line if w[2] == "ocr_line"]:
@@ -284,26 +301,50 @@ def marker_text_of(words: DataFrame) -> DataFrame:
     return by_par.groupBy("page_id").agg(pars.alias("marked"))
 
 
-def rendered(pages: DataFrame, width: Column | int = 2560, height: Column | int = 3300) -> DataFrame:
-    """page_id, hocr: laid-out pages (page_id, ws) as hOCR; a page whose width or height is null has no box of its own."""
-    safe = lambda w: F.replace(F.replace(F.replace(w, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+def _openings(layout: dict[tuple[int, int], str], pos: int, word: str) -> str:
+    """The opening tag of a laid-out word, remembered by its place and length."""
+    at = pos, min(len(word), LONGEST)
+    if at not in layout:
+        if len(layout) >= 1 << 18:
+            layout.clear()
+        layout[at] = "<span class='ocrx_word' title='bbox {} {} {} {}; x_wconf 95'>".format(*placed(*at))
+    return layout[at]
 
-    def bbox(box: dict[str, Column]) -> Column:
-        return F.concat(F.lit("bbox "), F.concat_ws(" ", *[box[c].cast("long").cast("string") for c in ("x1", "y1", "x2", "y2")]))
 
-    def word(ws: Column):
-        def one(w: Column, k: Column) -> Column:
-            last = F.least(k + LINE_WORDS - 1, F.size(ws) - 1)
-            own, end = laid_out(w, k), laid_out(F.element_at(ws, last + 1), last)
-            line = own | {"x2": end["x2"], "y2": end["y2"]}
-            opened = F.concat(F.when(k > 0, "</span>").otherwise(""), F.lit("<span class='ocr_line' title='"), bbox(line), F.lit("'>"))
-            spoken = F.concat(F.lit("<span class='ocrx_word' title='"), bbox(own), F.lit("; x_wconf 95'>"), safe(w), F.lit("</span> "))
-            return F.when(k % LINE_WORDS == 0, F.concat(opened, spoken)).otherwise(spoken)
+def _body(ws: list[str | None], layout: dict[tuple[int, int], str]) -> str:
+    parts: list[str] = []
+    for k, word in enumerate(ws):
+        if word is None:
+            continue
+        if k % LINE_WORDS == 0:
+            last = min(k + LINE_WORDS, len(ws)) - 1
+            x1, y1, _, _ = placed(k, len(word))
+            _, _, x2, y2 = placed(last, len(ws[last] or ""))
+            parts.append(f"{'</span>' if k else ''}<span class='ocr_line' title='bbox {x1} {y1} {x2} {y2}'>")
+        parts += _openings(layout, k, word), escape(word, quote=False) if "&" in word or "<" in word or ">" in word else word, "</span> "
+    return "".join(parts)
 
-        return one
 
-    body = F.array_join(F.transform("ws", word(F.col("ws"))), "")
+def rendered(pages: DataFrame, width: Column | int = 2560, height: Column | int = 3300) -> DataFrame:
+    """page_id, hocr: laid-out pages (page_id, ws) as hOCR; a page whose width or height is null has no box of its own."""
     size = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("int").cast("string")
     own = F.coalesce(F.concat(F.lit(" title='bbox 0 0 "), size(width), F.lit(" "), size(height), F.lit("'")), F.lit(""))
-    page = F.concat(F.lit("<html><body><div class='ocr_page'"), own, F.lit("><p class='ocr_par'>"), body, F.when(F.size("ws") > 0, "</span>").otherwise(""), F.lit("</p></div></body></html>"))
-    return pages.select("page_id", page.alias("hocr"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout: dict[tuple[int, int], str] = {}
+        for batch in batches:
+            first, texts, chars = 0, [], 0
+            for row in range(len(batch)):
+                text, odd, title = (batch.column(c)[row].as_py() for c in (1, 2, 3))
+                ws = odd if text is None else text.split(BETWEEN)
+                texts.append(None if ws is None else f"<html><body><div class='ocr_page'{title}><p class='ocr_par'>{_body(ws, layout)}{'</span>' if ws else ''}</p></div></body></html>")
+                chars += len(texts[-1] or "")
+                if chars >= BATCH_CHARS or row + 1 == len(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(texts, pa.string())], names=["page_id", "hocr"])
+                    first, texts, chars = row + 1, [], 0
+
+    # Words travel as one text, which is far quicker to take apart than a list; null for the few that it can't tell apart.
+    joined = F.array_join("ws", BETWEEN, BETWEEN)
+    alike = F.coalesce(F.length(joined) - F.length(F.replace(joined, F.lit(BETWEEN), F.lit(""))) == F.size("ws") - 1, F.lit(False))
+    sent = pages.select("page_id", F.when(alike, joined).alias("text"), F.when(~alike, F.col("ws")).alias("odd"), own.alias("own"))
+    return sent.mapInArrow(rows, pages.select("page_id").schema.add("hocr", "string"))

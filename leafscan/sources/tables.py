@@ -37,6 +37,12 @@ def laid_out(word: Column, pos: Column) -> dict[str, Column]:
     return {name: side.cast("double") for name, side in sides.items()}
 
 
+def placed(pos: int, length: int) -> tuple[int, int, int, int]:
+    """The same box, of one word of a length."""
+    x1, y1 = LEFT + COLUMN * (pos % LINE_WORDS), TOP + LINE * (pos // LINE_WORDS)
+    return x1, y1, x1 + CHAR * min(length, LONGEST), y1 + HEIGHT
+
+
 def word_boxes(pages: DataFrame) -> DataFrame:
     """page_id, pos, word, line_no, x1, y1, x2, y2: the words of laid-out pages."""
     words = taken_apart(pages, "ws", "pos", "word", "page_id")

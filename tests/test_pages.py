@@ -4,6 +4,7 @@ import random
 
 from leafscan.plans import annotate
 from leafscan.sources import hocr
+from leafscan.sources.tables import word_boxes
 
 WORD, LINE = "<span class='ocrx_word' title='bbox 1 2 3 4; x_wconf 95'>a&amp;b</span>", "<span class='ocr_line' title='bbox 5 6 7 8'>"
 PIECES = [
@@ -33,6 +34,26 @@ def test_only_bare_texts_are_kept_of_pages_that_are_searched(spark, monkeypatch)
     pages = spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, hocr string")
     queries = spark.createDataFrame([(1, "a&b a&b", "underline", None, None)], "query_id long, text string, annotation_type string, color string, background_color string")
     found, failed = annotate.annotate_pages(pages, queries)
-    assert kept == [["page_id", "text", "error"]]
+    assert kept[0] == ["page_id", "text", "width", "height", "error"] and all("word" not in columns for columns in kept)
     assert [(r["page_id"], r["text"], r["x1"], r["y2"]) for r in found.collect()] == [(1, "a&b a&b", 1, 4)]
     assert [tuple(r) for r in failed.collect()] == [(2, "no words")]
+
+
+def test_pages_are_rendered_as_they_are_laid_out(spark):
+    words = [f"w{k}&<>" + "x" * k for k in range(23)]
+    pages = spark.createDataFrame([(1, words), (2, []), (3, None), (4, ["a\0b", None, "c"])], "page_id long, ws array<string>")
+    rows = {r["page_id"]: r["hocr"] for r in hocr.rendered(pages).collect()}
+    assert rows[2] == "<html><body><div class='ocr_page' title='bbox 0 0 2560 3300'><p class='ocr_par'></p></div></body></html>" and rows[3] is None
+    assert ">a\0b</span>" in rows[4] and ">c</span>" in rows[4]
+    wanted = [tuple(r) for r in word_boxes(pages.where("page_id = 1")).orderBy("pos").select("word", "line_no", "x1", "y1", "x2", "y2").collect()]
+    assert [(w["text"], w["line"], *w["box"]) for w in hocr.page_words(rows[1])] == wanted
+    assert hocr.page_words(rows[1])[10]["line_box"] == (wanted[10][2], wanted[10][3], wanted[19][4], wanted[19][5])
+
+
+def test_pages_are_not_taken_into_words_to_be_put_together(spark):
+    """hocr_marker_text and page_errors work page by page."""
+    pages = spark.createDataFrame([(1, PAGE), (2, "<p>none</p>")], "page_id long, hocr string")
+    marked, errors = hocr.marker_texts(pages), hocr.read_errors(pages)
+    assert "Exchange" not in plan(marked) and "Exchange" not in plan(errors)
+    assert [tuple(r) for r in marked.collect()] == [tuple(r) for r in hocr.marker_text_of(hocr.parsed_words(pages)).collect()]
+    assert [tuple(r) for r in errors.collect()] == [(2, "no words")]

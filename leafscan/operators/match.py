@@ -5,21 +5,27 @@ query; its similarity is the share of equal words at equal positions.  Of all wi
 ``EARLY_STOP`` wins, else the best, earliest on ties.
 
 Every equal pair of a page word (position p) and a query word (position j) is a vote for the window at p - j, so all
-scores come from one equi-join and one count.  With a threshold far less has to be joined: a window that reaches
+scores come from counts of votes, page by page.  With a threshold far less has to be joined: a window that reaches
 it misses few positions, so it holds one of any ``allowed misses + 1`` query positions, and the rarest words are
 chosen; the few windows they name are then compared word by word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscan.functions.similarity import positional
 from leafscan.functions.tokens import let
-from leafscan.plans.shared import checkpointed, settled, taken_apart
+from leafscan.plans.shared import against_all, checkpointed, settled, taken_apart
 
 EARLY_STOP, TOLERANCE = 0.95, 0.8
+#: Queries of a block that goes to all pages.
+BLOCK_QUERIES = 500
 
 
 def _rank(similarity: Column, start: Column, early_stop: bool) -> Column:
@@ -53,17 +59,86 @@ def _in_page() -> Column:
     return (F.col("p") - F.col("j") >= 0) & (F.col("p") - F.col("j") + F.col("qn") <= F.col("n"))
 
 
+class Votes:
+    """The words of all queries with the places where they stand in them, to count equal words of every window of a page."""
+
+    def __init__(self, queries: list[list[str]]):
+        self.lengths = np.array([len(qs) for qs in queries], np.int64)
+        places: dict[str, list[tuple[int, int]]] = {}
+        for q, qs in enumerate(queries):
+            for j, word in enumerate(qs):
+                places.setdefault(word, []).append((q, j))
+        self.number = {word: k for k, word in enumerate(places)}
+        self.begins = np.cumsum([0, *map(len, places.values())])
+        self.q, self.j = np.array([at for found in places.values() for at in found], np.int64).reshape(-1, 2).T
+
+    def best(self, ws: list[str], early_stop: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the queries with an equal word in a window of the page, the best window's start and similarity."""
+        at = [(p, k) for p, w in enumerate(ws) if (k := self.number.get(w)) is not None]
+        p, k = np.array(at, np.int64).reshape(-1, 2).T
+        counts = self.begins[k + 1] - self.begins[k]
+        own = np.repeat(self.begins[k] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        q, start = self.q[own], np.repeat(p, counts) - self.j[own]
+        inside = (start >= 0) & (start + self.lengths[q] <= len(ws))
+        votes = np.sort(q[inside] * len(ws) + start[inside])
+        first = np.flatnonzero(np.diff(votes, prepend=-1))
+        named, seen = votes[first], np.diff(first, append=len(votes))
+        q, start = named // max(1, len(ws)), named % max(1, len(ws))
+        similarity = seen / self.lengths[q]
+        stopped = (similarity >= EARLY_STOP) & early_stop
+        order = np.lexsort((start, -np.where(stopped, 0.0, similarity), ~stopped, q))
+        best = order[np.flatnonzero(np.diff(q[order], prepend=-1))]
+        return q[best], start[best], similarity[best]
+
+
 def best_windows(pages: DataFrame, queries: DataFrame, early_stop: bool = True) -> DataFrame:
     """page_id, query_id, start_index, end_index (exclusive), similarity for all pairs with an equal word.
 
-    As many rows as there are such pairs, so the queries should be few; their words, counted first, are then broadcast,
-    and no frequent word brings the pages' words into one task.  ``closest_matches`` is the way for many.
+    As many rows as there are such pairs, so the queries should be few; they go to all pages, and a page's votes are counted
+    beside it: nothing but the queries is shuffled.  ``closest_matches`` is the way for many.  Rows that share a page_id count
+    as one page, and those of a query_id as one query: these few are joined and counted by their ids.
     """
+    known = checkpointed(queries.where(F.size("qs") > 0).select("query_id", "qs"))
+    again = settled(pages.groupBy("page_id").count().where("count > 1").select("page_id"))
+    if known.groupBy("query_id").count().where("count > 1 OR query_id IS NULL").first() is not None:
+        return _counted_windows(pages, known, early_stop)
+    same = F.col("page_id").eqNullSafe(F.col("again"))
+    twice = again.select(F.col("page_id").alias("again"))
+    found = _windows_by_page(pages.join(twice, same, "left_anti"), known, early_stop)
+    return found if again.first() is None else found.unionByName(_counted_windows(pages.join(twice, same, "left_semi"), known, early_stop))
+
+
+def _counted_windows(pages: DataFrame, queries: DataFrame, early_stop: bool) -> DataFrame:
+    """``best_windows`` by ids: votes of all pages are joined and counted."""
     votes = _words_of(pages).join(settled(_words_of_queries(queries)), "word").where(_in_page())
     counted = votes.groupBy("page_id", "query_id", "qn", (F.col("p") - F.col("j")).alias("start")).count()
     return _best(counted.withColumn("similarity", F.col("count") / F.col("qn")), early_stop)
 
 
+def _windows_by_page(pages: DataFrame, queries: DataFrame, early_stop: bool) -> DataFrame:
+    """``best_windows`` page by page."""
+    schema = pages.select("page_id").schema.add("query_id", queries.schema["query_id"].dataType)
+    for name, kind in (("start_index", "integer"), ("end_index", "integer"), ("similarity", "double")):
+        schema = schema.add(name, kind)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, votes = None, None
+        for batch in batches:
+            for row in range(len(batch)):
+                if batch.column(0)[row].as_py() != number:
+                    number, texts = batch.column(0)[row].as_py(), batch.column(2)[row].as_py()
+                    votes = Votes(texts)
+                query_ids, page_ids, held = batch.column(1)[row].values, batch.column(3)[row].values, batch.column(4)[row].values
+                for at in range(len(page_ids)):
+                    q, start, similarity = votes.best(held[at].as_py(), early_stop)
+                    if len(q):
+                        ends = (start + votes.lengths[q]).astype(np.int32)
+                        columns = [page_ids.take(pa.array([at] * len(q))), query_ids.take(pa.array(q)), pa.array(start.astype(np.int32)), pa.array(ends), pa.array(similarity)]
+                        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return against_all(pages, queries, BLOCK_QUERIES).mapInArrow(found, schema)
+
+
 def closest_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOLERANCE, early_stop: bool = True, votes: int = 1) -> DataFrame:
     """The same, of windows that reach a threshold (at most ``EARLY_STOP``), by their rarest query words.
 

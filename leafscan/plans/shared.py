@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +37,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Pages, and characters of them about, that go to a block of queries in one row.
+HELD_PAGES, HELD_CHARS = 256, 1 << 19
+
+
+def against_all(pages: DataFrame, queries: DataFrame, block: int) -> DataFrame:
+    """block, query_ids, asked, page_ids, held: a stated set of queries (query_id, qs), in blocks, against all pages
+    (page_id, ws); pages are held together in rows, so that a block isn't sent with each of them."""
+    known = checkpointed(queries)
+    blocks = max(1, -(-known.count() // block))
+    listed = known.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("qs").alias("asked"))
+    own = pages.where(F.size("ws") > 0).select("page_id", "ws")
+    schema = T.StructType([T.StructField("page_ids", T.ArrayType(own.schema["page_id"].dataType)), T.StructField("held", T.ArrayType(own.schema["ws"].dataType))])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            first, words = 0, 0
+            for row in range(len(batch)):
+                words += sizes[row]
+                if row + 1 == len(batch) or row + 1 - first == HELD_PAGES or words * 6 >= HELD_CHARS:
+                    part = batch.slice(first, row + 1 - first)
+                    offsets = pa.array([0, len(part)], pa.int32())
+                    columns = [pa.ListArray.from_arrays(offsets, pa.concat_arrays([c])) for c in part.columns]
+                    yield pa.RecordBatch.from_arrays(columns, names=["page_ids", "held"])
+                    first, words = row + 1, 0
+
+    every = own.mapInArrow(together, schema).crossJoin(settled(listed.coalesce(1)))
+    return every.select("block", "query_ids", "asked", "page_ids", "held")
+
+
 def _bytes_of(column: Column, kind: T.DataType) -> Column:
     """About the bytes that a value takes."""
     if isinstance(kind, T.StringType | T.BinaryType):

@@ -2,6 +2,7 @@
 
 import random
 
+from leafscan.operators import match
 from leafscan.plans import annotate
 from leafscan.sources import hocr
 from leafscan.sources.tables import word_boxes
@@ -57,3 +58,19 @@ def test_pages_are_not_taken_into_words_to_be_put_together(spark):
     assert "Exchange" not in plan(marked) and "Exchange" not in plan(errors)
     assert [tuple(r) for r in marked.collect()] == [tuple(r) for r in hocr.marker_text_of(hocr.parsed_words(pages)).collect()]
     assert [tuple(r) for r in errors.collect()] == [(2, "no words")]
+
+
+def test_votes_are_counted_beside_their_page(spark):
+    """closest_match_best: no row for every vote is shuffled; pages and queries that share an id count as before."""
+    draw = random.Random(3)
+    text = lambda n: [draw.choice("abcde") for _ in range(n)]
+    pages = spark.createDataFrame([(k, text(draw.randint(0, 30))) for k in range(40)], "page_id long, ws array<string>")
+    queries = spark.createDataFrame([(k, text(draw.randint(0, 6))) for k in range(12)], "query_id long, qs array<string>")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for early in (True, False):
+        found = match.best_windows(pages, queries, early)
+        assert "Exchange hashpartitioning" not in plan(found)
+        assert rows(found) == rows(match._counted_windows(pages, queries, early))
+        twice = pages.unionByName(pages.where("page_id % 9 = 0").withColumn("ws", pages["ws"]))
+        assert rows(match.best_windows(twice, queries, early)) == rows(match._counted_windows(twice, queries, early))
+    assert rows(match.best_windows(pages, queries.unionByName(queries.limit(3)))) == rows(match._counted_windows(pages, queries.unionByName(queries.limit(3)), True))

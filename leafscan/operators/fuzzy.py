@@ -8,6 +8,12 @@ queries, a stated set, go over all pages in blocks; what a page and a query cost
   difference of two sums bounds the word score of any window.
 - Of the characters the first ``HEAD`` are compared; all others count as equal.
 
+Before that, pairs of a page and a query without any window that could reach the threshold are left out (``Asked.possible``):
+
+- Likenesses of words are remembered from page to page; the sums of a query's words in their order bound its word score.
+- If enough characters are equal at equal places, some of the query's pieces of four (three, two) characters are equal as a
+  whole: each mismatch spoils one piece at most.  Equal pieces are looked up and counted for each beginning of a window.
+
 Windows whose bound can't reach the threshold are left out; the others are worked out in the order of their bounds until
 no bound is as high as the best score found.  Likenesses of all words of a page and a block of queries are one product
 of character counts; only pairs of words that may contain each other are looked at one by one.
@@ -24,19 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.plans.shared import checkpointed
+from leafscan.plans.shared import against_all
 
 #: The fuzzy search looks at windows from two words shorter to three longer and accepts what is better than this.
 FUZZY_LEAST, SHORTER, LONGER = 0.6, 2, 3
 EARLY_STOP, TOLERANCE = 0.95, 0.8
 #: Characters compared for the bound; queries of a block; cells of an array that is worked on at once; windows worked out at once.
 HEAD, BLOCK_QUERIES, CELLS, STEP = 96, 500, 1 << 21, 256
+#: Remembered likenesses of words to queries; slots of hashed pieces of characters; pages remembered by a task, and words of these.
+LIKENESSES, SLOTS, REMEMBERED, SHORT = 1 << 26, 1 << 18, 20_000, 64
+#: Words of a page that are summed at once.
+PART = 4096
 
 
 class Asked:
     """A block of queries, their words numbered and their characters counted."""
 
     def __init__(self, queries: list[tuple[int, list[str]]]):
+        self.queries = queries
         self.words = sorted({w for _, qs in queries for w in qs})
         self.number = {w: k for k, w in enumerate(self.words)}
         self.letters = {c: k for k, c in enumerate(sorted(set("".join(self.words))))}
@@ -71,6 +82,97 @@ class Asked:
         return out
 
 
+    def _known(self, own: list[str]) -> np.ndarray | None:
+        """Where the likenesses of a page's distinct words are remembered; None for more words than can be."""
+        if not hasattr(self, "row"):
+            self.row, self.lengths_asked = {}, np.array([len(ids) for ids in self.ids])
+            longest = max(self.lengths_asked)  # shorter queries are padded by a word like none
+            self.padded = np.array([np.pad(ids, (0, longest - len(ids)), constant_values=len(self.words)) for ids in self.ids])
+            self.alike = np.zeros((max(2, LIKENESSES // len(self.words)), len(self.words)), np.uint8)  # in steps of 1/255, rounded up
+        new = [w for w in own if w not in self.row]
+        if len(self.row) + len(new) > len(self.alike):
+            self.row, new = {}, own
+            if len(own) > len(self.alike):
+                return None
+        for k in range(0, len(new), STEP):
+            some, at = new[k : k + STEP], len(self.row)
+            self.alike[at : at + len(some)] = np.ceil(self.likeness(some) * 255 - 1e-6)
+            self.row |= {w: at + i for i, w in enumerate(some)}
+        return np.array([self.row[w] for w in own])
+
+    def _by_words(self, rows: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether a query's word score could reach the threshold: the sum of all its words in order bounds it for any size of window."""
+        lengths, words = self.lengths_asked, self.padded
+        longest, out = words.shape[1], np.zeros(len(lengths), bool)
+        for k in range(0, len(rows), PART):
+            near, n = self.alike[rows[k : k + PART + longest]], min(PART, len(rows) - k)
+            some = np.zeros((len(self.words) + 1, n + longest), np.uint16 if longest <= 257 else np.uint32)
+            some[:-1, : len(near)] = near.T
+            live, sums = np.arange(len(lengths)), np.zeros((len(lengths), n), some.dtype)
+            for i in range(longest + 1):
+                if i % 8 == 0 or i == longest:  # a query goes on while its other words, if all equal, could still bring a window to the threshold
+                    kept = sums.max(axis=1) + 255.0 * np.maximum(lengths[live] - i, 0) >= threshold * 255 * lengths[live] - 1e-3
+                    live, sums = live[kept], sums[kept]
+                if i == longest or not len(live):
+                    break
+                sums += np.take(some, words[live, i], axis=0)[:, i : i + n]
+            out[live] = True
+        return out
+
+    def _pieces(self, threshold: float) -> list[tuple]:
+        """For each size of pieces the queries' pieces by their hash, and how many each query needs; those without any need 0."""
+        if not hasattr(self, "pieces"):
+            self.pieces, self.needed = [], np.zeros(len(self.ids), np.int64)
+            by_size = defaultdict(list)
+            for q, joined in enumerate(self.joined):
+                misses = math.floor((1 - threshold) * len(joined) + 1e-9)
+                if size := next((g for g in (4, 3, 2) if len(joined) // g > misses), 0):
+                    by_size[size].append(q)
+                    self.needed[q] = len(joined) // size - misses
+            for size, members in by_size.items():
+                hashed = [_hashes(_codes(self.joined[q]), size)[::size] for q in members]
+                at, asked = np.concatenate(hashed), np.repeat(members, [len(h) for h in hashed])
+                places, order = np.concatenate([np.arange(len(h)) * size for h in hashed]), np.argsort(at, kind="stable")
+                self.pieces.append((size, np.searchsorted(at[order], np.arange(SLOTS + 1)), asked[order], places[order]))
+        return self.pieces
+
+    def possible(self, ws: list[str], threshold: float) -> np.ndarray:
+        """Whether each query could have a window of at least the threshold on a page (one threshold for all pages)."""
+        own, count = sorted(set(ws)), len(ws)
+        if (known := self._known(own)) is None:
+            return np.ones(len(self.ids), bool)
+        number = {w: k for k, w in enumerate(own)}
+        out = self._by_words(known[[number[w] for w in ws]], threshold)
+        pieces = self._pieces(threshold)
+        out |= self.needed == 0
+        ends = np.cumsum([0, *map(len, ws)])
+        begins = np.full(ends[-1] + 1, -1)
+        begins[ends[:-1]] = np.arange(count)
+        codes = _codes("".join(ws))
+        for size, first, asked, places in pieces:
+            hashed = _hashes(codes, size)
+            counts = first[hashed + 1] - first[hashed]
+            at = np.repeat(first[hashed] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            start = np.repeat(np.arange(len(hashed)), counts) - places[at]
+            place = np.where(start >= 0, begins[np.maximum(start, 0)], -1)
+            votes, seen = np.unique(asked[at[place >= 0]] * count + place[place >= 0], return_counts=True)
+            out[(q := votes // count)[seen >= self.needed[q]]] = True
+        return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A slot for each run of so many characters."""
+    n = max(0, len(codes) - size + 1)
+    hashed = np.zeros(n, np.int64)
+    for k in range(size):
+        hashed = (hashed * 8191 + codes[k : k + n]) % 2147483647
+    return hashed % SLOTS
+
+
 def _cut(value: float) -> float:
     return math.floor(value * 1000) / 1000
 
@@ -106,6 +208,13 @@ def best_windows(ws: list[str], asked: Asked, threshold: float) -> list[tuple[in
     return out
 
 
+def page_windows(ws: list[str], asked: Asked, threshold: float) -> list[tuple[int, int, int, float, bool]]:
+    """``best_windows``, of the queries only that could reach the threshold."""
+    near = np.flatnonzero(asked.possible(ws, threshold))
+    found = best_windows(ws, Asked([asked.queries[q] for q in near]), threshold) if len(near) else []
+    return [(int(near[q]), *window) for q, *window in found]
+
+
 def _fuzzy(q, qn, ids, alike, ends, text, heads, asked, least, exact):
     """(start, words, score) of the best window that beats what it has to, shorter and earlier ones first on ties."""
     count, own, joined = len(ids), asked.ids[q], asked.joined[q]
@@ -149,29 +258,31 @@ def fuzzy_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOLER
     """page_id, query_id, start_index, end_index, similarity, fuzzy (whether the window comes from the fuzzy search).
 
     Pairs with a window of equal words of at least ``TOLERANCE`` keep it; others have the best fuzzy window if it is better.
-    Rows reach the threshold.  ``pages``: page_id, ws; ``queries``: query_id, qs.  A task holds one page and one block.
+    Rows reach the threshold.  ``pages``: page_id, ws; ``queries``: query_id, qs.  A task holds some pages and one block; short
+    pages that are equal are searched once in a task.
     """
-    known = checkpointed(queries.where(F.size("qs") > 0).select("query_id", "qs"))
-    blocks = max(1, -(-known.count() // block))
-    listed = known.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("qs").alias("asked"))
-    held = pages.where(F.size("ws") > 0).select("page_id", "ws")
-    every = held.crossJoin(checkpointed(listed.coalesce(1)))  # the stated queries, in blocks, against all pages
-    schema = held.select("page_id").schema.add("query_id", known.schema["query_id"].dataType)
+    known = queries.where(F.size("qs") > 0).select("query_id", "qs")
+    schema = pages.select("page_id").schema.add("query_id", known.schema["query_id"].dataType)
     for name, kind in (("start_index", "integer"), ("end_index", "integer"), ("similarity", "double"), ("fuzzy", "boolean")):
         schema = schema.add(name, kind)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, asked = None, None
+        number, asked, seen = None, None, {}
         for batch in batches:
             for row in range(len(batch)):
-                one = batch.slice(row, 1)
-                if one.column("block")[0].as_py() != number:
-                    number, texts = one.column("block")[0].as_py(), one.column("asked")[0].as_py()
-                    asked = Asked(list(enumerate(texts)))
-                made = best_windows(one.column("ws")[0].as_py(), asked, threshold)
+                if batch.column(0)[row].as_py() != number:
+                    number, asked, seen = batch.column(0)[row].as_py(), Asked(list(enumerate(batch.column(2)[row].as_py()))), {}
+                query_ids, page_ids, held = batch.column(1)[row].values, batch.column(3)[row].values, batch.column(4)[row].as_py()
+                made: list[tuple] = []
+                for at, ws in enumerate(held):
+                    if (windows := seen.get(key := tuple(ws) if len(ws) <= SHORT else None)) is None:
+                        windows = page_windows(ws, asked, threshold)
+                        if key and len(seen) < REMEMBERED:
+                            seen[key] = windows
+                    made += [(at, *w) for w in windows]
                 if made:
-                    values = [pa.array([m[k] for m in made], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.float64()), (4, pa.bool_()))]
-                    query_ids = one.column("query_ids")[0].values.take(pa.array([m[0] for m in made]))
-                    yield pa.RecordBatch.from_arrays([one.column("page_id").take(pa.array([0] * len(made))), query_ids, *values], names=schema.names)
+                    values = [pa.array([m[k] for m in made], t) for k, t in ((2, pa.int32()), (3, pa.int32()), (4, pa.float64()), (5, pa.bool_()))]
+                    ids = [page_ids.take(pa.array([m[0] for m in made])), query_ids.take(pa.array([m[1] for m in made]))]
+                    yield pa.RecordBatch.from_arrays([*ids, *values], names=schema.names)
 
-    return every.select("block", "query_ids", "asked", "page_id", "ws").mapInArrow(found, schema)
+    return against_all(pages, known, block).mapInArrow(found, schema)

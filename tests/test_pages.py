@@ -2,7 +2,7 @@
 
 import random
 
-from leafscan.operators import match
+from leafscan.operators import fuzzy, match
 from leafscan.plans import annotate
 from leafscan.sources import hocr
 from leafscan.sources.tables import word_boxes
@@ -74,3 +74,20 @@ def test_votes_are_counted_beside_their_page(spark):
         twice = pages.unionByName(pages.where("page_id % 9 = 0").withColumn("ws", pages["ws"]))
         assert rows(match.best_windows(twice, queries, early)) == rows(match._counted_windows(twice, queries, early))
     assert rows(match.best_windows(pages, queries.unionByName(queries.limit(3)))) == rows(match._counted_windows(pages, queries.unionByName(queries.limit(3)), True))
+
+
+def test_bounds_of_the_fuzzy_search_leave_nothing_out():
+    """fuzzy_match_fallback and fuzzy_passages: what is left out before the search has no window that reaches the threshold."""
+    draw, left_out = random.Random(8), 0
+    word = lambda: "".join(draw.choices("abcdefghij", k=draw.randint(1, 7)))
+    queries = [(k, [word() for _ in range(draw.randint(1, 9))]) for k in range(25)]
+    for threshold in (0.4, 0.6, 0.8):
+        asked = fuzzy.Asked(queries)
+        for _ in range(25):
+            page = [word() for _ in range(draw.randint(1, 25))]
+            for _ in range(2):  # a query with misread letters
+                own = ["".join(c if draw.random() < 0.9 else draw.choice("abcxyz") for c in w) for w in draw.choice(queries)[1]]
+                page[(at := draw.randint(0, len(page))) : at] = own
+            assert sorted(fuzzy.page_windows(page, asked, threshold)) == sorted(fuzzy.best_windows(page, fuzzy.Asked(queries), threshold))
+            left_out += (~asked.possible(page, threshold)).sum()
+    assert left_out > 300

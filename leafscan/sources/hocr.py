@@ -273,14 +273,19 @@ def page_dimensions(hocr: Column) -> Column:
     return F.when(box["x1"].isNotNull(), F.struct((box["x2"] - box["x1"]).alias("width"), (box["y2"] - box["y1"]).alias("height")))
 
 
+def spanning_marker(first: dict[str, Column], last: dict[str, Column], ws: Column) -> Column:
+    """Marker text of a list of words: one line from the first word's corner to the last one's."""
+    corners = [side.cast("long").cast("string") for side in (first["x1"], first["y1"], last["x2"], last["y2"])]
+    marker = F.concat(F.lit("[[PARAGRAPH]] [[LINE "), F.concat_ws(" ", *corners), F.lit("]] "))
+    return F.concat(marker, F.array_join(ws, " "), F.lit(" "))
+
+
 def spanning_marker_text(words: DataFrame) -> DataFrame:
-    """page_id, marked: marker text from a bare list of words: one line from the first word's corner to the last one's."""
-    whole = lambda c: c.cast("long").cast("string")
+    """page_id, marked: ``spanning_marker`` of words that have to be gathered by their pages."""
     listed = F.array_sort(F.collect_list(F.struct("pos", "word", "x1", "y1", "x2", "y2")))
     held = words.groupBy("page_id").agg(listed.alias("w"))
     first, last = F.get("w", F.lit(0)), F.element_at("w", -1)
-    marker = F.concat(F.lit("[[PARAGRAPH]] [[LINE "), F.concat_ws(" ", whole(first["x1"]), whole(first["y1"]), whole(last["x2"]), whole(last["y2"])), F.lit("]] "))
-    return held.select("page_id", F.concat(marker, F.array_join(F.transform("w", lambda w: w["word"]), " "), F.lit(" ")).alias("marked"))
+    return held.select("page_id", spanning_marker(first, last, F.transform("w", lambda w: w["word"])).alias("marked"))
 
 
 def write_marker_text(marked: DataFrame, path: str) -> None:

@@ -3,7 +3,7 @@
 import random
 
 from leafscan.operators import fuzzy, match
-from leafscan.plans import annotate
+from leafscan.plans import annotate, document_queries
 from leafscan.sources import hocr
 from leafscan.sources.tables import word_boxes
 
@@ -91,3 +91,12 @@ def test_bounds_of_the_fuzzy_search_leave_nothing_out():
             assert sorted(fuzzy.page_windows(page, asked, threshold)) == sorted(fuzzy.best_windows(page, fuzzy.Asked(queries), threshold))
             left_out += (~asked.possible(page, threshold)).sum()
     assert left_out > 300
+
+
+def test_a_list_of_words_is_marked_in_its_row(spark):
+    """word_list_markers: words aren't shuffled to be put together again."""
+    found = document_queries.word_list_markers(spark, "/root/testdata/sf0.001")
+    assert "Exchange hashpartitioning" not in plan(found) and "collect_list" not in plan(found)
+    pages = document_queries.pages(spark, "/root/testdata/sf0.001")
+    marked = hocr.spanning_marker_text(word_boxes(pages)).selectExpr("page_id", "length(marked) AS chars", "md5(marked) AS marked_md5")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, marked.collect()))

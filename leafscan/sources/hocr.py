@@ -2,7 +2,8 @@
 
 Pages are parsed by the standard library's HTML parser in Arrow batches, one page at a time; everything after that
 is relational.  Plain word elements, nearly all of a page, are taken by one pattern, and the parser sees only what
-stands between them; a page where that could differ is parsed whole.  Classes are matched as whole tokens.  A word keeps
+stands between them; a page where that could differ is parsed whole.  Where words are the result, plain pages are read many
+at once (``plainpages``).  Classes are matched as whole tokens.  A word keeps
 the class of its line, so that searching can leave out floating text.
 """
 
@@ -10,15 +11,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html import escape, unescape
 from html.parser import HTMLParser
 from itertools import chain, groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscan.functions.tokens import box_of_title
+from leafscan.sources import plainpages
 from leafscan.sources.tables import LINE_WORDS, LONGEST, placed
 
 ERRORS = "page_id long, error string"
@@ -161,8 +166,8 @@ def page_words(hocr: str | None) -> list[dict]:
 
 #: Words of a batch of parsed pages, about.
 BATCH_WORDS = 16_384
-#: Characters of a batch of rendered pages, about.
-BATCH_CHARS = 1 << 20
+#: Bytes of texts that are rendered at once, about; pages have some fifteen times as many.
+BATCH_CHARS = 1 << 18
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 
 
@@ -195,14 +200,62 @@ def _each_page(pages: DataFrame, made: Callable[[int, str | None, Columns, str |
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("hocr").cast("string").alias("hocr")).mapInArrow(rows, columns)
 
 
-def read_words(pages: DataFrame) -> DataFrame:
-    """``WORDS`` of pages (page_id, hocr) and their ``error``: a page that can't be read or has no word is one row of it."""
+@lru_cache(1024)
+def _head(hocr: bytes) -> int | None:
+    """The number of the paragraph that is open after the beginning of a page; None if it isn't certain that only that is."""
+    reader = _Reader()
+    try:
+        reader.feed(hocr.decode())
+    except Exception:  # noqa: BLE001 - such a page is left to the parser as a whole
+        return None
+    return None if reader.rawdata or reader.cdata_elem or reader.word or reader.words or reader.line >= 0 else reader.par
 
-    def made(page: int, hocr: str | None, words: Columns, error: str | None) -> tuple:
+
+@lru_cache(1024)
+def _tail(hocr: bytes) -> bool:
+    """Whether the end of a page has no word."""
+    reader = _Reader()
+    try:
+        reader.feed(hocr.decode())
+        reader.close()
+    except Exception:  # noqa: BLE001
+        return False
+    return not (reader.word or reader.words)
+
+
+#: Bytes of pages that are read at once, about.
+READ_BYTES = 4 << 20
+
+
+def read_words(pages: DataFrame, columns: str = f"{WORDS}, error string") -> DataFrame:
+    """``WORDS`` of pages (page_id, hocr) and their ``error``: a page that can't be read or has no word is one row of it.
+
+    Of the columns only those asked for are made; ``page_id`` must be the first.
+    """
+    schema = pa.schema([(name, _KINDS[kind]) for name, kind in map(str.split, columns.split(", "))])
+    order = [n.split()[0] for n in WORDS.split(", ")[2:]]
+
+    def of_page(page: int, hocr: str | None) -> list[pa.Array]:
+        words, error = _read(hocr)
         n = len(words[0])
-        return ([page], *[[None]] * 14, [error]) if error else ([page] * n, range(n), *words, [None] * n)
+        values = dict(zip(order, words, strict=True)) if n else {name: [None] for name in order}
+        values |= {"page_id": [page] * (n or 1), "pos": range(n) if n else [None], "error": [error] * (n or 1)}
+        return [pa.array(values[f.name], f.type) for f in schema]
 
-    return _each_page(pages, made, f"{WORDS}, error string")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            for a, b in plainpages.slices(sizes, READ_BYTES):
+                ids, texts = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+                plain, own, made = plainpages.read(texts, _head, _tail)
+                if len(own):
+                    made |= {"page_id": lambda own=own, ids=ids: ids.take(pa.array(own)), "error": lambda own=own: pa.nulls(len(own), pa.string())}
+                    yield pa.RecordBatch.from_arrays([made[f.name]().cast(f.type) for f in schema], schema=schema)
+                others = [of_page(ids[k].as_py(), texts[k].as_py()) for k in np.flatnonzero(~plain).tolist()]
+                for first in range(0, len(others), 64):
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*others[first : first + 64], strict=True)], schema=schema)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("hocr").cast("string").alias("hocr")).mapInArrow(rows, columns)
 
 
 def read_errors(pages: DataFrame) -> DataFrame:
@@ -256,9 +309,9 @@ def marker_texts(pages: DataFrame) -> DataFrame:
     return _each_page(pages, made, "page_id long, marked string")
 
 
-def parsed_words(pages: DataFrame) -> DataFrame:
-    """``WORDS`` of pages (page_id, hocr); pages that can't be read have none."""
-    return read_words(pages).where("error is null").drop("error")
+def parsed_words(pages: DataFrame, columns: str = WORDS) -> DataFrame:
+    """``WORDS``, or those of their columns that are asked for, of pages (page_id, hocr); pages that can't be read have none."""
+    return read_words(pages, f"{columns}, error string").where("error is null").drop("error")
 
 
 def usable_words(words: DataFrame) -> DataFrame:
@@ -335,18 +388,26 @@ def rendered(pages: DataFrame, width: Column | int = 2560, height: Column | int
     size = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("int").cast("string")
     own = F.coalesce(F.concat(F.lit(" title='bbox 0 0 "), size(width), F.lit(" "), size(height), F.lit("'")), F.lit(""))
 
+    before, after = "<p class='ocr_par'>", "</p></div></body></html>"
+
+    def of_words(ws: list[str | None] | None, title: str, layout: dict) -> str | None:
+        return None if ws is None else f"<html><body><div class='ocr_page'{title}>{before}{_body(ws, layout)}{'</span>' if ws else ''}{after}"
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout: dict[tuple[int, int], str] = {}
         for batch in batches:
-            first, texts, chars = 0, [], 0
-            for row in range(len(batch)):
-                text, odd, title = (batch.column(c)[row].as_py() for c in (1, 2, 3))
-                ws = odd if text is None else text.split(BETWEEN)
-                texts.append(None if ws is None else f"<html><body><div class='ocr_page'{title}><p class='ocr_par'>{_body(ws, layout)}{'</span>' if ws else ''}</p></div></body></html>")
-                chars += len(texts[-1] or "")
-                if chars >= BATCH_CHARS or row + 1 == len(batch):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(texts, pa.string())], names=["page_id", "hocr"])
-                    first, texts, chars = row + 1, [], 0
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            for a, b in plainpages.slices(sizes, BATCH_CHARS):
+                part = batch.slice(a, b - a)
+                told = part.filter(part.column(1).is_valid())
+                if len(told):
+                    bodies = plainpages.rendered_bodies(told.column(1), BETWEEN)
+                    texts = pc.binary_join_element_wise("<html><body><div class='ocr_page'", told.column(3), f">{before}", bodies, after, "")
+                    yield pa.RecordBatch.from_arrays([told.column(0), texts], names=["page_id", "hocr"])
+                others = part.filter(part.column(1).is_null())
+                if len(others):
+                    texts = [of_words(ws, title, layout) for ws, title in zip(others.column(2).to_pylist(), others.column(3).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([others.column(0), pa.array(texts, pa.string())], names=["page_id", "hocr"])
 
     # Words travel as one text, which is far quicker to take apart than a list; null for the few that it can't tell apart.
     joined = F.array_join("ws", BETWEEN, BETWEEN)

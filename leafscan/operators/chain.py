@@ -15,14 +15,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscan.functions.tokens import split_words
-from leafscan.plans.shared import checkpointed, taken_apart
+from leafscan.plans.shared import settled, taken_apart
 
 #: Least share of a text's words in the chain; words between them, as a share of the text's; and seeds that must be there.
 FOUND, ADDED, SEEDS = 0.7, 0.5, 4
@@ -67,20 +67,25 @@ def longest_chain(words: list[str], wanted: list[str], need: int, width: int) ->
     return best and (best[0], best[2], -best[1])
 
 
-def stretches(pages: DataFrame, queries: DataFrame, found: float = FOUND, added: float = ADDED, seeds: int = SEEDS) -> DataFrame:
+def stretches(pages: DataFrame, queries: DataFrame, found: float = FOUND, added: float = ADDED, seeds: int = SEEDS, pages_on: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """page_id, query_id, n_found, n_wanted, start_index, end_index (exclusive): where texts stand on pages.
 
     ``pages``: page_id, ws; ``queries``: query_id, text.  Indexes are of the page's words as they are.
+    ``pages_on`` gives the pages with the ids of a table; where it can choose them before their words are worked out, it spares
+    that for pages without enough seeds.
     """
-    marked = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), clean(w).alias("word"))), lambda s: s["word"] != "")
-    held = pages.select("page_id", marked.alias("held"))
     asked = queries.select("query_id", clean_words(F.col("text")).alias("qs")).where(F.size("qs") > 0)
     qn = F.size("qs")
     asked = asked.withColumns({"need": F.ceil(qn * found - 1e-9).cast("int"), "width": (qn + F.floor(qn * added)).cast("int")})
     wanted = asked.select("query_id", qn.alias("qn"), "need", "width", F.posexplode("qs").alias("j", "word"))
-    words = taken_apart(held, "held", "p", "h", "page_id").select("page_id", "p", F.col("h.word").alias("word"))
-    own = checkpointed(words.join(wanted.select("word").distinct(), "word", "left_semi"))
-    seen = own.groupBy("word").agg(F.count("*").alias("seen"))
+    # The forms in which wanted words stand on pages are found first, and joined as they are: most need no cleaning to be compared,
+    # and what isn't wanted is counted nowhere.  (A word that could be null would be cleaned twice, for the join's filter too.)
+    raw = F.col("raw")
+    word = F.coalesce(F.when(raw.rlike(r"^[a-z0-9_]+\z"), raw).otherwise(clean(raw)), F.lit("")).alias("word")
+    own = pages.select(F.explode_outer("ws").alias("raw")).select("raw", word)
+    forms = settled(own.join(settled(wanted.select("word").distinct()), "word").groupBy("raw", "word").agg(F.count("*").alias("n")))
+    words = taken_apart(pages.select("page_id", F.filter("ws", lambda w: w.rlike(r"[\p{L}\p{N}_]")).alias("ws")), "ws", "p", "raw", "page_id")
+    seen = forms.groupBy("word").agg(F.sum("n").alias("seen"))
     misses = F.col("qn") - F.col("need")
     few = F.least(F.lit(seeds), F.col("need"))
     rarest = Window.partitionBy("query_id").orderBy(F.coalesce("seen", F.lit(0)), "j")
@@ -88,12 +93,17 @@ def stretches(pages: DataFrame, queries: DataFrame, found: float = FOUND, added:
     # A chain's diagonals lie between first - misses and first + width - need: one of two neighbouring bands holds them all.
     across = F.col("width") - F.col("need") + misses + 1
     diagonal = F.col("p") - F.col("j")
-    hits = own.join(chosen.select("query_id", "word", "j", across.alias("across"), few.alias("few"), (F.col("width") - F.col("need")).alias("before"), (misses + F.col("width")).alias("after")), "word")
+    named = chosen.select("query_id", "word", "j", across.alias("across"), few.alias("few"), (F.col("width") - F.col("need")).alias("before"), (misses + F.col("width")).alias("after"))
+    hits = words.join(settled(named.join(forms.select("word", "raw"), "word")), "raw")
     hits = hits.withColumn("d", diagonal).withColumn("band", F.explode(F.array(F.floor(F.col("d") / F.col("across")), F.floor(F.col("d") / F.col("across")) - 1)))
     bands = hits.groupBy("page_id", "query_id", "band").agg(
         F.size(F.collect_set("j")).alias("n"), F.first("few").alias("few"), F.min(F.col("d") - F.col("before")).alias("low"), F.max(F.col("d") + F.col("after")).alias("high")
     )
-    near = bands.where("n >= few").select("page_id", "query_id", F.greatest("low", F.lit(0)).cast("int").alias("low"), "high")
+    near = settled(bands.where("n >= few").select("page_id", "query_id", F.greatest("low", F.lit(0)).cast("int").alias("low"), "high"))
+    # Only pages near a text are cleaned again, with the places of their words, to cut the stretches out.
+    own_pages = pages_on(near) if pages_on else pages.join(near.select("page_id"), "page_id", "left_semi")
+    marked = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), clean(w).alias("word"))), lambda s: s["word"] != "")
+    held = own_pages.select("page_id", marked.alias("held"))
     cut = near.join(held, "page_id").withColumn("held", F.slice("held", F.col("low") + 1, F.greatest(F.col("high") - F.col("low"), F.lit(0)).cast("int")))
     cut = cut.where(F.size("held") > 0).join(asked, "query_id")
 

@@ -12,7 +12,7 @@ chosen; the few windows they name are then compared word by word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,9 +139,12 @@ def _windows_by_page(pages: DataFrame, queries: DataFrame, early_stop: bool) ->
     return against_all(pages, queries, BLOCK_QUERIES).mapInArrow(found, schema)
 
 
-def closest_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOLERANCE, early_stop: bool = True, votes: int = 1) -> DataFrame:
+def closest_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOLERANCE, early_stop: bool = True, votes: int = 1, pages_on: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The same, of windows that reach a threshold (at most ``EARLY_STOP``), by their rarest query words.
 
+    ``pages_on`` gives the pages with the ids of a table; where it can choose them before their words are worked out, it
+    spares that for pages without a candidate.
+
     With more ``votes`` that many more of the rarest words are joined and a window must hold as many of them, so
     fewer windows are compared where the threshold is low; the rows are the same.
     """
@@ -159,8 +162,10 @@ def closest_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOL
     if votes > 1:
         named = named.repartition("page_id", "query_id").groupBy("page_id", "query_id", "start", "least").count().where("count >= least")
     starts = F.collect_set("start").alias("starts")
-    candidates = settled(named.groupBy("page_id", "query_id").agg(starts).join(queries.select("query_id", "qs"), "query_id"))
-    both = candidates.join(pages.select("page_id", "ws"), "page_id")
+    # Passages are joined last: what is sent to the pages are a few numbers for each candidate.
+    candidates = settled(named.groupBy("page_id", "query_id").agg(starts))
+    own = pages_on(candidates) if pages_on else pages.select("page_id", "ws")
+    both = candidates.join(own, "page_id").join(settled(queries.select("query_id", "qs")), "query_id")
     scored = lambda start: let(
         positional(F.slice("ws", start + 1, F.size("qs")), F.col("qs")),
         lambda s: F.struct(_rank(s, start, early_stop).alias("rank"), start.alias("start"), s.alias("similarity")),

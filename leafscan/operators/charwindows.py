@@ -25,11 +25,29 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def _equal_from(page: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Equal characters of a text laid over a page at each place, the first being all of the text before the page."""
+    n, m = len(page), len(wanted)
+    letters, numbers = np.unique(wanted, return_inverse=True)
+    kind = np.uint8 if len(letters) < 255 else np.uint32
+    near = np.minimum(np.searchsorted(letters, page), len(letters) - 1)
+    laid = np.full(n + 2 * m, len(letters), kind)
+    laid[m : m + n] = np.where(letters[near] == page, near, len(letters))
+    total = np.zeros(n + m + 1, np.int64)
+    for first in range(0, m, 255):  # as many as a byte can count
+        some = np.zeros(n + m + 1, np.uint8)
+        for j in range(first, min(first + 255, m)):
+            some += (laid[j : j + n + m + 1] == kind(numbers[j])).view(np.uint8)
+        total += some
+    return total
+
+
 def window_of(marked: str, text: str, enough: float = ENOUGH) -> tuple[int, int, float] | None:
     """Start, end and share of equal characters of the first window above ``enough``, else of the best, the rightmost of equals.
 
     With running counts of the characters outside markers, where a window begins follows from where it ends: the
-    count there, less the text's length, is looked up among the counts of all places.  None: no window has an equal character.
+    count there, less the text's length, is looked up among the counts of all places.  The text is laid over what is outside
+    markers at all places at once, one character after the other.  None: no window has an equal character.
     """
     page, wanted = _codes(marked), _codes(text)
     n, m = len(page), len(wanted)
@@ -52,27 +70,34 @@ def window_of(marked: str, text: str, enough: float = ENOUGH) -> tuple[int, int,
         at = np.where(found // step == value, found % step, -1)
         return np.where((opened[ends] >= 0) & (ends - m > opened[ends]), ends - m, at)
 
-    best, per = None, max(1, _AT_ONCE // m)
-    for last in range(n, m, -per):
-        ends = np.arange(last, max(last - per, m), -1)
-        starts = begins(ends)
-        ends, starts = ends[starts >= 0], starts[starts >= 0]
-        one_marker = (opened[ends] >= 0) & (starts > opened[ends])
-        left = np.where(one_marker, m, cut_left[starts])[:, None]
-        middle = np.where(one_marker, 0, count[ends] - count[starts])[:, None]
-        k = np.arange(m)[None, :]
-        inner = kept[np.clip(count[starts][:, None] + k - left, 0, max(len(kept) - 1, 0))] if len(kept) else np.zeros((len(ends), m), int)
-        at = np.where(k < left, starts[:, None] + k, np.where(k < left + middle, inner, opened[ends][:, None] + k - left - middle))
-        equal = (page[np.clip(at, 0, n - 1)] == wanted[None, :]).sum(axis=1)
-        if not len(equal):
-            continue
-        above = np.flatnonzero(equal / m > enough)
-        row = int(above[0]) if len(above) else int(equal.argmax())
-        if equal[row] and (best is None or equal[row] / m > best[2]):
-            best = (int(starts[row]), int(ends[row]), int(equal[row]) / m)
-        if len(above):
+    ends = np.arange(n, m, -1)
+    starts = begins(ends)
+    ends, starts = ends[starts >= 0], starts[starts >= 0]
+    if not len(ends):
+        return None
+    one_marker = (opened[ends] >= 0) & (starts > opened[ends])
+    left = np.where(one_marker, m, cut_left[starts])
+    middle = np.where(one_marker, 0, count[ends] - count[starts])
+    # A window without a piece of a marker is the text's length of what is outside markers; of any other its bound is
+    # what is equal there and all of its pieces of markers.  Only others that can win are compared.
+    along = _equal_from(page[kept], wanted)[count[starts] - left + m]
+    whole = middle == m
+    equal, bound = np.where(whole, along, 0), np.minimum(along, middle) + m - middle
+    above = np.flatnonzero(equal / m > enough)
+    odd = np.flatnonzero(~whole & ((bound / m > enough) if len(above) else (bound >= max(1, equal.max()))))
+    odd, per = odd[odd < above[0]] if len(above) else odd, max(1, _AT_ONCE // m)
+    for first in range(0, len(odd), per):
+        own = odd[first : first + per]
+        k, begin, end, edge = np.arange(m)[None, :], starts[own][:, None], ends[own][:, None], left[own][:, None]
+        inner = kept[np.clip(count[begin] + k - edge, 0, max(len(kept) - 1, 0))] if len(kept) else np.zeros((len(own), m), int)
+        inside = middle[own][:, None]
+        at = np.where(k < edge, begin + k, np.where(k < edge + inside, inner, opened[end] + k - edge - inside))
+        equal[own] = (page[np.clip(at, 0, n - 1)] == wanted[None, :]).sum(axis=1)
+        if (equal[own] / m > enough).any():
             break
-    return best
+    above = np.flatnonzero(equal / m > enough)
+    row = int(above[0]) if len(above) else int(equal.argmax())
+    return (int(starts[row]), int(ends[row]), int(equal[row]) / m) if equal[row] else None
 
 
 def character_windows(texts: DataFrame, marked: DataFrame, enough: float = ENOUGH) -> DataFrame:
@@ -83,12 +108,13 @@ def character_windows(texts: DataFrame, marked: DataFrame, enough: float = ENOUG
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [window_of(page.as_py(), text.as_py(), enough) for page, text in zip(batch.column(2), batch.column(3), strict=True)]
+            found = [page.is_valid and window_of(page.as_py(), text.as_py(), enough) or None for page, text in zip(batch.column(2), batch.column(3), strict=True)]
             sides = [pa.array([f and f[k] for f in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *sides], names=["page_id", "query_id", "marked", "start", "end", "similarity"])
 
     asked = texts.select(F.col("page_id").cast("long"), F.col("query_id").cast("long"), "text").where("text <> ''")
-    both = asked.join(marked.select(F.col("page_id").cast("long"), "marked"), "page_id").where("marked is not null")
+    # A filter by the marker text would be worked out below the join, for pages without a text too.
+    both = asked.join(marked.select(F.col("page_id").cast("long"), "marked"), "page_id")
     found = both.select("page_id", "query_id", "marked", "text").mapInArrow(rows, "page_id long, query_id long, marked string, start int, end int, similarity double")
     return found.where("start is not null")
 

@@ -73,3 +73,17 @@ def test_boxes(spark, text, box):
     assert (row["page_id"], row["query_id"], row["x1"], row["y1"], row["x2"], row["y2"]) == (1, 7, *box)
     assert (row["start"], row["end"], row["similarity"]) == tried(PAGE, text)
     assert charwindows.character_windows(texts.where("page_id > 5"), marked).count() == 0
+
+
+def test_only_windows_that_can_win_are_compared(monkeypatch):
+    """match_character_boxes: a text is laid over the page as a whole; windows with a piece of a marker are compared only where they could win."""
+    rng, compared = random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    lines = [[word() for _ in range(10)] for _ in range(40)]
+    page = " ".join(["[[PARAGRAPH]]", *(f"[[LINE 100 {n} 200 300]] " + " ".join(line) for n, line in enumerate(lines))])
+    plain = charwindows.np.clip
+    monkeypatch.setattr(charwindows.np, "clip", lambda a, *rest: compared.append(a.size) or plain(a, *rest))
+    for text in (" ".join(lines[7] + lines[8]), " ".join([*lines[3][4:], "zzzzz", *lines[4]]), " ".join(word() for _ in range(30))):
+        compared.clear()
+        assert charwindows.window_of(page, text) == tried(page, text)
+        assert sum(compared) < len(page) * len(text) / 3

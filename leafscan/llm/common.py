@@ -85,6 +85,23 @@ def merged_like(df: DataFrame, docs: DataFrame) -> DataFrame:
     return _merged(df, size) if size < 1 << 60 else df
 
 
+_FREED_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within, what a query has shuffled is deleted as it ends, not when the driver happens to collect its garbage.
+
+    For tables built and run once within, as ``cut`` does; those built after it are as before.
+    """
+    before = spark.conf.get(_FREED_SETTING, None)
+    spark.conf.set(_FREED_SETTING, True)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREED_SETTING) if before is None else spark.conf.set(_FREED_SETTING, before)
+
+
 def drawn(share: Column, *parts: Column) -> Column:
     """Whether a row is in a sample of about this share (0 to 1) of all rows, by a 64-bit digest of its parts."""
     return F.xxhash64(*parts).cast("double") / 2.0**64 + 0.5 < share

@@ -28,11 +28,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafscan.llm.common import cut, fresh_worker, merged_like, slices
+from leafscan.llm.common import cut, fresh_worker, merged_like, shuffles_freed, slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -229,10 +229,16 @@ DECIDING_WORDS, SIMILARITY = 5, 0.8
 ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Documents that share a shingle and are paired at once, and of a block where there are more.
 FEW, BLOCK = 64, 4096
+#: Early shingles that a pair must have in common, where so many follow from the similarity and the sizes.
+COMMON = 4
 #: Documents whose shingles one task sorts, about.
 SORTED_NODES = 5_000
 #: A side of a join is broadcast up to so many rows of an id and a digest; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
+#: Ends of pairs of a block where many are paired, and shingles of the texts that are compared at once, about.
+TOGETHER, BUCKET_SHINGLES = 64, 500_000
+#: Bits of a block of a sieve (a power of two, up to 65,536) and its keys, about.
+SIEVE_BITS, SIEVE_KEYS = 1 << 16, 2000
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,25 +319,41 @@ def _beginnings(of: np.ndarray, hashes: np.ndarray, texts: int, known: np.ndarra
     return hashes[order[place < most[of]]], most, share.astype(np.int32)
 
 
-def _meeting(shared: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+def _needed(small: Column, large: Column, similarity: float, most: int) -> Column:
+    """How many of their first shingles two similar sets of so many share at least, counted up to ``most``.
+
+    Whichever of the two beginnings ends first in the order, all that is common up to there is in both.
+    """
+    overlap, behind = similarity / (1 + similarity) * (small + large), F.ceil(similarity * large - 1e-9) - 1
+    return F.least(F.lit(most), F.ceil(overlap - behind - 1e-6).cast("int"))
+
+
+def _meeting(shared: DataFrame, similarity: float, block: int = BLOCK, most: int = 1) -> DataFrame:
     """Distinct pairs (u, v) of nodes of different ``component`` that share a shingle and may be similar enough.
 
     ``shared``: shingle, held (rows of the shingle), node, at (place of the shingle in the node's order), n (its
-    shingles), component.  Where many nodes share a shingle, pairs of blocks of them are dealt out.
+    shingles), component, crowded (its first shingles that are in no row here).  Where many nodes share a shingle,
+    pairs of blocks of them are dealt out.  A pair has to share up to ``most`` shingles early enough, of which
+    ``common`` are in rows here.
     """
     blocks = F.ceil(F.col("held") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
     side = lambda name, mine, other: shared.select(
-        "shingle", own.alias(mine), every.alias(other), *[F.col(c).alias(f"{c}_{name}") for c in ("node", "at", "n", "component")]
+        "shingle", own.alias(mine), every.alias(other), *[F.col(c).alias(f"{c}_{name}") for c in ("node", "at", "n", "component", "crowded")]
     )
     both = side("u", "i", "j").join(side("v", "j", "i"), ["shingle", "i", "j"])
     # u has no more shingles than v; the first shingle that both have leaves this many that they can share.
     ordered = (F.col("n_u") < F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("node_u") < F.col("node_v")))
     left = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))
-    enough = left >= similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v")) - 1e-6
-    found = both.where(ordered & enough & (F.col("n_u") >= similarity * F.col("n_v") - 1e-6) & (F.col("component_u") != F.col("component_v")))
-    return found.select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")).distinct()
+    overlap = similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v"))
+    # The shingle after k others that both have may leave k less.
+    early = left >= overlap - (most - 1) - 1e-6
+    found = both.where(ordered & early & (F.col("n_u") >= similarity * F.col("n_v") - 1e-6) & (F.col("component_u") != F.col("component_v")))
+    needed = _needed(F.col("n_u"), F.col("n_v"), similarity, most) - F.least("crowded_u", "crowded_v")
+    found = found.select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v"), (left >= overlap - 1e-6).alias("first"), needed.alias("needed"))
+    each = found.groupBy("u", "v").agg(F.count("*").cast("int").alias("common"), F.max("first").alias("first"), F.max("needed").alias("needed"))
+    return each.where(F.col("first") & (F.col("common") >= F.col("needed"))).select("u", "v", "common")
 
 
 def _by_fingerprint(nodes: DataFrame, n: int, radius: int) -> DataFrame:
@@ -348,20 +370,85 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = DECIDING_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The documents without exact and near copies: of each group the one with the smallest doc_id stays.
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    Two texts are near copies if the Jaccard similarity of their sets of shingles of ``words`` words is at least
-    ``similarity``; groups are what chains of them connect.  Ball hashing of the sets' fingerprints gives the first
-    candidates.  It can't give all (sets of that similarity often differ in more bits), so an exact search adds the
-    others: sets so similar share one of their first shingles in any order common to all, and every pair that does is
-    worked out, unless a chain connects it already.  The order puts rare shingles first, so that frequent ones bring
-    few together.  Texts count, not ids: rows without a doc_id come after all others, texts that share a doc_id by
-    their digests, and of rows that repeat both one stays.  Columns of any name are carried.
+
+def _digest() -> Column:
+    return F.unhex(F.substr(F.sha2(_text(), 256), F.lit(1), F.lit(32)))
+
+
+def _sieve(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """block, bits, and the number of blocks: of about ``n`` ``key``s, four bytes each, by which ``_sifted`` tells rows that have none of them."""
+    blocks = max(1, -(-n // SIEVE_KEYS))
+
+    def filled(rows: pa.Table) -> pa.Table:
+        keys, held = rows.column("key").to_numpy().view(np.uint64), np.zeros(SIEVE_BITS, np.uint8)
+        for shift in (0, 16):
+            held[(keys >> np.uint64(shift)) % np.uint64(SIEVE_BITS)] = 1
+        bits = np.packbits(held, bitorder="little").view("<i8")
+        return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "bits": pa.array([bits.tolist()], pa.list_(pa.int64()))})
+
+    placed = keys.select(_block(F.col("key"), blocks).alias("block"), "key")
+    return cut(placed.groupBy("block").applyInArrow(filled, "block int, bits array<long>"), SIEVE_BITS // 8 * blocks), blocks
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(key, 32), F.lit(blocks)).cast("int")
+
+
+def _sifted(rows: DataFrame, sieve: tuple[DataFrame, int], digest: str, doc_id: str = "doc_id") -> DataFrame:
+    """``rows`` with ``maybe``: false only where none of the keys has that id and digest (of others a few in a thousand are true)."""
+    key = F.xxhash64(doc_id, digest)
+    place = lambda shift: F.shiftrightunsigned(key, shift).bitwiseAND(SIEVE_BITS - 1).cast("int")
+    there = [F.getbit(F.get("bits", F.shiftright(place(shift), 6)), place(shift).bitwiseAND(63)) for shift in (0, 16)]
+    marked = rows.join(F.broadcast(sieve[0]), _block(key, sieve[1]) == F.col("block"), "left")
+    return marked.withColumn("maybe", F.coalesce(there[0] + there[1] == 2, F.lit(False))).drop("block", "bits")
+
+
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs (u, v) with label, i, j: pairs of one label, i and j are worked out together.
+
+    A label brings together what is paired with one another, so that few texts travel twice; where it has many pairs, blocks of their ends are.
+    """
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), "v"), F.struct(F.col("v").alias("node"), "v"))).alias("end"))
+    least = ends.groupBy("end.node").agg(F.min("end.v").alias("least"))
+    named = lambda c: least.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}"))
+    labelled = cut(pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", F.least("least_u", "least_v").alias("label")), 0)
+    many = labelled.groupBy("label").count().where(F.col("count") > TOGETHER).select("label")
+    blocks = lambda c: F.ceil(F.approx_count_distinct(c) / TOGETHER)
+    sides = labelled.join(many, "label", "left_semi").groupBy("label").agg(blocks("u").alias("is"), blocks("v").alias("js"))
+    placed = labelled.join(sides, "label", "left")
+    block = lambda c, of: F.pmod(F.xxhash64(c), F.greatest(F.coalesce(of, F.lit(1)), F.lit(1))).cast("int")
+    return cut(placed.select("label", block("u", "is").alias("i"), block("v", "js").alias("j"), "u", "v"), 0)
+
+
+def _similar(texts: pa.Table, pairs: pa.Table, words: int, similarity: float) -> pa.Table:
+    """Those of a bucket's pairs (u, v) that are similar enough, by the texts of their nodes."""
+    sets = {}
+    ids, at = texts.column("node").to_numpy(), 0
+    for some in slices(texts.column("text").combine_chunks(), SLICE_BYTES):
+        of, hashes = shingle_sets(some, words)
+        ends = np.bincount(of, minlength=len(some)).cumsum()
+        sets |= {int(ids[at + k]): own for k, own in enumerate(np.split(hashes, ends[:-1]))}
+        at += len(some)
+    found = []
+    for u, v in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), strict=True):
+        a, b = sets[u], sets[v]
+        both = np.concatenate([a, b])
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        if common >= similarity * (len(a) + len(b) - common) - 1e-9:
+            found.append((u, v))
+    return pa.table({name: pa.array([pair[k] for pair in found], pa.int64()) for k, name in enumerate(("u", "v"))})
+
+
+def _kept(docs: DataFrame, similarity: float, words: int, radius: int) -> tuple[tuple[DataFrame, int] | None, DataFrame, int, bool]:
+    """What ``without_near_copies`` goes by: kept_id, kept_digest and their number, and whether rows repeat an id and a text.
+
+    With a sieve, of removed keys, the table holds only those of the kept ones that it takes for removed.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    digest = F.unhex(F.substr(F.sha2(text, 256), F.lit(1), F.lit(32)))
-    own = docs.select("doc_id", text.alias("text"), digest.alias("digest"))
+    own = docs.select("doc_id", _text().alias("text"), _digest().alias("digest"))
     repeated = not own.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
     known, counts = _common_shingles(own, n := own.count(), words)
 
@@ -377,17 +464,6 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), *columns], names=["doc_id", "digest", "fp", "n", "often", "begins"])
                 at += len(texts)
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh_worker()
-        for batch in batches:
-            at = 0
-            for texts in slices(batch.column(1), SLICE_BYTES):
-                of, hashes = shingle_sets(texts, words)
-                ends = np.bincount(of, minlength=len(texts)).cumsum()
-                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), sets], names=["node", "hashes"])
-                at += len(texts)
-
     # One node for each distinct text.
     schema = own.select("doc_id", "digest").schema
     for name, kind in (("fp", T.LongType()), ("n", T.IntegerType()), ("often", T.IntegerType()), ("begins", T.ArrayType(T.LongType()))):
@@ -397,19 +473,20 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words:
     nodes = cut(prints.withColumn("node", F.monotonically_increasing_id()), 2048 * n)
 
     def close(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are similar enough."""
-        asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), 16 * n)
-        wanted = nodes.select("node", F.col("doc_id").alias("id"), F.col("digest").alias("of")).join(_sized(asked, rows := asked.count()), "node", "left_semi")
-        texts = own.join(_sized(wanted, rows), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
-        sets = texts.select("node", "text").mapInArrow(shingled, "node long, hashes array<long>")
-        sets = sets.dropDuplicates(["node"]) if repeated else sets
-        if rows > BROADCAST_ROWS:  # else the texts are where they were, and hashing some twice is less than keeping the sets
-            sets = cut(sets, 8192 * rows)
-        sided = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}"))
-        compared = pairs.join(sided("u"), "u").join(sided("v"), "v")
-        common = F.size(F.array_intersect("hashes_u", "hashes_v"))
-        enough = common >= F.lit(similarity) * (F.size("hashes_u") + F.size("hashes_v") - common) - 1e-9
-        return cut(compared.where(enough).select("u", "v"), 32 * n)
+        """Those of the pairs that are similar enough; texts go to the buckets of their pairs, sets of shingles go nowhere."""
+        dealt = _dealt(pairs)
+        asked = nodes.join(dealt.select("label", "i", "j", F.explode(F.array("u", "v")).alias("node")).distinct(), "node")
+        size = asked.agg(F.sum("n")).first()[0] or 0
+        buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_SHINGLES))
+        bucket = F.pmod(F.xxhash64("label", "i", "j"), F.lit(buckets)).alias("bucket")
+        wanted = asked.groupBy("node", F.col("doc_id").alias("id"), F.col("digest").alias("of")).agg(F.collect_set(bucket).alias("buckets"))
+        wanted = cut(wanted, 64 * n)
+        near = own if (rows := wanted.count()) <= BROADCAST_ROWS else _sifted(own, _sieve(wanted.select(F.xxhash64("id", "of").alias("key")), rows), "digest").where("maybe")
+        side = _sized(wanted, rows) if rows <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
+        texts = near.join(side, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
+        texts = texts.select(F.explode("buckets").alias("bucket"), "node", "text")
+        met = texts.groupBy("bucket").cogroup(dealt.select(bucket, "u", "v").groupBy("bucket"))
+        return cut(met.applyInArrow(lambda left, right: _similar(left, right, words, similarity), "u long, v long"), 32 * n)
 
     # A dozen bytes a shingle in the shuffle, a hundred shingles a document, about; small parts, as each is sorted whole.
     parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-n // SORTED_NODES))
@@ -420,19 +497,24 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words:
     part = lambda shift, bits: F.shiftrightunsigned("packed", shift).bitwiseAND((1 << bits) - 1).cast("int")
     shared = cut(shared.select("shingle", "node", "held", part(0, 26).alias("at"), part(26, 26).alias("n"), part(52, 11).alias("often")), 512 * n)
     few, many = shared.where(F.col("held") <= FEW), shared.where(F.col("held") > FEW)
+    crowded = cut(many.groupBy("node").agg(F.count("*").cast("int").alias("crowded")), 16 * n)
+    few = few.join(_sized(crowded, crowded.count()), "node", "left").withColumns({"crowded": F.coalesce("crowded", F.lit(0)), "component": F.col("node")})
     # Where many meet, first each with the one most made of frequent shingles: an original rather than its edited copies.
     top = many.groupBy("shingle").agg(F.max(F.struct("often", "node", "n")).alias("top"))
     small, large = F.least("n", "top.n"), F.greatest("n", "top.n")
     to_top = many.join(top, "shingle").where((F.col("node") != F.col("top.node")) & (small >= similarity * large - 1e-6))
-    to_top = to_top.select(F.greatest("node", "top.node").alias("u"), F.least("node", "top.node").alias("v"))
-    pairs = _meeting(few.withColumn("component", F.col("node")), similarity).unionByName(to_top).unionByName(_by_fingerprint(nodes, n, radius))
+    needed = _needed(small, large, similarity, COMMON)
+    to_top = to_top.select(F.greatest("node", "top.node").alias("u"), F.least("node", "top.node").alias("v"), needed.alias("needed"))
+    to_top = to_top.groupBy("u", "v").agg(F.count("*").alias("common"), F.max("needed").alias("needed")).where("common >= needed")
+    pairs = _meeting(few, similarity, most=COMMON).unionByName(to_top.drop("needed")).drop("common").unionByName(_by_fingerprint(nodes, n, radius))
     pairs = cut(pairs.distinct(), 32 * n)
     linked = close(pairs)
     copies = stars(linked, linked.count())
     # Then all of them that no chain connects so far.
     placed = many.join(copies.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("root", "node"))
     apart = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
-    rest = cut(_meeting(placed.join(apart, "shingle", "left_semi"), similarity).join(pairs, ["u", "v"], "left_anti"), 32 * n)
+    rest = _meeting(placed.join(apart, "shingle", "left_semi").withColumn("crowded", F.lit(0)), similarity)
+    rest = cut(rest.select("u", "v").join(pairs, ["u", "v"], "left_anti"), 32 * n)
     if not rest.isEmpty():
         linked = linked.unionByName(close(rest))
         copies = stars(linked, linked.count())
@@ -440,8 +522,37 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words:
     grouped = nodes.select("node", "doc_id", "digest").join(copies.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
     kept = cut(grouped.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest")), 64 * n)
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), digest.alias("digest"))
-    staying = rows.join(_sized(kept, kept.count()), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
+    sieve, fewer = None, kept
+    if (n_kept := kept.count()) > BROADCAST_ROWS:  # only keys are shuffled: texts that no removed key resembles stay where they are
+        keys = own.select(F.col("doc_id").alias("id"), "digest")
+        removed = cut(keys.join(kept, same, "left_anti").select(F.xxhash64("id", "digest").alias("key")), 16 * n)
+        sieve = _sieve(removed, removed.count())
+        fewer = cut(_sifted(kept, sieve, "kept_digest", "kept_id").where("maybe").select("kept_id", "kept_digest"), 64 * n)
+        n_kept = fewer.count()
+    return sieve, fewer, n_kept, repeated
+
+
+def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = DECIDING_WORDS, radius: int = RADIUS) -> DataFrame:
+    """The documents without exact and near copies: of each group the one with the smallest doc_id stays.
+
+    Two texts are near copies if the Jaccard similarity of their sets of shingles of ``words`` words is at least
+    ``similarity``; groups are what chains of them connect.  Ball hashing of the sets' fingerprints gives the first
+    candidates.  It can't give all (sets of that similarity often differ in more bits), so an exact search adds the
+    others: sets so similar share one of their first shingles in any order common to all, and every pair that does is
+    worked out, unless a chain connects it already.  The order puts rare shingles first, so that frequent ones bring
+    few together.  Texts count, not ids: rows without a doc_id come after all others, texts that share a doc_id by
+    their digests, and of rows that repeat both one stays.  Columns of any name are carried.
+    """
+    with shuffles_freed(docs.sparkSession):
+        sieve, kept, n_kept, repeated = _kept(docs, similarity, words, radius)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), _digest().alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
+    if sieve is None:
+        staying = rows.join(_sized(kept, n_kept), same, "left_semi")
+    else:
+        marked = _sifted(rows, sieve, "digest", "id").join(_sized(kept, n_kept), same, "left")
+        staying = marked.where(~F.col("maybe") | F.col("kept_digest").isNotNull()).select("row", "id", "digest")
     if repeated:
         staying = staying.dropDuplicates(["id", "digest"])
     return merged_like(staying.select("row.*"), docs)

@@ -141,6 +141,46 @@ def test_near_copies_by_whole_blocks(spark):
     assert {r["doc_id"] for r in kept.collect()} == surviving(texts)
 
 
+def test_near_copies_beyond_the_broadcast_bound(spark, monkeypatch):
+    """pipeline: where keys are too many to broadcast, texts that stay aren't shuffled, and texts of pairs go once to a bucket of them."""
+    rng = random.Random(10)
+    texts = []
+    for copies in (40, 9, *[2] * 12, *[0] * 20):
+        base = [str(rng.randrange(12)) for _ in range(rng.randrange(3, 160))]  # few words, so that others share shingles too
+        for _ in range(copies):
+            at = rng.randrange(len(base))
+            texts.append(" ".join([*base[:at], *[f"edit{rng.randrange(10**6)}"] * rng.randrange(3), *base[at + rng.randrange(9) :]]))
+        texts.append(" ".join(base))
+    rng.shuffle(texts)
+    bounds = {"BROADCAST_ROWS": 5, "FEW": 6, "BLOCK": 5, "TOGETHER": 4, "BUCKET_SHINGLES": 300, "SIEVE_KEYS": 20}
+    shuffled = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(shuffled)
+    for name, bound in bounds.items():
+        monkeypatch.setattr(simhash, name, bound, raising=False)
+    spark.conf.set(shuffled, -1)
+    try:
+        kept = simhash.without_near_copies(docs(spark, texts))
+        assert {r["doc_id"] for r in kept.collect()} == surviving(texts)
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(shuffled, before)
+
+
+def test_texts_without_enough_common_beginnings_are_not_paired(spark, monkeypatch):
+    """pipeline: texts that share a rare shingle and little else aren't read again; their pairs grow with the square of the table."""
+    rng = random.Random(11)
+    shared = [[f"s{k}w{i}" for i in range(5)] for k in range(40)]
+    texts = []
+    for _ in range(120):
+        w = [str(rng.randrange(10**6)) for _ in range(rng.randrange(100, 110))]
+        texts.append(" ".join([*w[:50], *rng.choice(shared), *w[50:]]))
+    compared, dealt = [], simhash._dealt
+    monkeypatch.setattr(simhash, "_dealt", lambda pairs: compared.append(pairs.count()) or dealt(pairs))
+    copy = texts[0].replace(texts[0].split()[7], "other")
+    assert {r["doc_id"] for r in simhash.without_near_copies(docs(spark, [*texts, copy])).collect()} == {*range(120)}
+    assert compared == [1]
+
+
 def test_near_copies_with_shared_and_missing_ids(spark):
     rng = random.Random(9)
     a, b, c, d = ([str(rng.randrange(900)) for _ in range(100)] for _ in range(4))

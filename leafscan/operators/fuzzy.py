@@ -8,9 +8,12 @@ queries, a stated set, go over all pages in blocks; what a page and a query cost
   difference of two sums bounds the word score of any window.
 - Of the characters the first ``HEAD`` are compared; all others count as equal.
 
-Before that, pairs of a page and a query without any window that could reach the threshold are left out (``Asked.possible``):
+Before that, pairs of a page and a query without any window that could reach the threshold are left out, for many pages
+at once (``Asked.near``):
 
-- Likenesses of words are remembered from page to page; the sums of a query's words in their order bound its word score.
+- What the words of a page lack to be like a query's words in their order is summed for each beginning of a window.  For that
+  the queries' words are held in some hundred classes of similar lengths and letters; a word of the page is compared with what
+  the words of a class have together.  Beginnings that are left are looked at again word by word.
 - If enough characters are equal at equal places, some of the query's pieces of four (three, two) characters are equal as a
   whole: each mismatch spoils one piece at most.  Equal pieces are looked up and counted for each beginning of a window.
 
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +41,14 @@ FUZZY_LEAST, SHORTER, LONGER = 0.6, 2, 3
 EARLY_STOP, TOLERANCE = 0.95, 0.8
 #: Characters compared for the bound; queries of a block; cells of an array that is worked on at once; windows worked out at once.
 HEAD, BLOCK_QUERIES, CELLS, STEP = 96, 500, 1 << 21, 256
-#: Remembered likenesses of words to queries; slots of hashed pieces of characters; pages remembered by a task, and words of these.
-LIKENESSES, SLOTS, REMEMBERED, SHORT = 1 << 26, 1 << 18, 20_000, 64
-#: Words of a page that are summed at once.
-PART = 4096
+#: Slots of hashed pieces of characters; pages remembered by a task, and words of these.
+SLOTS, REMEMBERED, SHORT = 1 << 18, 20_000, 64
+#: Classes of the queries' words; share of a query's words that are summed for all beginnings; beginnings summed at once.
+CLASSES, SUMMED, PART = 512, 0.8, 8192
+#: Words of a page, or of pages, whose likenesses to classes are held at once.
+HELD_WORDS = 32 * PART
+#: Letters that classes tell apart; others share groups.
+APART, GROUPS = 28, 4
 
 
 class Asked:
@@ -62,6 +70,7 @@ class Asked:
         self.ids = [np.array([self.number[w] for w in qs]) for _, qs in queries]
         self.joined = ["".join(qs) for _, qs in queries]
         self.codes = [np.array([ord(c) for c in j[:HEAD]]) for j in self.joined]
+        self.order: list[list[int]] = []
 
     def likeness(self, words: list[str]) -> np.ndarray:
         """Of each page word (rows) to each query word: 1 if equal, 0.8 if one contains the other, else by characters."""
@@ -81,44 +90,113 @@ class Asked:
                 out[a, b] = 0.8
         return out
 
-
-    def _known(self, own: list[str]) -> np.ndarray | None:
-        """Where the likenesses of a page's distinct words are remembered; None for more words than can be."""
-        if not hasattr(self, "row"):
-            self.row, self.lengths_asked = {}, np.array([len(ids) for ids in self.ids])
-            longest = max(self.lengths_asked)  # shorter queries are padded by a word like none
-            self.padded = np.array([np.pad(ids, (0, longest - len(ids)), constant_values=len(self.words)) for ids in self.ids])
-            self.alike = np.zeros((max(2, LIKENESSES // len(self.words)), len(self.words)), np.uint8)  # in steps of 1/255, rounded up
-        new = [w for w in own if w not in self.row]
-        if len(self.row) + len(new) > len(self.alike):
-            self.row, new = {}, own
-            if len(own) > len(self.alike):
-                return None
-        for k in range(0, len(new), STEP):
-            some, at = new[k : k + STEP], len(self.row)
-            self.alike[at : at + len(some)] = np.ceil(self.likeness(some) * 255 - 1e-6)
-            self.row |= {w: at + i for i, w in enumerate(some)}
-        return np.array([self.row[w] for w in own])
-
-    def _by_words(self, rows: np.ndarray, threshold: float) -> np.ndarray:
-        """Whether a query's word score could reach the threshold: the sum of all its words in order bounds it for any size of window."""
-        lengths, words = self.lengths_asked, self.padded
-        longest, out = words.shape[1], np.zeros(len(lengths), bool)
-        for k in range(0, len(rows), PART):
-            near, n = self.alike[rows[k : k + PART + longest]], min(PART, len(rows) - k)
-            some = np.zeros((len(self.words) + 1, n + longest), np.uint16 if longest <= 257 else np.uint32)
-            some[:-1, : len(near)] = near.T
-            live, sums = np.arange(len(lengths)), np.zeros((len(lengths), n), some.dtype)
-            for i in range(longest + 1):
-                if i % 8 == 0 or i == longest:  # a query goes on while its other words, if all equal, could still bring a window to the threshold
-                    kept = sums.max(axis=1) + 255.0 * np.maximum(lengths[live] - i, 0) >= threshold * 255 * lengths[live] - 1e-3
-                    live, sums = live[kept], sums[kept]
-                if i == longest or not len(live):
-                    break
-                sums += np.take(some, words[live, i], axis=0)[:, i : i + n]
-            out[live] = True
+    def _counts(self, words: list[str]) -> np.ndarray:
+        """How often each word has each letter of the queries."""
+        counts = np.zeros((len(words), len(self.letters)), np.float32)
+        codes, of = _codes("".join(words)), np.repeat(np.arange(len(words)), [len(w) for w in words])
+        known = np.array([ord(c) for c in self.letters])
+        order = np.argsort(known)
+        at = np.minimum(np.searchsorted(known[order], codes), len(known) - 1)
+        same = known[order][at] == codes
+        np.add.at(counts, (of[same], order[at[same]]), 1)
+        return counts
+
+    def _classes(self) -> None:
+        """Classes of the queries' words: what letters they have in all, what letters each of them has, and the least length."""
+        letters, lengths = self.present.T, self.lengths.astype(np.float32)
+        order = np.lexsort((np.arange(len(lengths)), lengths))
+        middle, far = letters[order[:: -(-len(order) // CLASSES)]], lengths[order[:: -(-len(order) // CLASSES)]]
+        for _ in range(6):
+            apart = letters.sum(axis=1)[:, None] + (middle**2).sum(axis=1)[None, :] - 2 * letters @ middle.T + np.abs(lengths[:, None] - far[None, :])
+            of = apart.argmin(axis=1)
+            held = np.maximum(np.bincount(of, minlength=len(middle)), 1)[:, None]
+            middle, far = np.zeros_like(middle), np.bincount(of, lengths, len(held)) / held[:, 0]
+            np.add.at(middle, of, letters)
+            middle /= held
+        self.of = np.unique(of, return_inverse=True)[1]
+        members = [np.flatnonzero(self.of == k) for k in range(self.of.max() + 1)]
+        place = np.empty(len(self.letters), np.int64)
+        place[np.argsort(-letters.sum(axis=0), kind="stable")] = np.arange(len(place))
+        group = np.where(place < APART, place, APART + place % GROUPS)
+        self.grouped = np.zeros((len(place), min(len(place), APART) + GROUPS * (len(place) > APART)), np.float32)
+        self.grouped[np.arange(len(place)), group] = 1
+        self.any_letters = np.minimum(np.array([letters[m].max(axis=0) for m in members]) @ self.grouped, 1).T.copy()
+        self.all_letters = np.minimum(np.array([letters[m].min(axis=0) for m in members]) @ self.grouped, 1).T.copy()
+        self.at_least = np.array([max(1, self.lengths[m].min()) for m in members], np.float32)
+        self.longest = max(map(len, self.ids))
+
+    def _lacking(self, words: list[str]) -> np.ndarray:
+        """What each word lacks at least to be like any word of each class, in steps of 1/255, rounded down."""
+        out = np.empty((len(words), len(self.at_least)), np.uint8)
+        every, lengths = self._counts(words) @ self.grouped, np.array([len(w) for w in words], np.float32)[:, None]
+        needed = self.all_letters.sum(axis=0)
+        for k in range(0, len(words), STEP):
+            counts, n = every[k : k + STEP], lengths[k : k + STEP]
+            alike = counts @ self.any_letters
+            inside = alike == n
+            inside |= ((counts > 0).astype(np.float32) @ self.all_letters == needed) & (n >= self.at_least)
+            alike /= np.maximum(n, self.at_least)
+            np.maximum(alike, 0.8, out=alike, where=inside)
+            alike *= -255
+            alike += 255.01
+            out[k : k + STEP] = alike  # cut
         return out
 
+    def _by_words(self, words: pa.DictionaryArray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and beginnings (places in ``words``, one page after the other) whose word score could reach the threshold."""
+        ids, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+        if not hasattr(self, "of"):
+            self._classes()
+        n, found = len(ids), []
+        kind = np.uint16 if self.longest <= 257 else np.uint32
+        sums, place = np.empty(PART, kind), np.arange(len(distinct))
+        for k in range(0, n, PART):
+            if k % HELD_WORDS == 0:
+                some = ids[k : k + HELD_WORDS + self.longest] if n > HELD_WORDS else ids
+                held = np.unique(some)
+                place[held] = np.arange(len(held))
+                every = self._lacking([distinct[w] for w in held])
+            if not self.order:  # first the words that most others lack much to be like
+                mean = every[place[ids[:PART]]].mean(axis=0)
+                self.order = [np.argsort(-mean[self.of[own]], kind="stable")[: max(1, math.ceil(SUMMED * len(own)))].tolist() for own in self.ids]
+            here = place[ids[k : k + PART + self.longest]]
+            lacking = np.zeros((len(self.at_least), PART + self.longest), kind)
+            lacking[:, : len(here)] = every[here].T
+            for q, (own, order) in enumerate(zip(self.ids, self.order, strict=True)):
+                classes = self.of[own].tolist()
+                np.copyto(sums, lacking[classes[order[0]], order[0] : order[0] + PART])
+                spared = 255 * ((1 - threshold) * len(own) + 1e-3) + 0.01 * len(own)
+                for at, i in enumerate(order[1:]):
+                    np.add(sums, lacking[classes[i], i : i + PART], out=sums)
+                    if at % 4 == 3 and at * 2 > len(order) and sums.min() > spared:
+                        break
+                else:
+                    start = np.flatnonzero(sums[: n - k] <= spared)
+                    found.append((np.full(len(start), q), start + k))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        asked, start = map(np.concatenate, zip(*found, strict=True))
+        return self._with_all_words(asked, start, ids, distinct, threshold)
+
+    def _with_all_words(self, asked: np.ndarray, start: np.ndarray, ids: np.ndarray, words: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the queries and beginnings that could reach the threshold by all their words."""
+        kept, order = np.zeros(len(asked), bool), np.argsort(asked, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(asked[order])) + 1):
+            for k in range(0, len(part), STEP):
+                some = part[k : k + STEP]
+                own = self.ids[asked[some[0]]]
+                there = start[some][:, None] + np.arange(len(own))
+                page, place = np.unique(ids[np.minimum(there, len(ids) - 1)], return_inverse=True)
+                there = there < len(ids)
+                read = [words[w] for w in page]
+                counts, lengths = self._counts(read), np.array([len(w) for w in read])
+                present = self.present[:, own]
+                common, around = counts @ present, (counts > 0).astype(np.float32) @ present == self.distinct[own]
+                alike = common / np.maximum(lengths[:, None], self.lengths[own][None, :])
+                alike = np.where((common == lengths[:, None]) | around, np.maximum(alike, 0.8), alike)
+                kept[some] = (alike[place.reshape(there.shape), np.arange(len(own))] * there).sum(axis=1) >= threshold * len(own) - 1e-3
+        return asked[kept], start[kept]
+
     def _pieces(self, threshold: float) -> list[tuple]:
         """For each size of pieces the queries' pieces by their hash, and how many each query needs; those without any need 0."""
         if not hasattr(self, "pieces"):
@@ -136,29 +214,53 @@ class Asked:
                 self.pieces.append((size, np.searchsorted(at[order], np.arange(SLOTS + 1)), asked[order], places[order]))
         return self.pieces
 
-    def possible(self, ws: list[str], threshold: float) -> np.ndarray:
-        """Whether each query could have a window of at least the threshold on a page (one threshold for all pages)."""
-        own, count = sorted(set(ws)), len(ws)
-        if (known := self._known(own)) is None:
-            return np.ones(len(self.ids), bool)
-        number = {w: k for k, w in enumerate(own)}
-        out = self._by_words(known[[number[w] for w in ws]], threshold)
-        pieces = self._pieces(threshold)
-        out |= self.needed == 0
-        ends = np.cumsum([0, *map(len, ws)])
+    def _by_chars(self, ends: np.ndarray, text: str, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and beginnings whose character score could reach the threshold."""
+        pieces, count = self._pieces(threshold), len(ends) - 1
         begins = np.full(ends[-1] + 1, -1)
         begins[ends[:-1]] = np.arange(count)
-        codes = _codes("".join(ws))
+        codes, found = _codes(text), []
         for size, first, asked, places in pieces:
             hashed = _hashes(codes, size)
-            counts = first[hashed + 1] - first[hashed]
-            at = np.repeat(first[hashed] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            start = np.repeat(np.arange(len(hashed)), counts) - places[at]
+            known = np.flatnonzero(np.diff(first)[hashed])
+            of, at = _spans(first[hashed[known]], np.diff(first)[hashed[known]])
+            start = known[of] - places[at]
             place = np.where(start >= 0, begins[np.maximum(start, 0)], -1)
             votes, seen = np.unique(asked[at[place >= 0]] * count + place[place >= 0], return_counts=True)
-            out[(q := votes // count)[seen >= self.needed[q]]] = True
+            votes = votes[seen >= self.needed[votes // count]]
+            found.append((votes // count, votes % count))
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, np.int64),) * 2
+
+    def near(self, pages: pa.ListArray, threshold: float) -> dict[int, list[int]]:
+        """The queries that could have a window of at least the threshold on a page, by the pages that have any (one threshold for all pages)."""
+        flat = pages.flatten()
+        if not len(flat):
+            return {}
+        words, text = flat.dictionary_encode(), pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), "")[0].as_py()
+        lengths, ids = pc.utf8_length(words.dictionary).to_numpy(), words.indices.to_numpy()
+        ends = np.concatenate([[0], lengths[ids].cumsum()])
+        found = [self._by_words(words, threshold), self._by_chars(ends, text, threshold)]
+        asked, start = map(np.concatenate, zip(*found, strict=True))
+        page = np.searchsorted(np.cumsum(pages.value_lengths().to_numpy()), start, side="right")
+        short = np.flatnonzero(self.needed == 0)  # too short for pieces: on all pages
+        asked, page = np.concatenate([asked, np.tile(short, len(pages))]), np.concatenate([page, np.repeat(np.arange(len(pages)), len(short))])
+        out = defaultdict(list)
+        for code in np.unique(page * len(self.ids) + asked).tolist():
+            out[code // len(self.ids)].append(code % len(self.ids))
         return out
 
+    def possible(self, ws: list[str], threshold: float) -> np.ndarray:
+        """Whether each query could have a window of at least the threshold on a page."""
+        out = np.zeros(len(self.ids), bool)
+        out[self.near(pa.array([ws], pa.list_(pa.string())), threshold).get(0, [])] = True
+        return out
+
+
+def _spans(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of numbers from ``first`` on: of each number, which run it is in, and the number."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) + (first - np.cumsum(counts) + counts)[of]
+
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -210,9 +312,12 @@ def best_windows(ws: list[str], asked: Asked, threshold: float) -> list[tuple[in
 
 def page_windows(ws: list[str], asked: Asked, threshold: float) -> list[tuple[int, int, int, float, bool]]:
     """``best_windows``, of the queries only that could reach the threshold."""
-    near = np.flatnonzero(asked.possible(ws, threshold))
-    found = best_windows(ws, Asked([asked.queries[q] for q in near]), threshold) if len(near) else []
-    return [(int(near[q]), *window) for q, *window in found]
+    return _windows(ws, asked, np.flatnonzero(asked.possible(ws, threshold)).tolist(), threshold)
+
+
+def _windows(ws: list[str], asked: Asked, near: list[int], threshold: float) -> list[tuple[int, int, int, float, bool]]:
+    found = best_windows(ws, Asked([asked.queries[q] for q in near]), threshold) if near else []
+    return [(near[q], *window) for q, *window in found]
 
 
 def _fuzzy(q, qn, ids, alike, ends, text, heads, asked, least, exact):
@@ -272,11 +377,12 @@ def fuzzy_matches(pages: DataFrame, queries: DataFrame, threshold: float = TOLER
             for row in range(len(batch)):
                 if batch.column(0)[row].as_py() != number:
                     number, asked, seen = batch.column(0)[row].as_py(), Asked(list(enumerate(batch.column(2)[row].as_py()))), {}
-                query_ids, page_ids, held = batch.column(1)[row].values, batch.column(3)[row].values, batch.column(4)[row].as_py()
+                query_ids, page_ids, held = (batch.column(k)[row].values for k in (1, 3, 4))
                 made: list[tuple] = []
-                for at, ws in enumerate(held):
+                for at, near in asked.near(held, threshold).items():
+                    ws = held[at].as_py()
                     if (windows := seen.get(key := tuple(ws) if len(ws) <= SHORT else None)) is None:
-                        windows = page_windows(ws, asked, threshold)
+                        windows = _windows(ws, asked, near, threshold)
                         if key and len(seen) < REMEMBERED:
                             seen[key] = windows
                     made += [(at, *w) for w in windows]

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from leafscan.operators import fuzzy, match
 from leafscan.plans import annotate, document_queries
 from leafscan.sources import hocr
@@ -100,3 +102,28 @@ def test_a_list_of_words_is_marked_in_its_row(spark):
     pages = document_queries.pages(spark, "/root/testdata/sf0.001")
     marked = hocr.spanning_marker_text(word_boxes(pages)).selectExpr("page_id", "length(marked) AS chars", "md5(marked) AS marked_md5")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, marked.collect()))
+
+
+def test_pages_without_a_near_query_are_left_out_together(monkeypatch):
+    """fuzzy_passages: words are compared one by one only where a page has a window near a query, wherever parts of a run of pages end."""
+    draw, read = random.Random(9), []
+    word = lambda: "".join(draw.choices("aaeeinnorsthdlu.é", k=draw.randint(1, 9)))
+    misread = lambda w: "".join(c if draw.random() < 0.95 else draw.choice("aexyz%") for c in w)
+    queries = [(k, [word() for _ in range(draw.randint(10, 30))]) for k in range(20)]
+    pages = [[word() for _ in range(draw.randint(1, 60))] for _ in range(120)]
+    for page in pages[::6]:
+        page[(at := draw.randint(0, len(page))) : at] = map(draw.choice([misread, lambda w: w + "%%", str]), draw.choice(queries)[1])
+    wanted = {(k, *w) for k, page in enumerate(pages) for w in fuzzy.best_windows(page, fuzzy.Asked(queries), 0.8)}
+    assert len(wanted) >= 12
+    likeness = fuzzy.Asked.likeness
+    monkeypatch.setattr(fuzzy.Asked, "likeness", lambda self, words: read.append(len(words)) or likeness(self, words))
+    for part, held in ((8192, 1 << 18), (64, 128), (7, 7)):
+        monkeypatch.setattr(fuzzy, "PART", part)
+        monkeypatch.setattr(fuzzy, "HELD_WORDS", held)
+        asked, found = fuzzy.Asked(queries), set()
+        read.clear()
+        for k in range(0, len(pages), 50):
+            near = asked.near(pa.array(pages[k : k + 50], pa.list_(pa.string())), 0.8)
+            found |= {(k + at, *w) for at, some in near.items() for w in fuzzy._windows(pages[k + at], asked, some, 0.8)}
+        assert found == wanted
+        assert len(read) <= 20 and sum(read) < sum(map(len, pages)) / 3

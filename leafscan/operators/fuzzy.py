@@ -92,14 +92,13 @@ class Asked:
 
     def _counts(self, words: list[str]) -> np.ndarray:
         """How often each word has each letter of the queries."""
-        counts = np.zeros((len(words), len(self.letters)), np.float32)
         codes, of = _codes("".join(words)), np.repeat(np.arange(len(words)), [len(w) for w in words])
         known = np.array([ord(c) for c in self.letters])
         order = np.argsort(known)
         at = np.minimum(np.searchsorted(known[order], codes), len(known) - 1)
         same = known[order][at] == codes
-        np.add.at(counts, (of[same], order[at[same]]), 1)
-        return counts
+        places = of[same] * len(known) + order[at[same]]
+        return np.bincount(places, minlength=len(words) * len(known)).reshape(-1, len(known)).astype(np.float32)
 
     def _classes(self) -> None:
         """Classes of the queries' words: what letters they have in all, what letters each of them has, and the least length."""
@@ -128,18 +127,20 @@ class Asked:
     def _lacking(self, words: list[str]) -> np.ndarray:
         """What each word lacks at least to be like any word of each class, in steps of 1/255, rounded down."""
         out = np.empty((len(words), len(self.at_least)), np.uint8)
-        every, lengths = self._counts(words) @ self.grouped, np.array([len(w) for w in words], np.float32)[:, None]
-        needed = self.all_letters.sum(axis=0)
+        every, lengths = self._counts(words) @ self.grouped, np.array([len(w) for w in words])
+        letters = ((every > 0) @ 2.0 ** np.arange(every.shape[1])).astype(np.uint64)
+        # The masks' upper bits tell lengths: a word has all up to its own, a class that of its shortest word.
+        missed = ~(letters | ((np.uint64(1) << (np.minimum(lengths, 30) + 1).astype(np.uint64)) - np.uint64(1)) << np.uint64(32))[:, None]
+        asked = (2.0 ** np.arange(every.shape[1]) @ self.all_letters).astype(np.uint64) | np.uint64(1) << (32 + np.minimum(self.at_least, 30)).astype(np.uint64)
+        sizes, of = np.unique(lengths, return_inverse=True)
+        scaled = (-255 / np.maximum(sizes[:, None], self.at_least)).astype(np.float32)
         for k in range(0, len(words), STEP):
-            counts, n = every[k : k + STEP], lengths[k : k + STEP]
-            alike = counts @ self.any_letters
-            inside = alike == n
-            inside |= ((counts > 0).astype(np.float32) @ self.all_letters == needed) & (n >= self.at_least)
-            alike /= np.maximum(n, self.at_least)
-            np.maximum(alike, 0.8, out=alike, where=inside)
-            alike *= -255
+            alike = every[k : k + STEP] @ self.any_letters
+            inside = alike == lengths[k : k + STEP, None].astype(np.float32)
+            inside |= (asked & missed[k : k + STEP]) == 0
+            alike *= scaled[of[k : k + STEP]]
             alike += 255.01
-            out[k : k + STEP] = alike  # cut
+            np.minimum(alike.astype(np.uint8), 255 - 204 * inside.view(np.uint8), out=out[k : k + STEP])  # 51 where the likeness may be 0.8
         return out
 
     def _by_words(self, words: pa.DictionaryArray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +151,8 @@ class Asked:
         n, found = len(ids), []
         kind = np.uint16 if self.longest <= 257 else np.uint32
         sums, place = np.empty(PART, kind), np.arange(len(distinct))
+        lacking = np.zeros((len(self.at_least), PART + self.longest), kind)
+        rows, classes = list(lacking), [self.of[own].tolist() for own in self.ids]
         for k in range(0, n, PART):
             if k % HELD_WORDS == 0:
                 some = ids[k : k + HELD_WORDS + self.longest] if n > HELD_WORDS else ids
@@ -158,21 +161,25 @@ class Asked:
                 every = self._lacking([distinct[w] for w in held])
             if not self.order:  # first the words that most others lack much to be like
                 mean = every[place[ids[:PART]]].mean(axis=0)
-                self.order = [np.argsort(-mean[self.of[own]], kind="stable")[: max(1, math.ceil(SUMMED * len(own)))].tolist() for own in self.ids]
+                self.order = [np.argsort(-mean[self.of[own]], kind="stable").tolist() for own in self.ids]
             here = place[ids[k : k + PART + self.longest]]
-            lacking = np.zeros((len(self.at_least), PART + self.longest), kind)
-            lacking[:, : len(here)] = every[here].T
-            for q, (own, order) in enumerate(zip(self.ids, self.order, strict=True)):
-                classes = self.of[own].tolist()
-                np.copyto(sums, lacking[classes[order[0]], order[0] : order[0] + PART])
-                spared = 255 * ((1 - threshold) * len(own) + 1e-3) + 0.01 * len(own)
-                for at, i in enumerate(order[1:]):
-                    np.add(sums, lacking[classes[i], i : i + PART], out=sums)
-                    if at % 4 == 3 and at * 2 > len(order) and sums.min() > spared:
+            for at in range(0, len(here), SHORT):  # few at a time, for the processor's cache
+                lacking[:, at : min(at + SHORT, len(here))] = every[here[at : at + SHORT]].T
+            lacking[:, len(here) :] = 0
+            for q, (own, order) in enumerate(zip(classes, self.order, strict=True)):
+                number, spared = max(1, math.ceil(SUMMED * len(own))), 255 * ((1 - threshold) * len(own) + 1e-3) + 0.01 * len(own)
+                np.copyto(sums, rows[own[order[0]]][order[0] : order[0] + PART])
+                for at in range(1, number):
+                    i = order[at]
+                    np.add(sums, rows[own[i]][i : i + PART], out=sums)
+                    if at % 4 == 0 and at * 2 > number and sums.min() > spared:
                         break
                 else:
                     start = np.flatnonzero(sums[: n - k] <= spared)
-                    found.append((np.full(len(start), q), start + k))
+                    if len(start):
+                        rest = sums[start].astype(np.int64) + sum(rows[own[i]][start + i].astype(np.int64) for i in order[number:])
+                        start = start[rest <= spared]
+                        found.append((np.full(len(start), q), start + k))
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         asked, start = map(np.concatenate, zip(*found, strict=True))
